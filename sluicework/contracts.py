@@ -43,6 +43,7 @@ class Check:
     name: str
     condition: str
     severity: str = "warning"
+    error: str | None = None  # set when the condition is known to fail at run time
 
 
 @dataclass(frozen=True)

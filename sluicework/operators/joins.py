@@ -19,9 +19,9 @@ def lookup_join(big: DataFrame, side: DataFrame, on: Sequence[str], spread_by: S
     sliced = big.withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     copies = side.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     keys = list(on)
-    condition = F.lit(True)
+    b, c = sliced.alias("b"), copies.alias("c")
+    condition = F.col("b._slice") == F.col("c._slice")
     for k in keys:
-        condition = condition & sliced[k].eqNullSafe(copies[k])
-    joined = sliced.join(copies, condition & (sliced["_slice"] == copies["_slice"]), how)
-    kept = [sliced[c] for c in big.columns] + [copies[c] for c in side.columns if c not in keys]
-    return joined.select(*kept)
+        condition = condition & F.col(f"b.`{k}`").eqNullSafe(F.col(f"c.`{k}`"))
+    kept = [F.col(f"b.`{n}`") for n in big.columns] + [F.col(f"c.`{n}`") for n in side.columns if n not in keys]
+    return b.join(c, condition, how).select(*kept)

@@ -1,6 +1,6 @@
 """Downstream impact and upstream root cause over edge tables.
 
-Consumer edges are ``dataset, consumer, type, owner, criticality``; upstream edges
+Consumer edges are ``dataset, position, consumer, type, owner, criticality``; upstream edges
 ``dataset, upstream, type, endpoint``; health rows ``upstream, timestamp, status, details``.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sluicework import fixed_values as fv
 from sluicework.operators.joins import lookup_join
 
-CONSUMERS = "dataset string, consumer string, type string, owner string, criticality string"
+CONSUMERS = "dataset string, position int, consumer string, type string, owner string, criticality string"
 UPSTREAMS = "dataset string, upstream string, type string, endpoint string"
 
 
@@ -21,8 +21,8 @@ def edges(spark: SparkSession, lineage: Mapping[str, Any]) -> tuple[DataFrame, D
     """Consumer edges, upstream edges and owners of a lineage configuration."""
     datasets = (lineage or {}).get("datasets") or {}
     consumers = [
-        (d, c.get("name"), c.get("type"), c.get("owner"), c.get("criticality"))
-        for d, i in datasets.items() for c in (i or {}).get("consumers") or []
+        (d, n, c.get("name"), c.get("type"), c.get("owner"), c.get("criticality"))
+        for d, i in datasets.items() for n, c in enumerate((i or {}).get("consumers") or [])
     ]
     upstreams = [
         (d, u.get("name"), u.get("type"), u.get("endpoint"))
@@ -48,11 +48,12 @@ def rank(label: Column) -> Column:
 
 
 def criticality(consumers: DataFrame) -> DataFrame:
-    """Highest criticality and number of consumers per dataset; equal ranks resolve to the first label by name."""
-    labelled = consumers.select("dataset", level(F.col("criticality")).alias("label"))
-    ranked = labelled.groupBy("dataset", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", rank(F.col("label")))
-    best = F.min(F.struct((-F.col("rank")).alias("r"), F.col("label")))
-    return ranked.groupBy("dataset").agg(best["label"].alias("criticality"), F.sum("n").alias("consumer_count"))
+    """Highest criticality and number of consumers per dataset; among equal ranks the first listed wins."""
+    label = level(F.col("criticality"))
+    best = F.min(F.struct((-rank(label)).alias("rank"), F.col("position"), label.alias("label")))
+    return consumers.groupBy("dataset").agg(
+        best["label"].alias("criticality"), F.count(F.lit(1)).alias("consumer_count")
+    )
 
 
 def impact(datasets: DataFrame, consumers: DataFrame, owners: DataFrame | None = None) -> DataFrame:

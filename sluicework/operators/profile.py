@@ -83,6 +83,9 @@ def usable_checks(df: DataFrame, contract: Contract, as_of: datetime | None) ->
     for check in contract.checks:
         if not check.condition:
             continue
+        if check.error is not None:
+            bad[check.name] = check.error
+            continue
         try:
             df.select(F.expr(f"NOT ({rules.at_time(check.condition, as_of)})")).schema
             good.append(check)
@@ -111,7 +114,7 @@ def _count_if(mark: Column | None) -> Column:
 
 def summarise(df: DataFrame, contract: Contract, batch: Column | str | None = None, *,
               metrics: bool = True, distinct: str = "exact", columnar: bool = True,
-              as_of: datetime | None = None, skip_checks: Sequence[str] = ()) -> DataFrame:
+              as_of: datetime | None = None) -> DataFrame:
     """One row per batch holding every raw count that profiling and drift metrics need.
 
     ``metrics`` adds null counts and means of columns outside the contract; without
@@ -122,7 +125,6 @@ def summarise(df: DataFrame, contract: Contract, batch: Column | str | None = No
     kinds = {f.name: f.dataType for f in df.schema.fields}
     present = [c for c in contract.columns if c.name in kinds]
     good, bad = usable_checks(_coerced(df, contract), contract, as_of)
-    good = [c for c in good if c.name not in skip_checks]
     work = _coerced(df, contract)
     aggs: list[Column] = [F.count(F.lit(1)).alias("total_rows")]
     for i, spec in enumerate(present):

@@ -23,11 +23,12 @@ def _slot(order: str, seconds: int) -> Column:
 
 def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join rows with their slot's totals; a slot holds a bounded stretch of one series."""
+    a, b = left.alias("a"), right.alias("b")
     condition = F.lit(True)
     for k in keys:
-        condition = condition & left[k].eqNullSafe(right[k])
-    return left.join(right, condition).select(
-        *[left[c] for c in left.columns], *[right[c] for c in right.columns if c not in keys]
+        condition = condition & F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
+    return a.join(b, condition).select(
+        *[F.col(f"a.`{c}`") for c in left.columns], *[F.col(f"b.`{c}`") for c in right.columns if c not in keys]
     )
 
 
@@ -45,7 +46,8 @@ def preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
         F.min(value).alias("_lo"), F.max(value).alias("_hi"),
     )
     series = Window.partitionBy(*keys)
-    centred = totals.withColumn("_c", F.sum(F.col("_n") * F.col("_m")).over(series) / F.sum("_n").over(series))
+    centred = totals.withColumn("_c", F.try_divide(
+        F.sum(F.col("_n") * F.col("_m")).over(series), F.sum("_n").over(series)))
     off = F.col("_m") - F.col("_c")
     earlier = series.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = centred.select(
