@@ -14,6 +14,7 @@ from typing import Any, Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from sluicework import fixed_values as fv
+from sluicework.session import small_frame
 
 try:
     import yaml
@@ -153,8 +154,8 @@ def declared_columns(spark: SparkSession, contracts: Iterable[Contract]) -> Data
         for k in contracts
         for position, c in enumerate(k.columns)
     ]
-    return spark.createDataFrame(
-        rows,
+    return small_frame(
+        spark, rows,
         "dataset string, position int, column_name string, declared_type string, "
         "nullable boolean, primary_key boolean",
     )
@@ -163,8 +164,8 @@ def declared_columns(spark: SparkSession, contracts: Iterable[Contract]) -> Data
 def threshold_table(spark: SparkSession, contracts: Iterable[Contract]) -> DataFrame:
     """Thresholds of every contract, one row per dataset."""
     rows = [(k.dataset, k.z_warning, k.z_critical, k.quality_warn, k.quality_block) for k in contracts]
-    return spark.createDataFrame(
-        rows, "dataset string, z_warning double, z_critical double, quality_warn double, quality_block double"
+    return small_frame(
+        spark, rows, "dataset string, z_warning double, z_critical double, quality_warn double, quality_block double"
     )
 
 
@@ -198,4 +199,4 @@ def rule_rows(contract: Contract) -> list[tuple]:
 
 def rule_table(spark: SparkSession, contracts: Iterable[Contract]) -> DataFrame:
     """The typed rules of many contracts, one row each."""
-    return spark.createDataFrame([r for k in contracts for r in rule_rows(k)], RULE_SCHEMA)
+    return small_frame(spark, [r for k in contracts for r in rule_rows(k)], RULE_SCHEMA)

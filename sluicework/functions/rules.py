@@ -1,9 +1,14 @@
-"""Contract rules as boolean columns that mark an offending value."""
+"""Contract rules as SQL conditions that mark an offending value.
+
+Conditions are text rather than Column objects: a wide contract gives hundreds of
+expressions, and each is then one call into the JVM.
+"""
 
 from __future__ import annotations
 
 import re
 from datetime import datetime
+from typing import Any
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -12,15 +17,32 @@ from sluicework.fixed_values import NUMERIC_DECLARED
 from sluicework.functions.types import is_numeric
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ref(name: str) -> Column:
-    """A top-level column by its exact name, dots included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """A top-level column by its exact name."""
+    return F.col(quoted(name))
+
+
+def literal(value: Any) -> str:
+    """A Python value as a SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, float):
+        return f"DOUBLE('{value!r}')"
+    if isinstance(value, int):
+        return f"{value}L"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def as_number(value: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, T.StringType):
-        return value.try_cast("double")
-    return value.cast("double")
+def as_number(value: str, kind: T.DataType) -> str:
+    cast = "TRY_CAST" if isinstance(kind, T.StringType) else "CAST"
+    return f"{cast}({value} AS DOUBLE)"
 
 
 def has_range(spec: ColumnSpec, kind: T.DataType) -> bool:
@@ -30,33 +52,33 @@ def has_range(spec: ColumnSpec, kind: T.DataType) -> bool:
     )
 
 
-def below_min(spec: ColumnSpec, value: Column, kind: T.DataType) -> Column | None:
+def below_min(spec: ColumnSpec, value: str, kind: T.DataType) -> str | None:
     if spec.min_value is None or not has_range(spec, kind):
         return None
-    return as_number(value, kind) < F.lit(float(spec.min_value))
+    return f"{as_number(value, kind)} < {literal(float(spec.min_value))}"
 
 
-def above_max(spec: ColumnSpec, value: Column, kind: T.DataType) -> Column | None:
+def above_max(spec: ColumnSpec, value: str, kind: T.DataType) -> str | None:
     if spec.max_value is None or not has_range(spec, kind):
         return None
-    return as_number(value, kind) > F.lit(float(spec.max_value))
+    return f"{as_number(value, kind)} > {literal(float(spec.max_value))}"
 
 
-def breaks_pattern(spec: ColumnSpec, value: Column, kind: T.DataType) -> Column | None:
+def breaks_pattern(spec: ColumnSpec, value: str, kind: T.DataType) -> str | None:
     """Anchored at the start only; character classes follow Unicode."""
     if not spec.pattern or not isinstance(kind, T.StringType):
         return None
-    return ~value.rlike(f"(?U)^(?:{spec.pattern})")
+    return f"NOT ({value} RLIKE {literal(f'(?U)^(?:{spec.pattern})')})"
 
 
-def not_allowed(spec: ColumnSpec, value: Column, kind: T.DataType) -> Column | None:
+def not_allowed(spec: ColumnSpec, value: str, kind: T.DataType) -> str | None:
     if not spec.allowed_values:
         return None
     textual = isinstance(kind, T.StringType)
-    comparable = [v for v in spec.allowed_values if isinstance(v, str) == textual]
+    comparable = [literal(v) for v in spec.allowed_values if isinstance(v, str) == textual]
     if not comparable:
-        return value.isNotNull()
-    return ~value.isin(comparable)
+        return f"{value} IS NOT NULL"
+    return f"{value} NOT IN ({', '.join(comparable)})"
 
 
 def at_time(condition: str, as_of: datetime | None) -> str:

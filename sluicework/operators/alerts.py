@@ -7,6 +7,7 @@ from typing import Any, Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluicework import fixed_values as fv
+from sluicework.session import small_frame
 
 
 def routing_tables(spark: SparkSession, config: Mapping[str, Any]) -> tuple[DataFrame, DataFrame]:
@@ -17,8 +18,8 @@ def routing_tables(spark: SparkSession, config: Mapping[str, Any]) -> tuple[Data
     ]
     channels = [(name, (c or {}).get("type")) for name, c in ((config or {}).get("channels") or {}).items()]
     return (
-        spark.createDataFrame(rules, "rule string, channels array<string>, required array<string>"),
-        spark.createDataFrame(channels, "channel string, channel_type string"),
+        small_frame(spark, rules, "rule string, channels array<string>, required array<string>"),
+        small_frame(spark, channels, "channel string, channel_type string"),
     )
 
 

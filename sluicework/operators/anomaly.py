@@ -78,11 +78,10 @@ def evaluate(metrics: DataFrame, history: DataFrame, anomaly_z: float = fv.ANOMA
 
 
 def replay(history: DataFrame, anomaly_z: float = fv.ANOMALY_Z,
-           slot_seconds: int = series.SLOT_SECONDS) -> DataFrame:
+           slot_seconds: int = series.SLOT_SECONDS, block_rows: int = series.BLOCK_ROWS) -> DataFrame:
     """Score every point of history against the points before it, as each run would have been."""
-    seasonal = series.preceding(history, [*SERIES, "day_of_week"], ORDER, "metric_value", "seasonal", slot_seconds)
-    both = series.trailing(seasonal, SERIES, ORDER, "metric_value", fv.RECENT_RUNS, "global", slot_seconds)
-    return _scored(both, anomaly_z)
+    seasonal = series.placed(history, SERIES, "day_of_week", ORDER, "metric_value", slot_seconds)
+    return _scored(series.trailing(seasonal, SERIES, "metric_value", fv.RECENT_RUNS, block_rows), anomaly_z)
 
 
 def report(scored: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sluicework import fixed_values as fv
 from sluicework.operators.joins import lookup_join
+from sluicework.session import small_frame
 
 CONSUMERS = "dataset string, position int, consumer string, type string, owner string, criticality string"
 UPSTREAMS = "dataset string, upstream string, type string, endpoint string"
@@ -30,9 +31,9 @@ def edges(spark: SparkSession, lineage: Mapping[str, Any]) -> tuple[DataFrame, D
     ]
     owners = [(d, (i or {}).get("owner", "Unknown")) for d, i in datasets.items()]
     return (
-        spark.createDataFrame(consumers, CONSUMERS),
-        spark.createDataFrame(upstreams, UPSTREAMS),
-        spark.createDataFrame(owners, "dataset string, owner string"),
+        small_frame(spark, consumers, CONSUMERS),
+        small_frame(spark, upstreams, UPSTREAMS),
+        small_frame(spark, owners, "dataset string, owner string"),
     )
 
 

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from sluicework import fixed_values as fv
 from sluicework.contracts import Check, ColumnSpec, Contract
 from sluicework.functions import rules
-from sluicework.functions.rules import ref
+from sluicework.functions.rules import literal, quoted, ref
 from sluicework.functions.types import is_numeric
+from sluicework.session import small_frame
 
 WHOLE = "all"
 
@@ -108,10 +109,6 @@ def _coerced(df: DataFrame, contract: Contract) -> DataFrame:
     )
 
 
-def _count_if(mark: Column | None) -> Column:
-    return F.lit(0).cast("bigint") if mark is None else F.count_if(mark)
-
-
 def summarise(df: DataFrame, contract: Contract, batch: Column | str | None = None, *,
               metrics: bool = True, distinct: str = "exact", columnar: bool = True,
               as_of: datetime | None = None) -> DataFrame:
@@ -124,34 +121,32 @@ def summarise(df: DataFrame, contract: Contract, batch: Column | str | None = No
     df = fold_nan(df)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     present = [c for c in contract.columns if c.name in kinds]
-    good, bad = usable_checks(_coerced(df, contract), contract, as_of)
     work = _coerced(df, contract)
-    aggs: list[Column] = [F.count(F.lit(1)).alias("total_rows")]
+    good, bad = usable_checks(work, contract, as_of)
+    known = {c.name: i for i, c in enumerate(present)}
+    aggs = {"total_rows": "COUNT(1)"}
     for i, spec in enumerate(present):
-        raw = ref(f"raw:{spec.name}") if f"raw:{spec.name}" in work.columns else ref(spec.name)
         kind = kinds[spec.name]
-        aggs.append(F.count(raw).alias(f"c{i}_filled"))
+        raw = quoted(f"raw:{spec.name}" if f"raw:{spec.name}" in work.columns else spec.name)
+        aggs[f"c{i}_filled"] = f"COUNT({raw})"
         if rules.has_range(spec, kind):
             number = rules.as_number(raw, kind)
-            aggs += [F.min(number).alias(f"c{i}_min"), F.max(number).alias(f"c{i}_max"),
-                     F.avg(number).alias(f"c{i}_mean")]
+            aggs.update({f"c{i}_{s}": f"{f}({number})" for s, f in (("min", "MIN"), ("max", "MAX"), ("mean", "AVG"))})
         marks = {
             "below": rules.below_min(spec, raw, kind), "above": rules.above_max(spec, raw, kind),
             "pattern": rules.breaks_pattern(spec, raw, kind), "allowed": rules.not_allowed(spec, raw, kind),
         }
-        aggs += [F.count_if(m).alias(f"c{i}_{k}") for k, m in marks.items() if m is not None]
-    aggs += [
-        F.count_if(F.expr(f"NOT ({rules.at_time(c.condition, as_of)})")).alias(f"k{j}") for j, c in enumerate(good)
-    ]
-    if metrics:
-        known = {c.name: i for i, c in enumerate(present)}
-        for m, (name, kind) in enumerate(kinds.items()):
-            if name not in known:
-                aggs.append(F.count(ref(name)).alias(f"m{m}_filled"))
-            if is_numeric(kind) and not (name in known and rules.has_range(present[known[name]], kind)):
-                aggs.append(F.avg(ref(name).cast("double")).alias(f"m{m}_mean"))
+        aggs.update({f"c{i}_{k}": f"COUNT_IF({m})" for k, m in marks.items() if m is not None})
+    for j, check in enumerate(good):
+        aggs[f"k{j}"] = f"COUNT_IF(NOT ({rules.at_time(check.condition, as_of)}))"
+    for m, (name, kind) in enumerate(kinds.items() if metrics else ()):
+        if name not in known:
+            aggs[f"m{m}_filled"] = f"COUNT({quoted(name)})"
+        if is_numeric(kind) and f"c{known.get(name)}_mean" not in aggs:
+            aggs[f"m{m}_mean"] = f"AVG(CAST({quoted(name)} AS DOUBLE))"
+    exprs = [F.expr(sql).alias(name) for name, sql in aggs.items()]
     keyed = work if batch is None else work.groupBy(batch_of(batch).alias("batch"))
-    scan = keyed.agg(*aggs)
+    scan = keyed.agg(*exprs)
     if batch is None:
         scan = scan.select(F.lit(WHOLE).alias("batch"), "*")
     merged = _with_distinct(scan, df, [c.name for c in present], batch, distinct, columnar)
@@ -162,107 +157,106 @@ def _with_distinct(scan: DataFrame, df: DataFrame, names: list[str], batch: Colu
                    distinct: str, columnar: bool) -> DataFrame:
     """Bring both results to one row per batch by a union and a grouping: no join, no broadcast."""
     if distinct == "none" or not names:
-        return scan.withColumns({f"c{i}_unique": F.lit(None).cast("bigint") for i in range(len(names))})
+        return scan.selectExpr("*", *[f"CAST(NULL AS BIGINT) AS c{i}_unique" for i in range(len(names))])
     counted = (
         distinct_counts(df, names, batch, columnar) if distinct == "exact"
         else approx_distinct_counts(df, names, batch)
     )
     wide = scan.select("batch", F.struct(*[c for c in scan.columns if c != "batch"]).alias("scan"))
-    both = wide.unionByName(counted, allowMissingColumns=True)
-    merged = both.groupBy("batch").agg(
+    merged = wide.unionByName(counted, allowMissingColumns=True).groupBy("batch").agg(
         F.any_value("scan", F.lit(True)).alias("scan"),
         *[
-            F.coalesce(F.max(F.when(F.col("column_name") == c, F.col("unique_count"))), F.lit(0)).alias(f"c{i}_unique")
+            F.expr(f"COALESCE(MAX(unique_count) FILTER (WHERE column_name = {literal(c)}), 0L)").alias(f"c{i}_unique")
             for i, c in enumerate(names)
         ],
     )
     return merged.select("batch", "scan.*", *[f"c{i}_unique" for i in range(len(names))])
 
 
+def _named(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"{literal(k)}, {v}" for k, v in fields.items()) + ")"
+
+
+def _array(items: list[str], element: str) -> str:
+    return f"CAST(array({', '.join(items)}) AS array<{element}>)"
+
+
+CHECK_COUNT = "struct<name:string,severity:string,sql:string,violation_count:bigint,error:string>"
+METRIC = "struct<metric_name:string,metric_value:double>"
+CONSTRAINT = "struct<type:string,severity:string,message:string,expected:bigint,actual:bigint>"
+
+
+NO_REPORTS = "CAST(array() AS array<struct<column_name:string,violation_count:bigint,quality_score:double>>)"
+
+
 def _shape(row: DataFrame, contract: Contract, present: list[ColumnSpec], kinds: dict, good: list[Check],
            bad: dict[str, str], metrics: bool) -> DataFrame:
     have = set(row.columns)
-    total = F.col("total_rows")
-
-    def opt(name: str, kind: str) -> Column:
-        return F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
-
-    stats = [
-        F.struct(
-            F.col(f"c{i}_filled").alias("filled"),
-            F.col(f"c{i}_unique").alias("unique_count"),
-            opt(f"c{i}_min", "double").alias("min_value"),
-            opt(f"c{i}_max", "double").alias("max_value"),
-            opt(f"c{i}_mean", "double").alias("mean_value"),
-            *[F.coalesce(opt(f"c{i}_{k}", "bigint"), F.lit(0)).alias(k) for k in ("below", "above", "pattern", "allowed")],
-        ).alias(c.name)
-        for i, c in enumerate(present)
-    ]
+    known = {c.name: i for i, c in enumerate(present)}
+
+    def opt(name: str, kind: str) -> str:
+        return f"CAST({name if name in have else 'NULL'} AS {kind})"
+
+    stats = {
+        c.name: _named({
+            "filled": f"c{i}_filled", "unique_count": f"c{i}_unique",
+            **{f"{s}_value": opt(f"c{i}_{s}", "DOUBLE") for s in ("min", "max", "mean")},
+            **{k: f"c{i}_{k}" if f"c{i}_{k}" in have else "0L" for k in ("below", "above", "pattern", "allowed")},
+        })
+        for c, i in ((c, known[c.name]) for c in present)
+    }
+    counts = {c.name: f"k{j}" for j, c in enumerate(good)}
     checks = [
-        F.struct(F.lit(c.name).alias("name"), F.lit(c.severity).alias("severity"), F.lit(c.condition).alias("sql"),
-                 F.col(f"k{j}").alias("violation_count"), F.lit(None).cast("string").alias("error"))
-        for j, c in enumerate(good)
-    ] + [
-        F.struct(F.lit(c.name).alias("name"), F.lit(c.severity).alias("severity"), F.lit(c.condition).alias("sql"),
-                 F.lit(None).cast("bigint").alias("violation_count"), F.lit(bad[c.name]).alias("error"))
-        for c in contract.checks if c.name in bad
+        _named({"name": literal(c.name), "severity": literal(c.severity), "sql": literal(c.condition),
+                "violation_count": counts.get(c.name, "CAST(NULL AS BIGINT)"),
+                "error": f"CAST({literal(bad.get(c.name))} AS STRING)"})
+        for c in contract.checks if c.name in counts or c.name in bad
     ]
-    known = {c.name: i for i, c in enumerate(present)}
-    measured = [F.struct(F.lit("row_count").alias("metric_name"), total.cast("double").alias("metric_value"))]
-    for m, (name, kind) in enumerate(kinds.items() if metrics else []):
-        filled = F.col(f"c{known[name]}_filled" if name in known else f"m{m}_filled")
-        measured.append(F.struct(F.lit(f"null_rate_{name}").alias("metric_name"),
-                                 F.try_divide(total - filled, total).alias("metric_value")))
-        mean = f"m{m}_mean" if f"m{m}_mean" in have else f"c{known[name]}_mean" if name in known else ""
+    measured = [_named({"metric_name": "'row_count'", "metric_value": "CAST(total_rows AS DOUBLE)"})]
+    for m, (name, kind) in enumerate(kinds.items() if metrics else ()):
+        filled = f"c{known[name]}_filled" if name in known else f"m{m}_filled"
+        measured.append(_named({"metric_name": literal(f"null_rate_{name}"),
+                                "metric_value": f"try_divide(total_rows - {filled}, total_rows)"}))
+        mean = f"m{m}_mean" if f"m{m}_mean" in have else f"c{known.get(name)}_mean"
         if mean in have and is_numeric(kind):
-            measured.append(F.struct(F.lit(f"mean_{name}").alias("metric_name"), F.col(mean).alias("metric_value")))
-    check_type = "array<struct<name:string,severity:string,sql:string,violation_count:bigint,error:string>>"
-    return row.select(
-        "batch", "total_rows", F.lit(len(kinds)).alias("total_columns"),
-        (F.struct(*stats) if stats else F.lit(None).cast("int")).alias("stats"),
-        F.array(*checks).cast(check_type).alias("check_counts"),
-        F.array(*measured).alias("metrics"),
+            measured.append(_named({"metric_name": literal(f"mean_{name}"), "metric_value": mean}))
+    return row.selectExpr(
+        "batch", "total_rows", f"{len(kinds)} AS total_columns",
+        f"{_named(stats) if stats else 'CAST(NULL AS INT)'} AS stats",
+        f"{_array(checks, CHECK_COUNT)} AS check_counts",
+        f"{_array(measured, METRIC)} AS metrics",
     )
 
 
-def _column_report(spec: ColumnSpec, stat: Column, total: Column) -> Column:
-    nulls = total - stat["filled"]
-    null_rate = F.coalesce(F.try_divide(nulls, total), F.lit(0.0))
-    unique_rate = F.coalesce(F.try_divide(stat["unique_count"], total), F.lit(0.0))
-    not_null = F.lit(0).cast("bigint") if spec.nullable else nulls
-    duplicates = total - stat["unique_count"] if spec.primary_key else F.lit(0).cast("bigint")
-    duplicates = F.coalesce(duplicates, F.lit(0))
-    hits = not_null + duplicates + stat["below"] + stat["above"] + stat["pattern"] + stat["allowed"]
-    score = F.when(total == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.try_divide(total - hits, total) * 100))
-    return F.struct(
-        F.lit(spec.name).alias("column_name"),
-        nulls.alias("null_count"),
-        null_rate.alias("null_rate"),
-        stat["unique_count"].alias("unique_count"),
-        unique_rate.alias("uniqueness_rate"),
-        stat["min_value"].alias("min_value"),
-        stat["max_value"].alias("max_value"),
-        stat["mean_value"].alias("mean_value"),
-        not_null.alias("not_null_violations"),
-        duplicates.alias("duplicate_count"),
-        stat["below"].alias("below_min"),
-        stat["above"].alias("above_max"),
-        stat["pattern"].alias("pattern_mismatches"),
-        stat["allowed"].alias("disallowed"),
-        hits.alias("violation_count"),
-        score.alias("quality_score"),
-    )
+def _column_report(spec: ColumnSpec) -> str:
+    s = f"stats.{quoted(spec.name)}"
+    nulls = f"(total_rows - {s}.filled)"
+    not_null = "0L" if spec.nullable else nulls
+    duplicates = f"COALESCE(total_rows - {s}.unique_count, 0L)" if spec.primary_key else "0L"
+    hits = f"({not_null} + {duplicates} + {s}.below + {s}.above + {s}.pattern + {s}.allowed)"
+    return _named({
+        "column_name": literal(spec.name),
+        "null_count": nulls,
+        "null_rate": f"COALESCE(try_divide({nulls}, total_rows), 0D)",
+        "unique_count": f"{s}.unique_count",
+        "uniqueness_rate": f"COALESCE(try_divide({s}.unique_count, total_rows), 0D)",
+        "min_value": f"{s}.min_value", "max_value": f"{s}.max_value", "mean_value": f"{s}.mean_value",
+        "not_null_violations": not_null,
+        "duplicate_count": duplicates,
+        "below_min": f"{s}.below", "above_max": f"{s}.above",
+        "pattern_mismatches": f"{s}.pattern", "disallowed": f"{s}.allowed",
+        "violation_count": hits,
+        "quality_score": f"COALESCE(GREATEST(0D, try_divide(total_rows - {hits}, total_rows) * 100), 0D)",
+    })
 
 
-def _constraint(kind: str, hit: Column, key: str, bound: int, total: Column) -> Column:
-    return F.when(
-        hit,
-        F.struct(
-            F.lit(kind).alias("type"), F.lit("error").alias("severity"),
-            F.format_string(fv.MSG[key], total, F.lit(int(bound))).alias("message"),
-            F.lit(int(bound)).cast("bigint").alias("expected"), total.alias("actual"),
-        ),
-    )
+def _constraint(kind: str, hit: str, key: str, bound: int) -> str:
+    found = _named({
+        "type": literal(kind), "severity": "'error'",
+        "message": f"format_string({literal(fv.MSG[key])}, total_rows, {int(bound)}L)",
+        "expected": f"{int(bound)}L", "actual": "total_rows",
+    })
+    return f"CASE WHEN total_rows {hit} {int(bound)} THEN {found} END"
 
 
 def profile(summary: DataFrame, contract: Contract) -> DataFrame:
@@ -270,69 +264,63 @@ def profile(summary: DataFrame, contract: Contract) -> DataFrame:
 
     A pure projection of ``summarise``: nothing is scanned or shuffled again.
     """
-    total = F.col("total_rows")
     if contract.error is not None:
-        report = summary.select("batch", "total_rows", "total_columns").withColumn(
-            "constraints",
-            F.array(F.struct(F.lit("CONTRACT_ERROR").alias("type"), F.lit("error").alias("severity"),
-                             F.format_string(fv.MSG["contract_error"], F.lit(contract.path)).alias("message"),
-                             F.lit(None).cast("bigint").alias("expected"),
-                             F.lit(None).cast("bigint").alias("actual"))),
-        )
-        return report.withColumn("overall_score", F.lit(100.0))
-    specs = {c.name: c for c in contract.columns}
+        broken = _named({"type": "'CONTRACT_ERROR'", "severity": "'error'",
+                         "message": literal(fv.MSG["contract_error"] % contract.path),
+                         "expected": "NULL", "actual": "NULL"})
+        return summary.selectExpr("batch", "total_rows", "total_columns",
+                                  f"{_array([broken], CONSTRAINT)} AS constraints", "100D AS overall_score")
     held = summary.schema["stats"].dataType
-    present = held.names if isinstance(held, T.StructType) else []
-    reports = [_column_report(specs[name], F.col("stats").getField(name), total) for name in present]
-    constraints = []
-    if contract.min_rows is not None:
-        constraints.append(_constraint("ROW_COUNT_BELOW_MIN", total < contract.min_rows, "row_count_below",
-                                       contract.min_rows, total))
-    if contract.max_rows is not None:
-        constraints.append(_constraint("ROW_COUNT_ABOVE_MAX", total > contract.max_rows, "row_count_above",
-                                       contract.max_rows, total))
-    constraint_type = "array<struct<type:string,severity:string,message:string,expected:bigint,actual:bigint>>"
-    checks = F.transform(
-        "check_counts",
-        lambda k: F.struct(
-            k["name"].alias("name"), k["severity"].alias("severity"),
-            (k["error"].isNull() & (k["violation_count"] == 0)).alias("passed"),
-            k["violation_count"].alias("violation_count"), total.alias("total_rows"),
-            F.round(F.coalesce(F.try_divide(k["violation_count"], total), F.lit(0.0)), 4).alias("violation_rate"),
-            k["sql"].alias("sql"), k["error"].alias("error"),
-        ),
-    )
-    out = summary.select(
+    present = set(held.names) if isinstance(held, T.StructType) else set()
+    reports = [_column_report(c) for c in contract.columns if c.name in present]
+    constraints = [
+        _constraint(kind, hit, key, bound)
+        for kind, hit, key, bound in (
+            ("ROW_COUNT_BELOW_MIN", "<", "row_count_below", contract.min_rows),
+            ("ROW_COUNT_ABOVE_MAX", ">", "row_count_above", contract.max_rows),
+        )
+        if bound is not None
+    ]
+    result = _named({
+        "name": "k.name", "severity": "k.severity",
+        "passed": "k.error IS NULL AND k.violation_count = 0",
+        "violation_count": "k.violation_count", "total_rows": "total_rows",
+        "violation_rate": "ROUND(COALESCE(try_divide(k.violation_count, total_rows), 0D), 4)",
+        "sql": "k.sql", "error": "k.error",
+    })
+    out = summary.selectExpr(
         "batch", "total_rows", "total_columns",
-        F.array(*reports).alias("columns") if reports else F.array().alias("columns"),
-        F.filter(F.array(*constraints).cast(constraint_type), lambda c: c.isNotNull()).alias("constraints"),
-        checks.alias("checks"),
+        f"{'array(' + ', '.join(reports) + ')' if reports else NO_REPORTS} AS columns",
+        f"array_compact({_array(constraints, CONSTRAINT)}) AS constraints",
+        f"transform(check_counts, k -> {result}) AS checks",
     )
     if not reports:
-        return out.withColumn("overall_score", F.lit(100.0))
-    scores = F.aggregate("columns", F.lit(0.0), lambda acc, c: acc + c["quality_score"]) / len(reports)
-    failed = F.size(F.filter("checks", lambda k: ~k["passed"]))
-    penalty = fv.CONSTRAINT_PENALTY * F.size("constraints") + fv.FAILED_CHECK_PENALTY * failed
-    return out.withColumn("overall_score", F.greatest(F.lit(0.0), scores - penalty))
+        return out.selectExpr("*", "100D AS overall_score")
+    score = (
+        f"aggregate(columns, 0D, (acc, c) -> acc + c.quality_score) / {len(reports)} "
+        f"- ({fv.CONSTRAINT_PENALTY}D * size(constraints) "
+        f"+ {fv.FAILED_CHECK_PENALTY}D * size(filter(checks, k -> NOT k.passed)))"
+    )
+    return out.selectExpr("*", f"GREATEST(0D, {score}) AS overall_score")
 
 
-def violation_texts(spec: ColumnSpec, report: Column, total: Column, samples: Column | None = None) -> Column:
+def _violation_texts(spec: ColumnSpec, samples: str) -> str:
     """The violations of one column report in words."""
-    rate = F.coalesce(F.try_divide(F.lit(100.0) * report["not_null_violations"], total), F.lit(0.0))
-    mismatch = F.coalesce(F.try_divide(F.lit(100.0) * report["pattern_mismatches"], total), F.lit(0.0))
-    shown = F.lit("[]") if samples is None else F.concat(F.lit("["), F.array_join(samples, ", "), F.lit("]"))
 
-    def text(key: str, count: str, *args: Column) -> Column:
-        return F.when(report[count] > 0, F.format_string(fv.MSG[key], report[count], *args))
+    def text(key: str, count: str, *args: str) -> str:
+        return f"CASE WHEN {count} > 0 THEN format_string({', '.join([literal(fv.MSG[key]), count, *args])}) END"
+
+    def rate(count: str) -> str:
+        return f"COALESCE(try_divide(100D * {count}, total_rows), 0D)"
 
-    return F.array_compact(F.array(
-        text("not_null", "not_null_violations", rate),
-        text("primary_key", "duplicate_count", report["uniqueness_rate"] * 100),
-        text("below_min", "below_min", F.lit(str(spec.min_value)), report["min_value"].cast("string")),
-        text("above_max", "above_max", F.lit(str(spec.max_value)), report["max_value"].cast("string")),
-        text("pattern", "pattern_mismatches", F.lit(spec.pattern or ""), mismatch),
-        text("allowed_values", "disallowed", F.lit(str(list(spec.allowed_values))), shown),
-    ))
+    return "array_compact(array(" + ", ".join([
+        text("not_null", "not_null_violations", rate("not_null_violations")),
+        text("primary_key", "duplicate_count", "uniqueness_rate * 100"),
+        text("below_min", "below_min", literal(str(spec.min_value)), "CAST(min_value AS STRING)"),
+        text("above_max", "above_max", literal(str(spec.max_value)), "CAST(max_value AS STRING)"),
+        text("pattern", "pattern_mismatches", literal(spec.pattern or ""), rate("pattern_mismatches")),
+        text("allowed_values", "disallowed", literal(str(list(spec.allowed_values))), samples),
+    ]) + "))"
 
 
 def column_profiles(profiles: DataFrame, digits: int = 4) -> DataFrame:
@@ -363,13 +351,13 @@ def sample_offenders(df: DataFrame, contract: Contract, batch: Column | str | No
     key = batch_of(batch).alias("batch")
     parts = []
     for spec in contract.columns:
-        mark = rules.not_allowed(spec, ref(spec.name), kinds[spec.name]) if spec.name in kinds else None
+        mark = rules.not_allowed(spec, quoted(spec.name), kinds[spec.name]) if spec.name in kinds else None
         if mark is not None:
             parts.append(df.where(mark).select(
                 key, F.lit(spec.name).alias("column_name"), ref(spec.name).cast("string").alias("value")
             ).distinct())
     if not parts:
-        return df.sparkSession.createDataFrame([], "batch string, column_name string, samples array<string>")
+        return small_frame(df.sparkSession, [], "batch string, column_name string, samples array<string>")
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -382,19 +370,18 @@ def sample_offenders(df: DataFrame, contract: Contract, batch: Column | str | No
 
 def violations(profiles: DataFrame, contract: Contract, samples: DataFrame | None = None) -> DataFrame:
     """Violation messages, one row per batch, column and violated rule."""
-    specs = {c.name: c for c in contract.columns}
     if samples is not None:
         by_batch = samples.groupBy("batch").agg(
             F.map_from_entries(F.collect_list(F.struct("column_name", "samples"))).alias("_samples")
         )
         profiles = profiles.join(by_batch, "batch", "left")
     held = profiles.select("batch", "total_rows", *([] if samples is None else ["_samples"]), F.inline("columns"))
-    report = F.struct(*[F.col(c) for c in held.columns])
-    texts = F.lit(None).cast("array<string>")
-    for name, spec in specs.items():
-        shown = None if samples is None else F.coalesce(F.col("_samples")[name], F.array().cast("array<string>"))
-        texts = F.when(F.col("column_name") == name, violation_texts(spec, report, F.col("total_rows"), shown)).otherwise(texts)
-    return held.select("batch", "column_name", F.explode(texts).alias("message"))
+    branches = [
+        f"WHEN {literal(c.name)} THEN " + _violation_texts(
+            c, "'[]'" if samples is None else f"concat('[', COALESCE(array_join(_samples[{literal(c.name)}], ', '), ''), ']')")
+        for c in contract.columns
+    ]
+    return held.selectExpr("batch", "column_name", f"explode(CASE column_name {' '.join(branches)} END) AS message")
 
 
 def metric_rows(summary: DataFrame) -> DataFrame:
@@ -440,8 +427,8 @@ def freshness_outcomes(df: DataFrame, contract: Contract, as_of: datetime,
     """Latest value of each declared timestamp column against the allowed age."""
     fresh = [c.name for c in contract.columns if c.data_type == "timestamp" and c.name in df.columns]
     if not fresh:
-        return df.sparkSession.createDataFrame(
-            [], "batch string, column_name string, latest timestamp, age_minutes bigint, passed boolean")
+        return small_frame(
+            df.sparkSession, [], "batch string, column_name string, latest timestamp, age_minutes bigint, passed boolean")
     keyed = df.groupBy(batch_of(batch).alias("batch"))
     latest = keyed.agg(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.max(ref(c)).cast("timestamp").alias("latest")) for c in fresh

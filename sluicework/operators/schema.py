@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from sluicework import fixed_values as fv
 from sluicework.contracts import Contract, declared_columns
 from sluicework.functions.types import accepted, shown
+from sluicework.session import small_frame
 
 ISSUE_COLUMNS = ["dataset", "severity", "column_name", "issue_type", "message", "expected", "actual"]
 
@@ -20,8 +21,8 @@ def observed_columns(spark: SparkSession, schemas: Mapping[str, T.StructType]) -
         for dataset, schema in schemas.items()
         for f in schema.fields
     ]
-    return spark.createDataFrame(
-        rows, "dataset string, observed_name string, observed_type string, accepted array<string>"
+    return small_frame(
+        spark, rows, "dataset string, observed_name string, observed_type string, accepted array<string>"
     )
 
 

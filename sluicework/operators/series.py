@@ -17,111 +17,97 @@ SLOT_SECONDS = 86400
 BLOCK_ROWS = 8192
 
 
-def _slot(order: str, seconds: int) -> Column:
+def slot(order: str, seconds: int) -> Column:
+    """Number of the stretch of time a row falls in."""
     return F.floor(F.unix_micros(F.col(order).cast("timestamp")) / F.lit(seconds * 1_000_000))
 
 
-def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join rows with their slot's totals; a slot holds a bounded stretch of one series."""
-    a, b = left.alias("a"), right.alias("b")
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
-    return a.join(b, condition).select(
-        *[F.col(f"a.`{c}`") for c in left.columns], *[F.col(f"b.`{c}`") for c in right.columns if c not in keys]
+def _carried(totals: DataFrame, keys: Sequence[str], season: str) -> DataFrame:
+    """Per slot: rows of the series before it, and count, sums and range of its season before it.
+
+    Sums are of distances from a centre of the season, which keeps the variance
+    accurate for large values.
+    """
+    same = Window.partitionBy(*keys, season)
+    earlier = same.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_slot").rangeBetween(Window.unboundedPreceding, -1)
+    centred = totals.withColumns({
+        "_before": F.coalesce(F.sum("_rows").over(before), F.lit(0)),
+        "_c": F.try_divide(F.sum(F.col("_n") * F.col("_m")).over(same), F.sum("_n").over(same)),
+    }).withColumns({"_s": F.expr("_n * (_m - _c)"), "_q": F.expr("_n * (_v + (_m - _c) * (_m - _c))")})
+    return centred.select(
+        *keys, season, "_slot", "_c", "_before",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"),
+        F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_s0"),
+        F.coalesce(F.sum("_q").over(earlier), F.lit(0.0)).alias("_q0"),
+        F.min("_lo").over(earlier).alias("_lo0"),
+        F.max("_hi").over(earlier).alias("_hi0"),
     )
 
 
-def preceding(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, prefix: str,
-              slot_seconds: int = SLOT_SECONDS) -> DataFrame:
-    """Add ``{prefix}_n, {prefix}_mean, {prefix}_std`` of all earlier rows of the same key.
+def placed(df: DataFrame, keys: Sequence[str], season: str, order: Sequence[str], value: str,
+           slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """Add each row's ``_position`` in its series and ``seasonal_n, seasonal_mean, seasonal_std`` of its
+    season's earlier rows.
 
-    ``order[0]`` is the timestamp, the rest break ties. Sums are taken as distances from
-    a centre of the series, which keeps the variance accurate for large values.
+    ``order[0]`` is the timestamp, the rest break ties; keys and season must not be null.
+    Rows are shuffled twice by (series, slot), never by series alone.
     """
     keys = list(keys)
-    rows = df.withColumn("_slot", _slot(order[0], slot_seconds))
-    totals = rows.groupBy(*keys, "_slot").agg(
-        F.count(value).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v"),
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+    rows = df.withColumn("_slot", slot(order[0], slot_seconds))
+    totals = rows.groupBy(*keys, season, "_slot").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count(value).alias("_n"), F.avg(value).alias("_m"),
+        F.var_pop(value).alias("_v"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),
     )
-    series = Window.partitionBy(*keys)
-    centred = totals.withColumn("_c", F.try_divide(
-        F.sum(F.col("_n") * F.col("_m")).over(series), F.sum("_n").over(series)))
-    off = F.col("_m") - F.col("_c")
-    earlier = series.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = centred.select(
-        *keys, "_slot", "_c",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"),
-        F.coalesce(F.sum(F.col("_n") * off).over(earlier), F.lit(0.0)).alias("_s0"),
-        F.coalesce(F.sum(F.col("_n") * (F.col("_v") + off * off)).over(earlier), F.lit(0.0)).alias("_q0"),
-        F.min("_lo").over(earlier).alias("_lo0"),
-        F.max("_hi").over(earlier).alias("_hi0"),
-    )
-    inside = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_slot").orderBy(*order)
+    ranked = rows.withColumn("_in_slot", F.row_number().over(inside))
+    joined = ranked.join(_carried(totals, keys, season), [*keys, season, "_slot"])
+    earlier = Window.partitionBy(*keys, season, "_slot").orderBy("_in_slot").rowsBetween(Window.unboundedPreceding, -1)
     d = F.col(value) - F.col("_c")
-    n = F.col("_n0") + F.count(value).over(inside)
-    s = F.col("_s0") + F.coalesce(F.sum(d).over(inside), F.lit(0.0))
-    q = F.col("_q0") + F.coalesce(F.sum(d * d).over(inside), F.lit(0.0))
-    low = F.least(F.col("_lo0"), F.min(value).over(inside))
-    high = F.greatest(F.col("_hi0"), F.max(value).over(inside))
-    summed = _match(rows, carried, [*keys, "_slot"]).withColumns(
-        {"_n1": n, "_s1": s, "_q1": q, "_lo1": low, "_hi1": high}
+    summed = joined.withColumns({
+        "_position": F.col("_before") + F.col("_in_slot"),
+        "_n1": F.col("_n0") + F.count(value).over(earlier),
+        "_s1": F.col("_s0") + F.coalesce(F.sum(d).over(earlier), F.lit(0.0)),
+        "_q1": F.col("_q0") + F.coalesce(F.sum(d * d).over(earlier), F.lit(0.0)),
+        "_lo1": F.least(F.col("_lo0"), F.min(value).over(earlier)),
+        "_hi1": F.greatest(F.col("_hi0"), F.max(value).over(earlier)),
+    })
+    mean = F.expr("_c + try_divide(_s1, _n1)")
+    std = F.expr("sqrt(try_divide(greatest(0D, _q1 - try_divide(_s1 * _s1, _n1)), _n1 - 1))")
+    low, high = F.col("_lo1"), F.col("_hi1")
+    return summed.select(
+        *df.columns, "_position", F.col("_n1").alias("seasonal_n"),
+        steady_mean(mean, low, high).alias("seasonal_mean"),
+        F.when(F.col("_n1") > 0, steady_std(std, low, high)).alias("seasonal_std"),
     )
-    mean = F.col("_c") + F.try_divide("_s1", "_n1")
-    spread = F.greatest(F.lit(0.0), F.col("_q1") - F.try_divide(F.col("_s1") * F.col("_s1"), F.col("_n1")))
-    std = F.sqrt(F.try_divide(spread, F.col("_n1") - 1))
-    return summed.withColumns({
-        f"{prefix}_n": F.col("_n1"),
-        f"{prefix}_mean": steady_mean(mean, F.col("_lo1"), F.col("_hi1")),
-        f"{prefix}_std": F.when(F.col("_n1") > 0, steady_std(std, F.col("_lo1"), F.col("_hi1"))),
-    }).select(*df.columns, f"{prefix}_n", f"{prefix}_mean", f"{prefix}_std")
-
-
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "_position",
-             slot_seconds: int = SLOT_SECONDS) -> DataFrame:
-    """Add the position of each row in its series, counted from 1."""
-    keys = list(keys)
-    rows = df.withColumn("_slot", _slot(order[0], slot_seconds))
-    sizes = rows.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sizes.select(*keys, "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"))
-    inside = Window.partitionBy(*keys, "_slot").orderBy(*order)
-    return _match(rows, carried, [*keys, "_slot"]).withColumn(
-        name, F.col("_n0") + F.row_number().over(inside)
-    ).select(*df.columns, name)
 
 
-def trailing(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, size: int, prefix: str,
-             slot_seconds: int = SLOT_SECONDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``{prefix}_n, {prefix}_mean, {prefix}_std`` of the ``size`` rows just before each row.
+def trailing(placed_rows: DataFrame, keys: Sequence[str], value: str, size: int,
+             block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Replace ``_position`` by ``global_n, global_mean, global_std`` of the ``size`` rows just before each row.
 
     Positions are cut into blocks of fixed length; the last ``size`` rows of a block
     are handed to the next one as context, so every frame is complete inside its block.
     """
-    keys = list(keys)
     if block_rows < size:
         raise ValueError("a block must hold a whole frame")
-    placed = numbered(df, keys, order, "_position", slot_seconds)
-    at = F.col("_position") - 1
-    home = F.floor(at / F.lit(block_rows))
-    lends = F.pmod(at, F.lit(block_rows)) >= block_rows - size
-    blocks = F.when(lends, F.array(home, home + 1)).otherwise(F.array(home))
-    copies = placed.withColumn("_home", home).withColumn("_block", F.explode(blocks))
+    home = f"(_position - 1) DIV {block_rows}"
+    lends = f"(_position - 1) % {block_rows} >= {block_rows - size}"
+    copies = placed_rows.withColumns({
+        "_home": F.expr(home),
+        "_block": F.expr(f"explode(CASE WHEN {lends} THEN array({home}, {home} + 1) ELSE array({home}) END)"),
+    })
     frame = Window.partitionBy(*keys, "_block").orderBy("_position").rowsBetween(-size, -1)
-    low, high = F.min(value).over(frame), F.max(value).over(frame)
-    return (
-        copies.withColumns({
-            f"{prefix}_n": F.count(value).over(frame),
-            "_mean": F.avg(value).over(frame), "_std": F.stddev_samp(value).over(frame),
-            "_lo": low, "_hi": high,
-        })
-        .where(F.col("_block") == F.col("_home"))
-        .withColumns({
-            f"{prefix}_mean": steady_mean(F.col("_mean"), F.col("_lo"), F.col("_hi")),
-            f"{prefix}_std": F.when(F.col(f"{prefix}_n") > 0, steady_std(F.col("_std"), F.col("_lo"), F.col("_hi"))),
-        })
-        .select(*df.columns, f"{prefix}_n", f"{prefix}_mean", f"{prefix}_std")
+    framed = copies.withColumns({
+        "global_n": F.count(value).over(frame),
+        "_mean": F.avg(value).over(frame), "_std": F.stddev_samp(value).over(frame),
+        "_lo": F.min(value).over(frame), "_hi": F.max(value).over(frame),
+    }).where("_block = _home")
+    low, high = F.col("_lo"), F.col("_hi")
+    kept = [c for c in placed_rows.columns if c != "_position"]
+    return framed.select(
+        *kept, "global_n", steady_mean(F.col("_mean"), low, high).alias("global_mean"),
+        F.when(F.col("global_n") > 0, steady_std(F.col("_std"), low, high)).alias("global_std"),
     )
 
 

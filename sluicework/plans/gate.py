@@ -17,7 +17,7 @@ from sluicework.functions.rules import at_time
 from sluicework.operators import alerts as A, anomaly, lineage as L
 from sluicework.plans import reports
 from sluicework.plans.judge import judge
-from sluicework.session import durable
+from sluicework.session import durable, small_frame
 from sluicework.sources import landing, readers, sinks
 from sluicework.sources.store import Store
 
@@ -57,10 +57,10 @@ class Gate:
     def root_cause(self, dataset: str) -> str:
         """Why a load to the warehouse may fail now, from the upstreams' health."""
         if self.health is None:
-            health = self.spark.createDataFrame([], "upstream string, timestamp timestamp, status string, details string")
+            health = small_frame(self.spark, [], "upstream string, timestamp timestamp, status string, details string")
         else:
             health = self.health
-        one = self.spark.createDataFrame([(dataset,)], "dataset string")
+        one = small_frame(self.spark, [(dataset,)], "dataset string")
         return L.root_cause(one, self.upstreams, health).first()["root_cause"]
 
     def evaluate(self, df: DataFrame, contract: Contract, *, batch: Column | str | None = None,
@@ -70,12 +70,11 @@ class Gate:
         started = time.time()
         as_of = as_of or datetime.now()
         name = contract.dataset
-        impact = self.impact(self.spark.createDataFrame([(name,)], "dataset string"))
+        impact = self.impact(small_frame(self.spark, [(name,)], "dataset string"))
         args = dict(batch=batch, at=at, as_of=as_of, against=against, columnar=columnar)
         history = self.store.read("metric_history", name)
         verdicts, scored, found = self._judged(df, contract, history, impact, args)
-        # Recording appends to the history being read, so both results are fixed first.
-        verdicts, scored = durable(verdicts), durable(scored)
+        verdicts = durable(verdicts)  # recording appends to the history being read, so the result is fixed first
         if take_action:
             verdicts = durable(self._act(df, verdicts, contract, batch, as_of, found))
         self._record(verdicts, scored, contract, as_of, mtime, int((time.time() - started) * 1000))
@@ -199,8 +198,8 @@ class Gate:
         return self.evaluate(df, contract, columnar=kind in readers.COLUMNAR, mtime=row["m"], **args)
 
     def unjudged(self, dataset: str, status: str, reason: str, actions: list[str]) -> DataFrame:
-        return self.spark.createDataFrame(
-            [(dataset, status, reason, actions)], "dataset string, status string, reason string, actions array<string>")
+        return small_frame(
+            self.spark, [(dataset, status, reason, actions)], "dataset string, status string, reason string, actions array<string>")
 
     def evaluate_all(self, contracts: list[Contract], paths: Mapping[str, str], *, skip_unchanged: bool = False,
                      parallel: int = 4, **args: Any) -> tuple[DataFrame, DataFrame]:
@@ -231,7 +230,7 @@ class Gate:
 
         with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
             outcomes = list(pool.map(one, contracts))
-        results = self.spark.createDataFrame(outcomes, "dataset string, status string, reason string")
+        results = small_frame(self.spark, outcomes, "dataset string, status string, reason string")
         return results, reports.summary_counts(results)
 
     def process(self, df: DataFrame, contract: Contract, as_of: datetime, **args: Any) -> dict:

@@ -10,7 +10,7 @@ from sluicework.contracts import Contract
 from sluicework.functions.verdict import with_verdict
 from sluicework.operators import anomaly, profile as P
 from sluicework.operators.schema import diff_of
-from sluicework.session import durable
+from sluicework.session import durable, small_frame
 
 
 def schema_gate(df: DataFrame, contract: Contract) -> dict:
@@ -77,8 +77,8 @@ def judge(df: DataFrame, contract: Contract, history: DataFrame, impact: DataFra
 
     ``at`` gives the time of a batch from its key (default: ``as_of`` or now). A schema
     violation ends the evaluation before any data is read, unless batches must be listed.
-    The one-row-per-batch summary is kept in the shared folder, so the data is scanned
-    once whatever is derived from it.
+    The one-row-per-batch summary and the scored metrics are kept in the shared folder, so
+    the data is scanned once whatever is derived from them.
     """
     moment = at if at is not None else F.lit(as_of or datetime.now())
     found = schema_gate(df, contract)
@@ -89,11 +89,11 @@ def judge(df: DataFrame, contract: Contract, history: DataFrame, impact: DataFra
             df.select(P.batch_of(batch).alias("batch")).distinct())
         bare = keys.select("batch", run_id(contract.dataset, moment).alias("run_id"), moment.alias("timestamp"),
                            F.lit(None).cast("double").alias("quality_score"))
-        none = spark.createDataFrame([], "run_id string, anomaly_count bigint, max_z double")
-        scored = spark.createDataFrame([], anomaly_schema())
+        none = small_frame(spark, [], "run_id string, anomaly_count bigint, max_z double")
+        scored = small_frame(spark, [], anomaly_schema())
         return combine(bare, none, contract, impact, missing, mismatches), scored, found
     summary = durable(P.summarise(df, contract, batch, as_of=as_of, columnar=columnar))
-    scored = scored_metrics(summary, contract.dataset, history, moment, against, anomaly_z)
+    scored = durable(scored_metrics(summary, contract.dataset, history, moment, against, anomaly_z))
     profiles = P.profile(summary, contract)
     kept = [c for c in ("columns", "constraints", "checks") if c in profiles.columns]
     scores = profiles.select(

@@ -11,6 +11,7 @@ from sluicework.contracts import Contract
 from sluicework.operators import lineage as L
 from sluicework.operators.joins import lookup_join
 from sluicework.operators.series import latest
+from sluicework.session import small_frame
 
 NEWEST = ["timestamp", "run_id"]
 
@@ -164,7 +165,7 @@ def catalogue(spark: SparkSession, contracts: list[Contract], consumers: DataFra
          k.info.get("domain", "Unknown"), str(k.info.get("version", "0.0.0")), k.error)
         for k in contracts
     ]
-    listed = spark.createDataFrame(rows, CATALOGUE)
+    listed = small_frame(spark, rows, CATALOGUE)
     known = L.impact(listed, consumers)
     return known.withColumn(
         "criticality", F.when(F.col("lifecycle") == "error", "UNKNOWN").otherwise(F.col("criticality")))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, name: str = "sluicework") -> SparkSession:
@@ -40,8 +44,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table written to the shared folder.
+
+    Written once and read back column by column, where a checkpoint would compute the
+    last stage twice. It outlives any executor; expiring it is left to the folder's owner.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/sluicework/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Configuration rows as a local relation: planned without a scan or Python workers."""
+    kinds = T.DataType.fromDDL(schema)
+    columns = to_arrow_schema(kinds)
+    arrays = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(columns)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=columns), schema=kinds)

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sluicework import fixed_values as fv
+from sluicework.session import small_frame
 
 FILE_SCHEMA = "path string, modified timestamp, mtime double, size bigint"
 
@@ -20,7 +21,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Data
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" not in str(exc):
             raise
-        return spark.createDataFrame([], FILE_SCHEMA)
+        return small_frame(spark, [], FILE_SCHEMA)
     return found.select(
         "path", F.col("modificationTime").alias("modified"),
         (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from sluicework.session import small_frame
 
 SCHEMAS = {
     "metric_history": "run_id string, timestamp timestamp, dataset_name string, metric_name string, "
@@ -62,19 +63,19 @@ class Store:
         return f"{self.root}/{table}"
 
     def append(self, table: str, rows: DataFrame) -> None:
-        schema = T._parse_datatype_string(SCHEMAS[table])
+        schema = T.DataType.fromDDL(SCHEMAS[table])
         typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
         typed.write.mode("append").partitionBy("dataset_name").parquet(self.path(table))
 
     def read(self, table: str, dataset: str | None = None) -> DataFrame:
         """The table as appended; a dataset name prunes to its folder."""
-        schema = T._parse_datatype_string(SCHEMAS[table])
+        schema = T.DataType.fromDDL(SCHEMAS[table])
         try:
             rows = self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
-            rows = self.spark.createDataFrame([], schema)  # nothing appended yet
+            rows = small_frame(self.spark, [], SCHEMAS[table])  # nothing appended yet
         return rows if dataset is None else rows.where(F.col("dataset_name") == dataset)
 
     def baselines(self) -> DataFrame:

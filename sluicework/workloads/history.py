@@ -53,13 +53,13 @@ def global_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("anomaly_scores", f"""WITH {REPLAY_SQL}
-SELECT run_id, dataset_name, metric_name, ROUND(metric_value, 4) AS metric_value, baseline_type,
-  ROUND(baseline_mean, 4) AS baseline_mean, ROUND(baseline_std, 4) AS baseline_std, ROUND(z, 4) AS z_score, abs(z) > 3.0 AS is_anomaly
+SELECT run_id, dataset_name, metric_name, baseline_type,
+  ROUND(COALESCE(baseline_std / NULLIF(baseline_mean, 0), 0.0), 6) AS spread, ROUND(z, 4) AS z_score, abs(z) > 3.0 AS is_anomaly
 FROM scored""")
 def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.replay(shipping_history(spark, sf_dir)).select(
-        "run_id", "dataset_name", "metric_name", F.round("metric_value", 4).alias("metric_value"), "baseline_type",
-        F.round("baseline_mean", 4).alias("baseline_mean"), F.round("baseline_std", 4).alias("baseline_std"),
+        "run_id", "dataset_name", "metric_name", "baseline_type",
+        F.round(F.coalesce(F.try_divide("baseline_std", "baseline_mean"), F.lit(0.0)), 6).alias("spread"),
         F.round("z_score", 4).alias("z_score"), "is_anomaly")
 
 
@@ -105,12 +105,14 @@ def evaluate_against_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _band_rows(df: DataFrame) -> DataFrame:
-    return df.select("dataset_name", "run_id", *[F.round(c, 4).alias(c) for c in ("value", "mean", "lower", "upper")])
+    outside = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
+    return df.select("dataset_name", "run_id", outside.alias("outside"), F.round(F.col("value") / F.col("mean"), 6).alias("ratio"),
+                     *[F.round(c, 4).alias(c) for c in ("mean", "lower", "upper")])
 
 
 @query("control_band", f"""WITH {SHIPPING_SQL},
 c AS (SELECT dataset_name, AVG(metric_value) AS m, STDDEV_SAMP(metric_value) AS sd FROM history WHERE metric_name = 'row_count' GROUP BY 1)
-SELECT dataset_name, run_id, metric_value AS value, ROUND(m, 4) AS mean, ROUND(m - 3 * sd, 4) AS lower, ROUND(m + 3 * sd, 4) AS upper
+SELECT dataset_name, run_id, metric_value < m - 3 * sd OR metric_value > m + 3 * sd AS outside, ROUND(metric_value / m, 6) AS ratio, ROUND(m, 4) AS mean, ROUND(m - 3 * sd, 4) AS lower, ROUND(m + 3 * sd, 4) AS upper
 FROM history JOIN c USING (dataset_name) WHERE metric_name = 'row_count'""")
 def control_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _band_rows(anomaly.control_band(shipping_history(spark, sf_dir)))
@@ -120,7 +122,7 @@ def control_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 old AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset_name ORDER BY ts, run_id) AS r FROM history
   WHERE metric_name = 'mean_l_extendedprice') WHERE r <= 100),
 c AS (SELECT dataset_name, AVG(metric_value) AS m, STDDEV_SAMP(metric_value) AS sd FROM old GROUP BY 1)
-SELECT dataset_name, run_id, ROUND(metric_value, 4) AS value, ROUND(m, 4) AS mean, ROUND(m - 2 * sd, 4) AS lower, ROUND(m + 2 * sd, 4) AS upper
+SELECT dataset_name, run_id, metric_value < m - 2 * sd OR metric_value > m + 2 * sd AS outside, ROUND(metric_value / m, 6) AS ratio, ROUND(m, 4) AS mean, ROUND(m - 2 * sd, 4) AS lower, ROUND(m + 2 * sd, 4) AS upper
 FROM old JOIN c USING (dataset_name)""")
 def drift_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _band_rows(anomaly.drift_band(shipping_history(spark, sf_dir), "mean_l_extendedprice"))

@@ -89,9 +89,9 @@ def schema_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("schema_diff", f"""WITH {_SCHEMA_SQL}
 SELECT c.dataset,
-  COALESCE(string_agg(column_name, ',' ORDER BY column_name) FILTER (WHERE outcome = 'missing_column'), '') AS missing_columns,
+  COALESCE(string_agg(c.column_name, ',' ORDER BY c.column_name) FILTER (WHERE outcome = 'missing_column'), '') AS missing_columns,
   COALESCE(string_agg(observed_name, ',' ORDER BY observed_name) FILTER (WHERE outcome = 'unexpected_column'), '') AS new_columns,
-  COALESCE(string_agg(column_name || ':' || declared_type || ':' || observed_type, ',' ORDER BY column_name)
+  COALESCE(string_agg(c.column_name || ':' || declared_type || ':' || observed_type, ',' ORDER BY c.column_name)
            FILTER (WHERE outcome = 'type_mismatch'), '') AS type_mismatches,
   COUNT(*) FILTER (WHERE outcome = 'ok') + MAX(CASE WHEN duplicate_count = 0 THEN 1 ELSE 0 END) AS passed_checks,
   CASE WHEN COUNT(*) FILTER (WHERE outcome IN ('missing_column', 'type_mismatch')) > 0 THEN 'BLOCKED' ELSE 'PASSED' END AS gate

@@ -118,12 +118,12 @@ def _registry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REGISTRY_SQL = """
 ev AS (
   SELECT 'customer_' || o_custkey AS dataset_name, 'contracts/' || o_custkey AS contract_path, substr(o_orderpriority, 3, 20) AS criticality,
-    o_orderdate + to_seconds(o_orderkey % 86400) AS at, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS st,
+    o_orderdate + to_seconds(o_orderkey % 86400) AS seen, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS st,
     CASE WHEN o_totalprice > 100000 THEN floor(o_totalprice) END AS mt FROM orders),
 registry AS (
-  SELECT dataset_name, MAX(contract_path) AS contract_path, FIRST(criticality ORDER BY at DESC, criticality DESC) AS criticality,
-    strftime(MAX(at), '%Y-%m-%d %H:%M:%S') AS last_scanned, FIRST(st ORDER BY at DESC, st DESC) FILTER (WHERE st IS NOT NULL) AS last_status,
-    FIRST(mt ORDER BY at DESC, mt DESC) FILTER (WHERE mt IS NOT NULL) AS last_file_mtime, COUNT(*) AS scan_count
+  SELECT dataset_name, MAX(contract_path) AS contract_path, FIRST(criticality ORDER BY seen DESC, criticality DESC) AS criticality,
+    strftime(MAX(seen), '%Y-%m-%d %H:%M:%S') AS last_scanned, FIRST(st ORDER BY seen DESC, st DESC) FILTER (WHERE st IS NOT NULL) AS last_status,
+    FIRST(mt ORDER BY seen DESC, mt DESC) FILTER (WHERE mt IS NOT NULL) AS last_file_mtime, COUNT(*) AS scan_count
   FROM ev GROUP BY 1)
 """
 

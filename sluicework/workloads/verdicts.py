@@ -12,6 +12,7 @@ from sluicework.sources.store import SCHEMAS
 from sluicework.workloads.common import (
     AS_OF, AS_OF_SQL, CONSUMERS_SQL, ORDERS, part_consumers, part_owners, parts, query, table,
 )
+from sluicework.session import small_frame
 
 _IMPACT_SQL = CONSUMERS_SQL + """,
 owned AS (SELECT 'part_' || p_partkey AS dataset, p_brand AS owner FROM part WHERE p_size > 5),
@@ -228,8 +229,8 @@ judged AS (
 def order_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every day of orders judged in one go, each against the days before it."""
     consumers, _, owners = L.edges(spark, LINEAGE)
-    dataset = spark.createDataFrame([("orders",)], "dataset string")
-    history = spark.createDataFrame([], SCHEMAS["metric_history"])
+    dataset = small_frame(spark, [("orders",)], "dataset string")
+    history = small_frame(spark, [], SCHEMAS["metric_history"])
     verdicts, _, _ = judge(
         table(spark, sf_dir, "orders"), ORDERS, history, L.impact(dataset, consumers, owners),
         batch=F.to_date("o_orderdate"), at=F.to_timestamp("batch"), as_of=AS_OF, against="earlier")
