@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 from typing import Sequence
 
 import pyarrow as pa
@@ -38,9 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    fallback = tempfile.mkdtemp(prefix="sluicework-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="sluicework-")
 
 
 def durable(df: DataFrame) -> DataFrame:
