@@ -107,8 +107,7 @@ class Gate:
         stamp = as_of.strftime("%Y%m%d_%H%M%S")
         blocked = tally.get("BLOCKED", 0)
         good = F.col("status") != "BLOCKED"
-        outcome = F.when(good, "LOADED").otherwise(F.col("load_status"))
-        acted = verdicts
+        acted = verdicts.withColumn("load_status", F.when(good, "LOADED").otherwise(F.col("load_status")))
         if sum(tally.values()) > blocked:
             try:
                 self._load(rows.where(good).drop("status"), name)
@@ -116,8 +115,8 @@ class Gate:
                 status, state = sinks.load_failure(str(exc))
                 note = (fv.MSG["infra_note"] % self.root_cause(name) if status == "WARNING"
                         else fv.MSG["load_failed_note"] % str(exc).splitlines()[0])
-                outcome = F.when(good, state.splitlines()[0]).otherwise(F.col("load_status"))
                 acted = verdicts.withColumns({
+                    "load_status": F.when(good, state.splitlines()[0]).otherwise(F.col("load_status")),
                     "reason": F.when(good, F.concat("reason", F.lit(note))).otherwise(F.col("reason")),
                     "status": F.when(good, status).otherwise(F.col("status")),
                 })
@@ -126,7 +125,7 @@ class Gate:
             held = verdicts.where(~good)
             self.store.append("quarantine_reports", self._reports(held, name, f"quarantine/{name}/ts={stamp}",
                                                                   "QUARANTINED", as_of, found))
-        return acted.withColumn("load_status", outcome)
+        return acted
 
     def stage(self, df: DataFrame, verdicts: DataFrame, contract: Contract, as_of: datetime,
               batch: Column | str | None = None) -> str:
