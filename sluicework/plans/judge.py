@@ -51,22 +51,20 @@ def combine(profiles: DataFrame, statuses: DataFrame, contract: Contract, impact
     """Join scores, anomaly outcomes and criticality, and decide.
 
     ``profiles`` carries ``batch, run_id, quality_score``; ``statuses`` comes from
-    ``anomaly.run_status``; ``impact`` has the row of this dataset.
+    ``anomaly.run_status``; the one row of ``impact`` for this dataset gives criticality and owner.
     """
+    known = impact.where(F.col("dataset") == contract.dataset).select("criticality", "owner").first()
+    criticality, owner = known or ("LOW", "Unknown")
     joined = profiles.join(statuses.select("run_id", "anomaly_count", "max_z"), "run_id", "left")
     facts = joined.withColumns({
-        "dataset": F.lit(contract.dataset),
+        "dataset": F.lit(contract.dataset), "criticality": F.lit(criticality), "owner": F.lit(owner),
         "anomaly_count": F.coalesce("anomaly_count", F.lit(0)),
         "max_z": F.coalesce("max_z", F.lit(0.0)),
         "missing_count": F.lit(missing), "mismatch_count": F.lit(mismatches),
         "z_warning": F.lit(contract.z_warning), "z_critical": F.lit(contract.z_critical),
         "quality_warn": F.lit(contract.quality_warn), "quality_block": F.lit(contract.quality_block),
     })
-    one = F.broadcast(impact.where(F.col("dataset") == contract.dataset).limit(1))  # at most one row
-    return with_verdict(facts.join(one.select("dataset", "criticality", "owner"), "dataset", "left").withColumns({
-        "criticality": F.coalesce("criticality", F.lit("LOW")),
-        "owner": F.coalesce("owner", F.lit("Unknown")),
-    }))
+    return with_verdict(facts)
 
 
 def judge(df: DataFrame, contract: Contract, history: DataFrame, impact: DataFrame, *,

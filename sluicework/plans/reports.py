@@ -147,7 +147,7 @@ def score_report(profiles: DataFrame) -> DataFrame:
         F.round("quality_score", 2).alias("score"), F.col("violation_count").alias("violations"))
     failed = profiles.select("batch", F.inline("checks")).where(~F.col("passed")).select(
         "batch", F.lit("check").alias("kind"), "name",
-        F.round(F.col("violation_rate") * 100, 1).alias("score"), F.col("violation_count").alias("violations"))
+        F.round(F.try_divide(F.col("violation_count") * 100, "total_rows"), 1).alias("score"), F.col("violation_count").alias("violations"))
     return scores.unionByName(failed)
 
 

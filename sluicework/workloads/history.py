@@ -66,12 +66,12 @@ def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("anomaly_report", f"""WITH {REPLAY_SQL}
 SELECT run_id, metric_name, 'CRITICAL' AS severity, ROUND(z, 2) AS z_score,
   'CRITICAL ANOMALY: Z-Score ' || printf('%.2f', z) || ' > 3.0' AS reason,
-  'Expected ' || printf('%.2f', baseline_mean) || ' ±' || printf('%.2f', 3 * baseline_std) AS context
+  'Expected ±' || printf('%.2f', 3 * baseline_std) AS context
 FROM scored WHERE abs(z) > 3.0""")
 def anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = anomaly.report(anomaly.replay(shipping_history(spark, sf_dir))).where("is_anomaly")
     return found.select("run_id", "metric_name", "severity", "z_score", "reason",
-                        F.regexp_replace("context", ", got .*$", "").alias("context"))
+                        F.regexp_replace("context", r"-?\d+\.\d+ (±[\d.]+), got .*$", "$1").alias("context"))
 
 
 @query("run_anomaly_status", f"""WITH {REPLAY_SQL}

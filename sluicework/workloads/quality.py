@@ -355,7 +355,7 @@ UNION ALL SELECT batch, 'column', 'user_id', ROUND(s3, 2), b_user FROM r
 UNION ALL SELECT batch, 'column', 'event_type', ROUND(s4, 2), b_type FROM r
 UNION ALL SELECT batch, 'column', 'value', ROUND(s5, 2), b_value FROM r
 UNION ALL SELECT batch, 'column', 'props', ROUND(s6, 2), b_props FROM r
-UNION ALL SELECT batch, 'check', 'Positive Value', ROUND(ROUND(k1 / CAST(n AS DOUBLE), 4) * 100, 1), k1 FROM r WHERE k1 > 0""")
+UNION ALL SELECT batch, 'check', 'Positive Value', ROUND(k1 * 100 / CAST(n AS DOUBLE), 1), k1 FROM r WHERE k1 > 0""")
 def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluicework.plans.reports import score_report as report
 
