@@ -23,10 +23,26 @@ from sluicework.session import small_frame
 WHOLE = "all"
 
 
-def batch_of(batch: Column | str | None) -> Column:
-    if batch is None:
-        return F.lit(WHOLE)
-    return (ref(batch) if isinstance(batch, str) else batch).cast("string")
+Batch = Column | str | Sequence[Column | str] | None
+
+
+def _keys(batch: Batch) -> list[Column]:
+    parts = [] if batch is None else [batch] if isinstance(batch, (Column, str)) else list(batch)
+    return [ref(p) if isinstance(p, str) else p for p in parts]
+
+
+def batch_of(batch: Batch) -> Column:
+    """The batch key of a row as text; several columns are joined by ``|``."""
+    keys = [k.cast("string") for k in _keys(batch)]
+    return F.lit(WHOLE) if not keys else keys[0] if len(keys) == 1 else F.concat_ws("|", *keys)
+
+
+def by_batch(df: DataFrame, batch: Batch, aggs: Sequence[Column], extra: Sequence[str] = ()) -> DataFrame:
+    """Group by the batch key in its own types; it becomes text only on the result rows."""
+    keys = [k.alias(f"_b{i}") for i, k in enumerate(_keys(batch))]
+    grouped = df.groupBy(*keys, *extra).agg(*aggs)
+    names = [f"_b{i}" for i in range(len(keys))]
+    return grouped.select(batch_of(names or None).alias("batch"), *[F.col(c) for c in grouped.columns if c not in names])
 
 
 def fold_nan(df: DataFrame) -> DataFrame:
@@ -35,7 +51,7 @@ def fold_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(ref(c)), ref(c)) for c in floats}) if floats else df
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str], batch: Column | str | None = None,
+def distinct_counts(df: DataFrame, columns: Sequence[str], batch: Batch = None,
                     columnar: bool = True) -> DataFrame:
     """Exact distinct non-null values: one row per ``batch, column_name``.
 
@@ -43,39 +59,33 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], batch: Column | str |
     hot value nor a hot batch lands in one task. A columnar source is read once
     per column; a row-oriented one once per type, with the columns of that type stacked.
     """
-    key = batch_of(batch).alias("batch")
+    keys = [k.alias(f"_b{i}") for i, k in enumerate(_keys(batch))]
     kinds = {f.name: f.dataType for f in df.schema.fields}
     groups: dict[str, list[str]] = {}
     for c in columns:
         groups.setdefault(c if columnar else kinds[c].simpleString(), []).append(c)
+    names = [f"_b{i}" for i in range(len(keys))]
     parts = []
-    for names in groups.values():
-        if len(names) == 1:
-            values = df.select(key, F.lit(names[0]).alias("column_name"), ref(names[0]).alias("value"))
+    for held in groups.values():
+        if len(held) == 1:
+            values = df.select(*keys, F.lit(held[0]).alias("column_name"), ref(held[0]).alias("value"))
         else:
-            stacked = F.explode(
-                F.array(*[F.struct(F.lit(c).alias("column_name"), ref(c).alias("value")) for c in names])
-            )
-            values = df.select(key, stacked.alias("v")).select("batch", "v.column_name", "v.value")
-        parts.append(
-            values.where("value is not null").distinct()
-            .groupBy("batch", "column_name").agg(F.count(F.lit(1)).alias("unique_count"))
-        )
+            stacked = F.array(*[F.struct(F.lit(c).alias("column_name"), ref(c).alias("value")) for c in held])
+            values = df.select(*keys, F.inline(stacked))
+        distinct = values.where("value is not null").distinct()
+        parts.append(by_batch(distinct, names or None, [F.count(F.lit(1)).alias("unique_count")], ["column_name"]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def approx_distinct_counts(df: DataFrame, columns: Sequence[str], batch: Column | str | None = None) -> DataFrame:
+def approx_distinct_counts(df: DataFrame, columns: Sequence[str], batch: Batch = None) -> DataFrame:
     """Sketch-based counts in one scan, on request only."""
-    sketched = df.groupBy(batch_of(batch).alias("batch")).agg(
-        F.array(
-            *[F.struct(F.lit(c).alias("column_name"), F.approx_count_distinct(ref(c)).alias("unique_count"))
-              for c in columns]
-        ).alias("u")
-    )
-    return sketched.select("batch", F.inline("u"))
+    counts = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.approx_count_distinct(ref(c)).alias("unique_count")) for c in columns
+    ])
+    return by_batch(df, batch, [counts.alias("u")]).select("batch", F.inline("u"))
 
 
 def usable_checks(df: DataFrame, contract: Contract, as_of: datetime | None) -> tuple[list[Check], dict[str, str]]:
@@ -109,14 +119,14 @@ def _coerced(df: DataFrame, contract: Contract) -> DataFrame:
     )
 
 
-def summarise(df: DataFrame, contract: Contract, batch: Column | str | None = None, *,
+def summarise(df: DataFrame, contract: Contract, batch: Batch = None, *,
               metrics: bool = True, distinct: str = "exact", columnar: bool = True,
               as_of: datetime | None = None) -> DataFrame:
     """One row per batch holding every raw count that profiling and drift metrics need.
 
     ``metrics`` adds null counts and means of columns outside the contract; without
     it the scan reads contract columns and whatever the checks mention.
-    ``distinct`` is ``exact``, ``approx`` or ``none``.
+    ``distinct`` is ``exact``, ``keys`` (exact, primary keys only: all that scores need), ``approx`` or ``none``.
     """
     df = fold_nan(df)
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -145,32 +155,31 @@ def summarise(df: DataFrame, contract: Contract, batch: Column | str | None = No
         if is_numeric(kind) and f"c{known.get(name)}_mean" not in aggs:
             aggs[f"m{m}_mean"] = f"AVG(CAST({quoted(name)} AS DOUBLE))"
     exprs = [F.expr(sql).alias(name) for name, sql in aggs.items()]
-    keyed = work if batch is None else work.groupBy(batch_of(batch).alias("batch"))
-    scan = keyed.agg(*exprs)
-    if batch is None:
-        scan = scan.select(F.lit(WHOLE).alias("batch"), "*")
-    merged = _with_distinct(scan, df, [c.name for c in present], batch, distinct, columnar)
+    scan = by_batch(work, batch, exprs)
+    merged = _with_distinct(scan, df, present, batch, distinct, columnar)
     return _shape(merged, contract, present, kinds, good, bad, metrics)
 
 
-def _with_distinct(scan: DataFrame, df: DataFrame, names: list[str], batch: Column | str | None,
+def _with_distinct(scan: DataFrame, df: DataFrame, present: list[ColumnSpec], batch: Batch,
                    distinct: str, columnar: bool) -> DataFrame:
     """Bring both results to one row per batch by a union and a grouping: no join, no broadcast."""
-    if distinct == "none" or not names:
-        return scan.selectExpr("*", *[f"CAST(NULL AS BIGINT) AS c{i}_unique" for i in range(len(names))])
+    chosen = {} if distinct == "none" else {
+        i: c.name for i, c in enumerate(present) if distinct != "keys" or c.primary_key}
+    unknown = [f"CAST(NULL AS BIGINT) AS c{i}_unique" for i in range(len(present)) if i not in chosen]
+    if not chosen:
+        return scan.selectExpr("*", *unknown)
+    names = list(chosen.values())
     counted = (
-        distinct_counts(df, names, batch, columnar) if distinct == "exact"
-        else approx_distinct_counts(df, names, batch)
-    )
+        approx_distinct_counts(df, names, batch) if distinct == "approx" else distinct_counts(df, names, batch, columnar))
     wide = scan.select("batch", F.struct(*[c for c in scan.columns if c != "batch"]).alias("scan"))
     merged = wide.unionByName(counted, allowMissingColumns=True).groupBy("batch").agg(
         F.any_value("scan", F.lit(True)).alias("scan"),
         *[
             F.expr(f"COALESCE(MAX(unique_count) FILTER (WHERE column_name = {literal(c)}), 0L)").alias(f"c{i}_unique")
-            for i, c in enumerate(names)
+            for i, c in chosen.items()
         ],
     )
-    return merged.select("batch", "scan.*", *[f"c{i}_unique" for i in range(len(names))])
+    return merged.selectExpr("batch", "scan.*", *[f"c{i}_unique" for i in chosen], *unknown)
 
 
 def _named(fields: dict[str, str]) -> str:
@@ -239,7 +248,7 @@ def _column_report(spec: ColumnSpec) -> str:
         "null_count": nulls,
         "null_rate": f"COALESCE(try_divide({nulls}, total_rows), 0D)",
         "unique_count": f"{s}.unique_count",
-        "uniqueness_rate": f"COALESCE(try_divide({s}.unique_count, total_rows), 0D)",
+        "uniqueness_rate": f"CASE WHEN total_rows = 0 THEN 0D ELSE {s}.unique_count / total_rows END",
         "min_value": f"{s}.min_value", "max_value": f"{s}.max_value", "mean_value": f"{s}.mean_value",
         "not_null_violations": not_null,
         "duplicate_count": duplicates,
@@ -340,7 +349,7 @@ def constraint_results(profiles: DataFrame) -> DataFrame:
     return profiles.select("batch", F.inline("constraints"))
 
 
-def sample_offenders(df: DataFrame, contract: Contract, batch: Column | str | None = None,
+def sample_offenders(df: DataFrame, contract: Contract, batch: Batch = None,
                      n: int = fv.SAMPLE_OFFENDERS) -> DataFrame:
     """The first ``n`` distinct values outside the allowed list, in value order.
 
@@ -394,22 +403,16 @@ def rule_outcomes(profiles: DataFrame, rule_rows: DataFrame) -> DataFrame:
 
     Freshness needs the data's latest timestamp and is evaluated by ``freshness_outcomes``.
     """
-    columns = profiles.select("batch", "total_rows", F.inline("columns")).select(
-        "batch", "column_name",
-        F.inline(F.array(
-            F.struct(F.lit("notNull").alias("rule"), F.col("null_count").alias("violation_count")),
-            F.struct(F.lit("range").alias("rule"), (F.col("below_min") + F.col("above_max")).alias("violation_count")),
-        )),
-    )
-    counted = profiles.select(
-        "batch", F.lit(None).cast("string").alias("column_name"), F.lit("rowCount").alias("rule"),
-        F.lit(None).cast("string").alias("check_name"), F.size("constraints").cast("bigint").alias("violation_count"),
-    )
-    sql = profiles.select("batch", F.inline("checks")).select(
-        "batch", F.lit(None).cast("string").alias("column_name"), F.lit("sql").alias("rule"),
-        F.col("name").alias("check_name"), "violation_count",
-    )
-    measured = columns.withColumn("check_name", F.lit(None).cast("string")).unionByName(counted).unionByName(sql)
+    def found(rule: str, column: str, check: str, count: str) -> str:
+        return _named({"rule": literal(rule), "column_name": column, "check_name": check, "violation_count": count})
+
+    text = "CAST(NULL AS STRING)"
+    per_column = [found("notNull", "c.column_name", text, "c.null_count"),
+                  found("range", "c.column_name", text, "c.below_min + c.above_max")]
+    measured = profiles.selectExpr("batch", f"""inline(concat(
+        flatten(transform(columns, c -> array({', '.join(per_column)}))),
+        array({found('rowCount', text, text, 'CAST(size(constraints) AS BIGINT)')}),
+        transform(checks, k -> {found('sql', text, 'k.name', 'k.violation_count')})))""")
     m, r = measured.alias("m"), F.broadcast(rule_rows).alias("r")  # one row per rule of the contract
     same = (
         (F.col("m.rule") == F.col("r.rule"))
@@ -423,16 +426,15 @@ def rule_outcomes(profiles: DataFrame, rule_rows: DataFrame) -> DataFrame:
 
 
 def freshness_outcomes(df: DataFrame, contract: Contract, as_of: datetime,
-                       batch: Column | str | None = None) -> DataFrame:
+                       batch: Batch = None) -> DataFrame:
     """Latest value of each declared timestamp column against the allowed age."""
     fresh = [c.name for c in contract.columns if c.data_type == "timestamp" and c.name in df.columns]
     if not fresh:
         return small_frame(
             df.sparkSession, [], "batch string, column_name string, latest timestamp, age_minutes bigint, passed boolean")
-    keyed = df.groupBy(batch_of(batch).alias("batch"))
-    latest = keyed.agg(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.max(ref(c)).cast("timestamp").alias("latest")) for c in fresh
-    ]).alias("l")).select("batch", F.inline("l"))
+    newest = F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.max(ref(c)).cast("timestamp").alias("latest")) for c in fresh])
+    latest = by_batch(df, batch, [newest.alias("l")]).select("batch", F.inline("l"))
     moment = F.lit(as_of).cast("timestamp")
     return latest.withColumns({
         "age_minutes": F.timestamp_diff("MINUTE", F.col("latest"), moment),

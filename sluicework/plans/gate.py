@@ -15,6 +15,7 @@ from sluicework import fixed_values as fv
 from sluicework.contracts import Contract
 from sluicework.functions.rules import at_time
 from sluicework.operators import alerts as A, anomaly, lineage as L
+from sluicework.operators.profile import Batch
 from sluicework.plans import reports
 from sluicework.plans.judge import judge
 from sluicework.session import durable, small_frame
@@ -63,7 +64,7 @@ class Gate:
         one = small_frame(self.spark, [(dataset,)], "dataset string")
         return L.root_cause(one, self.upstreams, health).first()["root_cause"]
 
-    def evaluate(self, df: DataFrame, contract: Contract, *, batch: Column | str | None = None,
+    def evaluate(self, df: DataFrame, contract: Contract, *, batch: Batch = None,
                  at: Column | None = None, as_of: datetime | None = None, against: str = "stored",
                  columnar: bool = True, mtime: float | None = None, take_action: bool = True) -> DataFrame:
         """Judge, act and record; returns one verdict row per batch."""
@@ -99,7 +100,7 @@ class Gate:
         except Exception as exc:
             return str(exc).splitlines()[0]
 
-    def _act(self, df: DataFrame, verdicts: DataFrame, contract: Contract, batch: Column | str | None,
+    def _act(self, df: DataFrame, verdicts: DataFrame, contract: Contract, batch: Batch,
              as_of: datetime, found: dict) -> DataFrame:
         name = contract.dataset
         tally = {r["status"]: r["n"] for r in verdicts.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -128,7 +129,7 @@ class Gate:
         return acted
 
     def stage(self, df: DataFrame, verdicts: DataFrame, contract: Contract, as_of: datetime,
-              batch: Column | str | None = None) -> str:
+              batch: Batch = None) -> str:
         """Write approved batches to staging with an audit row each; the same batch replaces itself."""
         name = contract.dataset
         path = f"{self.root}/staging/{name}"

@@ -68,7 +68,7 @@ def combine(profiles: DataFrame, statuses: DataFrame, contract: Contract, impact
 
 
 def judge(df: DataFrame, contract: Contract, history: DataFrame, impact: DataFrame, *,
-          batch: Column | str | None = None, at: Column | None = None, as_of: datetime | None = None,
+          batch: P.Batch = None, at: Column | None = None, as_of: datetime | None = None,
           against: str = "stored", columnar: bool = True,
           anomaly_z: float = fv.ANOMALY_Z) -> tuple[DataFrame, DataFrame, dict]:
     """Verdicts, scored metrics and the schema diff of the batches in ``df``.
@@ -90,7 +90,7 @@ def judge(df: DataFrame, contract: Contract, history: DataFrame, impact: DataFra
         none = small_frame(spark, [], "run_id string, anomaly_count bigint, max_z double")
         scored = small_frame(spark, [], anomaly_schema())
         return combine(bare, none, contract, impact, missing, mismatches), scored, found
-    summary = durable(P.summarise(df, contract, batch, as_of=as_of, columnar=columnar))
+    summary = durable(P.summarise(df, contract, batch, distinct="keys", as_of=as_of, columnar=columnar))
     scored = durable(scored_metrics(summary, contract.dataset, history, moment, against, anomaly_z))
     profiles = P.profile(summary, contract)
     kept = [c for c in ("columns", "constraints", "checks") if c in profiles.columns]

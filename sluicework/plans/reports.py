@@ -142,13 +142,11 @@ def flow_report(consumers: DataFrame, runs: DataFrame) -> DataFrame:
 
 def score_report(profiles: DataFrame) -> DataFrame:
     """Column scores and failed checks of each batch in one long table."""
-    scores = profiles.select("batch", F.inline("columns")).select(
-        "batch", F.lit("column").alias("kind"), F.col("column_name").alias("name"),
-        F.round("quality_score", 2).alias("score"), F.col("violation_count").alias("violations"))
-    failed = profiles.select("batch", F.inline("checks")).where(~F.col("passed")).select(
-        "batch", F.lit("check").alias("kind"), "name",
-        F.round(F.try_divide(F.col("violation_count") * 100, "total_rows"), 1).alias("score"), F.col("violation_count").alias("violations"))
-    return scores.unionByName(failed)
+    column = "named_struct('kind', 'column', 'name', c.column_name, 'score', round(c.quality_score, 2), 'violations', c.violation_count)"
+    check = ("named_struct('kind', 'check', 'name', k.name, 'score', "
+             "round(try_divide(k.violation_count * 100, k.total_rows), 1), 'violations', k.violation_count)")
+    return profiles.selectExpr("batch", f"""inline(concat(
+        transform(columns, c -> {column}), transform(filter(checks, k -> NOT k.passed), k -> {check})))""")
 
 
 CATALOGUE = (

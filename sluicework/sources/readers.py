@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sluicework import fixed_values as fv
 from sluicework.contracts import ColumnSpec, Contract
 from sluicework.functions.rules import ref
-from sluicework.operators.profile import batch_of
+from sluicework.operators.profile import Batch, by_batch
 
 FILE_FORMATS = ("csv", "parquet", "json")
 COLUMNAR = ("parquet", "table", "query")
@@ -90,7 +90,7 @@ def cast_to_contract(df: DataFrame, contract: Contract) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
-def coercion_failures(df: DataFrame, contract: Contract, batch: Column | str | None = None) -> DataFrame:
+def coercion_failures(df: DataFrame, contract: Contract, batch: Batch = None) -> DataFrame:
     """Texts per batch and column that do not fit the declared type, in the same single pass style as profiling.
 
     With this a CSV needs no inference pass: a column is of the declared type when nothing fails.
@@ -105,5 +105,4 @@ def coercion_failures(df: DataFrame, contract: Contract, batch: Column | str | N
         )
         for c in held
     ]
-    keyed = df.groupBy(batch_of(batch).alias("batch")).agg(F.array(*counted).alias("c"))
-    return keyed.select("batch", F.inline("c"))
+    return by_batch(df, batch, [F.array(*counted).alias("c")]).select("batch", F.inline("c"))

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sluicework import fixed_values as fv
 from sluicework.operators.joins import lookup_join
-from sluicework.operators.profile import batch_of
+from sluicework.operators.profile import Batch, batch_of
 
 BROADCAST_BATCHES = 200_000  # status rows of about 60 bytes: 12 MB at most
 
 
-def by_verdict(df: DataFrame, verdicts: DataFrame, batch: Column | str | None = None,
+def by_verdict(df: DataFrame, verdicts: DataFrame, batch: Batch = None,
                verdict_count: int | None = None, spread_by: Sequence[str] | None = None) -> DataFrame:
     """Attach ``batch_key`` and ``status`` to every row.
 

@@ -270,7 +270,7 @@ def text_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVENT_SCORE_SQL = """
 e AS (
-  SELECT CAST(CAST(ts AS DATE) AS VARCHAR) || '/' || event_type AS batch, COUNT(*) AS n, COUNT(DISTINCT event_id) AS u,
+  SELECT CAST(CAST(ts AS DATE) AS VARCHAR) || '|' || event_type AS batch, COUNT(*) AS n, COUNT(DISTINCT event_id) AS u,
     COUNT(*) FILTER (WHERE user_id < 1) + COUNT(*) FILTER (WHERE user_id > 140) AS b_user,
     COUNT(*) FILTER (WHERE event_type NOT IN ('click', 'purchase', 'signup', 'view')) AS b_type,
     COUNT(*) FILTER (WHERE value < 0.1) + COUNT(*) FILTER (WHERE value > 200.0) AS b_value,
@@ -292,7 +292,7 @@ SELECT batch, total_rows, constraint_violations, failed_checks, ROUND(q, 6) AS q
   CASE WHEN q < 50 THEN 'BLOCKED' WHEN q < 80 THEN 'WARNING' ELSE 'PASSED' END AS gate FROM scored""")
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events")
-    batch = F.concat_ws("/", F.to_date("ts").cast("string"), "event_type")
+    batch = [F.to_date("ts"), F.col("event_type")]
     profiles = P.profile(P.summarise(df, EVENTS, batch, metrics=False), EVENTS)
     q = F.col("overall_score")
     return profiles.select(
@@ -359,7 +359,7 @@ UNION ALL SELECT batch, 'check', 'Positive Value', ROUND(k1 * 100 / CAST(n AS DO
 def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluicework.plans.reports import score_report as report
 
-    batch = F.concat_ws("/", F.to_date("ts").cast("string"), "event_type")
+    batch = [F.to_date("ts"), F.col("event_type")]
     return report(P.profile(P.summarise(table(spark, sf_dir, "events"), EVENTS, batch, metrics=False), EVENTS))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluicework.operators import schema as S
 from sluicework.plans import reports as R
+from sluicework.session import durable
 from sluicework.sources import landing
 from sluicework.sources.store import latest_registry
 from sluicework.workloads.common import (
@@ -223,10 +224,10 @@ snap AS (SELECT c_mktsegment AS dataset, CAST(year(o_orderdate) * 100 + month(o_
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("int")
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(
+    return durable(o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(
         F.col("c_mktsegment").alias("dataset"), month.alias("version"),
         F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("column_name"),
-    ).agg(F.min("o_orderstatus").alias("data_type"))
+    ).agg(F.min("o_orderstatus").alias("data_type")))
 
 
 @query("schema_change_log", f"""WITH {_SNAP_SQL},
