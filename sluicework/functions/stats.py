@@ -1,41 +1,33 @@
-"""Z-scores and baselines as column expressions."""
+"""Z-scores and baselines as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, functions as F
-
 from sluicework import fixed_values as fv
 
 
-def steady_mean(mean: Column, low: Column, high: Column) -> Column:
+def steady_mean(mean: str, low: str, high: str) -> str:
     """Mean that equals the value exactly when all values are the same."""
-    return F.when(low == high, low).otherwise(mean)
+    return f"CASE WHEN {low} = {high} THEN {low} ELSE {mean} END"
 
 
-def steady_std(std: Column, low: Column, high: Column) -> Column:
+def steady_std(std: str, low: str, high: str) -> str:
     """Sample deviation that is exactly zero when all values are the same."""
-    return F.when(low == high, F.lit(0.0)).otherwise(F.coalesce(std, F.lit(0.0)))
+    return f"CASE WHEN {low} = {high} THEN 0D ELSE COALESCE({std}, 0D) END"
 
 
-def z_score(value: Column, mean: Column, std: Column, baseline_type: Column) -> Column:
+def z_score(value: str, mean: str, std: str, baseline_type: str) -> str:
     """Distance from the baseline; a departure from a constant history counts as 10."""
-    cap = fv.Z_FOR_CONSTANT_HISTORY
-    departed = F.when(value == mean, 0.0).when(value > mean, cap).otherwise(-cap)
-    return F.when(baseline_type == "initializing", 0.0).when(std == 0, departed).otherwise((value - mean) / std)
+    cap = f"{fv.Z_FOR_CONSTANT_HISTORY}D"
+    return f"""CASE WHEN {baseline_type} = 'initializing' THEN 0D
+        WHEN {std} = 0 THEN CASE WHEN {value} = {mean} THEN 0D WHEN {value} > {mean} THEN {cap} ELSE -{cap} END
+        ELSE ({value} - {mean}) / {std} END"""
 
 
-def pick_baseline(seasonal_n: Column, global_n: Column) -> Column:
+def pick_baseline(seasonal_n: str, global_n: str) -> str:
     """Which baseline applies, given how many points each rests on."""
-    return (
-        F.when(F.coalesce(seasonal_n, F.lit(0)) >= fv.MIN_HISTORY, "seasonal")
-        .when(F.coalesce(global_n, F.lit(0)) >= fv.MIN_HISTORY, "global")
-        .otherwise("initializing")
-    )
-
-
-def by_baseline(baseline_type: Column, seasonal: Column, overall: Column) -> Column:
-    return F.when(baseline_type == "seasonal", seasonal).when(baseline_type == "global", overall).otherwise(0.0)
+    return f"""CASE WHEN {seasonal_n} >= {fv.MIN_HISTORY} THEN 'seasonal'
+        WHEN {global_n} >= {fv.MIN_HISTORY} THEN 'global' ELSE 'initializing' END"""
 
 
-def percent(part: Column, whole: Column) -> Column:
-    return F.try_divide(part, whole) * 100
+def by_baseline(seasonal: str, overall: str, otherwise: str = "0D") -> str:
+    return f"CASE baseline_type WHEN 'seasonal' THEN {seasonal} WHEN 'global' THEN {overall} ELSE {otherwise} END"

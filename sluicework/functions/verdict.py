@@ -6,74 +6,61 @@ criticality, z_warning, z_critical, quality_warn, quality_block``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sluicework import fixed_values as fv
+from sluicework.functions.rules import literal
 
+BRANCH = """CASE
+    WHEN missing_count + mismatch_count > 0 THEN 'schema_blocked'
+    WHEN quality_score < quality_block THEN 'quality_blocked'
+    WHEN anomaly_count > 0 AND criticality IN ('HIGH', 'CRITICAL') AND max_z > z_critical THEN 'anomaly_blocked'
+    WHEN anomaly_count > 0 AND criticality = 'LOW' AND max_z > z_critical THEN 'anomaly_low'
+    WHEN anomaly_count > 0 AND max_z > z_warning THEN 'anomaly_warning'
+    WHEN quality_score < quality_warn THEN 'quality_warning'
+    ELSE 'passed' END"""
 
-def _actions(key: str) -> Column:
-    return F.array(*[F.lit(a) for a in fv.ACTIONS[key]])
+EARLY = "branch IN ('schema_blocked', 'quality_blocked')"
 
 
-def _plain(number: Column) -> Column:
-    return F.regexp_replace(number.cast("string"), r"\.0$", "")
+def _message(key: str, *args: str) -> str:
+    return f"format_string({', '.join([literal(fv.MSG[key]), *args])})"
 
 
-def branch() -> Column:
-    """The branch that decides, by precedence: schema, low score, anomaly, score warning."""
-    z, crit = F.col("max_z"), F.col("criticality")
-    anomalous = F.col("anomaly_count") > 0
-    return (
-        F.when(F.col("missing_count") + F.col("mismatch_count") > 0, "schema_blocked")
-        .when(F.col("quality_score") < F.col("quality_block"), "quality_blocked")
-        .when(anomalous & crit.isin("HIGH", "CRITICAL") & (z > F.col("z_critical")), "anomaly_blocked")
-        .when(anomalous & (crit == "LOW") & (z > F.col("z_critical")), "anomaly_low")
-        .when(anomalous & (z > F.col("z_warning")), "anomaly_warning")
-        .when(F.col("quality_score") < F.col("quality_warn"), "quality_warning")
-        .otherwise("passed")
-    )
+def _plain(number: str) -> str:
+    return f"regexp_replace(CAST({number} AS STRING), '[.]0$', '')"
 
 
-def _score_text(key: str, threshold: str) -> Column:
-    return F.format_string(fv.MSG[key], F.round("quality_score", 1), _plain(F.col(threshold)))
+REASON = f"""CASE branch
+    WHEN 'schema_blocked' THEN {_message('schema_blocked', 'missing_count', 'mismatch_count')}
+    WHEN 'quality_blocked' THEN {_message('quality_blocked', 'ROUND(quality_score, 1)', _plain('quality_block'))}
+    WHEN 'anomaly_blocked' THEN {_message('anomaly_blocked', 'ROUND(max_z, 1)', 'CAST(z_critical AS STRING)')}
+    WHEN 'anomaly_low' THEN {_message('anomaly_low', 'ROUND(max_z, 1)')}
+    WHEN 'anomaly_warning' THEN {_message('anomaly_warning', 'ROUND(max_z, 1)', 'CAST(z_warning AS STRING)')}
+    WHEN 'quality_warning' THEN {_message('quality_warning', 'ROUND(quality_score, 1)', _plain('quality_warn'))}
+    ELSE {literal(fv.MSG['passed'])} END"""
+
+ACTIONS = "CASE branch " + " ".join(
+    f"WHEN '{key}' THEN array({', '.join(map(literal, fv.ACTIONS[key]))})"
+    for key in ("schema_blocked", "quality_blocked", "anomaly_blocked", "anomaly_low")
+) + f" ELSE array({', '.join(map(literal, fv.ACTIONS['passed']))}) END"
 
 
 def with_verdict(df: DataFrame) -> DataFrame:
     """Add ``branch, status, reason, actions, load_status`` to one row per batch.
 
-    A batch stopped early was never compared with its history, and one stopped by
-    its schema was never profiled: their figures are recorded as zero.
+    The branch follows precedence: schema, low score, anomaly, score warning. A batch
+    stopped early was never compared with its history, and one stopped by its schema
+    was never profiled: their figures are recorded as zero.
     """
-    b = F.col("branch")
-    z = F.round("max_z", 1)
-    early = b.isin("schema_blocked", "quality_blocked")
-    decided = df.withColumn("branch", branch()).withColumns(
-        {
-            "anomaly_count": F.when(early, F.lit(0)).otherwise(F.col("anomaly_count")).cast("int"),
-            "max_z": F.when(early, F.lit(0.0)).otherwise(F.col("max_z")),
-            "quality_score": F.when(b == "schema_blocked", F.lit(0.0)).otherwise(F.col("quality_score")),
-        }
-    )
-    return decided.withColumns(
-        {
-            "status": F.when(b.endswith("_blocked"), "BLOCKED").when(b == "passed", "PASSED").otherwise("WARNING"),
-            "reason": F.when(
-                b == "schema_blocked",
-                F.format_string(fv.MSG["schema_blocked"], F.col("missing_count"), F.col("mismatch_count")),
-            )
-            .when(b == "quality_blocked", _score_text("quality_blocked", "quality_block"))
-            .when(b == "anomaly_blocked", F.format_string(fv.MSG["anomaly_blocked"], z, F.col("z_critical").cast("string")))
-            .when(b == "anomaly_low", F.format_string(fv.MSG["anomaly_low"], z))
-            .when(b == "anomaly_warning", F.format_string(fv.MSG["anomaly_warning"], z, F.col("z_warning").cast("string")))
-            .when(b == "quality_warning", _score_text("quality_warning", "quality_warn"))
-            .otherwise(fv.MSG["passed"]),
-            "actions": F.when(b == "schema_blocked", _actions("schema_blocked"))
-            .when(b == "quality_blocked", _actions("quality_blocked"))
-            .when(b == "anomaly_blocked", _actions("anomaly_blocked"))
-            .when(b == "anomaly_low", _actions("anomaly_low"))
-            .otherwise(_actions("passed")),
-            "load_status": F.when(b == "quality_blocked", fv.LOAD_LOW_QUALITY)
-            .when(b.endswith("_blocked"), fv.LOAD_BLOCKED)
-            .otherwise(F.lit(None).cast("string")),
-        }
-    )
+    return df.withColumn("branch", F.expr(BRANCH)).withColumns({
+        "anomaly_count": F.expr(f"CAST(CASE WHEN {EARLY} THEN 0 ELSE anomaly_count END AS INT)"),
+        "max_z": F.expr(f"CASE WHEN {EARLY} THEN 0D ELSE max_z END"),
+        "quality_score": F.expr("CASE WHEN branch = 'schema_blocked' THEN 0D ELSE quality_score END"),
+        "status": F.expr("CASE WHEN branch LIKE '%blocked' THEN 'BLOCKED' WHEN branch = 'passed' THEN 'PASSED' ELSE 'WARNING' END"),
+        "reason": F.expr(REASON),
+        "actions": F.expr(ACTIONS),
+        "load_status": F.expr(
+            f"CASE WHEN branch = 'quality_blocked' THEN {literal(fv.LOAD_LOW_QUALITY)} "
+            f"WHEN branch LIKE '%blocked' THEN {literal(fv.LOAD_BLOCKED)} END"),
+    })

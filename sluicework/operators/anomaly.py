@@ -30,11 +30,11 @@ def as_history(metrics: DataFrame, dataset: Column, timestamp: Column, run_id: C
 
 
 def _stats(prefix: str) -> list[Column]:
-    v = F.col("metric_value")
+    v, low, high = "metric_value", "MIN(metric_value)", "MAX(metric_value)"
     return [
         F.count(v).alias(f"{prefix}_n"),
-        steady_mean(F.avg(v), F.min(v), F.max(v)).alias(f"{prefix}_mean"),
-        steady_std(F.stddev_samp(v), F.min(v), F.max(v)).alias(f"{prefix}_std"),
+        F.expr(steady_mean(f"AVG({v})", low, high)).alias(f"{prefix}_mean"),
+        F.expr(steady_std(f"STDDEV_SAMP({v})", low, high)).alias(f"{prefix}_std"),
     ]
 
 
@@ -49,21 +49,15 @@ def global_baselines(history: DataFrame, runs: int = fv.RECENT_RUNS) -> DataFram
 
 
 def _scored(joined: DataFrame, anomaly_z: float) -> DataFrame:
-    kind = F.col("baseline_type")
-    typed = joined.withColumn("baseline_type", pick_baseline(F.col("seasonal_n"), F.col("global_n")))
-    based = typed.withColumns({
-        "baseline_mean": by_baseline(kind, F.col("seasonal_mean"), F.col("global_mean")),
-        "baseline_std": by_baseline(kind, F.col("seasonal_std"), F.col("global_std")),
-        "sample_count": F.when(kind == "seasonal", F.col("seasonal_n")).otherwise(
-            F.coalesce(F.col("global_n"), F.lit(0))),
-    })
-    scored = based.withColumn(
-        "z_score", z_score(F.col("metric_value"), F.col("baseline_mean"), F.col("baseline_std"), kind)
-    )
-    flag = F.abs("z_score") > anomaly_z
-    return scored.withColumn("is_anomaly", flag).drop(
-        *[f"{p}_{s}" for p in ("seasonal", "global") for s in ("n", "mean", "std")]
+    given = [c for c in joined.columns if not c.startswith(("seasonal_", "global_"))]
+    based = joined.selectExpr("*", f"{pick_baseline('seasonal_n', 'global_n')} AS baseline_type").selectExpr(
+        *given, "baseline_type",
+        f"{by_baseline('seasonal_mean', 'global_mean')} AS baseline_mean",
+        f"{by_baseline('seasonal_std', 'global_std')} AS baseline_std",
+        f"{by_baseline('seasonal_n', 'global_n', 'COALESCE(global_n, 0L)')} AS sample_count",
     )
+    z = z_score("metric_value", "baseline_mean", "baseline_std", "baseline_type")
+    return based.selectExpr("*", f"{z} AS z_score").selectExpr("*", f"abs(z_score) > {anomaly_z}D AS is_anomaly")
 
 
 def evaluate(metrics: DataFrame, history: DataFrame, anomaly_z: float = fv.ANOMALY_Z) -> DataFrame:
@@ -80,7 +74,7 @@ def evaluate(metrics: DataFrame, history: DataFrame, anomaly_z: float = fv.ANOMA
 def replay(history: DataFrame, anomaly_z: float = fv.ANOMALY_Z,
            slot_seconds: int = series.SLOT_SECONDS, block_rows: int = series.BLOCK_ROWS) -> DataFrame:
     """Score every point of history against the points before it, as each run would have been."""
-    seasonal = series.placed(history, SERIES, "day_of_week", ORDER, "metric_value", slot_seconds)
+    seasonal = series.placed(history.where("metric_value IS NOT NULL"), SERIES, "day_of_week", ORDER, "metric_value", slot_seconds)
     return _scored(series.trailing(seasonal, SERIES, "metric_value", fv.RECENT_RUNS, block_rows), anomaly_z)
 
 
@@ -124,16 +118,10 @@ def learned_thresholds(scored: DataFrame) -> DataFrame:
 def band(history: DataFrame, metric: str, sigmas: float) -> DataFrame:
     """A metric's points with the mean of its series and a band of ``sigmas`` deviations."""
     points = history.where(F.col("metric_name") == metric)
-    v = F.col("metric_value")
-    centre = points.groupBy("dataset_name").agg(
-        steady_mean(F.avg(v), F.min(v), F.max(v)).alias("mean"),
-        steady_std(F.stddev_samp(v), F.min(v), F.max(v)).alias("std"),
-    )
-    joined = lookup_join(points, centre, ["dataset_name"], ORDER)
-    return joined.select(
-        "dataset_name", "timestamp", "run_id", F.col("metric_value").alias("value"), "mean",
-        (F.col("mean") - sigmas * F.col("std")).alias("lower"),
-        (F.col("mean") + sigmas * F.col("std")).alias("upper"),
+    centre = points.groupBy("dataset_name").agg(*_stats("all"))
+    return lookup_join(points, centre, ["dataset_name"], ORDER).selectExpr(
+        "dataset_name", "timestamp", "run_id", "metric_value AS value", "all_mean AS mean",
+        f"all_mean - {sigmas}D * all_std AS lower", f"all_mean + {sigmas}D * all_std AS upper",
     )
 
 

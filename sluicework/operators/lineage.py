@@ -44,8 +44,7 @@ def level(label: Column) -> Column:
 
 def rank(label: Column) -> Column:
     """Place of a label in the order; an unknown label ranks as LOW."""
-    steps = F.create_map(*[x for k, v in fv.CRITICALITY_RANK.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.try_element_at(steps, label), F.lit(1))
+    return F.coalesce(*[F.when(label == k, v) for k, v in fv.CRITICALITY_RANK.items()], F.lit(1))
 
 
 def criticality(consumers: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def placed(df: DataFrame, keys: Sequence[str], season: str, order: Sequence[str]
     """Add each row's ``_position`` in its series and ``seasonal_n, seasonal_mean, seasonal_std`` of its
     season's earlier rows.
 
-    ``order[0]`` is the timestamp, the rest break ties; keys and season must not be null.
+    ``order[0]`` is the timestamp, the rest break ties; keys, season and value must not be null.
     Rows are shuffled twice by (series, slot), never by series alone.
     """
     keys = list(keys)
@@ -72,13 +72,11 @@ def placed(df: DataFrame, keys: Sequence[str], season: str, order: Sequence[str]
         "_lo1": F.least(F.col("_lo0"), F.min(value).over(earlier)),
         "_hi1": F.greatest(F.col("_hi0"), F.max(value).over(earlier)),
     })
-    mean = F.expr("_c + try_divide(_s1, _n1)")
-    std = F.expr("sqrt(try_divide(greatest(0D, _q1 - try_divide(_s1 * _s1, _n1)), _n1 - 1))")
-    low, high = F.col("_lo1"), F.col("_hi1")
-    return summed.select(
-        *df.columns, "_position", F.col("_n1").alias("seasonal_n"),
-        steady_mean(mean, low, high).alias("seasonal_mean"),
-        F.when(F.col("_n1") > 0, steady_std(std, low, high)).alias("seasonal_std"),
+    std = "sqrt(try_divide(greatest(0D, _q1 - try_divide(_s1 * _s1, _n1)), _n1 - 1))"
+    return summed.selectExpr(
+        *df.columns, "_position", "_n1 AS seasonal_n",
+        f"{steady_mean('_c + try_divide(_s1, _n1)', '_lo1', '_hi1')} AS seasonal_mean",
+        f"CASE WHEN _n1 > 0 THEN {steady_std(std, '_lo1', '_hi1')} END AS seasonal_std",
     )
 
 
@@ -97,17 +95,17 @@ def trailing(placed_rows: DataFrame, keys: Sequence[str], value: str, size: int,
         "_home": F.expr(home),
         "_block": F.expr(f"explode(CASE WHEN {lends} THEN array({home}, {home} + 1) ELSE array({home}) END)"),
     })
-    frame = Window.partitionBy(*keys, "_block").orderBy("_position").rowsBetween(-size, -1)
+    block = Window.partitionBy(*keys, "_block").orderBy("_position")
+    frame = block.rowsBetween(-size, -1)
     framed = copies.withColumns({
-        "global_n": F.count(value).over(frame),
-        "_mean": F.avg(value).over(frame), "_std": F.stddev_samp(value).over(frame),
-        "_lo": F.min(value).over(frame), "_hi": F.max(value).over(frame),
+        "_mean": F.avg(value).over(frame), "_std": F.stddev_samp(value).over(frame), "_last": F.lag(value).over(block),
     }).where("_block = _home")
-    low, high = F.col("_lo"), F.col("_hi")
     kept = [c for c in placed_rows.columns if c != "_position"]
-    return framed.select(
-        *kept, "global_n", steady_mean(F.col("_mean"), low, high).alias("global_mean"),
-        F.when(F.col("global_n") > 0, steady_std(F.col("_std"), low, high)).alias("global_std"),
+    # The running deviation is exactly zero only for equal values, whose mean is then any one of them.
+    return framed.selectExpr(
+        *kept, f"least(_position - 1, {size}L) AS global_n",
+        "CASE WHEN _std = 0 THEN _last ELSE _mean END AS global_mean",
+        "CASE WHEN _position > 1 THEN COALESCE(_std, 0D) END AS global_std",
     )
 
 
