@@ -11,9 +11,9 @@ def lookup_join(big: DataFrame, side: DataFrame, on: Sequence[str], spread_by: S
                 how: str = "left", salts: int = 16) -> DataFrame:
     """Equi-join ``big`` with a side holding at most one row per key.
 
-    Rows of a hot key are spread over ``salts`` slices by a hash of ``spread_by``
-    and the side is repeated once per slice, so no task sees a whole hot key. No
-    size is assumed: adaptive execution turns it into a broadcast join when the
+    Rows of a hot key are spread over ``salts`` slices by a hash of ``spread_by``, columns
+    that tell its rows apart, and the side is repeated once per slice, so no task sees a
+    whole hot key; a row run again falls into the same slice. No size is assumed: adaptive execution turns it into a broadcast join when the
     side measured at run time is under ``spark.sql.autoBroadcastJoinThreshold``.
     """
     sliced = big.withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))

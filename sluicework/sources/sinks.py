@@ -2,30 +2,29 @@
 
 from __future__ import annotations
 
-from typing import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluicework import fixed_values as fv
-from sluicework.operators.joins import lookup_join
 from sluicework.operators.profile import Batch, batch_of
 
 BROADCAST_BATCHES = 200_000  # status rows of about 60 bytes: 12 MB at most
 
 
-def by_verdict(df: DataFrame, verdicts: DataFrame, batch: Batch = None,
-               verdict_count: int | None = None, spread_by: Sequence[str] | None = None) -> DataFrame:
+def by_verdict(df: DataFrame, verdicts: DataFrame, batch: Batch = None, verdict_count: int | None = None) -> DataFrame:
     """Attach ``batch_key`` and ``status`` to every row.
 
     With a counted number of verdicts below the bound the statuses are broadcast and
-    the data is not moved. Beyond it, or uncounted, rows join in slices, so that one
-    batch holding much of the data still spreads over many tasks.
+    the data is not moved. Beyond it, or uncounted, this is an ordinary join on the
+    batch: adaptive execution broadcasts a side it measured to be small, and otherwise
+    cuts the partition of a hot batch into pieces by size. Rows are not salted by
+    content, since a hot batch may consist of copies, nor by a random number, which
+    would differ when a lost task runs again.
     """
     rows = df.withColumn("batch_key", batch_of(batch))
     status = verdicts.select(F.col("batch").alias("batch_key"), "status")
     if verdict_count is not None and verdict_count <= BROADCAST_BATCHES:
-        return rows.join(F.broadcast(status), "batch_key")
-    return lookup_join(rows, status, ["batch_key"], spread_by or df.columns[:4], how="inner")
+        status = F.broadcast(status)
+    return rows.join(status, "batch_key")
 
 
 def destination() -> Column:

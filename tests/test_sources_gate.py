@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluicework.contracts import Contract
 from sluicework.plans.gate import Gate
 from sluicework.plans.judge import judge
+from sluicework.plans.validate import validate
 from sluicework.operators import lineage as L
 from sluicework.sources import landing, readers, sinks
 from sluicework.sources.store import SCHEMAS, Store
@@ -65,6 +66,23 @@ def test_load_errors(spark, source, kind, issue):
     assert e.value.issue_type == issue and e.value.row("d")[3] == issue
 
 
+def test_validation_of_each_source(spark, tmp_path):
+    k = Contract.from_dict({"columns": [{"name": "id", "isPrimaryKey": True}, {"name": "n", "data_type": "integer"}]}, "v")
+    p = write(tmp_path / "v.csv", "id,n,extra\na,1,x\na,2,y\n,3,z\n")
+    result = validate(spark, k, p)
+    assert (result.status, result.passed_checks, result.failed_checks) == ("fail", 2, 1)
+    kinds = {r["issue_type"]: r for r in result.issues.collect()}
+    assert set(kinds) == {"unexpected_column", "duplicate_primary_key"}
+    assert kinds["duplicate_primary_key"]["actual"] == "2 duplicates"
+    spark.createDataFrame([("a", 1), ("b", 2)], "ID string, n bigint").createOrReplaceTempView("good_rows")
+    for source, kind in (("good_rows", "table"), ("SELECT * FROM good_rows", "query")):
+        assert validate(spark, k, source, kind)[:3] == ("pass", 3, 0)
+    broken = validate(spark, k, "SELECT nope", "query")
+    assert broken.status == "fail" and broken.issues.first()["issue_type"] == "query_error"
+    with pytest.raises(FileNotFoundError):
+        validate(spark, Contract("x", error="missing", path="x.yaml"), p)
+
+
 # --- landing ---
 
 @pytest.mark.parametrize("hours, limit, fresh", [(1, 24, True), (48, 24, False), (24, 24, False), (24.5, 24, False), (2, 1, False), (0, 24, True)])
@@ -176,13 +194,13 @@ def test_batches_are_split_by_their_verdict(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "gate/warehouse/mixed")).count() == 60
 
 
-def test_salted_split_equals_broadcast_split(spark):
+def test_joined_split_equals_broadcast_split(spark):
     df = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("b"))
     verdicts = df.select(F.col("b").alias("batch")).distinct().withColumn(
         "status", F.when(F.col("batch") == "hot", "BLOCKED").otherwise("PASSED"))
-    salted = sinks.by_verdict(df, verdicts, "b", None, ["id"])
+    joined = sinks.by_verdict(df, verdicts, "b")
     direct = sinks.by_verdict(df, verdicts, "b", verdicts.count())
-    assert sorted(map(tuple, salted.select("id", "status").collect())) == sorted(map(tuple, direct.select("id", "status").collect()))
+    assert sorted(map(tuple, joined.select("id", "status").collect())) == sorted(map(tuple, direct.select("id", "status").collect()))
 
 
 @pytest.mark.parametrize("error, status, load", [
