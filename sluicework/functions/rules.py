@@ -81,6 +81,11 @@ def not_allowed(spec: ColumnSpec, value: str, kind: T.DataType) -> str | None:
     return f"{value} NOT IN ({', '.join(comparable)})"
 
 
+def moment(at: datetime | Column) -> Column:
+    """A point in time; one without a zone is meant in the session's zone, like SQL literals are."""
+    return at if isinstance(at, Column) else F.lit(at.isoformat(sep=" ")).cast("timestamp")
+
+
 def at_time(condition: str, as_of: datetime | None) -> str:
     """Pin the clock functions of a SQL condition, so that a rerun gives the same answer."""
     if as_of is None:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from sluicework import fixed_values as fv
 from sluicework.contracts import Check, ColumnSpec, Contract
 from sluicework.functions import rules
-from sluicework.functions.rules import literal, quoted, ref
+from sluicework.functions.rules import literal, moment, quoted, ref
 from sluicework.functions.types import is_numeric
 from sluicework.session import small_frame
 
@@ -435,9 +435,9 @@ def freshness_outcomes(df: DataFrame, contract: Contract, as_of: datetime,
     newest = F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.max(ref(c)).cast("timestamp").alias("latest")) for c in fresh])
     latest = by_batch(df, batch, [newest.alias("l")]).select("batch", F.inline("l"))
-    moment = F.lit(as_of).cast("timestamp")
+    now = moment(as_of)
     return latest.withColumns({
-        "age_minutes": F.timestamp_diff("MINUTE", F.col("latest"), moment),
+        "age_minutes": F.timestamp_diff("MINUTE", F.col("latest"), now),
         "passed": F.coalesce(
-            F.col("latest") >= moment - F.expr(f"INTERVAL {fv.FRESHNESS_HOURS} HOURS"), F.lit(False)),
+            F.col("latest") >= now - F.expr(f"INTERVAL {fv.FRESHNESS_HOURS} HOURS"), F.lit(False)),
     })

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sluicework import fixed_values as fv
 from sluicework.contracts import Contract
-from sluicework.functions.rules import at_time
+from sluicework.functions.rules import at_time, moment
 from sluicework.operators import alerts as A, anomaly, lineage as L
 from sluicework.operators.profile import Batch
 from sluicework.plans import reports
@@ -155,7 +155,7 @@ class Gate:
             F.lit(status).alias("status"), "dataset", "batch", "reason", "quality_score", "anomaly_count",
             "schema_errors", "profiling_errors", F.lit(json.dumps(found)).alias("schema_evolution")))
         return counted.select(
-            F.lit(name).alias("dataset_name"), "batch", F.lit(as_of).alias("timestamp"),
+            F.lit(name).alias("dataset_name"), "batch", moment(as_of).alias("timestamp"),
             F.concat(F.lit(f"{place}/batch_key="), F.col("batch")).alias("location"),
             F.lit(status).alias("status"), "total_errors", body.alias("report"))
 
@@ -167,7 +167,7 @@ class Gate:
             "anomaly_count", F.col("max_z").alias("z_score_max"), "reason", F.lit(duration_ms).alias("duration_ms")))
         self.store.append("dataset_registry", verdicts.orderBy(F.desc("timestamp"), F.desc("batch")).limit(1).select(
             name.alias("dataset_name"), F.lit(contract.path).alias("contract_path"), F.lit("active").alias("lifecycle"),
-            "criticality", F.lit(as_of).alias("last_scanned"), F.col("status").alias("last_status"),
+            "criticality", moment(as_of).alias("last_scanned"), F.col("status").alias("last_status"),
             F.lit(mtime).cast("double").alias("last_file_mtime")))
         learnt = scored
         if self.learn_from == "passed":

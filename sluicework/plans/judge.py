@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sluicework import fixed_values as fv
 from sluicework.contracts import Contract
+from sluicework.functions.rules import moment
 from sluicework.functions.verdict import with_verdict
 from sluicework.operators import anomaly, profile as P
 from sluicework.operators.schema import diff_of
@@ -78,24 +79,24 @@ def judge(df: DataFrame, contract: Contract, history: DataFrame, impact: DataFra
     The one-row-per-batch summary and the scored metrics are kept in the shared folder, so
     the data is scanned once whatever is derived from them.
     """
-    moment = at if at is not None else F.lit(as_of or datetime.now())
+    when = at if at is not None else moment(as_of or datetime.now())
     found = schema_gate(df, contract)
     missing, mismatches = len(found["missing_columns"]), len(found["type_mismatches"])
     spark = df.sparkSession
     if missing + mismatches > 0:
         keys = spark.range(1).select(P.batch_of(None).alias("batch")) if batch is None else (
             df.select(P.batch_of(batch).alias("batch")).distinct())
-        bare = keys.select("batch", run_id(contract.dataset, moment).alias("run_id"), moment.alias("timestamp"),
+        bare = keys.select("batch", run_id(contract.dataset, when).alias("run_id"), when.alias("timestamp"),
                            F.lit(None).cast("double").alias("quality_score"))
         none = small_frame(spark, [], "run_id string, anomaly_count bigint, max_z double")
         scored = small_frame(spark, [], anomaly_schema())
         return combine(bare, none, contract, impact, missing, mismatches), scored, found
     summary = durable(P.summarise(df, contract, batch, distinct="keys", as_of=as_of, columnar=columnar))
-    scored = durable(scored_metrics(summary, contract.dataset, history, moment, against, anomaly_z))
+    scored = durable(scored_metrics(summary, contract.dataset, history, when, against, anomaly_z))
     profiles = P.profile(summary, contract)
     kept = [c for c in ("columns", "constraints", "checks") if c in profiles.columns]
     scores = profiles.select(
-        "batch", run_id(contract.dataset, moment).alias("run_id"), moment.alias("timestamp"),
+        "batch", run_id(contract.dataset, when).alias("run_id"), when.alias("timestamp"),
         F.col("overall_score").alias("quality_score"), "total_rows", *kept)
     return combine(scores, anomaly.run_status(scored), contract, impact), scored, found
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sluicework import fixed_values as fv
 from sluicework.contracts import Contract
+from sluicework.functions.rules import moment
 from sluicework.operators import lineage as L
 from sluicework.operators.joins import lookup_join
 from sluicework.operators.series import latest
@@ -112,8 +113,7 @@ def pipeline_status(status: Column) -> Column:
 
 def freshness(runs: DataFrame, as_of: datetime | Column, sla_minutes: int = fv.FRESHNESS_SLA_MINUTES) -> DataFrame:
     """Minutes since the last run of each dataset, against the agreed limit."""
-    moment = (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("timestamp")
-    minutes = F.timestamp_diff("MINUTE", F.col("last_run").cast("timestamp"), moment)
+    minutes = F.timestamp_diff("MINUTE", F.col("last_run").cast("timestamp"), moment(as_of))
     return runs.groupBy("dataset_name").agg(F.max("timestamp").alias("last_run")).withColumns(
         {"minutes_since": minutes, "within_sla": minutes <= sla_minutes})
 

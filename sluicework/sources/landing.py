@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sluicework import fixed_values as fv
+from sluicework.functions.rules import moment
 from sluicework.session import small_frame
 
 FILE_SCHEMA = "path string, modified timestamp, mtime double, size bigint"
@@ -30,8 +31,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Data
 
 def timeliness(files: DataFrame, as_of: datetime | Column, max_age_hours: float = fv.FRESHNESS_HOURS) -> DataFrame:
     """Age of each file; it is stale once it is as old as allowed."""
-    moment = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    seconds = F.unix_micros(moment.cast("timestamp")) / 1e6 - F.unix_micros(F.col("modified").cast("timestamp")) / 1e6
+    seconds = F.unix_micros(moment(as_of)) / 1e6 - F.unix_micros(F.col("modified").cast("timestamp")) / 1e6
     age = seconds / 3600
     stale = age >= max_age_hours
     return files.withColumns({

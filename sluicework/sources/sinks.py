@@ -21,6 +21,9 @@ def by_verdict(df: DataFrame, verdicts: DataFrame, batch: Batch = None, verdict_
     would differ when a lost task runs again.
     """
     rows = df.withColumn("batch_key", batch_of(batch))
+    if batch is None:  # one verdict for all rows: nothing to join
+        one = verdicts.select("status").first()
+        return rows.withColumn("status", F.lit(one["status"])) if one else rows.withColumn("status", F.lit("")).limit(0)
     status = verdicts.select(F.col("batch").alias("batch_key"), "status")
     if verdict_count is not None and verdict_count <= BROADCAST_BATCHES:
         status = F.broadcast(status)

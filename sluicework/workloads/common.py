@@ -222,8 +222,8 @@ def part_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     s = table(spark, sf_dir, "supplier")
     label = (
-        F.when(F.col("s_acctbal") > 9800, "critical").when(F.col("s_acctbal") > 9500, "HIGH")
-        .when(F.col("s_acctbal") > 8000, "Medium").when(F.col("s_acctbal") > 4000, "LOW")
+        F.when(F.col("s_acctbal") > 9940, "critical").when(F.col("s_acctbal") > 9800, "HIGH")
+        .when(F.col("s_acctbal") > 9500, "Medium").when(F.col("s_acctbal") > 4000, "LOW")
         .when(F.col("s_acctbal") > 0, "minor")
     )
     return pairs.join(s, pairs["l_suppkey"] == s["s_suppkey"]).select(
@@ -236,7 +236,7 @@ def part_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONSUMERS_SQL = """
 consumers AS (
   SELECT 'part_' || l_partkey AS dataset, s_suppkey AS position, s_name AS consumer,
-    CASE WHEN s_acctbal > 9800 THEN 'critical' WHEN s_acctbal > 9500 THEN 'HIGH' WHEN s_acctbal > 8000 THEN 'Medium'
+    CASE WHEN s_acctbal > 9940 THEN 'critical' WHEN s_acctbal > 9800 THEN 'HIGH' WHEN s_acctbal > 9500 THEN 'Medium'
          WHEN s_acctbal > 4000 THEN 'LOW' WHEN s_acctbal > 0 THEN 'minor' END AS criticality
   FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey),
 ranked AS (

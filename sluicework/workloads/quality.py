@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluicework.contracts import declared_columns, rule_table
+from sluicework.contracts import Contract, declared_columns, rule_table
 from sluicework.operators import profile as P, schema as S
+from sluicework.session import shared_folder
 from sluicework.sources import readers
 from sluicework.workloads.common import AS_OF, AS_OF_SQL, CONTRACTS, DOCUMENTS, EVENTS, LINEITEM, ORDERS, query, table
 
@@ -372,8 +376,6 @@ SELECT batch, 'conv_id' AS column_name, 'bigint' AS declared_type, COUNT(conv_id
 UNION ALL SELECT batch, 'turn', 'integer', COUNT(turn), COUNT(*) FILTER (WHERE turn IS NOT NULL AND TRY_CAST(turn AS BIGINT) IS NULL) FROM t GROUP BY batch
 UNION ALL SELECT batch, 'text', 'varchar', COUNT(text), 0 FROM t GROUP BY batch""")
 def typed_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sluicework.contracts import Contract
-
     contract = Contract.from_dict({"columns": [
         {"name": "conv_id", "data_type": "bigint"}, {"name": "turn", "data_type": "integer"},
         {"name": "text", "data_type": "varchar"}]}, "conversations")
@@ -382,3 +384,46 @@ def typed_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
         "role", F.col("conv_id").cast("string").alias("conv_id"),
         F.concat(F.col("turn").cast("string"), suffix).alias("turn"), "text")
     return readers.coercion_failures(df, contract, "role")
+
+
+_TEXT_DATES = Contract.from_dict({
+    "columns": [{"name": "placed", "data_type": "timestamp", "nullable": False}, {"name": "o_orderstatus"}],
+    "quality": {"custom_checks": [{"name": "Placed Before", "sql_condition": "placed <= now()", "severity": "error"}]},
+}, "orders")
+
+
+@query("text_date_checks", f"""
+WITH t AS (SELECT o_orderpriority AS batch, CASE WHEN o_orderstatus = 'P' THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS placed FROM orders)
+SELECT batch, COUNT(*) - COUNT(placed) AS null_count, COUNT(*) FILTER (WHERE NOT (TRY_CAST(placed AS TIMESTAMP) <= {AS_OF_SQL})) AS violation_count
+FROM t GROUP BY batch""")
+def text_date_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("o_orderstatus") == "P", "unknown").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    df = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", text.alias("placed"))
+    summary = P.summarise(df, _TEXT_DATES, "o_orderpriority", metrics=False, distinct="none", as_of=AS_OF)
+    return P.profile(summary, _TEXT_DATES).select(
+        "batch", F.col("columns")[0]["null_count"].alias("null_count"), F.col("checks")[0]["violation_count"].alias("violation_count"))
+
+
+@query("source_formats", " UNION ALL ".join(
+    f"""SELECT '{kind}' AS source, COUNT(*) AS rows, COUNT(DISTINCT o_custkey) AS customers, ROUND(SUM(o_totalprice), 2) AS total,
+    strftime(MAX(o_orderdate), '%Y-%m-%d') AS newest, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS filled FROM orders"""
+    for kind in ("csv", "json", "parquet", "query", "table")))
+def source_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders table written in each file format and read back through the one loader."""
+    orders = table(spark, sf_dir, "orders")
+    root = f"{shared_folder(spark)}/sluicework/{uuid.uuid4().hex}"
+    orders.createOrReplaceTempView("sluicework_orders")
+    orders.write.option("header", True).csv(f"{root}/csv")
+    orders.write.json(f"{root}/json")
+    orders.write.parquet(f"{root}/parquet")
+    sources = {k: f"{root}/{k}" for k in ("csv", "json", "parquet")}
+    sources.update(query="SELECT * FROM sluicework_orders", table="sluicework_orders")
+    parts = [
+        readers.load(spark, source, kind).agg(
+            F.lit(kind).alias("source"), F.count(F.lit(1)).alias("rows"), F.count_distinct("o_custkey").alias("customers"),
+            F.round(F.sum("o_totalprice"), 2).alias("total"),
+            F.date_format(F.max(F.to_date("o_orderdate")), "yyyy-MM-dd").alias("newest"),
+            F.count_if(F.col("o_orderstatus") == "F").alias("filled"))
+        for kind, source in sources.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -253,14 +253,15 @@ def contract_evolution_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("flow_report", f"""WITH {CONSUMERS_SQL},
-r AS (SELECT 'part_' || l_partkey AS dataset, FIRST(CASE WHEN l_quantity > 25 THEN 'PASSED' ELSE 'BLOCKED' END ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_quantity DESC) AS status
-  FROM lineitem WHERE l_discount > 0.05 GROUP BY 1)
+r AS (SELECT 'part_' || l_partkey AS dataset, FIRST(CASE WHEN l_quantity > 25 THEN 'PASSED' WHEN l_quantity > 10 THEN 'BLOCKED' ELSE 'SKIPPED' END ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_quantity DESC) AS status
+  FROM lineitem GROUP BY 1)
 SELECT c.dataset, CASE status WHEN 'PASSED' THEN 'reached' WHEN 'BLOCKED' THEN 'protected' ELSE 'unknown' END AS state, COUNT(*) AS consumers
 FROM consumers c LEFT JOIN r USING (dataset) GROUP BY 1, 2""")
 def flow_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = F.struct("l_orderkey", "l_linenumber", "l_quantity")
-    runs = table(spark, sf_dir, "lineitem").where("l_discount > 0.05").select(
+    runs = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("dataset_name"),
         F.col("l_shipdate").alias("timestamp"), run.alias("run_id"),
-        F.when(F.col("l_quantity") > 25, "PASSED").otherwise("BLOCKED").alias("status"))
+        F.when(F.col("l_quantity") > 25, "PASSED").when(F.col("l_quantity") > 10, "BLOCKED")
+        .otherwise("SKIPPED").alias("status"))
     return R.flow_report(part_consumers(spark, sf_dir), runs)

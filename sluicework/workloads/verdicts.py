@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sluicework.functions.rules import moment
 from sluicework.functions.verdict import with_verdict
 from sluicework.operators import alerts as A, lineage as L, profile as P
 from sluicework.plans.judge import judge
@@ -34,31 +35,33 @@ def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("root_cause", """
 WITH health AS (
-  SELECT 'nation_' || (user_id % 25) AS upstream, ts, CASE WHEN event_type = 'error' THEN 'DOWN' ELSE 'UP' END AS status, props AS details FROM events),
+  SELECT 'nation_' || (user_id % 25) AS upstream, ts, CASE WHEN event_type = 'error' AND value > 40 THEN 'DOWN' ELSE 'UP' END AS status, props AS details FROM events),
 latest AS (SELECT upstream, status, details FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY upstream ORDER BY ts DESC, status DESC, details DESC) AS r FROM health) WHERE r = 1),
 edges AS (SELECT DISTINCT 'part_' || l_partkey AS dataset, 'nation_' || s_nationkey AS upstream
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_tax > 0.07 AND l_quantity > 40),
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+names AS (SELECT 'part_' || p_partkey AS dataset FROM part UNION SELECT p_brand FROM part),
 checked AS (SELECT e.dataset, e.upstream, l.status, l.details FROM edges e LEFT JOIN latest l ON e.upstream = l.upstream),
 per AS (SELECT dataset, COUNT(*) FILTER (WHERE status = 'DOWN') AS down_count,
   string_agg(upstream || ' (' || COALESCE(details, '') || ')', ', ' ORDER BY upstream || ' (' || COALESCE(details, '') || ')')
     FILTER (WHERE status = 'DOWN') AS txt FROM checked GROUP BY dataset)
-SELECT 'part_' || p_partkey AS dataset, COALESCE(down_count, 0) AS down_count,
+SELECT names.dataset, COALESCE(down_count, 0) AS down_count,
   CASE WHEN per.dataset IS NULL THEN 'Local Infrastructure Issue' WHEN down_count > 0 THEN 'Upstream Outage: ' || txt
        ELSE 'Local Infrastructure Issue (Upstream services are UP)' END AS root_cause
-FROM part LEFT JOIN per ON per.dataset = 'part_' || p_partkey""")
+FROM names LEFT JOIN per ON per.dataset = names.dataset""")
 def root_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
     health = table(spark, sf_dir, "events").select(
         F.concat(F.lit("nation_"), (F.col("user_id") % 25).cast("string")).alias("upstream"),
-        F.col("ts").alias("timestamp"), F.when(F.col("event_type") == "error", "DOWN").otherwise("UP").alias("status"),
+        F.col("ts").alias("timestamp"),
+        F.when((F.col("event_type") == "error") & (F.col("value") > 40), "DOWN").otherwise("UP").alias("status"),
         F.col("props").alias("details"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     edges = (
-        table(spark, sf_dir, "lineitem").where("l_tax > 0.07 AND l_quantity > 40")
-        .join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+        table(spark, sf_dir, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("dataset"),
                 F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string")).alias("upstream")))
-    return L.root_cause(parts(spark, sf_dir), edges, health)
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("dataset")).distinct()
+    return L.root_cause(parts(spark, sf_dir).unionByName(brands), edges, health)
 
 
 @query("flow_state", f"""WITH {CONSUMERS_SQL},
@@ -265,7 +268,7 @@ FROM judged""")
 def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders")
     summary = P.summarise(df, ORDERS, F.to_date("o_orderdate"), metrics=False, distinct="none", as_of=AS_OF)
-    late = F.to_timestamp("batch") <= F.lit(AS_OF) - F.expr("INTERVAL 24 HOURS")
+    late = F.to_timestamp("batch") <= moment(AS_OF) - F.expr("INTERVAL 24 HOURS")
     errors = F.concat(
         F.transform(F.filter("checks", lambda k: ~k["passed"]), lambda k: k["name"]),
         F.transform("constraints", lambda c: c["message"]))
