@@ -141,7 +141,7 @@ daily AS (
   FROM lineitem GROUP BY 1, 2),
 history AS (
   SELECT dataset_name || '|' || CAST(day AS VARCHAR) AS run_id, CAST(day AS TIMESTAMP) AS ts, dataset_name,
-         metric_name, metric_value, isodow(day) - 1 AS day_of_week
+         metric_name, metric_value, CAST(isodow(day) - 1 AS INTEGER) AS day_of_week
   FROM (
     SELECT dataset_name, day, 'row_count' AS metric_name, CAST(n AS DOUBLE) AS metric_value FROM daily
     UNION ALL SELECT dataset_name, day, 'null_rate_l_extendedprice', (n - np) / CAST(n AS DOUBLE) FROM daily
@@ -203,8 +203,8 @@ RUNS_SQL = """
 run_base AS (
   SELECT 'orders_' || substr(o_orderpriority, 1, 1) AS dataset_name, CAST(o_orderdate AS DATE) AS day,
          100.0 - 100.0 * COUNT(*) FILTER (WHERE o_orderstatus = 'P') / CAST(COUNT(*) AS DOUBLE) AS quality_score,
-         COUNT(*) FILTER (WHERE o_totalprice > 450000) AS anomaly_count,
-         MAX(o_totalprice) / 100000.0 AS z_score_max, CAST(SUM(o_custkey) AS BIGINT) % 5000 AS duration_ms
+         CAST(COUNT(*) FILTER (WHERE o_totalprice > 450000) AS INTEGER) AS anomaly_count,
+         MAX(o_totalprice) / 100000.0 AS z_score_max, CAST(SUM(o_custkey) % 5000 AS INTEGER) AS duration_ms
   FROM orders GROUP BY 1, 2),
 run_status AS (
   SELECT *, CASE WHEN quality_score < 50 THEN 'BLOCKED' WHEN quality_score < 80 THEN 'WARNING' ELSE 'PASSED' END AS status

@@ -310,7 +310,7 @@ SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS batch, CASE WHEN COUNT(*) <
   'error' AS severity,
   CASE WHEN COUNT(*) < 10 THEN 'Row count (' || COUNT(*) || ') is below minimum (10)'
        ELSE 'Row count (' || COUNT(*) || ') exceeds maximum (50)' END AS message,
-  CASE WHEN COUNT(*) < 10 THEN 10 ELSE 50 END AS expected, COUNT(*) AS actual
+  CAST(CASE WHEN COUNT(*) < 10 THEN 10 ELSE 50 END AS BIGINT) AS expected, COUNT(*) AS actual
 FROM lineitem GROUP BY 1 HAVING COUNT(*) < 10 OR COUNT(*) > 50""")
 def row_count_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")

@@ -61,7 +61,7 @@ lr AS (SELECT h.dataset_name, COUNT(DISTINCT run_id) AS low_runs FROM history h
 hs AS (SELECT dataset_name, COUNT(DISTINCT run_id) AS total FROM history GROUP BY 1),
 last AS (SELECT dataset_name, FIRST(status ORDER BY ts DESC, run_id DESC) AS status, FIRST(quality_score ORDER BY ts DESC, run_id DESC) AS q FROM runs GROUP BY 1),
 c AS (SELECT dataset_name, CASE WHEN total IS NULL THEN 100.0 ELSE GREATEST(0.0, (total - COALESCE(low_runs, 0)) / CAST(total AS DOUBLE) * 100) END AS h,
-  CASE status WHEN 'PASSED' THEN 100.0 WHEN 'WARNING' THEN 60.0 WHEN 'BLOCKED' THEN 10.0 ELSE 50.0 END AS v, COALESCE(q, 100.0) AS q
+  CASE status WHEN 'PASSED' THEN 100e0 WHEN 'WARNING' THEN 60e0 WHEN 'BLOCKED' THEN 10e0 ELSE 50e0 END AS v, COALESCE(q, 100.0) AS q
   FROM names LEFT JOIN hs USING (dataset_name) LEFT JOIN lr USING (dataset_name) LEFT JOIN last USING (dataset_name))
 SELECT dataset_name, ROUND(h, 6) AS history_score, v AS verdict_score, ROUND(q, 6) AS quality_score,
   ROUND(LEAST(100.0, GREATEST(0.0, h * 0.40 + v * 0.35 + q * 0.25)), 1) AS trust_score FROM c"""

@@ -223,7 +223,7 @@ judged AS (
       WHEN 'anomaly_warning' THEN 'Anomaly detected (Z=' || printf('%.1f', ROUND(z0, 1)) || ', warning threshold=2.5).'
       WHEN 'quality_warning' THEN 'Data Quality Score below threshold: ' || printf('%.1f', ROUND(score, 1)) || '% (threshold: 80%)'
       ELSE 'All checks passed.' END AS reason,
-    ROUND(score, 6) AS quality_score, CASE WHEN branch = 'quality_blocked' THEN 0 ELSE a0 END AS anomaly_count,
+    ROUND(score, 6) AS quality_score, CAST(CASE WHEN branch = 'quality_blocked' THEN 0 ELSE a0 END AS INTEGER) AS anomaly_count,
     CASE WHEN branch = 'quality_blocked' THEN 0.0 ELSE z0 END AS max_z, 'HIGH' AS criticality, 'order-desk' AS owner, k1, k2
   FROM br)
 """
