@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules, url_filter
+from . import bpe_chunks, language_id, quality_rules, simhash_gray, suffix_dedup, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def vocabulary() -> str:
+    """The vocabulary file of the queries that make token ids."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -117,3 +124,35 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url")
     listed = pages.where(url_filter.host_of(F.col("url")).rlike(SPAM_HOST))
     return url_filter.judge_urls(pages, listed)
+
+
+# ---- 3, 4, 8, 9, 10: no SQL; tested against brute force, round trips and held-out rows ---------------
+
+@query()
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte of the documents that a repeated 400-byte string covers, cut out."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query()
+def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by reuse of chunks and decoded again."""
+    return bpe_chunks.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
+
+
+@query()
+def op8_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those that link."""
+    return simhash_gray.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query()
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language_id.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
