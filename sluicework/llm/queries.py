@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_chunks, language_id, quality_rules, simhash_gray, suffix_dedup, toxicity, url_filter
-from .common import table
+from . import bpe_chunks, decontaminate, language_id, quality_rules, simhash_gray, suffix_dedup, token_files, toxicity, url_filter
+from .common import reachable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,7 +22,7 @@ def vocabulary() -> str:
 
 def query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(reachable(spark), sf_dir)
         if sql:
             ORACLE[f.__name__] = sql
         return f
@@ -126,7 +126,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, listed)
 
 
-# ---- 3, 4, 8, 9, 10: no SQL; tested against brute force, round trips and held-out rows ---------------
+# ---- 2, 3, 4, 7, 8, 9, 10: no SQL; tested against brute force, round trips and held-out rows ---------------
+
+@query()
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to compressed files and read back."""
+    return token_files.written_and_read(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
+
 
 @query()
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +146,13 @@ def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
 
 
+@query()
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that the document holds."""
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 @query()
 def op8_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those that link."""
