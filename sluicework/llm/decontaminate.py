@@ -238,3 +238,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         if indexes:
             found.append(texts.mapInArrow(_searched(indexes, threshold, question, answer), _SCHEMA))
     return reduce(DataFrame.unionByName, found)
+
+
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that hold no test item; all columns stay as they are, and null texts stay in."""
+    key = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), text_of(text))  # ids may be null or repeated
+    packed = docs.select(key.alias("_key"), text_of(text).alias("_text"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"))
+    bad = contaminated(packed.select("_key", "_text"), items, doc_id="_key", text="_text", **options).select(F.col("doc_id").alias("_key")).distinct()
+    kept = packed.select("_key", "row").join(bad, "_key", "left_anti")
+    return kept.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -212,7 +212,7 @@ def train(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "t
     return Model(languages, (w * idf[:, None] * SCALE).astype(np.float32), bias, t)
 
 
-def _predicted(model: Model | None):
+def _predicted(model: Model | None, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = [], []
@@ -230,16 +230,17 @@ def _predicted(model: Model | None):
                 names += [model.languages[k] if n else UNKNOWN for k, n in zip(best.tolist(), letters.tolist())]
                 scores += np.where(letters > 0, p.max(1), 0.0).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                ["row", "held_out", "lang_pred", "score"])
+                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:2 + with_text]],
+                ["row", "held_out", "lang_pred", "score", "text"][:4 + with_text])
     return run
 
 
-def predict(docs: DataFrame, model: Model | None, row: Column, held_out: Column, text: str = "text") -> DataFrame:
-    """(row, held_out, lang_pred, score): `row` is passed through."""
+def predict(docs: DataFrame, model: Model | None, row: Column, held_out: Column, text: str = "text", with_text: bool = False) -> DataFrame:
+    """(row, held_out, lang_pred, score), and the text if asked for: `row` is passed through."""
     rows = docs.select(row.alias("row"), held_out.alias("held_out"), text_of(text).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predicted(model), f"row {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(
+        _predicted(model, with_text), f"row {kind}, held_out boolean, lang_pred string, score double" + ", text string" * with_text)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -255,3 +256,13 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     model = train(docs, learn, doc_id, text, lang)
     held = F.coalesce(~learn, F.lit(False)) & F.col(doc_id).isNotNull()
     return predict(docs, model, F.col(doc_id).cast("long"), held, text).withColumnRenamed("row", "doc_id")
+
+
+def in_known_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of `docs` whose text is in one of the languages learnt from them; all columns stay as they are."""
+    learn = learns(doc_id, FOLDS, HELD)
+    model = train(docs, learn, doc_id, text, lang)
+    others = {c: f"c{k}" for k, c in enumerate(docs.columns) if c != text}
+    row = F.struct(*[F.col(f"`{c}`").alias(k) for c, k in others.items()], F.lit(None).cast("void").cast("int").alias("_"))
+    kept = predict(docs, model, row, F.lit(False), text, with_text=True).where(F.col("lang_pred") != UNKNOWN)
+    return kept.select(*[F.col("text").alias(c) if c == text else F.col(f"row.{others[c]}").alias(c) for c in docs.columns])

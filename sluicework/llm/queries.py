@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_chunks, decontaminate, language_id, quality_rules, simhash_gray, suffix_dedup, token_files, toxicity, url_filter
+from . import bpe_chunks, decontaminate, html_main, language_id, quality_rules, simhash_gray, suffix_dedup, token_files, toxicity, url_filter
 from .common import reachable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,7 +156,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those that link."""
-    return simhash_gray.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return simhash_gray.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).drop("mark")
 
 
 @query()
@@ -169,3 +169,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     return toxicity.score(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+@query()
+def op1_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_main.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))

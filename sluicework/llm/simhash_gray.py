@@ -52,8 +52,8 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], ["doc_id", "fp"])
+            marks = [fingerprint(t, shingle) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64())], ["doc_id", "mark", "fp"])
     return run
 
 
@@ -227,12 +227,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     other. Repeated ids stay separate rows; as a component is named by its smallest id, a null id only
     names a component that has no other. Columns other than the two named may have any name.
 
-    Returns doc_id, fingerprint (16 lower-case hexadecimal digits), component_id.
+    Returns doc_id, fingerprint (16 lower-case hexadecimal digits), component_id, mark (hash of the text).
     """
     if not 0 <= radius <= 2:
         raise ValueError("the routing keeps every link up to two bits")
-    marks = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(
-        _fingerprints(shingle), "doc_id long, fp long"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).alias("text"))
+    marks = written(rows.mapInArrow(_fingerprints(shingle), "doc_id long, mark long, fp long"))
     distinct = written(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     routed = _routed(distinct.where("rep IS NOT NULL"), group).repartition("t", "k", "more").sortWithinPartitions("t", "k", "more")
     edges = routed.mapInArrow(_group_links(radius), "u long, v long")
@@ -240,4 +240,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     named = distinct.join(found, F.col("rep") == F.col("node"), "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id"))
     return marks.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "mark")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of `docs` for each component: one that has the smallest id; all columns stay as they are.
+
+    Rows with one id and one text are one document. Rows without an id stay only where their
+    fingerprint has no row with an id, one for each fingerprint.
+    """
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f")).agg(
+        F.min("mark").alias("_mark")).select(F.col("component_id").alias("_id"), "_mark")
+    keys = [F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("_k0"), F.col(doc_id).isNull().alias("_k1"), F.xxhash64(text_of(text)).alias("_k2")]
+    mine = [F.coalesce("_id", F.lit(0)).alias("_k0"), F.col("_id").isNull().alias("_k1"), F.col("_mark").alias("_k2")]
+    names = ["_k0", "_k1", "_k2"]
+    packed = docs.select(*keys, F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"))
+    kept = packed.join(chosen.select(*mine), names, "left_semi").dropDuplicates(names)
+    return kept.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
