@@ -7,19 +7,23 @@ encoding again from the last sure token border before it to the first one after
 
 A border is sure between a character that is no white space and a white-space character: the
 vocabulary's split pattern never matches across it, whatever stands further left or right. Pieces
-between sure borders ("units", mostly a blank and a word) are encoded by the tokenizers library and
-kept as well, since most of a text consists of units that came before.
+between sure borders ("units", mostly a blank and a word) are kept as well, since most of a text
+consists of units that came before. New units are encoded by tiktoken with the ranks of the same
+vocabulary, where that is known to split like the tokenizers library: in Latin text, and if the ids of
+the vocabulary follow its merges. All others are encoded by the tokenizers library itself.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
@@ -39,10 +43,19 @@ _ODD = re.compile("[\x1c-\x1f]")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+#: How a byte-level vocabulary splits a text before it merges (a fixed value).
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Up to here the classes of characters are the same in all versions of Unicode.
+_LATIN = "\u024f"
+
+
 class Codec:
-    """Encodes and decodes as the tokenizers library does, with reuse. `path`: a byte-level BPE file."""
+    """Encodes and decodes as the tokenizers library does, with reuse. `path`: a byte-level BPE file.
 
-    def __init__(self, path: str, chunk: int = CHUNK, units: int = UNITS, chunk_bytes: int = CHUNK_BYTES):
+    `only_library` leaves the encoding of all units to the tokenizers library.
+    """
+
+    def __init__(self, path: str, chunk: int = CHUNK, units: int = UNITS, chunk_bytes: int = CHUNK_BYTES, only_library: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -54,6 +67,8 @@ class Codec:
         self.reused = self.encoded = 0
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.table = [self._bytes_of(i) for i in range(size)]
+        self.sizes = np.array([len(b) for b in self.table], np.int64)
+        self.ranks = None if only_library else self._ranks()
 
     def _bytes_of(self, token: int) -> bytes:
         name = self.tokenizer.id_to_token(token)
@@ -61,6 +76,15 @@ class Codec:
             return b""
         return name.encode() if name in self.special else bytes(map(_byte_of().__getitem__, name))
 
+    def _ranks(self) -> tiktoken.Encoding | None:
+        """The same vocabulary by ranks, if ids are ranks: single bytes first, then the merges in their order."""
+        own = {b: i for i, b in enumerate(self.table) if b and self.tokenizer.id_to_token(i) not in self.special}
+        if sorted(own.values()) != list(range(len(own))) or any(len(b) != 1 for b in self.table[:256]):
+            return None
+        ranks = tiktoken.Encoding("units", pat_str=_SPLIT, mergeable_ranks=own, special_tokens={})
+        probe = [t for b in self.table[256::97] if not (t := b.decode("utf-8", "ignore")).isspace() and t]
+        return ranks if all(ranks.encode_ordinary(t) == self.tokenizer.encode(t, add_special_tokens=False).ids for t in probe) else None
+
     def _raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -70,11 +94,21 @@ class Codec:
         if len(self.units) + len(new) > self.max_units:
             self.units = {}
             new = list(set(units))
-        made = {}
-        for start in range(0, len(new), 4096):
-            part = new[start:start + 4096]
-            for unit, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                made[unit] = np.array(e.ids, "<u4").tobytes()
+        made, rest, apart = {}, [], []
+        for unit in new:
+            if self.ranks is not None and (unit.isascii() or max(unit) <= _LATIN):
+                made[unit] = array("I", self.ranks.encode_ordinary(unit)).tobytes()
+            elif unit[0].isspace() and not unit[-1].isspace():
+                rest.append(unit)
+            else:
+                apart.append(unit)
+        if rest:  # a sure border on both sides of each: one call for all, whose ids are dealt out by their bytes
+            ids = np.array(self.tokenizer.encode("".join(rest), add_special_tokens=False).ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(u.encode()) for u in rest])) + 1
+            for unit, a, b in zip(rest, [0, *ends.tolist()], ends.tolist()):
+                made[unit] = ids[a:b].tobytes()
+        for unit, e in zip(apart, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)):
+            made[unit] = np.array(e.ids, "<u4").tobytes()
         self.units.update((u, ids) for u, ids in made.items() if len(u) <= _KEPT)
         return made
 
@@ -153,9 +187,9 @@ def _byte_of() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+def codec(path: str, only_library: bool = False) -> Codec:
     """One codec for each Python worker: what it has encoded serves the worker's later tasks too."""
-    return Codec(path)
+    return Codec(path, only_library=only_library)
 
 
 def _encoded(path: str):

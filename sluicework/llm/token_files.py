@@ -47,7 +47,7 @@ def _blocks(path: str, end: int, block_ids: int):
             docs.clear(), held.clear()
             return made
 
-        c, last = codec(path), np.array([end], "<u4")
+        c, last = codec(path, only_library=True), np.array([end], "<u4")
         for batch in batches:
             for a, b in parts(batch.column(1)):
                 piece = batch.slice(a, b - a)

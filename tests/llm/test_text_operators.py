@@ -64,8 +64,9 @@ def test_bpe_equals_the_library(spark, docs):
 
 def test_bpe_repairs_joins_for_any_chunk_size_and_cache():
     texts = [t for _, t in TEXTS if t] + ["café  naïve\u0085x  y   z\n \n" * 60, "'s't're" * 200, "\t\tq\r\n" * 300]
-    for chunk in (32, 128):
-        small = bpe_chunks.Codec(PATH, chunk=chunk, units=50, chunk_bytes=5000)
+    for chunk, alone in ((32, False), (128, False), (64, True)):
+        small = bpe_chunks.Codec(PATH, chunk=chunk, units=50, chunk_bytes=5000, only_library=alone)
+        assert alone or small.ranks is not None
         for text in texts * 2:
             ids = np.frombuffer(small.encode(text), "<u4").tolist()
             assert ids == plain_ids(text)
