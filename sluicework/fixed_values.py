@@ -92,7 +92,7 @@ MSG = {
     "stale": "TIMELINESS: File is %.1f hours old (max allowed: %s hours)",
     "timeliness_missing": "TIMELINESS: File not found: %s",
     "z_initializing": "Baseline Initializing (insufficient history)",
-    "z_anomaly": "CRITICAL ANOMALY: Z-Score %.2f > 3.0",
+    "z_anomaly": "CRITICAL ANOMALY: Z-Score %.2f > %.1f",
     "z_normal": "Normal (Z-Score: %.2f)",
     "z_context": "Expected %.2f ±%.2f, got %s",
     "passed": "All checks passed.",

@@ -86,11 +86,21 @@ def moment(at: datetime | Column) -> Column:
     return at if isinstance(at, Column) else F.lit(at.isoformat(sep=" ")).cast("timestamp")
 
 
+#: Clock functions of a condition; texts and quoted names are matched first, so that they stay as they are.
+_CLOCKS = re.compile(
+    r"""(?P<text>'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`)|(?P<day>\bcurrent_date\b(?:\s*\(\s*\))?)"""
+    r"|\bnow\s*\(\s*\)|\bcurrent_timestamp\b(?:\s*\(\s*\))?", re.I)
+
+
 def at_time(condition: str, as_of: datetime | None) -> str:
     """Pin the clock functions of a SQL condition, so that a rerun gives the same answer."""
     if as_of is None:
         return condition
     stamp = as_of.strftime("%Y-%m-%d %H:%M:%S.%f")
-    pinned = re.sub(r"\b(?:now|current_timestamp)\s*\(\s*\)", f"TIMESTAMP '{stamp}'", condition, flags=re.I)
-    pinned = re.sub(r"\bcurrent_timestamp\b", f"TIMESTAMP '{stamp}'", pinned, flags=re.I)
-    return re.sub(r"\bcurrent_date\b(?:\s*\(\s*\))?", f"DATE '{stamp[:10]}'", pinned, flags=re.I)
+
+    def pin(m: re.Match) -> str:
+        if m["text"]:
+            return m["text"]
+        return f"DATE '{stamp[:10]}'" if m["day"] else f"TIMESTAMP '{stamp}'"
+
+    return _CLOCKS.sub(pin, condition)

@@ -27,18 +27,17 @@ def route(verdicts: DataFrame, rules: DataFrame, channels: DataFrame) -> DataFra
     """Alerts for every verdict that is not PASSED.
 
     The rule is the one named like the status, else DEFAULT. A criticality the rule
-    does not list silences the alert. Rules and channels are configuration of a few
-    rows, one per status and channel, hence broadcast.
+    does not list silences the alert. How to join is left to measured sizes.
     """
-    known = F.broadcast(rules.select(F.col("rule").alias("_known")))
+    known = rules.select(F.col("rule").alias("_known"))
     loud = verdicts.where(F.col("status") != "PASSED")
     ruled = loud.join(known, loud["status"] == known["_known"], "left").withColumn(
         "rule", F.coalesce("_known", F.lit("DEFAULT")))
-    kept = ruled.join(F.broadcast(rules), "rule").where(
+    kept = ruled.join(rules, "rule").where(
         (F.size("required") == 0) | F.array_contains("required", F.col("criticality")))
     return (
         kept.withColumn("channel", F.explode("channels"))
-        .join(F.broadcast(channels), "channel")
+        .join(channels, "channel")
         .select(*verdicts.columns, "rule", "channel", "channel_type")
     )
 

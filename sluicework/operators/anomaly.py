@@ -65,9 +65,8 @@ def evaluate(metrics: DataFrame, history: DataFrame, anomaly_z: float = fv.ANOMA
 
     ``metrics`` has the columns of a history row; the baseline is the one of its weekday.
     """
-    spread = ["run_id", "timestamp"]
-    with_season = lookup_join(metrics, seasonal_baselines(history), [*SERIES, "day_of_week"], spread)
-    with_global = lookup_join(with_season, global_baselines(history), SERIES, spread)
+    with_season = lookup_join(metrics, seasonal_baselines(history), [*SERIES, "day_of_week"])
+    with_global = lookup_join(with_season, global_baselines(history), SERIES)
     return _scored(with_global, anomaly_z)
 
 
@@ -78,12 +77,12 @@ def replay(history: DataFrame, anomaly_z: float = fv.ANOMALY_Z,
     return _scored(series.trailing(seasonal, SERIES, "metric_value", fv.RECENT_RUNS, block_rows), anomaly_z)
 
 
-def report(scored: DataFrame) -> DataFrame:
+def report(scored: DataFrame, anomaly_z: float = fv.ANOMALY_Z) -> DataFrame:
     """Figures rounded to two digits, with the reason and the expected range in words."""
     mean, std, z = F.col("baseline_mean"), F.col("baseline_std"), F.col("z_score")
     reason = (
         F.when(F.col("baseline_type") == "initializing", fv.MSG["z_initializing"])
-        .when(F.col("is_anomaly"), F.format_string(fv.MSG["z_anomaly"], z))
+        .when(F.col("is_anomaly"), F.format_string(fv.MSG["z_anomaly"], z, F.lit(anomaly_z)))
         .otherwise(F.format_string(fv.MSG["z_normal"], z))
     )
     context = F.format_string(fv.MSG["z_context"], mean, std * 3, F.col("metric_value").cast("string"))
@@ -119,7 +118,7 @@ def band(history: DataFrame, metric: str, sigmas: float) -> DataFrame:
     """A metric's points with the mean of its series and a band of ``sigmas`` deviations."""
     points = history.where(F.col("metric_name") == metric)
     centre = points.groupBy("dataset_name").agg(*_stats("all"))
-    return lookup_join(points, centre, ["dataset_name"], ORDER).selectExpr(
+    return lookup_join(points, centre, ["dataset_name"]).selectExpr(
         "dataset_name", "timestamp", "run_id", "metric_value AS value", "all_mean AS mean",
         f"all_mean - {sigmas}D * all_std AS lower", f"all_mean + {sigmas}D * all_std AS upper",
     )

@@ -1,4 +1,4 @@
-"""Joins of a large side with a keyed side that stay even when one key dominates."""
+"""Joins of a large side with a keyed side."""
 
 from __future__ import annotations
 
@@ -7,21 +7,15 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 
-def lookup_join(big: DataFrame, side: DataFrame, on: Sequence[str], spread_by: Sequence[str],
-                how: str = "left", salts: int = 16) -> DataFrame:
-    """Equi-join ``big`` with a side holding at most one row per key.
+def lookup_join(big: DataFrame, side: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Null-safe equi-join of ``big`` with a side holding at most one row per key.
 
-    Rows of a hot key are spread over ``salts`` slices by a hash of ``spread_by``, columns
-    that tell its rows apart, and the side is repeated once per slice, so no task sees a
-    whole hot key; a row run again falls into the same slice. No size is assumed: adaptive execution turns it into a broadcast join when the
-    side measured at run time is under ``spark.sql.autoBroadcastJoinThreshold``.
+    No size is assumed: adaptive execution broadcasts the side where it measured it to be small, and
+    otherwise cuts the partition of a hot key into pieces by size.
     """
-    sliced = big.withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = side.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keys = list(on)
-    b, c = sliced.alias("b"), copies.alias("c")
-    condition = F.col("b._slice") == F.col("c._slice")
-    for k in keys:
+    b, c = big.alias("b"), side.alias("c")
+    condition = F.lit(True)
+    for k in on:
         condition = condition & F.col(f"b.`{k}`").eqNullSafe(F.col(f"c.`{k}`"))
-    kept = [F.col(f"b.`{n}`") for n in big.columns] + [F.col(f"c.`{n}`") for n in side.columns if n not in keys]
+    kept = [F.col(f"b.`{n}`") for n in big.columns] + [F.col(f"c.`{n}`") for n in side.columns if n not in on]
     return b.join(c, condition, how).select(*kept)

@@ -78,8 +78,7 @@ def root_cause(datasets: DataFrame, upstreams: DataFrame, health: DataFrame) ->
 
     Only edges to upstreams that are down carry text into the grouping.
     """
-    checked = lookup_join(upstreams.select("dataset", "upstream").distinct(), latest_health(health),
-                          ["upstream"], ["dataset"])
+    checked = lookup_join(upstreams.select("dataset", "upstream").distinct(), latest_health(health), ["upstream"])
     down = F.col("status") == "DOWN"
     named = F.when(down, F.format_string("%s (%s)", "upstream", F.coalesce("details", F.lit(""))))
     per_dataset = checked.groupBy("dataset").agg(
@@ -104,4 +103,4 @@ def flow_state(consumers: DataFrame, latest_status: DataFrame) -> DataFrame:
         .when(F.col("status") == "BLOCKED", "protected")
         .otherwise("unknown")
     )
-    return lookup_join(consumers, latest_status, ["dataset"], ["consumer"]).withColumn("state", state)
+    return lookup_join(consumers, latest_status, ["dataset"]).withColumn("state", state)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from datetime import datetime
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sluicework import fixed_values as fv
@@ -18,7 +19,7 @@ from sluicework.contracts import Check, ColumnSpec, Contract
 from sluicework.functions import rules
 from sluicework.functions.rules import literal, moment, quoted, ref
 from sluicework.functions.types import is_numeric
-from sluicework.session import small_frame
+from sluicework.session import error_text, small_frame
 
 WHOLE = "all"
 
@@ -32,9 +33,20 @@ def _keys(batch: Batch) -> list[Column]:
 
 
 def batch_of(batch: Batch) -> Column:
-    """The batch key of a row as text; several columns are joined by ``|``."""
-    keys = [k.cast("string") for k in _keys(batch)]
-    return F.lit(WHOLE) if not keys else keys[0] if len(keys) == 1 else F.concat_ws("|", *keys)
+    """The batch key of a row as text, never null; several columns are joined by ``|``.
+
+    Different keys have different texts: a null reads ``\\N`` and an empty text ``\\E``, and a
+    backslash, or a ``|`` among several columns, has a backslash before it.
+    """
+    keys = _keys(batch)
+    return F.lit(WHOLE) if not keys else F.concat_ws("|", *[_key_text(k, len(keys) > 1) for k in keys])
+
+
+def _key_text(key: Column, joined: bool) -> Column:
+    text = F.replace(key.cast("string"), F.lit("\\"), F.lit("\\\\"))
+    if joined:
+        text = F.replace(text, F.lit("|"), F.lit("\\|"))
+    return F.when(text.isNull(), "\\N").when(text == "", "\\E").otherwise(text)
 
 
 def by_batch(df: DataFrame, batch: Batch, aggs: Sequence[Column], extra: Sequence[str] = ()) -> DataFrame:
@@ -51,16 +63,22 @@ def fold_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(ref(c)), ref(c)) for c in floats}) if floats else df
 
 
+def _told_apart(text: Column) -> Column:
+    """A text, or its 256-bit digest where that is shorter: whole texts are not shuffled to be counted."""
+    return F.when(F.octet_length(text) > 72, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str], batch: Batch = None,
                     columnar: bool = True) -> DataFrame:
     """Exact distinct non-null values: one row per ``batch, column_name``.
 
     Values are collapsed per task before the shuffle on (batch, value), so neither a
-    hot value nor a hot batch lands in one task. A columnar source is read once
+    hot value nor a hot batch lands in one task. Long texts count by their digests. A columnar source is read once
     per column; a row-oriented one once per type, with the columns of that type stacked.
     """
     keys = [k.alias(f"_b{i}") for i, k in enumerate(_keys(batch))]
     kinds = {f.name: f.dataType for f in df.schema.fields}
+    df = df.withColumns({c: _told_apart(ref(c)) for c in columns if isinstance(kinds[c], T.StringType)})
     groups: dict[str, list[str]] = {}
     for c in columns:
         groups.setdefault(c if columnar else kinds[c].simpleString(), []).append(c)
@@ -100,8 +118,8 @@ def usable_checks(df: DataFrame, contract: Contract, as_of: datetime | None) ->
         try:
             df.select(F.expr(f"NOT ({rules.at_time(check.condition, as_of)})")).schema
             good.append(check)
-        except Exception as exc:
-            bad[check.name] = str(exc).splitlines()[0]
+        except AnalysisException as exc:
+            bad[check.name] = error_text(exc)
     return good, bad
 
 
@@ -120,13 +138,13 @@ def _coerced(df: DataFrame, contract: Contract) -> DataFrame:
 
 
 def summarise(df: DataFrame, contract: Contract, batch: Batch = None, *,
-              metrics: bool = True, distinct: str = "exact", columnar: bool = True,
+              metrics: bool = True, distinct: str = "keys", columnar: bool = True,
               as_of: datetime | None = None) -> DataFrame:
     """One row per batch holding every raw count that profiling and drift metrics need.
 
     ``metrics`` adds null counts and means of columns outside the contract; without
     it the scan reads contract columns and whatever the checks mention.
-    ``distinct`` is ``exact``, ``keys`` (exact, primary keys only: all that scores need), ``approx`` or ``none``.
+    ``distinct`` is ``keys`` (exact, primary keys only: all that scores need), ``exact`` (every column), ``approx`` or ``none``.
     """
     df = fold_nan(df)
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -357,19 +375,13 @@ def sample_offenders(df: DataFrame, contract: Contract, batch: Batch = None,
     own first ``n``, so the list never grows with the data.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    key = batch_of(batch).alias("batch")
-    parts = []
-    for spec in contract.columns:
-        mark = rules.not_allowed(spec, quoted(spec.name), kinds[spec.name]) if spec.name in kinds else None
-        if mark is not None:
-            parts.append(df.where(mark).select(
-                key, F.lit(spec.name).alias("column_name"), ref(spec.name).cast("string").alias("value")
-            ).distinct())
-    if not parts:
+    marks = {c.name: rules.not_allowed(c, quoted(c.name), kinds[c.name]) for c in contract.columns if c.name in kinds}
+    held = F.array(*[
+        F.when(F.expr(mark), F.struct(F.lit(name).alias("column_name"), ref(name).cast("string").alias("value")))
+        for name, mark in marks.items() if mark is not None])
+    if not any(marks.values()):
         return small_frame(df.sparkSession, [], "batch string, column_name string, samples array<string>")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = df.select(batch_of(batch).alias("batch"), F.inline(F.array_compact(held))).distinct()
     order = Window.partitionBy("batch", "column_name").orderBy("value")
     return (
         found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
@@ -413,7 +425,7 @@ def rule_outcomes(profiles: DataFrame, rule_rows: DataFrame) -> DataFrame:
         flatten(transform(columns, c -> array({', '.join(per_column)}))),
         array({found('rowCount', text, text, 'CAST(size(constraints) AS BIGINT)')}),
         transform(checks, k -> {found('sql', text, 'k.name', 'k.violation_count')})))""")
-    m, r = measured.alias("m"), F.broadcast(rule_rows).alias("r")  # one row per rule of the contract
+    m, r = measured.alias("m"), rule_rows.alias("r")
     same = (
         (F.col("m.rule") == F.col("r.rule"))
         & F.col("m.column_name").eqNullSafe(F.col("r.column_name"))

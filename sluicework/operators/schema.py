@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from typing import Iterable, Mapping
+from typing import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from sluicework import fixed_values as fv
+from sluicework.functions.rules import ref
 from sluicework.contracts import Contract, declared_columns
 from sluicework.functions.types import accepted, shown
 from sluicework.session import small_frame
@@ -71,7 +72,7 @@ def key_duplicates(df: DataFrame, key: str) -> DataFrame:
 
     Keys are collapsed before the counts are added up, so a hot key costs one row per task.
     """
-    per_key = df.groupBy(F.col(f"`{key}`").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    per_key = df.groupBy(ref(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return per_key.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
         F.count("key").alias("distinct_keys"),
@@ -132,6 +133,17 @@ def to_json(result: DataFrame) -> DataFrame:
     return result.select("dataset", F.to_json(F.struct(*result.columns)).alias("result"))
 
 
+def evolution(snapshots: DataFrame) -> DataFrame:
+    """For each version of a schema but the first, whether it keeps every column of the version before it."""
+    steps = (
+        snapshots.select("dataset", "version").distinct()
+        .withColumn("next", F.lead("version").over(Window.partitionBy("dataset").orderBy("version")))
+        .where("next is not null")
+    )
+    old = snapshots.join(steps, ["dataset", "version"]).select("dataset", F.col("next").alias("version"), "column_name")
+    return keeps_columns(old, snapshots, ["dataset", "version"])
+
+
 def change_log(snapshots: DataFrame) -> DataFrame:
     """Columns added, removed or retyped between consecutive versions of a schema.
 
@@ -161,13 +173,12 @@ def change_log(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def keeps_columns(old: DataFrame, new: DataFrame, on: str = "dataset") -> DataFrame:
-    """Whether a proposed schema keeps every column of the old one, per dataset."""
-    removed = (
-        old.select(on, "column_name").distinct()
-        .join(new.select(on, "column_name").distinct().withColumn("_kept", F.lit(True)), [on, "column_name"], "left")
-    )
-    return removed.groupBy(on).agg(
+def keeps_columns(old: DataFrame, new: DataFrame, on: Sequence[str] = ("dataset",)) -> DataFrame:
+    """Whether a proposed schema keeps every column of the old one, per dataset or per step of one."""
+    keys = [*on, "column_name"]
+    removed = old.select(*keys).distinct().join(
+        new.select(*keys).distinct().withColumn("_kept", F.lit(True)), keys, "left")
+    return removed.groupBy(*on).agg(
         F.count_if(F.col("_kept").isNull()).alias("removed_columns"),
         (F.count_if(F.col("_kept").isNull()) == 0).alias("accepted"),
     )

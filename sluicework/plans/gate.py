@@ -4,24 +4,36 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 from typing import Any, Callable, Mapping
 
+from pyspark.errors import (
+    AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException,
+    NumberFormatException, SparkRuntimeException,
+)
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sluicework import fixed_values as fv
 from sluicework.contracts import Contract
 from sluicework.functions.rules import at_time, moment
 from sluicework.operators import alerts as A, anomaly, lineage as L
+from sluicework.operators import profile as P
 from sluicework.operators.profile import Batch
 from sluicework.plans import reports
-from sluicework.plans.judge import judge
-from sluicework.session import durable, small_frame
+from sluicework.plans.judge import judge, schema_gate
+from sluicework.session import durable, error_text, remove, small_frame
 from sluicework.sources import landing, readers, sinks
 from sluicework.sources.store import Store
 
+#: Errors that a check's own condition can raise; anything else, such as a lost executor, is no fault of a check.
+CHECK_ERRORS = (
+    AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException,
+    NumberFormatException, SparkRuntimeException,
+)
+
 Sink = Callable[[DataFrame, str], Any]
 
 
@@ -72,13 +84,17 @@ class Gate:
         as_of = as_of or datetime.now()
         name = contract.dataset
         impact = self.impact(small_frame(self.spark, [(name,)], "dataset string"))
-        args = dict(batch=batch, at=at, as_of=as_of, against=against, columnar=columnar)
+        work = f"{self.root}/_work/{uuid.uuid4().hex}"
+        args = dict(batch=batch, at=at, as_of=as_of, against=against, columnar=columnar, folder=work)
         history = self.store.read("metric_history", name)
         verdicts, scored, found = self._judged(df, contract, history, impact, args)
-        verdicts = durable(verdicts)  # recording appends to the history being read, so the result is fixed first
+        # recording appends to the history being read, so the result is fixed first
+        kept = f"{self.root}/verdicts/{name}"
+        verdicts = durable(verdicts.withColumn("timely", F.lit(True)), work if take_action else kept)
         if take_action:
-            verdicts = durable(self._act(df, verdicts, contract, batch, as_of, found))
+            verdicts = durable(self._act(df, verdicts, contract, batch, as_of, found), kept)
         self._record(verdicts, scored, contract, as_of, mtime, int((time.time() - started) * 1000))
+        remove(self.spark, work)
         return verdicts
 
     def _judged(self, df: DataFrame, contract: Contract, history: DataFrame, impact: DataFrame,
@@ -86,8 +102,9 @@ class Gate:
         """Judge in one pass; if a custom check fails while running, set those that fail aside and count them as failed."""
         try:
             return judge(df, contract, history, impact, **args)
-        except Exception:
-            errors = {c.name: self._error_of(df, c.condition, args["as_of"]) for c in contract.checks if c.condition}
+        except CHECK_ERRORS:
+            rows = P._coerced(P.fold_nan(df), contract)
+            errors = {c.name: self._error_of(rows, c.condition, args["as_of"]) for c in contract.checks if c.condition}
             if not any(errors.values()):
                 raise
             marked = replace(contract, checks=tuple(replace(c, error=errors.get(c.name)) for c in contract.checks))
@@ -97,14 +114,14 @@ class Gate:
         try:
             df.agg(F.count_if(F.expr(f"NOT ({at_time(condition, as_of)})"))).first()
             return None
-        except Exception as exc:
-            return str(exc).splitlines()[0]
+        except CHECK_ERRORS as exc:
+            return error_text(exc)
 
     def _act(self, df: DataFrame, verdicts: DataFrame, contract: Contract, batch: Batch,
              as_of: datetime, found: dict) -> DataFrame:
         name = contract.dataset
         tally = {r["status"]: r["n"] for r in verdicts.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-        rows = sinks.by_verdict(df, verdicts, batch, sum(tally.values()))
+        rows = sinks.by_verdict(df, verdicts, batch)
         stamp = as_of.strftime("%Y%m%d_%H%M%S")
         blocked = tally.get("BLOCKED", 0)
         good = F.col("status") != "BLOCKED"
@@ -113,11 +130,11 @@ class Gate:
             try:
                 self._load(rows.where(good).drop("status"), name)
             except Exception as exc:
-                status, state = sinks.load_failure(str(exc))
+                status, state = sinks.load_failure(error_text(exc))
                 note = (fv.MSG["infra_note"] % self.root_cause(name) if status == "WARNING"
-                        else fv.MSG["load_failed_note"] % str(exc).splitlines()[0])
+                        else fv.MSG["load_failed_note"] % error_text(exc))
                 acted = verdicts.withColumns({
-                    "load_status": F.when(good, state.splitlines()[0]).otherwise(F.col("load_status")),
+                    "load_status": F.when(good, state).otherwise(F.col("load_status")),
                     "reason": F.when(good, F.concat("reason", F.lit(note))).otherwise(F.col("reason")),
                     "status": F.when(good, status).otherwise(F.col("status")),
                 })
@@ -134,7 +151,7 @@ class Gate:
         name = contract.dataset
         path = f"{self.root}/staging/{name}"
         approved = verdicts.where(F.col("status") != "BLOCKED")
-        sinks.write_batches(sinks.by_verdict(df, approved, batch, approved.count()).drop("status"), path)
+        sinks.write_batches(sinks.by_verdict(df, approved, batch).drop("status"), path)
         self.store.append("staging_log", self._reports(approved, name, f"staging/{name}", "APPROVED", as_of, {}))
         return path
 
@@ -150,13 +167,13 @@ class Gate:
                 fv.MSG["consistency"], k["name"], F.coalesce(k["violation_count"], F.lit(0))))
             found_in_data = F.concat(found_in_data, F.transform("constraints", lambda c: c["message"]))
         counted = sinks.error_summary(verdicts.withColumns({
-            "timeliness_passed": F.lit(True), "schema_errors": errors, "profiling_errors": found_in_data}))
+            "timeliness_passed": F.col("timely") if "timely" in have else F.lit(True), "schema_errors": errors, "profiling_errors": found_in_data}))
         body = F.to_json(F.struct(
             F.lit(status).alias("status"), "dataset", "batch", "reason", "quality_score", "anomaly_count",
             "schema_errors", "profiling_errors", F.lit(json.dumps(found)).alias("schema_evolution")))
         return counted.select(
             F.lit(name).alias("dataset_name"), "batch", moment(as_of).alias("timestamp"),
-            F.concat(F.lit(f"{place}/batch_key="), F.col("batch")).alias("location"),
+            F.concat(F.lit(f"{place}/"), sinks.folder_of(F.col("batch"))).alias("location"),
             F.lit(status).alias("status"), "total_errors", body.alias("report"))
 
     def _record(self, verdicts: DataFrame, scored: DataFrame, contract: Contract, as_of: datetime,
@@ -183,8 +200,15 @@ class Gate:
         rules, channels = A.routing_tables(self.spark, self.alerts)
         return A.payloads(A.route(verdicts, rules, channels))
 
-    def evaluate_file(self, path: str, contract: Contract, **args: Any) -> DataFrame:
-        """Judge one file. An unreadable file is blocked and not recorded."""
+    def evaluate_file(self, path: str, contract: Contract, max_age_hours: float | None = None, **args: Any) -> DataFrame:
+        """Judge one file. A file that is too old, missing or unreadable is blocked and not recorded.
+
+        With ``max_age_hours`` timeliness is the first stage: a stale file is not read.
+        """
+        if max_age_hours is not None:
+            fresh, late = landing.check_timeliness(self.spark, path, args.get("as_of") or datetime.now(), max_age_hours)
+            if not fresh:
+                return self.unjudged(contract.dataset, "BLOCKED", late, fv.ACTIONS["abort"])
         kind = readers.format_of(path)
         try:
             df = readers.load(self.spark, path, kind)
@@ -207,7 +231,10 @@ class Gate:
 
         Datasets have different schemas, so each is its own set of jobs; several run side by side.
         """
-        known = {r["dataset_name"]: r["last_file_mtime"] for r in self.store.registry().collect()} if skip_unchanged else {}
+        asked = small_frame(self.spark, [(k.dataset,) for k in contracts], "dataset_name string")
+        known = {} if not skip_unchanged else {
+            r["dataset_name"]: r["last_file_mtime"]
+            for r in asked.distinct().join(self.store.registry(), "dataset_name").select("dataset_name", "last_file_mtime").collect()}
 
         def one(contract: Contract) -> tuple[str, str, str]:
             name, path = contract.dataset, paths.get(contract.dataset)
@@ -226,24 +253,36 @@ class Gate:
                 row = self.evaluate_file(path, contract, **args).agg(worst.alias("w")).first()["w"]
                 return name, row["status"], row["reason"]
             except Exception as exc:
-                return name, "BLOCKED", fv.MSG["evaluation_error"] % str(exc).splitlines()[0]
+                return name, "BLOCKED", fv.MSG["evaluation_error"] % error_text(exc)
 
         with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
             outcomes = list(pool.map(one, contracts))
         results = small_frame(self.spark, outcomes, "dataset string, status string, reason string")
         return results, reports.summary_counts(results)
 
-    def process(self, df: DataFrame, contract: Contract, as_of: datetime, **args: Any) -> dict:
-        """Judge and move in one call: overall status, action taken and new location of a whole dataset."""
-        verdict = self.evaluate(df, contract, as_of=as_of, take_action=False, **args)
-        row = verdict.first()
-        if row["status"] == "BLOCKED":
-            stamp = as_of.strftime("%Y%m%d_%H%M%S")
-            place = f"{self.root}/quarantine/{contract.dataset}/ts={stamp}"
-            sinks.write_batches(sinks.by_verdict(df, verdict, None, 1).drop("status"), place)
-            self.store.append("quarantine_reports", self._reports(
-                verdict, contract.dataset, f"quarantine/{contract.dataset}/ts={stamp}", "QUARANTINED", as_of, {}))
-            return {"overall_status": "FAIL", "action_taken": "QUARANTINED", "new_location": place}
-        return {"overall_status": "PASS", "action_taken": "STAGED",
-                "new_location": self.stage(df, verdict, contract, as_of)}
+    def process(self, df: DataFrame, contract: Contract, as_of: datetime, batch: Batch = None, **args: Any) -> dict:
+        """Judge and move in one call; every batch goes where its own verdict sends it.
 
+        Returns the overall status (FAIL if a batch is blocked), the action taken, the new location
+        and ``batches``: status, action and location of each.
+        """
+        verdicts = self.evaluate(df, contract, as_of=as_of, batch=batch, take_action=False, **args)
+        good, name = F.col("status") != "BLOCKED", contract.dataset
+        tally = verdicts.agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad")).first()
+        places = {"QUARANTINED": f"quarantine/{name}/ts={as_of.strftime('%Y%m%d_%H%M%S')}", "STAGED": f"staging/{name}"}
+        if tally["bad"]:
+            held = verdicts.where(~good)
+            sinks.write_batches(sinks.by_verdict(df, held, batch).drop("status"), f"{self.root}/{places['QUARANTINED']}")
+            self.store.append("quarantine_reports", self._reports(
+                held, name, places["QUARANTINED"], "QUARANTINED", as_of, schema_gate(df, contract)))
+        if tally["good"]:
+            self.stage(df, verdicts, contract, as_of, batch)
+        action = F.when(good, "STAGED").otherwise("QUARANTINED")
+        place = F.when(good, places["STAGED"]).otherwise(places["QUARANTINED"])
+        taken = "SPLIT" if tally["good"] and tally["bad"] else "QUARANTINED" if tally["bad"] else "STAGED"
+        return {
+            "overall_status": "FAIL" if tally["bad"] else "PASS", "action_taken": taken,
+            "new_location": self.root if taken == "SPLIT" else f"{self.root}/{places[taken]}",
+            "batches": verdicts.select("batch", "status", action.alias("action_taken"), F.concat(
+                place, F.lit("/"), sinks.folder_of(F.col("batch"))).alias("location")),
+        }

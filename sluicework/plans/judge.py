@@ -27,6 +27,27 @@ def schema_gate(df: DataFrame, contract: Contract) -> dict:
     }
 
 
+def found_anomalies(scored: DataFrame, anomaly_z: float = fv.ANOMALY_Z) -> DataFrame:
+    """The metrics of each run that are anomalous, with what was expected: as many as the data has metrics."""
+    return anomaly.report(scored, anomaly_z).where("is_anomaly").groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct(
+        "metric_name", "metric_value", "z_score", "baseline_mean", "baseline_std", "baseline_type", "context"))).alias("anomalies"))
+
+
+NO_ANOMALIES = (
+    "array<struct<metric_name:string,metric_value:double,z_score:double,baseline_mean:double,baseline_std:double,"
+    "baseline_type:string,context:string>>")
+
+
+def _with_evolution(verdicts: DataFrame, found: dict) -> DataFrame:
+    """The schema diff on every verdict row: new columns show up on passing batches too."""
+    mismatches = F.array(*[F.struct(*[F.lit(m[k]).alias(k) for k in ("column", "expected", "actual")]) for m in found["type_mismatches"]])
+    return verdicts.withColumns({
+        "new_columns": F.array(*map(F.lit, found["new_columns"])).cast("array<string>"),
+        "missing_columns": F.array(*map(F.lit, found["missing_columns"])).cast("array<string>"),
+        "type_mismatches": mismatches.cast("array<struct<column:string,expected:string,actual:string>>"),
+    })
+
+
 def run_id(dataset: str, at: Column) -> Column:
     """The same batch judged at the same time has the same id, so a retried run repeats itself."""
     return F.md5(F.concat_ws("|", F.lit(dataset), F.col("batch"), at.cast("string")))
@@ -70,15 +91,18 @@ def combine(profiles: DataFrame, statuses: DataFrame, contract: Contract, impact
 
 def judge(df: DataFrame, contract: Contract, history: DataFrame, impact: DataFrame, *,
           batch: P.Batch = None, at: Column | None = None, as_of: datetime | None = None,
-          against: str = "stored", columnar: bool = True,
-          anomaly_z: float = fv.ANOMALY_Z) -> tuple[DataFrame, DataFrame, dict]:
+          against: str = "stored", columnar: bool = True, anomaly_z: float = fv.ANOMALY_Z,
+          folder: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """Verdicts, scored metrics and the schema diff of the batches in ``df``.
 
     ``at`` gives the time of a batch from its key (default: ``as_of`` or now). A schema
     violation ends the evaluation before any data is read, unless batches must be listed.
-    The one-row-per-batch summary and the scored metrics are kept in the shared folder, so
-    the data is scanned once whatever is derived from them.
+    With ``folder``, a shared one, the one-row-per-batch summary and the scored metrics are kept
+    there, so the data is scanned once whatever is derived from them.
     """
+    if against == "earlier" and at is None:
+        raise ValueError("batches that are judged against earlier ones need their times: give `at`")
+    kept = (lambda rows: durable(rows, folder)) if folder else (lambda rows: rows)
     when = at if at is not None else moment(as_of or datetime.now())
     found = schema_gate(df, contract)
     missing, mismatches = len(found["missing_columns"]), len(found["type_mismatches"])
@@ -90,15 +114,18 @@ def judge(df: DataFrame, contract: Contract, history: DataFrame, impact: DataFra
                            F.lit(None).cast("double").alias("quality_score"))
         none = small_frame(spark, [], "run_id string, anomaly_count bigint, max_z double")
         scored = small_frame(spark, [], anomaly_schema())
-        return combine(bare, none, contract, impact, missing, mismatches), scored, found
-    summary = durable(P.summarise(df, contract, batch, distinct="keys", as_of=as_of, columnar=columnar))
-    scored = durable(scored_metrics(summary, contract.dataset, history, when, against, anomaly_z))
+        judged = combine(bare, none, contract, impact, missing, mismatches).withColumn("anomalies", F.array().cast(NO_ANOMALIES))
+        return _with_evolution(judged, found), scored, found
+    summary = kept(P.summarise(df, contract, batch, as_of=as_of, columnar=columnar))
+    scored = kept(scored_metrics(summary, contract.dataset, history, when, against, anomaly_z))
     profiles = P.profile(summary, contract)
-    kept = [c for c in ("columns", "constraints", "checks") if c in profiles.columns]
+    carried = [c for c in ("columns", "constraints", "checks") if c in profiles.columns]
     scores = profiles.select(
         "batch", run_id(contract.dataset, when).alias("run_id"), when.alias("timestamp"),
-        F.col("overall_score").alias("quality_score"), "total_rows", *kept)
-    return combine(scores, anomaly.run_status(scored), contract, impact), scored, found
+        F.col("overall_score").alias("quality_score"), "total_rows", *carried)
+    judged = combine(scores, anomaly.run_status(scored), contract, impact).join(
+        found_anomalies(scored, anomaly_z), "run_id", "left").withColumn("anomalies", F.coalesce("anomalies", F.array().cast(NO_ANOMALIES)))
+    return _with_evolution(judged, found), scored, found
 
 
 def anomaly_schema() -> str:

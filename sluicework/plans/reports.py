@@ -68,7 +68,7 @@ def history_component(history: DataFrame) -> DataFrame:
     v = F.col("metric_value")
     counts = history.where(F.col("metric_name") == "row_count")
     floor = counts.groupBy("dataset_name").agg((F.avg(v) - 2 * F.stddev_samp(v)).alias("floor"))
-    low = lookup_join(counts, floor, ["dataset_name"], NEWEST).where(v < F.col("floor"))
+    low = lookup_join(counts, floor, ["dataset_name"]).where(v < F.col("floor"))
     low_runs = low.groupBy("dataset_name").agg(F.count_distinct("run_id").alias("low_runs"))
     all_runs = history.groupBy("dataset_name").agg(F.count_distinct("run_id").alias("total_runs"))
     clean = F.col("total_runs") - F.coalesce("low_runs", F.lit(0))

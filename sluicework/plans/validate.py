@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sluicework.contracts import Contract, declared_columns
 from sluicework.operators import schema as S
-from sluicework.session import small_frame
+from sluicework.session import error_text, small_frame
 from sluicework.sources import readers
 
 ISSUES = ", ".join(f"{c} string" for c in S.ISSUE_COLUMNS)
@@ -43,7 +43,7 @@ def validate(spark: SparkSession, contract: Contract, source: str, source_type:
             duplicates = S.key_duplicates(df, key).first()["duplicate_count"]
         except Exception as exc:
             row = (name, "warning", key, "uniqueness_check_error",
-                   f"Could not check uniqueness for '{key}': {str(exc).splitlines()[0]}", "unique check", "error")
+                   f"Could not check uniqueness for '{key}': {error_text(exc)}", "unique check", "error")
             found = found.unionByName(small_frame(spark, [row], ISSUES))
         else:
             passed += duplicates == 0

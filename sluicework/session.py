@@ -1,11 +1,9 @@
-"""Session helpers: a local session for tests, and where durable cuts of lineage go."""
+"""Session helpers: a local session for tests, shared folders, error texts."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from functools import lru_cache
 from typing import Sequence
 
 import pyarrow as pa
@@ -30,35 +28,38 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "slui
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder: on a cluster such a
-    folder would be lost together with the executor that wrote it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return _local_folder()
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    return named.rstrip("/")
 
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="sluicework-")
+def fresh_folder(spark: SparkSession) -> str:
+    """The name of a new folder in the shared one; expiring it is left to the shared folder's owner."""
+    return f"{shared_folder(spark)}/sluicework/{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a table written to the shared folder.
+def durable(df: DataFrame, folder: str) -> DataFrame:
+    """Cut lineage with a table below ``folder``, which driver and executors share.
 
     Written once and read back column by column, where a checkpoint would compute the
-    last stage twice. It outlives any executor; expiring it is left to the folder's owner.
+    last stage twice. It outlives any executor.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/sluicework/{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def error_text(exc: BaseException) -> str:
+    """The whole text of an error, or its kind if it has none."""
+    return str(exc) or type(exc).__name__
+
+
 def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """Configuration rows as a local relation: planned without a scan or Python workers."""
     kinds = T.DataType.fromDDL(schema)

@@ -9,6 +9,7 @@ from sluicework import fixed_values as fv
 from sluicework.contracts import ColumnSpec, Contract
 from sluicework.functions.rules import ref
 from sluicework.operators.profile import Batch, by_batch
+from sluicework.session import error_text
 
 FILE_FORMATS = ("csv", "parquet", "json")
 COLUMNAR = ("parquet", "table", "query")
@@ -37,10 +38,44 @@ def fold_null_tokens(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~ref(c).isin(fv.NULL_TOKENS), ref(c)) for c in texts}) if texts else df
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """CSV with a header. ``infer=False`` keeps text and saves the inference pass over the data."""
-    reader = spark.read.option("header", True).option("inferSchema", infer).option("multiLine", False)
-    return fold_null_tokens(reader.csv(path))
+def _quotes_left_open(spark: SparkSession, path: str) -> bool:
+    """Whether a line has an odd number of quotes, as where a quoted value goes on in the next line."""
+    text = spark.read.text(path)
+    return not text.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+
+
+def _csv(spark: SparkSession, multi_line: bool):
+    # a quote inside a quoted value is doubled
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+
+
+def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: bool | None = None) -> DataFrame:
+    """CSV with a header. ``infer=False`` keeps text and saves the inference pass over the data.
+
+    A row with more values than the header raises an error; a shorter one is filled with nulls.
+    ``multi_line`` says whether quoted values may hold line breaks. Such a file can't be split, so by
+    default the lines are looked through first, and only a file that has such values is read that way.
+    """
+    if multi_line is None:
+        multi_line = _quotes_left_open(spark, path)
+    names = _csv(spark, multi_line).csv(path).columns
+    wide = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    extra = F.col(f"c{len(names)}")
+    first = _csv(spark, multi_line).schema(wide).csv(path).where(extra.isNotNull()).select(extra).first()
+    if first is not None:
+        raise SourceError("load_error", fv.MSG["load_error"] % f"a row has more than {len(names)} values, the first beyond them is {first[0]!r}")
+    return fold_null_tokens(_csv(spark, multi_line).option("inferSchema", infer).csv(path))
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON: one object a line, or files that hold one value each over several lines, such as an array. Other content is an error."""
+    df = spark.read.json(path)
+    if "_corrupt_record" not in df.columns:
+        return df
+    whole = spark.read.text(path, wholetext=True)
+    if whole.where(F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).isNull()).isEmpty():  # one value and nothing after it
+        return spark.read.option("multiLine", True).json(path)
+    raise SourceError("load_error", fv.MSG["load_error"] % "neither an object a line nor one value a file")
 
 
 def load(spark: SparkSession, source: str, source_type: str = "csv") -> DataFrame:
@@ -50,18 +85,22 @@ def load(spark: SparkSession, source: str, source_type: str = "csv") -> DataFram
     try:
         if source_type == "csv":
             return read_csv(spark, source)
-        if source_type in FILE_FORMATS:
-            return spark.read.format(source_type).load(source)
+        if source_type == "json":
+            return read_json(spark, source)
+        if source_type == "parquet":
+            return spark.read.parquet(source)
         return spark.table(source) if source_type == "table" else spark.sql(source)
+    except SourceError:
+        raise
     except AnalysisException as exc:
-        text = str(exc).splitlines()[0]
+        text = error_text(exc)
         if source_type == "query":
             raise SourceError("query_error", fv.MSG["query_error"] % text) from exc
         if "PATH_NOT_FOUND" in text:
             raise SourceError("file_not_found", fv.MSG["file_not_found"] % source) from exc
         raise SourceError("load_error", fv.MSG["load_error"] % text) from exc
     except Exception as exc:
-        raise SourceError("load_error", fv.MSG["load_error"] % str(exc).splitlines()[0]) from exc
+        raise SourceError("load_error", fv.MSG["load_error"] % error_text(exc)) from exc
 
 
 SPARK_TYPES = {

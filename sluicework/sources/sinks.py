@@ -7,27 +7,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sluicework import fixed_values as fv
 from sluicework.operators.profile import Batch, batch_of
 
-BROADCAST_BATCHES = 200_000  # status rows of about 60 bytes: 12 MB at most
+#: Characters that a folder name of a partition can't have as they are, and what stands for them.
+_ESCAPED = '%"#\'*/:=?\\\x7f{[]^' + "".join(map(chr, range(1, 32)))
 
 
-def by_verdict(df: DataFrame, verdicts: DataFrame, batch: Batch = None, verdict_count: int | None = None) -> DataFrame:
+def by_verdict(df: DataFrame, verdicts: DataFrame, batch: Batch = None) -> DataFrame:
     """Attach ``batch_key`` and ``status`` to every row.
 
-    With a counted number of verdicts below the bound the statuses are broadcast and
-    the data is not moved. Beyond it, or uncounted, this is an ordinary join on the
-    batch: adaptive execution broadcasts a side it measured to be small, and otherwise
-    cuts the partition of a hot batch into pieces by size. Rows are not salted by
-    content, since a hot batch may consist of copies, nor by a random number, which
-    would differ when a lost task runs again.
+    An ordinary join on the batch, whose text is never null: adaptive execution broadcasts
+    a side it measured to be small, and otherwise cuts the partition of a hot batch into
+    pieces by size. Rows are not salted by content, since a hot batch may consist of copies,
+    nor by a random number, which would differ when a lost task runs again.
     """
     rows = df.withColumn("batch_key", batch_of(batch))
     if batch is None:  # one verdict for all rows: nothing to join
         one = verdicts.select("status").first()
         return rows.withColumn("status", F.lit(one["status"])) if one else rows.withColumn("status", F.lit("")).limit(0)
-    status = verdicts.select(F.col("batch").alias("batch_key"), "status")
-    if verdict_count is not None and verdict_count <= BROADCAST_BATCHES:
-        status = F.broadcast(status)
-    return rows.join(status, "batch_key")
+    return rows.join(verdicts.select(F.col("batch").alias("batch_key"), "status"), "batch_key")
+
+
+def folder_of(batch: Column) -> Column:
+    """The name of a batch's folder as the writer makes it."""
+    text = batch
+    for c in _ESCAPED:
+        text = F.replace(text, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.concat(F.lit("batch_key="), text)
 
 
 def destination() -> Column:
@@ -35,8 +39,12 @@ def destination() -> Column:
 
 
 def write_batches(rows: DataFrame, path: str) -> None:
-    """Write rows into one folder per batch; a batch written again replaces itself."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_key").parquet(path)
+    """Write rows into one folder per batch; a batch written again replaces itself.
+
+    Rows are first brought together by batch. Adaptive execution joins small batches in a task and
+    cuts large ones, so the number of files follows the data and not tasks times batches.
+    """
+    rows.hint("rebalance", "batch_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_key").parquet(path)
 
 
 def load_failure(error: str) -> tuple[str, str]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from sluicework.session import small_frame
+from sluicework.session import remove, small_frame
 
 SCHEMAS = {
     "metric_history": "run_id string, timestamp timestamp, dataset_name string, metric_name string, "
@@ -25,6 +25,15 @@ SCHEMAS = {
 }
 
 
+#: What a row of a table is about. Of rows with one key, as a repeated run appends them, readers see the newest.
+KEYS = {
+    "metric_history": ["dataset_name", "run_id", "metric_name"],
+    "run_history": ["dataset_name", "run_id"],
+    "quarantine_reports": ["dataset_name", "batch", "timestamp"],
+    "staging_log": ["dataset_name", "batch", "timestamp"],
+}
+
+
 def latest_baselines(events: DataFrame) -> DataFrame:
     """The newest baseline per dataset and metric."""
     rest = [c for c in events.columns if c not in ("dataset_name", "metric_name")]
@@ -65,18 +74,36 @@ class Store:
     def append(self, table: str, rows: DataFrame) -> None:
         schema = T.DataType.fromDDL(SCHEMAS[table])
         typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        typed = typed.withColumn("recorded_at", F.current_timestamp())
         typed.write.mode("append").partitionBy("dataset_name").parquet(self.path(table))
 
     def read(self, table: str, dataset: str | None = None) -> DataFrame:
-        """The table as appended; a dataset name prunes to its folder."""
+        """The newest row of each key, or all rows of a table without one; a dataset name prunes to its folder."""
         schema = T.DataType.fromDDL(SCHEMAS[table])
+        stored = T.DataType.fromDDL(SCHEMAS[table] + ", recorded_at timestamp")
         try:
-            rows = self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
+            rows = self.spark.read.schema(stored).parquet(self.path(table)).select(*stored.names)
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
-            rows = small_frame(self.spark, [], SCHEMAS[table])  # nothing appended yet
-        return rows if dataset is None else rows.where(F.col("dataset_name") == dataset)
+            return small_frame(self.spark, [], SCHEMAS[table])  # nothing appended yet
+        if dataset is not None:
+            rows = rows.where(F.col("dataset_name") == dataset)
+        keys = KEYS.get(table)
+        if keys is None:
+            return rows.select(*schema.names)
+        rest = [c for c in schema.names if c not in keys]
+        newest = F.max_by(F.struct(*rest), F.struct("recorded_at", *rest))
+        return rows.groupBy(*keys).agg(newest.alias("r")).select(*[c if c in keys else f"r.{c}" for c in schema.names])
+
+    def compact(self, table: str) -> None:
+        """Rewrite a table that many runs have appended to, a few files for each dataset. No run may write meanwhile."""
+        folder = f"{self.root}/_compact"
+        self.spark.read.parquet(self.path(table)).hint("rebalance", "dataset_name").write.mode("overwrite").partitionBy(
+            "dataset_name").parquet(folder)
+        self.spark.read.parquet(folder).hint("rebalance", "dataset_name").write.mode("overwrite").partitionBy(
+            "dataset_name").parquet(self.path(table))
+        remove(self.spark, folder)
 
     def baselines(self) -> DataFrame:
         return latest_baselines(self.read("learned_thresholds"))

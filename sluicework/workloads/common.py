@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluicework.contracts import Contract
 from sluicework.operators import anomaly, profile as P
-from sluicework.session import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,10 +39,10 @@ ORDERS = Contract.from_dict(
             "min_rows": 3,
             "max_rows": 1000000000,
             "custom_checks": [
-                {"name": "No Future Orders", "sql_condition": "o_orderdate <= now()", "severity": "error"},
-                {"name": "High Value Flag",
-                 "sql_condition": "o_totalprice < 400000 OR (o_totalprice >= 400000 AND o_orderstatus = 'F')",
-                 "severity": "warning"},
+                {"name": "Open Orders Are Young", "severity": "error",
+                 "sql_condition": "o_orderstatus <> 'O' OR o_orderdate >= now() - INTERVAL 2000 DAYS"},
+                {"name": "Urgency Covers Handling", "severity": "warning",
+                 "sql_condition": "o_orderpriority NOT LIKE '1-%' OR o_totalprice > 20000"},
             ],
         },
         "columns": [
@@ -58,6 +57,9 @@ ORDERS = Contract.from_dict(
     "orders",
 )
 
+#: The custom checks of orders in SQL, with the clock pinned.
+ORDER_CHECKS_SQL = [c.condition.replace("now()", AS_OF_SQL) for c in ORDERS.checks]
+
 LINEITEM = Contract.from_dict(
     {
         "info": {"owner": "Shipping", "domain": "logistics", "version": "2.0.0"},
@@ -123,14 +125,14 @@ CONTRACTS = {c.dataset: c for c in (ORDERS, LINEITEM, EVENTS, DOCUMENTS)}
 
 
 def shipping_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily metrics of shipments, one dataset per return flag, kept as a table like any metric history."""
+    """Daily metrics of shipments, one dataset per return flag."""
     rows = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("lineitem_"), "l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("day"),
         "l_extendedprice", F.nullif("l_tax", F.lit(0.08)).alias("l_tax"))
     summary = P.summarise(rows, Contract("shipping"), ["flag", "day"], distinct="none")
     metrics = P.metric_rows(summary).where(~F.col("metric_name").isin("null_rate_flag", "null_rate_day"))
     parts = F.split("batch", r"\|")
-    return durable(anomaly.as_history(metrics, parts[0], F.to_timestamp(parts[1]), F.col("batch")))
+    return anomaly.as_history(metrics, parts[0], F.to_timestamp(parts[1]), F.col("batch"))
 
 
 SHIPPING_SQL = """
@@ -179,7 +181,7 @@ scored AS (
 
 
 def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run log derived from orders, one run per priority and day, kept as a table like any run history."""
+    """A run log derived from orders, one run per priority and day."""
     o = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
     n = F.count(F.lit(1))
     agg = o.groupBy(F.concat(F.lit("orders_"), F.substring("o_orderpriority", 1, 1)).alias("dataset_name"), "day").agg(
@@ -189,14 +191,14 @@ def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod(F.sum("o_custkey"), F.lit(5000)).cast("int").alias("duration_ms"),
     )
     status = F.when(F.col("quality_score") < 50, "BLOCKED").when(F.col("quality_score") < 80, "WARNING").otherwise("PASSED")
-    return durable(agg.select(
+    return agg.select(
         F.concat_ws("|", "dataset_name", F.col("day").cast("string")).alias("run_id"),
         F.col("day").cast("timestamp").alias("timestamp"), "dataset_name", status.alias("status"), "quality_score",
         "anomaly_count", "z_score_max",
         F.concat(F.lit("Run of "), F.col("dataset_name"), F.lit(" on "), F.col("day").cast("string"),
                  F.lit(" ended as "), status, F.lit(" after comparing all of its rows with the contract")).alias("reason"),
         "duration_ms",
-    ))
+    )
 
 
 RUNS_SQL = """

@@ -54,24 +54,26 @@ def global_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("anomaly_scores", f"""WITH {REPLAY_SQL}
 SELECT run_id, dataset_name, metric_name, baseline_type,
-  ROUND(COALESCE(baseline_std / NULLIF(baseline_mean, 0), 0.0), 6) AS spread, ROUND(z, 4) AS z_score, abs(z) > 3.0 AS is_anomaly
+  ROUND(metric_value, 4) AS metric_value, ROUND(baseline_mean, 4) AS baseline_mean, ROUND(baseline_std, 4) AS baseline_std, ROUND(z, 4) AS z_score, abs(z) > 3.0 AS is_anomaly
 FROM scored""")
 def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.replay(shipping_history(spark, sf_dir)).select(
         "run_id", "dataset_name", "metric_name", "baseline_type",
-        F.round(F.coalesce(F.try_divide("baseline_std", "baseline_mean"), F.lit(0.0)), 6).alias("spread"),
-        F.round("z_score", 4).alias("z_score"), "is_anomaly")
+        *[F.round(c, 4).alias(c) for c in ("metric_value", "baseline_mean", "baseline_std", "z_score")], "is_anomaly")
 
 
 @query("anomaly_report", f"""WITH {REPLAY_SQL}
 SELECT run_id, metric_name, 'CRITICAL' AS severity, ROUND(z, 2) AS z_score,
   'CRITICAL ANOMALY: Z-Score ' || printf('%.2f', z) || ' > 3.0' AS reason,
-  'Expected ±' || printf('%.2f', 3 * baseline_std) AS context
+  ROUND(baseline_mean, 2) AS baseline_mean, ROUND(baseline_std, 2) AS baseline_std,
+  'Expected ' || printf('%.2f', ROUND(baseline_mean, 2)) || ' ±' || printf('%.2f', ROUND(3 * baseline_std, 2)) || ', got '
+    || printf('%.4f', ROUND(metric_value, 4)) AS context
 FROM scored WHERE abs(z) > 3.0""")
 def anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = anomaly.report(anomaly.replay(shipping_history(spark, sf_dir))).where("is_anomaly")
-    return found.select("run_id", "metric_name", "severity", "z_score", "reason",
-                        F.regexp_replace("context", r"-?\d+\.\d+ (±[\d.]+), got .*$", "$1").alias("context"))
+    value = F.format_string("%.4f", F.round("metric_value", 4))  # the engines write out a double in different ways
+    return found.select("run_id", "metric_name", "severity", "z_score", "reason", "baseline_mean", "baseline_std",
+                        F.concat(F.regexp_extract("context", r"^(.*, got )", 1), value).alias("context"))
 
 
 @query("run_anomaly_status", f"""WITH {REPLAY_SQL}
@@ -96,23 +98,25 @@ b AS (SELECT f.*, CASE WHEN s.n >= 3 THEN 'seasonal' WHEN g.n >= 3 THEN 'global'
   FROM fresh f LEFT JOIN s USING (dataset_name, metric_name, day_of_week) LEFT JOIN g USING (dataset_name, metric_name)),
 z AS (SELECT *, CASE WHEN baseline_type = 'initializing' THEN 0.0 WHEN std = 0 THEN CASE WHEN metric_value = mean THEN 0.0 WHEN metric_value > mean THEN 10.0 ELSE -10.0 END
   ELSE (metric_value - mean) / std END AS z FROM b)
-SELECT run_id, metric_name, baseline_type, ROUND(z, 4) AS z_score, abs(z) > 3.0 AS is_anomaly FROM z""")
+SELECT run_id, metric_name, baseline_type, ROUND(mean, 4) AS baseline_mean, ROUND(std, 4) AS baseline_std, ROUND(z, 4) AS z_score,
+  abs(z) > 3.0 AS is_anomaly FROM z""")
 def evaluate_against_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = shipping_history(spark, sf_dir)
     cut = F.lit("2001-01-01").cast("timestamp")
     scored = anomaly.evaluate(history.where(F.col("timestamp") >= cut), history.where(F.col("timestamp") < cut))
-    return scored.select("run_id", "metric_name", "baseline_type", F.round("z_score", 4).alias("z_score"), "is_anomaly")
+    return scored.select("run_id", "metric_name", "baseline_type",
+                         *[F.round(c, 4).alias(c) for c in ("baseline_mean", "baseline_std", "z_score")], "is_anomaly")
 
 
 def _band_rows(df: DataFrame) -> DataFrame:
     outside = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
-    return df.select("dataset_name", "run_id", outside.alias("outside"), F.round(F.col("value") / F.col("mean"), 6).alias("ratio"),
-                     *[F.round(c, 4).alias(c) for c in ("mean", "lower", "upper")])
+    return df.select("dataset_name", "run_id", outside.alias("outside"),
+                     *[F.round(c, 4).alias(c) for c in ("value", "mean", "lower", "upper")])
 
 
 @query("control_band", f"""WITH {SHIPPING_SQL},
 c AS (SELECT dataset_name, AVG(metric_value) AS m, STDDEV_SAMP(metric_value) AS sd FROM history WHERE metric_name = 'row_count' GROUP BY 1)
-SELECT dataset_name, run_id, metric_value < m - 3 * sd OR metric_value > m + 3 * sd AS outside, ROUND(metric_value / m, 6) AS ratio, ROUND(m, 4) AS mean, ROUND(m - 3 * sd, 4) AS lower, ROUND(m + 3 * sd, 4) AS upper
+SELECT dataset_name, run_id, metric_value < m - 3 * sd OR metric_value > m + 3 * sd AS outside, ROUND(metric_value, 4) AS value, ROUND(m, 4) AS mean, ROUND(m - 3 * sd, 4) AS lower, ROUND(m + 3 * sd, 4) AS upper
 FROM history JOIN c USING (dataset_name) WHERE metric_name = 'row_count'""")
 def control_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _band_rows(anomaly.control_band(shipping_history(spark, sf_dir)))
@@ -122,7 +126,7 @@ def control_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 old AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset_name ORDER BY ts, run_id) AS r FROM history
   WHERE metric_name = 'mean_l_extendedprice') WHERE r <= 100),
 c AS (SELECT dataset_name, AVG(metric_value) AS m, STDDEV_SAMP(metric_value) AS sd FROM old GROUP BY 1)
-SELECT dataset_name, run_id, metric_value < m - 2 * sd OR metric_value > m + 2 * sd AS outside, ROUND(metric_value / m, 6) AS ratio, ROUND(m, 4) AS mean, ROUND(m - 2 * sd, 4) AS lower, ROUND(m + 2 * sd, 4) AS upper
+SELECT dataset_name, run_id, metric_value < m - 2 * sd OR metric_value > m + 2 * sd AS outside, ROUND(metric_value, 4) AS value, ROUND(m, 4) AS mean, ROUND(m - 2 * sd, 4) AS lower, ROUND(m + 2 * sd, 4) AS upper
 FROM old JOIN c USING (dataset_name)""")
 def drift_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _band_rows(anomaly.drift_band(shipping_history(spark, sf_dir), "mean_l_extendedprice"))

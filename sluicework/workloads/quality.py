@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluicework.contracts import Contract, declared_columns, rule_table
 from sluicework.operators import profile as P, schema as S
-from sluicework.session import shared_folder
+from sluicework.session import fresh_folder
 from sluicework.sources import readers
-from sluicework.workloads.common import AS_OF, AS_OF_SQL, CONTRACTS, DOCUMENTS, EVENTS, LINEITEM, ORDERS, query, table
+from sluicework.workloads.common import AS_OF, AS_OF_SQL, ORDER_CHECKS_SQL, CONTRACTS, DOCUMENTS, EVENTS, LINEITEM, ORDERS, query, table
 
 _DECLARED = ", ".join(
     f"('{k.dataset}', '{c.name}', '{c.declared}')" for k in CONTRACTS.values() for c in k.columns)
@@ -136,7 +135,7 @@ def _profile_sql(tab: str, cols: list[tuple[str, bool]], batch: str = "'all'") -
 
 
 def _profiled(df: DataFrame, contract, batch=None) -> DataFrame:
-    profiles = P.profile(P.summarise(df, contract, batch, metrics=False, as_of=AS_OF), contract)
+    profiles = P.profile(P.summarise(df, contract, batch, metrics=False, as_of=AS_OF, distinct="exact"), contract)
     flat = profiles.select("batch", "total_rows", F.inline("columns"))
     return flat.select(
         "batch", "column_name", "total_rows", "null_count", F.round("null_rate", 6).alias("null_rate"), "unique_count",
@@ -332,13 +331,12 @@ m AS (
   UNION ALL SELECT batch, 'column', 'o_custkey', 'range', '', COUNT(*) FILTER (WHERE o_custkey < 10) FROM o GROUP BY 1
   UNION ALL SELECT batch, 'column', 'o_totalprice', 'range', '',
          COUNT(*) FILTER (WHERE o_totalprice < 5000 OR o_totalprice > 450000) FROM o GROUP BY 1
-  UNION ALL SELECT batch, 'dataset', '', 'sql', 'No Future Orders', COUNT(*) FILTER (WHERE NOT (o_orderdate <= @asof)) FROM o GROUP BY 1
-  UNION ALL SELECT batch, 'dataset', '', 'sql', 'High Value Flag',
-         COUNT(*) FILTER (WHERE NOT (o_totalprice < 400000 OR (o_totalprice >= 400000 AND o_orderstatus = 'F'))) FROM o GROUP BY 1
+  UNION ALL SELECT batch, 'dataset', '', 'sql', 'Open Orders Are Young', COUNT(*) FILTER (WHERE NOT (@check0)) FROM o GROUP BY 1
+  UNION ALL SELECT batch, 'dataset', '', 'sql', 'Urgency Covers Handling', COUNT(*) FILTER (WHERE NOT (@check1)) FROM o GROUP BY 1
   UNION ALL SELECT batch, 'column', 'o_orderdate', 'freshness', '',
          CASE WHEN MAX(o_orderdate) >= @asof - INTERVAL 24 HOURS THEN 0 ELSE 1 END FROM o GROUP BY 1)
 SELECT 'orders' AS dataset, batch, scope, column_name, rule, check_name, v AS violation_count, v = 0 AS passed FROM m
-""".replace("@asof", AS_OF_SQL))
+""".replace("@asof", AS_OF_SQL).replace("@check0", ORDER_CHECKS_SQL[0]).replace("@check1", ORDER_CHECKS_SQL[1]))
 def rule_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders")
     batch = F.date_format("o_orderdate", "yyyy")
@@ -411,7 +409,7 @@ def text_date_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders table written in each file format and read back through the one loader."""
     orders = table(spark, sf_dir, "orders")
-    root = f"{shared_folder(spark)}/sluicework/{uuid.uuid4().hex}"
+    root = fresh_folder(spark)
     orders.createOrReplaceTempView("sluicework_orders")
     orders.write.option("header", True).csv(f"{root}/csv")
     orders.write.json(f"{root}/json")

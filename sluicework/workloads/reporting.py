@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluicework.operators import schema as S
 from sluicework.plans import reports as R
-from sluicework.session import durable
 from sluicework.sources import landing
 from sluicework.sources.store import latest_registry
 from sluicework.workloads.common import (
@@ -152,24 +151,6 @@ def unchanged_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("dataset", "mtime", "unchanged", "stale", F.round("age_hours", 4).alias("age_hours"))
 
 
-@query("evaluate_all_summary", f"""WITH {RUNS_SQL}, {_REGISTRY_SQL},
-res AS (
-  SELECT r.dataset_name, CASE WHEN r.scan_count < 3 THEN 'SKIPPED' WHEN r.last_file_mtime > 450000 THEN 'UNCHANGED'
-    WHEN r.last_status = 'F' THEN 'PASSED' WHEN r.last_status = 'O' THEN 'WARNING' ELSE 'BLOCKED' END AS status FROM registry r
-  UNION ALL SELECT run_id, status FROM runs)
-SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE status = 'PASSED') AS passed, COUNT(*) FILTER (WHERE status = 'WARNING') AS warning,
-  COUNT(*) FILTER (WHERE status = 'BLOCKED') AS blocked, COUNT(*) FILTER (WHERE status = 'SKIPPED') AS skipped,
-  COUNT(*) FILTER (WHERE status = 'UNCHANGED') AS unchanged FROM res""")
-def evaluate_all_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = latest_registry(_registry_events(spark, sf_dir))
-    status = (
-        F.when(F.col("scan_count") < 3, "SKIPPED").when(F.col("last_file_mtime") > 450000, "UNCHANGED")
-        .when(F.col("last_status") == "F", "PASSED").when(F.col("last_status") == "O", "WARNING").otherwise("BLOCKED"))
-    results = r.select(F.col("dataset_name").alias("dataset"), status.alias("status"))
-    runs = order_runs(spark, sf_dir).select(F.col("run_id").alias("dataset"), "status")
-    return R.summary_counts(results.unionByName(runs))
-
-
 @query("dataset_pulse", f"""WITH {RUNS_SQL},
 d AS (SELECT DISTINCT 'orders_' || substr(o_orderpriority, 1, 1) AS dataset, MIN(o_orderpriority) OVER (PARTITION BY substr(o_orderpriority, 1, 1)) AS owner FROM orders
   UNION ALL SELECT DISTINCT 'segment_' || c_mktsegment, c_mktsegment FROM customer),
@@ -224,10 +205,10 @@ snap AS (SELECT c_mktsegment AS dataset, CAST(year(o_orderdate) * 100 + month(o_
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("int")
-    return durable(o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(
         F.col("c_mktsegment").alias("dataset"), month.alias("version"),
         F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("column_name"),
-    ).agg(F.min("o_orderstatus").alias("data_type")))
+    ).agg(F.min("o_orderstatus").alias("data_type"))
 
 
 @query("schema_change_log", f"""WITH {_SNAP_SQL},
@@ -244,12 +225,13 @@ def schema_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("contract_evolution_guard", f"""WITH {_SNAP_SQL},
-old AS (SELECT DISTINCT dataset, column_name FROM snap WHERE version < 199801), new AS (SELECT DISTINCT dataset, column_name FROM snap WHERE version >= 200104)
-SELECT o.dataset, COUNT(*) FILTER (WHERE n.dataset IS NULL) AS removed_columns, COUNT(*) FILTER (WHERE n.dataset IS NULL) = 0 AS accepted
-FROM old o LEFT JOIN new n ON o.dataset = n.dataset AND o.column_name = n.column_name GROUP BY 1""")
+steps AS (SELECT dataset, version, LEAD(version) OVER (PARTITION BY dataset ORDER BY version) AS next FROM (SELECT DISTINCT dataset, version FROM snap)),
+old AS (SELECT s.dataset, st.next AS version, s.column_name FROM snap s JOIN steps st ON s.dataset = st.dataset AND s.version = st.version WHERE st.next IS NOT NULL)
+SELECT o.dataset, o.version, COUNT(*) FILTER (WHERE n.dataset IS NULL) AS removed_columns, COUNT(*) FILTER (WHERE n.dataset IS NULL) = 0 AS accepted
+FROM old o LEFT JOIN snap n ON o.dataset = n.dataset AND o.version = n.version AND o.column_name = n.column_name GROUP BY 1, 2""")
 def contract_evolution_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snap = _snapshots(spark, sf_dir)
-    return S.keeps_columns(snap.where("version < 199801"), snap.where("version >= 200104"))
+    """Every version against the one before it."""
+    return S.evolution(_snapshots(spark, sf_dir))
 
 
 @query("flow_report", f"""WITH {CONSUMERS_SQL},

@@ -11,9 +11,9 @@ from sluicework.plans.judge import judge
 from sluicework.sources import sinks
 from sluicework.sources.store import SCHEMAS
 from sluicework.workloads.common import (
-    AS_OF, AS_OF_SQL, CONSUMERS_SQL, ORDERS, part_consumers, part_owners, parts, query, table,
+    AS_OF, AS_OF_SQL, CONSUMERS_SQL, ORDER_CHECKS_SQL, ORDERS, part_consumers, part_owners, parts, query, table,
 )
-from sluicework.session import small_frame
+from sluicework.session import fresh_folder, small_frame
 
 _IMPACT_SQL = CONSUMERS_SQL + """,
 owned AS (SELECT 'part_' || p_partkey AS dataset, p_brand AS owner FROM part WHERE p_size > 5),
@@ -147,17 +147,17 @@ def verdict_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALERTS = {
-    "channels": {"chat_general": {"type": "slack"}, "on_call": {"type": "pagerduty"}},
+    "channels": {"desk_room": {"type": "slack"}, "audit_room": {"type": "slack"}, "night_shift": {"type": "pagerduty"}},
     "routing": {
-        "BLOCKED": {"channels": ["on_call", "chat_general"], "required_criticality": ["HIGH", "CRITICAL"]},
-        "DEFAULT": {"channels": ["chat_general", "not_configured"]},
+        "WARNING": {"channels": ["desk_room"], "required_criticality": ["MEDIUM", "HIGH", "CRITICAL"]},
+        "DEFAULT": {"channels": ["night_shift", "retired_room", "audit_room"]},
     },
 }
 
 _ALERT_SQL = _MATRIX_SQL + """,
-rules AS (SELECT * FROM (VALUES ('BLOCKED', ['on_call', 'chat_general'], ['HIGH', 'CRITICAL']),
-  ('DEFAULT', ['chat_general', 'not_configured'], CAST([] AS VARCHAR[]))) AS r(rule, channels, required)),
-chans AS (SELECT * FROM (VALUES ('chat_general', 'slack'), ('on_call', 'pagerduty')) AS c(channel, channel_type)),
+rules AS (SELECT * FROM (VALUES ('WARNING', ['desk_room'], ['MEDIUM', 'HIGH', 'CRITICAL']),
+  ('DEFAULT', ['night_shift', 'retired_room', 'audit_room'], CAST([] AS VARCHAR[]))) AS r(rule, channels, required)),
+chans AS (SELECT * FROM (VALUES ('desk_room', 'slack'), ('audit_room', 'slack'), ('night_shift', 'pagerduty')) AS c(channel, channel_type)),
 ruled AS (SELECT v.*, CASE WHEN v.status IN (SELECT rule FROM rules) THEN v.status ELSE 'DEFAULT' END AS rule FROM verdicts v WHERE status <> 'PASSED'),
 fanned AS (SELECT x.*, unnest(r.channels) AS channel FROM ruled x JOIN rules r USING (rule)
   WHERE len(r.required) = 0 OR list_contains(r.required, x.criticality)),
@@ -177,9 +177,15 @@ def alert_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.select("dataset", "status", "criticality", "owner", "rule", "channel", "channel_type", "message")
 
 
-LINEAGE = {"datasets": {"orders": {"owner": "order-desk", "consumers": [
-    {"name": "Revenue Board", "type": "dashboard", "owner": "Finance", "criticality": "HIGH"},
-    {"name": "Demand Model", "type": "ml_model", "owner": "Planning", "criticality": "MEDIUM"}]}}}
+def order_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who depends on orders, derived from the tables: each market segment, and the first region as owner."""
+    segments = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.min("c_custkey").cast("int").alias("position"))
+    consumers = segments.select(
+        F.lit("orders").alias("dataset"), "position", F.col("c_mktsegment").alias("consumer"), F.lit("segment").alias("type"),
+        F.lower("c_mktsegment").alias("owner"), F.when(F.col("c_mktsegment") < "F", "HIGH").otherwise("MEDIUM").alias("criticality"))
+    owners = table(spark, sf_dir, "region").agg(F.min("r_name").alias("owner")).select(F.lit("orders").alias("dataset"), "owner")
+    return L.impact(small_frame(spark, [("orders",)], "dataset string"), consumers, owners)
+
 
 _ORDER_SQL = f"""
 o AS (
@@ -187,8 +193,8 @@ o AS (
     COUNT(DISTINCT o_orderkey) AS u, COUNT(*) FILTER (WHERE o_custkey < 10) AS b_cust, COUNT(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS b_status,
     COUNT(*) FILTER (WHERE o_totalprice < 5000) + COUNT(*) FILTER (WHERE o_totalprice > 450000) AS b_price,
     COUNT(*) FILTER (WHERE NOT regexp_matches(o_orderpriority, '^(?:^[1-4]-[A-Z]+)')) AS b_prio,
-    COUNT(*) FILTER (WHERE NOT (o_orderdate <= {AS_OF_SQL})) AS k1,
-    COUNT(*) FILTER (WHERE NOT (o_totalprice < 400000 OR (o_totalprice >= 400000 AND o_orderstatus = 'F'))) AS k2,
+    COUNT(*) FILTER (WHERE NOT ({ORDER_CHECKS_SQL[0]})) AS k1,
+    COUNT(*) FILTER (WHERE NOT ({ORDER_CHECKS_SQL[1]})) AS k2,
     AVG(o_orderkey) AS m_key, AVG(o_custkey) AS m_cust, AVG(o_totalprice) AS m_price
   FROM orders GROUP BY 1, 2),
 q AS (
@@ -210,7 +216,11 @@ framed AS (
 zs AS (
   SELECT run_id, CASE WHEN s_n >= 3 THEN CASE WHEN s_lo = s_hi THEN CASE WHEN v = s_lo THEN 0.0 WHEN v > s_lo THEN 10.0 ELSE -10.0 END ELSE (v - s_m) / s_sd END
     WHEN g_n >= 3 THEN CASE WHEN g_lo = g_hi THEN CASE WHEN v = g_lo THEN 0.0 WHEN v > g_lo THEN 10.0 ELSE -10.0 END ELSE (v - g_m) / g_sd END
-    ELSE 0.0 END AS z FROM framed),
+    ELSE 0.0 END AS z, metric_name, v,
+    CASE WHEN s_n >= 3 THEN CASE WHEN s_lo = s_hi THEN s_lo ELSE s_m END WHEN g_n >= 3 THEN CASE WHEN g_lo = g_hi THEN g_lo ELSE g_m END ELSE 0.0 END AS m
+  FROM framed),
+found AS (SELECT run_id AS batch, string_agg(metric_name || ' ' || printf('%.2f', ROUND(z, 2)) || ' of ' || printf('%.2f', ROUND(m, 2)), ', ' ORDER BY metric_name) AS anomalies
+  FROM zs WHERE abs(z) > 3 GROUP BY 1),
 st AS (SELECT run_id AS batch, COUNT(*) FILTER (WHERE abs(z) > 3) AS a0, COALESCE(MAX(abs(ROUND(z, 2))) FILTER (WHERE abs(z) > 3), 0.0) AS z0 FROM zs GROUP BY 1),
 br AS (
   SELECT q.*, a0, z0, CASE WHEN score < 50 THEN 'quality_blocked' WHEN a0 > 0 AND z0 > 3.0 THEN 'anomaly_blocked'
@@ -224,25 +234,28 @@ judged AS (
       WHEN 'quality_warning' THEN 'Data Quality Score below threshold: ' || printf('%.1f', ROUND(score, 1)) || '% (threshold: 80%)'
       ELSE 'All checks passed.' END AS reason,
     ROUND(score, 6) AS quality_score, CAST(CASE WHEN branch = 'quality_blocked' THEN 0 ELSE a0 END AS INTEGER) AS anomaly_count,
-    CASE WHEN branch = 'quality_blocked' THEN 0.0 ELSE z0 END AS max_z, 'HIGH' AS criticality, 'order-desk' AS owner, k1, k2
+    CASE WHEN branch = 'quality_blocked' THEN 0.0 ELSE z0 END AS max_z, 'HIGH' AS criticality, (SELECT MIN(r_name) FROM region) AS owner, k1, k2
   FROM br)
 """
 
 
 def order_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every day of orders judged in one go, each against the days before it."""
-    consumers, _, owners = L.edges(spark, LINEAGE)
-    dataset = small_frame(spark, [("orders",)], "dataset string")
     history = small_frame(spark, [], SCHEMAS["metric_history"])
     verdicts, _, _ = judge(
-        table(spark, sf_dir, "orders"), ORDERS, history, L.impact(dataset, consumers, owners),
-        batch=F.to_date("o_orderdate"), at=F.to_timestamp("batch"), as_of=AS_OF, against="earlier")
+        table(spark, sf_dir, "orders"), ORDERS, history, order_impact(spark, sf_dir),
+        batch=F.to_date("o_orderdate"), at=F.to_timestamp("batch"), as_of=AS_OF, against="earlier", folder=fresh_folder(spark))
     return verdicts
 
 
-@query("verdict", f"WITH {_ORDER_SQL} SELECT * EXCLUDE (n, k1, k2) FROM judged")
+@query("verdict", f"""WITH {_ORDER_SQL}
+SELECT j.* EXCLUDE (n, k1, k2), COALESCE(anomalies, '') AS anomalies, '' AS new_columns, '' AS missing_columns, 0 AS mismatches
+FROM judged j LEFT JOIN found USING (batch)""")
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.transform("anomalies", lambda a: F.format_string("%s %.2f of %.2f", a["metric_name"], a["z_score"], a["baseline_mean"]))
     return order_verdicts(spark, sf_dir).select(
+        F.array_join(found, ", ").alias("anomalies"), F.array_join("new_columns", ",").alias("new_columns"),
+        F.array_join("missing_columns", ",").alias("missing_columns"), F.size("type_mismatches").alias("mismatches"),
         "batch", "status", "reason", F.round("quality_score", 6).alias("quality_score"), "anomaly_count", "max_z",
         "criticality", "owner")
 
