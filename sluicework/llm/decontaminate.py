@@ -32,10 +32,10 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 QUESTION, ANSWER = 0.6, 0.6
 NGRAM = 3
-BLOCK = 16
+BLOCK = 4
 #: Items of fewer words are read in passages for items of this many.
 SHORTEST = 64
-SHARD_ITEMS, SHARD_BYTES = 2048, 2 << 20
+SHARD_ITEMS, SHARD_BYTES = 1024, 1 << 19
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n+")
 
