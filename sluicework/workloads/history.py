@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sluicework.contracts import Contract
 from sluicework.operators import anomaly, profile as P
@@ -35,6 +35,11 @@ def _rounded(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumns({f"{prefix}_{c}": F.round(f"{prefix}_{c}", 4) for c in ("mean", "std")})
 
 
+def _off_ties(name: str) -> Column:
+    """A figure to four digits; means of round values often end in a five, where engines differ in the last bit."""
+    return F.round(F.col(name) + 1e-9, 4).alias(name)
+
+
 _STATS = """COUNT(*) AS {p}_n, ROUND(CASE WHEN MIN(metric_value) = MAX(metric_value) THEN MIN(metric_value) ELSE AVG(metric_value) END, 4) AS {p}_mean,
   ROUND(CASE WHEN MIN(metric_value) = MAX(metric_value) THEN 0.0 ELSE STDDEV_SAMP(metric_value) END, 4) AS {p}_std"""
 
@@ -54,12 +59,12 @@ def global_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("anomaly_scores", f"""WITH {REPLAY_SQL}
 SELECT run_id, dataset_name, metric_name, baseline_type,
-  ROUND(metric_value, 4) AS metric_value, ROUND(baseline_mean, 4) AS baseline_mean, ROUND(baseline_std, 4) AS baseline_std, ROUND(z, 4) AS z_score, abs(z) > 3.0 AS is_anomaly
+  ROUND(metric_value + 1e-9, 4) AS metric_value, ROUND(baseline_mean + 1e-9, 4) AS baseline_mean, ROUND(baseline_std + 1e-9, 4) AS baseline_std, ROUND(z, 4) AS z_score, abs(z) > 3.0 AS is_anomaly
 FROM scored""")
 def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.replay(shipping_history(spark, sf_dir)).select(
         "run_id", "dataset_name", "metric_name", "baseline_type",
-        *[F.round(c, 4).alias(c) for c in ("metric_value", "baseline_mean", "baseline_std", "z_score")], "is_anomaly")
+        *[_off_ties(c) for c in ("metric_value", "baseline_mean", "baseline_std")], F.round("z_score", 4).alias("z_score"), "is_anomaly")
 
 
 @query("anomaly_report", f"""WITH {REPLAY_SQL}
@@ -98,14 +103,14 @@ b AS (SELECT f.*, CASE WHEN s.n >= 3 THEN 'seasonal' WHEN g.n >= 3 THEN 'global'
   FROM fresh f LEFT JOIN s USING (dataset_name, metric_name, day_of_week) LEFT JOIN g USING (dataset_name, metric_name)),
 z AS (SELECT *, CASE WHEN baseline_type = 'initializing' THEN 0.0 WHEN std = 0 THEN CASE WHEN metric_value = mean THEN 0.0 WHEN metric_value > mean THEN 10.0 ELSE -10.0 END
   ELSE (metric_value - mean) / std END AS z FROM b)
-SELECT run_id, metric_name, baseline_type, ROUND(mean, 4) AS baseline_mean, ROUND(std, 4) AS baseline_std, ROUND(z, 4) AS z_score,
+SELECT run_id, metric_name, baseline_type, ROUND(mean + 1e-9, 4) AS baseline_mean, ROUND(std + 1e-9, 4) AS baseline_std, ROUND(z, 4) AS z_score,
   abs(z) > 3.0 AS is_anomaly FROM z""")
 def evaluate_against_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = shipping_history(spark, sf_dir)
     cut = F.lit("2001-01-01").cast("timestamp")
     scored = anomaly.evaluate(history.where(F.col("timestamp") >= cut), history.where(F.col("timestamp") < cut))
     return scored.select("run_id", "metric_name", "baseline_type",
-                         *[F.round(c, 4).alias(c) for c in ("baseline_mean", "baseline_std", "z_score")], "is_anomaly")
+                         *[_off_ties(c) for c in ("baseline_mean", "baseline_std")], F.round("z_score", 4).alias("z_score"), "is_anomaly")
 
 
 def _band_rows(df: DataFrame) -> DataFrame:

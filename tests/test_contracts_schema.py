@@ -92,11 +92,13 @@ def test_removed_columns_are_refused(spark):
 
 def test_rule_table(spark, test_contract):
     rules = [(r[3], r[2]) for r in rule_rows(test_contract)]
-    assert rules == [("rowCount", None), ("notNull", "id"), ("notNull", "amount"), ("range", "amount"), ("notNull", "status"),
-                     ("notNull", "created_at"), ("freshness", "created_at"), ("sql", None)]
+    assert rules == [("rowCount", None), ("notNull", "crate"), ("notNull", "gross_kg"), ("range", "gross_kg"),
+                     ("notNull", "packed"), ("sql", None)]
+    stamped = contract({"name": "seen", "data_type": "timestamp"})
+    assert [r[3] for r in rule_rows(stamped)] == ["freshness"]
     open_end = contract({"name": "x", "data_type": "int", "min_value": 3}, max_rows=5)
     assert rule_rows(open_end)[0][4:6] == (3.0, float("inf"))  # and no rowCount without min_rows
-    assert rule_table(spark, [test_contract]).count() == 8
+    assert rule_table(spark, [test_contract]).count() == 6
 
 
 def test_discovery_skips_backups_and_reports_errors(spark, tmp_path):

@@ -93,7 +93,7 @@ def test_pulse(spark):
 def test_score_report(dirty, test_contract):
     report = R.score_report(P.profile(P.summarise(dirty, test_contract), test_contract))
     rows = {(r["kind"], r["name"]): (r["score"], r["violations"]) for r in report.collect()}
-    assert rows[("column", "id")] == (50.0, 2) and rows[("check", "Positive Amounts")] == (25.0, 1)
+    assert rows[("column", "crate")] == (60.0, 2) and rows[("check", "Tare Below Gross")] == (20.0, 1)
 
 
 def test_flow_report(spark):
