@@ -116,12 +116,12 @@ def evaluate_against_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _band_rows(df: DataFrame) -> DataFrame:
     outside = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
     return df.select("dataset_name", "run_id", outside.alias("outside"),
-                     *[F.round(c, 4).alias(c) for c in ("value", "mean", "lower", "upper")])
+                     *[_off_ties(c) for c in ("value", "mean", "lower", "upper")])
 
 
 @query("control_band", f"""WITH {SHIPPING_SQL},
 c AS (SELECT dataset_name, AVG(metric_value) AS m, STDDEV_SAMP(metric_value) AS sd FROM history WHERE metric_name = 'row_count' GROUP BY 1)
-SELECT dataset_name, run_id, metric_value < m - 3 * sd OR metric_value > m + 3 * sd AS outside, ROUND(metric_value, 4) AS value, ROUND(m, 4) AS mean, ROUND(m - 3 * sd, 4) AS lower, ROUND(m + 3 * sd, 4) AS upper
+SELECT dataset_name, run_id, metric_value < m - 3 * sd OR metric_value > m + 3 * sd AS outside, ROUND(metric_value + 1e-9, 4) AS value, ROUND(m + 1e-9, 4) AS mean, ROUND(m - 3 * sd + 1e-9, 4) AS lower, ROUND(m + 3 * sd + 1e-9, 4) AS upper
 FROM history JOIN c USING (dataset_name) WHERE metric_name = 'row_count'""")
 def control_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _band_rows(anomaly.control_band(shipping_history(spark, sf_dir)))
@@ -131,7 +131,7 @@ def control_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 old AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset_name ORDER BY ts, run_id) AS r FROM history
   WHERE metric_name = 'mean_l_extendedprice') WHERE r <= 100),
 c AS (SELECT dataset_name, AVG(metric_value) AS m, STDDEV_SAMP(metric_value) AS sd FROM old GROUP BY 1)
-SELECT dataset_name, run_id, metric_value < m - 2 * sd OR metric_value > m + 2 * sd AS outside, ROUND(metric_value, 4) AS value, ROUND(m, 4) AS mean, ROUND(m - 2 * sd, 4) AS lower, ROUND(m + 2 * sd, 4) AS upper
+SELECT dataset_name, run_id, metric_value < m - 2 * sd OR metric_value > m + 2 * sd AS outside, ROUND(metric_value + 1e-9, 4) AS value, ROUND(m + 1e-9, 4) AS mean, ROUND(m - 2 * sd + 1e-9, 4) AS lower, ROUND(m + 2 * sd + 1e-9, 4) AS upper
 FROM old JOIN c USING (dataset_name)""")
 def drift_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _band_rows(anomaly.drift_band(shipping_history(spark, sf_dir), "mean_l_extendedprice"))
