@@ -8,22 +8,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sluicework import fixed_values as fv
 from sluicework.contracts import Contract
 from sluicework.functions.rules import moment
+from sluicework.functions.types import accepted, shown
 from sluicework.functions.verdict import with_verdict
 from sluicework.operators import anomaly, profile as P
-from sluicework.operators.schema import diff_of
 from sluicework.session import durable, small_frame
 
 
 def schema_gate(df: DataFrame, contract: Contract) -> dict:
-    """Schema diff of one dataset as plain lists; only column names travel to the driver."""
-    row = diff_of(df.sparkSession, [contract], {contract.dataset: df.schema}).first()
-    if row is None:
-        return {"missing_columns": [], "new_columns": list(df.columns), "type_mismatches": [], "passed_checks": 0}
+    """Schema diff of one dataset as plain lists, names matched without case; no job runs for two lists of names."""
+    declared = {c.name.lower(): c for c in contract.columns}
+    observed = {f.name.lower(): f for f in df.schema.fields}
+    both = [(declared[k], observed[k].dataType) for k in declared if k in observed]
+    wrong = [(c, kind) for c, kind in both if c.declared not in accepted(kind)]
     return {
-        "missing_columns": row["missing_columns"],
-        "new_columns": row["new_columns"],
-        "type_mismatches": [m.asDict() for m in row["type_mismatches"]],
-        "passed_checks": row["passed_checks"],
+        "missing_columns": sorted(c.name for k, c in declared.items() if k not in observed),
+        "new_columns": sorted(f.name for k, f in observed.items() if k not in declared),
+        "type_mismatches": sorted(
+            ({"column": c.name, "expected": c.declared, "actual": shown(kind)} for c, kind in wrong), key=lambda m: m["column"]),
+        "passed_checks": len(both) - len(wrong),
     }
 
 
