@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sluicework.contracts import Contract
 from sluicework.operators import anomaly, profile as P
+from sluicework.session import durable, fresh_folder
 from sluicework.sources.store import latest_baselines
 from sluicework.workloads.common import REPLAY_SQL, SHIPPING_SQL, query, shipping_history, table
 
@@ -35,6 +36,11 @@ def _rounded(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumns({f"{prefix}_{c}": F.round(f"{prefix}_{c}", 4) for c in ("mean", "std")})
 
 
+def _stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipping history as a table: a replay reads it several times."""
+    return durable(shipping_history(spark, sf_dir), fresh_folder(spark))
+
+
 def _off_ties(name: str) -> Column:
     """A figure to four digits; means of round values often end in a five, where engines differ in the last bit."""
     return F.round(F.col(name) + 1e-9, 4).alias(name)
@@ -62,7 +68,7 @@ SELECT run_id, dataset_name, metric_name, baseline_type,
   ROUND(metric_value + 1e-9, 4) AS metric_value, ROUND(baseline_mean + 1e-9, 4) AS baseline_mean, ROUND(baseline_std + 1e-9, 4) AS baseline_std, ROUND(z, 4) AS z_score, abs(z) > 3.0 AS is_anomaly
 FROM scored""")
 def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomaly.replay(shipping_history(spark, sf_dir)).select(
+    return anomaly.replay(_stored_history(spark, sf_dir)).select(
         "run_id", "dataset_name", "metric_name", "baseline_type",
         *[_off_ties(c) for c in ("metric_value", "baseline_mean", "baseline_std")], F.round("z_score", 4).alias("z_score"), "is_anomaly")
 
@@ -75,7 +81,7 @@ SELECT run_id, metric_name, 'CRITICAL' AS severity, ROUND(z, 2) AS z_score,
     || printf('%.4f', ROUND(metric_value, 4)) AS context
 FROM scored WHERE abs(z) > 3.0""")
 def anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = anomaly.report(anomaly.replay(shipping_history(spark, sf_dir))).where("is_anomaly")
+    found = anomaly.report(anomaly.replay(_stored_history(spark, sf_dir))).where("is_anomaly")
     value = F.format_string("%.4f", F.round("metric_value", 4))  # the engines write out a double in different ways
     return found.select("run_id", "metric_name", "severity", "z_score", "reason", "baseline_mean", "baseline_std",
                         F.concat(F.regexp_extract("context", r"^(.*, got )", 1), value).alias("context"))
@@ -87,7 +93,7 @@ SELECT dataset_name, run_id, CASE WHEN bool_or(abs(z) > 3.0) THEN 'ANOMALY_DETEC
   COALESCE(MAX(abs(ROUND(z, 2))) FILTER (WHERE abs(z) > 3.0), 0.0) AS max_z
 FROM scored GROUP BY 1, 2""")
 def run_anomaly_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomaly.run_status(anomaly.replay(shipping_history(spark, sf_dir)))
+    return anomaly.run_status(anomaly.replay(_stored_history(spark, sf_dir)))
 
 
 @query("evaluate_against_history", f"""WITH {SHIPPING_SQL},
@@ -143,7 +149,7 @@ SELECT dataset_name, metric_name, ROUND(baseline_mean, 4) AS baseline_mean, ROUN
   CAST(CAST(ts AS DATE) AS VARCHAR) AS last_updated, CASE WHEN baseline_type = 'seasonal' THEN s_n ELSE g_n END AS sample_count
 FROM last WHERE r = 1""")
 def latest_baselines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learnt = anomaly.learned_thresholds(anomaly.replay(shipping_history(spark, sf_dir)))
+    learnt = anomaly.learned_thresholds(anomaly.replay(_stored_history(spark, sf_dir)))
     return latest_baselines(learnt).select(
         "dataset_name", "metric_name", F.round("baseline_mean", 4).alias("baseline_mean"),
         F.round("baseline_std", 4).alias("baseline_std"), "baseline_type",
