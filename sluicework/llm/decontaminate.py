@@ -6,7 +6,8 @@ could stand lies whole in one passage. A passage asks for all items whose BM25 s
 the score that the item gives itself. Items stand in blocks of `BLOCK`; for each term and block the
 index has the largest impact, and a block whose bounds over a passage's terms add up to less than the
 threshold is passed over unread. In the blocks left, WAND moves over the postings from pivot to pivot.
-Hits count if the passage also has enough of the word n-grams of the item's question and its answer.
+Hits count if the passage also has enough of the word n-grams of the item's question and its answer; of
+a short part, of its words in order.
 
 Items are indexed in shards of bounded size, and texts are read once for each shard: the index that
 goes to the executors never outgrows `SHARD_ITEMS` items and about `SHARD_BYTES` of text.
@@ -32,6 +33,10 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 QUESTION, ANSWER = 0.6, 0.6
 NGRAM = 3
+#: Parts of fewer words are compared by their words in order: of their n-grams, one changed word leaves too few.
+FEW = 10
+#: An answer of fewer words is too short to bear a changed word, or to be told from its absence.
+LEAST_ANSWER, LEAST_QUESTION = 4, 4
 BLOCK = 4
 #: Items of fewer words are read in passages for items of this many.
 SHORTEST = 64
@@ -45,13 +50,18 @@ def words_of(text: str) -> list[str]:
 
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
-    """(question, answer) as words: the last sentence answers; of a single sentence, the last third of its words."""
+    """(question, answer) as words: the last sentence answers; of a single sentence, the last third of its words.
+
+    An answer below `LEAST_ANSWER` words is lengthened to `FEW` by the words before it. If that leaves fewer than
+    `LEAST_QUESTION` words of question, or the question has fewer, the item is one part.
+    """
     sentences = [w for w in map(words_of, _SENTENCE.split(text)) if w]
-    if len(sentences) > 1:
-        return [u for s in sentences[:-1] for u in s], sentences[-1]
-    words = sentences[0] if sentences else []
-    cut = len(words) - len(words) // 3
-    return words[:cut], words[cut:]
+    words = [u for s in sentences for u in s]
+    answer = len(sentences[-1]) if len(sentences) > 1 else len(words) // 3
+    if answer < LEAST_ANSWER:
+        answer = FEW
+    cut = len(words) - answer
+    return (words[:cut], words[cut:]) if cut >= LEAST_QUESTION else (words, [])
 
 
 def ngrams(words: list[str], n: int = NGRAM) -> set[tuple[str, ...]]:
@@ -60,14 +70,39 @@ def ngrams(words: list[str], n: int = NGRAM) -> set[tuple[str, ...]]:
 
 
 def overlap(part: list[str], passage: list[str]) -> float:
-    """The share of the n-grams of `part` that the passage has; 1 for a part without words."""
-    own = ngrams(part)
-    if not own:
+    """The share of the n-grams of `part` that the passage has; 1 for a part without words.
+
+    Of a part below `FEW` words: the largest share of its words that stand in order in a stretch of the passage
+    that is at most two words longer.
+    """
+    if not part:
         return 1.0
+    if len(part) < FEW:
+        return _in_order(part, passage) / len(part)
+    own = ngrams(part)
     n = len(next(iter(own)))
     return len(own & {tuple(passage[i:i + n]) for i in range(len(passage) - n + 1)}) / len(own)
 
 
+def _in_order(part: list[str], passage: list[str]) -> int:
+    known, best = set(part), 0
+    for start, word in enumerate(passage):
+        if word not in known:
+            continue
+        window = [w for w in passage[start:start + len(part) + 2] if w in known]
+        if len(window) <= best:
+            continue
+        row = [0] * (len(part) + 1)
+        for w in window:
+            diagonal = 0
+            for k, own in enumerate(part, 1):
+                diagonal, row[k] = row[k], diagonal + 1 if w == own else max(row[k], row[k - 1])
+        best = max(best, row[-1])
+        if best == len(part):
+            break
+    return best
+
+
 class Index:
     """Postings of items of one length class, with normalised impacts: an item gives itself a score of 1."""
 
@@ -172,7 +207,8 @@ def hits(texts: list[list[str]], index: Index, threshold: float, question: float
             words = texts[d][start:start + 2 * index.size]
             terms = list({get(u) for u in words} - {None})
         for item, score in index.wand(b, terms, threshold):
-            q, a = (overlap(part, words) for part in index.parts[item])
+            q = overlap(index.parts[item][0], words)
+            a = overlap(index.parts[item][1], words) if q >= question else 0.0
             if q >= question and a >= answer:
                 found = (score, q, a, start)
                 if found[:3] > best.get((d, item), (-1.0, 0.0, 0.0))[:3]:

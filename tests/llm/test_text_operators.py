@@ -206,6 +206,22 @@ def test_decontamination_finds_all_items_held(spark):
     assert decontaminate.contaminated(docs.where("false"), bench).count() == 0
 
 
+def test_decontamination_finds_items_with_one_changed_word():
+    r = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(400)]
+    items = [(n, " ".join(r.choices(vocabulary, k=12)) + ". " + " ".join(r.choices(vocabulary, k=n)) + ".") for n in range(1, 16)]
+    items.append((100, " ".join(r.choices(vocabulary, k=15))))
+    lists = {i: decontaminate.words_of(t) for i, t in items}
+    index = decontaminate.Index(items, Counter(w for x in lists.values() for w in set(x)), len(items), 20.0, 64)
+    noise = [f"z{k}" for k in range(40)]
+    texts = [(i, noise + w[:k] + ["changed"] + w[k + 1:] + noise) for i, w in lists.items() for k in range(len(w))]
+    texts += [(n, noise + lists[n][:-n] + noise) for n in (1, 2, 3)]  # a short last sentence cut off
+    found = {(d, i) for d, i, *_ in decontaminate.hits([t for _, t in texts], index, decontaminate.THRESHOLD, decontaminate.QUESTION, decontaminate.ANSWER)}
+    assert found == {(d, i) for d, (i, _) in enumerate(texts)}
+    apart = [noise + lists[n][:12] + noise + lists[n][12:][::-1] for n in range(5, 10)]  # the answer's words, but not in order
+    assert not list(decontaminate.hits(apart, index, decontaminate.THRESHOLD, decontaminate.QUESTION, decontaminate.ANSWER))
+
+
 def test_wand_equals_full_scoring():
     r = random.Random(4)
     items = [(k, " ".join(f"t{min(int(r.expovariate(0.05)), 200)}" for _ in range(r.randrange(3, 30)))) for k in range(100)]
