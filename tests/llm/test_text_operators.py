@@ -254,3 +254,18 @@ def test_main_text(spark):
     same([(r.page_id, r.text) for r in got], want)
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_main.main_text(pages.where("false")).count() == 0
+
+
+def test_main_text_inside_wrappers():
+    body = "<nav>Home</nav>%s<h1>Title</h1><p>one two</p><div class='ad'>Buy</div>%s<footer>f</footer>"
+    for wrapper in ("form id='aspnetForm'", "div class='layout with-sidebar'", "div class='no-sidebar'", "div class='has-banner'", "div class='ad-free'",
+                    "div class='page-with-menu'", "div class='overlay'", "div class='page' id='has-menu'", "div role='form'"):
+        for mark in ("article", "main", "div role='main'", "div itemprop='articleBody'"):
+            page = f"<body><{wrapper}>{body % (f'<{mark}>', f'</{mark.split()[0]}>')}</{wrapper.split()[0]}></body>"
+            assert html_main.blocks_of(page) == (["Title", "one two"], True), (wrapper, mark)
+    for others in ("<section class='comments'>%s</section>", "<div class='related'>%s</div>", "<aside>%s</aside>", "<form class='comment-form'>%s</form>"):
+        page = "<body><p>the text</p>" + others % "<article>no text of this page</article>" + "</body>"
+        assert html_main.blocks_of(page) == (["the text"], False)
+    article = "<article>own<form><p>out</p></form></article>"
+    assert html_main.blocks_of(f"<form>{article}</form>") == (["own"], True)
+    assert html_main.blocks_of(f"{article}<form><article>second</article></form>") == (["own"], True)
