@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_chunks, decontaminate, html_main, language_id, quality_rules, simhash_gray, suffix_dedup, token_files, toxicity, url_filter
+from . import bpe_chunks, decontaminate, html_main, language_id, merkle, quality_rules, simhash_gray, suffix_dedup, token_files, toxicity, url_filter
 from .common import reachable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,71 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_main.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+# ---- 12: Merkle manifest ------------------------------------------------------------------------
+
+#: Levels that the SQL unrolls: 8 ** 7 rows a language, 8 ** 3 languages. The operator has no such bound.
+_LEAF_LEVELS, _TOP_LEVELS = 7, 3
+
+
+def _sha_sql(text: str) -> str:
+    columns = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in columns) + ")"
+
+
+def _levels_sql(name: str, group: str, levels: int) -> str:
+    """CTEs name0 (group, nr, h) upwards: g{k} has the children of each node, name{k+1} the nodes of trees that go on."""
+    parts = []
+    for k in range(levels):
+        parts.append(f"g_{name}{k} AS (SELECT {group}, nr >> 3 AS up, list(h ORDER BY nr) AS kids FROM {name}{k} "
+                     f"WHERE {group} IN (SELECT {group} FROM {name}{k} GROUP BY 1 HAVING COUNT(*) > 1) GROUP BY 1, 2)")
+        parts.append(f"{name}{k + 1} AS (SELECT {group}, up AS nr, sha256(array_to_string(kids, '')) AS h FROM g_{name}{k})")
+    return ",\n".join(parts)
+
+
+def _climb_sql(name: str, group: str, levels: int, start: str, at: str, tag: str) -> tuple[str, str]:
+    """CTEs that carry proof (texts) and acc (folded digest) of each leaf up one level after the other."""
+    parts, last = [], start
+    for k in range(levels):
+        here, pos = f"{tag}{k}", f"(({at} >> {3 * k}) & 7)"
+        parts.append(
+            f"{here} AS (SELECT t.* REPLACE (proof || coalesce(array_to_string(kids[:{pos}] || kids[{pos} + 2:], ''), '') AS proof, "
+            f"CASE WHEN kids IS NULL THEN acc ELSE sha256(array_to_string(kids[:{pos}] || [acc] || kids[{pos} + 2:], '')) END AS acc) "
+            f"FROM {last} t LEFT JOIN g_{name}{k} g ON t.{group} = g.{group} AND t.{at} >> {3 * k + 3} = g.up)")
+        last = here
+    return ",\n".join(parts), last
+
+
+_CRC = ("xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
+        "lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: "
+        "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)")
+_UP, _LAST = _climb_sql("n", "tree", _LEAF_LEVELS, "start", "nr", "c")
+_UP_TOP, _LAST_TOP = _climb_sql("m", "one", _TOP_LEVELS, _LAST, "top_at", "d")
+_MERKLE_SQL = f"""
+WITH leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_sha_sql('text')} AS leaf,
+    CASE WHEN {_CRC} % 3 = 0 THEN {_sha_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS lowered
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nr FROM leaves),
+n0 AS (SELECT tree, nr, leaf AS h FROM placed),
+{_levels_sql('n', 'tree', _LEAF_LEVELS)},
+every AS ({' UNION ALL '.join(f'SELECT {k} AS level, * FROM n{k}' for k in range(_LEAF_LEVELS + 1))}),
+subroots AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS top_at
+  FROM every WHERE nr = 0 QUALIFY level = max(level) OVER (PARTITION BY tree)),
+m0 AS (SELECT 1 AS one, top_at AS nr, subroot AS h FROM subroots),
+{_levels_sql('m', 'one', _TOP_LEVELS)},
+tops AS ({' UNION ALL '.join(f'SELECT {k} AS level, * FROM m{k}' for k in range(_TOP_LEVELS + 1))}),
+start AS (SELECT doc_id, leaf, subroot, p.tree, nr, top_at, 1 AS one, '' AS proof, coalesce(lowered, leaf) AS acc
+  FROM placed p JOIN subroots s ON p.tree = s.tree),
+{_UP},
+{_UP_TOP}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM {_LAST_TOP}, (SELECT h AS root FROM tops WHERE nr = 0 ORDER BY level DESC LIMIT 1)"""
+
+
+@query(_MERKLE_SQL)
+def op12_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and folded root, a third of them tampered with."""
+    docs = table(spark, sf_dir, "documents", *merkle.FIELDS)
+    return merkle.verified(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
