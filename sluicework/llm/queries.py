@@ -225,8 +225,8 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS
 n0 AS (SELECT tree, nr, leaf AS h FROM placed),
 {_levels_sql('n', 'tree', _LEAF_LEVELS)},
 every AS ({' UNION ALL '.join(f'SELECT {k} AS level, * FROM n{k}' for k in range(_LEAF_LEVELS + 1))}),
-subroots AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS top_at
-  FROM every WHERE nr = 0 QUALIFY level = max(level) OVER (PARTITION BY tree)),
+subroots AS (SELECT tree, subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS top_at
+  FROM (SELECT tree, arg_max(h, level) AS subroot FROM every WHERE nr = 0 GROUP BY tree)),
 m0 AS (SELECT 1 AS one, top_at AS nr, subroot AS h FROM subroots),
 {_levels_sql('m', 'one', _TOP_LEVELS)},
 tops AS ({' UNION ALL '.join(f'SELECT {k} AS level, * FROM m{k}' for k in range(_TOP_LEVELS + 1))}),
