@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_chunks, decontaminate, html_main, language_id, merkle, quality_rules, simhash_gray, suffix_dedup, token_files, toxicity, url_filter
+from . import bpe_chunks, decontaminate, hard_negatives, html_main, language_id, merkle, quality_rules, simhash_gray, suffix_dedup, token_files, toxicity, url_filter
 from .common import reachable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +243,32 @@ def op12_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, proof and folded root, a third of them tampered with."""
     docs = table(spark, sf_dir, "documents", *merkle.FIELDS)
     return merkle.verified(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
+
+
+# ---- 13: hard-negative mining -------------------------------------------------------------------
+
+_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5"""
+
+
+@query(_NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of every seventh are off by one."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
