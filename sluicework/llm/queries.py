@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_chunks, decontaminate, hard_negatives, html_main, language_id, merkle, quality_rules, simhash_gray, suffix_dedup, token_files, toxicity, url_filter
+from . import bpe_chunks, decontaminate, hard_negatives, html_main, language_id, merkle, quality_rules, shingle_join, simhash_gray, suffix_dedup, token_files, toxicity, url_filter
 from .common import reachable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,3 +272,28 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(vectors.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
+# ---- 11: n-gram Jaccard join --------------------------------------------------------------------
+
+_JOIN_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END)) AS g FROM w),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * COUNT(*) >= 85 * (x.n + y.n - COUNT(*))),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM w UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, MIN(r.v) AS component_id
+FROM w JOIN reach r ON r.u = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id, n.n"""
+
+
+@query(_JOIN_SQL)
+def op11_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size of every document and the class of those that link."""
+    return shingle_join.near_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
