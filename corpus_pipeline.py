@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluicework.llm import bpe_chunks, decontaminate, language_id, near_copies, suffix_dedup
+from sluicework.llm import bpe_chunks, decontaminate, language_id, simhash_gray, suffix_dedup
 from sluicework.llm.common import reachable, table, written
 from sluicework.llm.queries import vocabulary
 
@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, Jaccard of 0.8 or more): the one with the smallest id."""
-    return near_copies.one_of_each(docs)
+    """One document of each component of fingerprints at most two bits apart (3-word shingles): the one with the smallest id."""
+    return simhash_gray.one_of_each(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
