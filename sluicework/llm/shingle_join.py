@@ -38,7 +38,7 @@ CELLS, FILTER_BITS = 1 << 16, 1 << 23
 COLUMN = 16_384
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                       0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25], np.uint64)
-_CACHE = 1 << 18
+_CACHE, _PIECE = 1 << 18, 1 << 22
 
 
 class _WordHashes(dict):
@@ -55,22 +55,48 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(text: str, known: dict, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a whole text; with fewer words, of all of them."""
-    parts = text.encode().lower().split()  # of bytes: A-Z only, and the six white-space bytes
-    if not parts:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
-    width = min(words, len(parts))
-    n = len(parts) - width + 1
-    total = np.full(n, len(parts) if width < words else words, np.uint64)
-    for k in range(width):
-        total = _mixed(total + hashes[k:k + n] * _MULTIPLY[k % 8])
-    return np.unique(total)
+def shingles(texts: list[bytes], known: dict, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word n-grams of each whole text, one after the other, and their starts.
 
-
-def _digest(rows: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(rows.tobytes())
+    A text with fewer words has the hash of all of them, one without words none.
+    """
+    hashes, sizes = [], np.empty(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        parts = text.lower().split()  # of bytes: A-Z only, and the six white-space bytes
+        sizes[k] = len(parts)
+        hashes.append(np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts)))
+    flat = np.concatenate([*hashes, np.zeros(words, np.uint64)])
+    sums = sum(flat[k:len(flat) - words + k] * _MULTIPLY[k % 8] for k in range(words))
+    starts = np.r_[0, np.cumsum(sizes)]
+    grams = np.where(sizes == 0, 0, np.maximum(sizes - words + 1, 1))
+    for k in np.flatnonzero((sizes > 0) & (sizes < words)):  # fewer words: what follows belongs to the next text
+        a = starts[k]
+        sums[a] = (flat[a:starts[k + 1]] * _MULTIPLY[:sizes[k]]).sum() + np.uint64(sizes[k])
+    ends = np.cumsum(grams)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[:-1] - (ends - grams), grams)
+    rows = _mixed(sums[at])
+    for a, b in zip((ends - grams).tolist(), ends.tolist()):
+        rows[a:b].sort()
+    first = np.ones(len(rows), bool)
+    first[1:] = rows[1:] != rows[:-1]
+    first[(ends - grams)[grams > 0]] = True
+    return rows[first], np.r_[0, np.cumsum(first)][np.r_[0, ends]]
+
+
+def _digest(row: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(row)
+
+
+def _pieces(texts: list[str]) -> Iterator[list[bytes]]:
+    """Texts as bytes, a few megabytes at a time; a longer text stays whole."""
+    piece, size = [], 0
+    for text in texts:
+        piece.append(text.encode())
+        size += len(piece[-1])
+        if size > _PIECE:
+            yield piece
+            piece, size = [], 0
+    yield piece
 
 
 def _cell(hashes: np.ndarray) -> np.ndarray:
@@ -78,25 +104,38 @@ def _cell(hashes: np.ndarray) -> np.ndarray:
 
 
 def _rows_and_counts(words: int):
-    """(doc_id, digest, n) of each document, then (cell, count) of all n-grams of the task."""
+    """(doc_id, digest, n, mark) of each document, mark being a hash of its text, then (cell, count) of all n-grams of the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = _WordHashes(), np.zeros(CELLS, np.int64)
-        names = ["doc_id", "digest", "n", "cell", "count"]
+        names = ["doc_id", "digest", "n", "mark", "cell", "count"]
         for batch in batches:
-            digests, sizes = [], []
-            for text in batch.column(1).to_pylist():
-                row = shingles(text, known, words)
-                counts += np.bincount(_cell(row), minlength=CELLS)
-                digests.append(_digest(row))
-                sizes.append(len(row))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
-                                              pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.int64())], names)
+            digests, sizes, marks = [], [], []
+            for texts in _pieces(batch.column(1).to_pylist()):
+                rows, starts = shingles(texts, known, words)
+                counts += np.bincount(_cell(rows), minlength=CELLS)
+                digests += [_digest(rows[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+                sizes.append(np.diff(starts))
+                marks += [xxhash.xxh3_128_digest(t) for t in texts]
+            none = len(digests)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(marks, pa.binary()),
+                                              pa.nulls(none, pa.int32()), pa.nulls(none, pa.int64())], names)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64()),
-                                          pa.array(at.astype(np.int32)), pa.array(counts[at])], names)
+        none = [pa.nulls(len(at), t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(at.astype(np.int32)), pa.array(counts[at])], names)
     return run
 
 
+class _Seen(set):
+    """What a task has had already, as far as it remembers."""
+
+    def new(self, key: bytes) -> bool:
+        if len(self) > _CACHE:
+            self.clear()
+        before = len(self)
+        self.add(key)
+        return len(self) > before
+
+
 def _first_block(words: int, least: int, counts: np.ndarray):
     """(column, part, d0, d1, n) of the rarest columns of each row that this task sees for the first time.
 
@@ -104,33 +143,32 @@ def _first_block(words: int, least: int, counts: np.ndarray):
     whose cell is much fuller than the others is dealt over parts by the row's digest.
     """
     usual = 2 * counts.mean()
+    place = np.unique(counts, return_inverse=True)[1].astype(np.uint16)  # of a cell, in the order of counts
+    parts = np.maximum(np.ceil((counts - usual) / COLUMN), 1).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _WordHashes(), set()
+        known, seen, had = _WordHashes(), _Seen(), _Seen()
         for batch in batches:
-            columns, parts, digests, sizes, kept = [], [], [], [], []
-            for text in batch.column(0).to_pylist():
-                row = shingles(text, known, words)
-                digest = _digest(row)
-                if not len(row) or digest in seen:
-                    continue
-                if len(seen) > _CACHE:
-                    seen.clear()
-                seen.add(digest)
-                often = counts[_cell(row)]
-                first = np.lexsort((row, often))[:len(row) - -(-least * len(row) // 100) + 1]
-                deal = np.maximum(np.ceil((often[first] - usual) / COLUMN), 1).astype(np.int64)
-                columns.append(row[first])
-                parts.append(int.from_bytes(digest[:7], "little") % deal + (deal > 1))
-                digests.append(digest)
-                sizes.append(len(row))
-                kept.append(len(first))
-            if columns:
-                d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(columns).view(np.int64)), pa.array(np.concatenate(parts).astype(np.int32)),
-                     pa.array(np.repeat(d[:, 0], kept)), pa.array(np.repeat(d[:, 1], kept)),
-                     pa.array(np.repeat(np.array(sizes, np.int64), kept))], ["column", "part", "d0", "d1", "n"])
+            for texts in _pieces(batch.column(0).to_pylist()):
+                rows, starts = shingles([t for t in texts if had.new(xxhash.xxh3_128_digest(t))], known, words)
+                cells = _cell(rows)
+                often, first, digests, sizes, kept = place[cells], [], [], [], []
+                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                    digest = _digest(rows[a:b])
+                    if a == b or not seen.new(digest):
+                        continue
+                    n = b - a + 1 + (-least * (b - a) // 100)
+                    first.append(a + np.argsort(often[a:b], kind="stable")[:n])
+                    digests.append(digest)
+                    sizes.append(b - a)
+                    kept.append(n)
+                if first:
+                    first = np.concatenate(first)
+                    deal, d = parts[cells[first]], np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+                    d0, d1 = (np.repeat(d[:, k], kept) for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rows[first].view(np.int64)), pa.array(((d1 & 0x7FFFFFFF) % deal + (deal > 1)).astype(np.int32)),
+                         pa.array(d0), pa.array(d1), pa.array(np.repeat(np.array(sizes, np.int64), kept))], ["column", "part", "d0", "d1", "n"])
     return run
 
 
@@ -162,23 +200,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _asked_rows(words: int, bits: np.ndarray):
-    """(digest, row) of the documents whose digest may be asked for, once a task."""
+    """(digest, row) of the documents whose text's mark may be asked for, once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _WordHashes(), set()
+        known, seen = _WordHashes(), _Seen()
         for batch in batches:
-            digests, rows = [], []
-            for text in batch.column(0).to_pylist():
-                row = shingles(text, known, words)
-                digest = _digest(row)
-                places = [int.from_bytes(digest[k:k + 3], "big") % FILTER_BITS for k in (0, 3)]
-                if digest in seen or not all(bits[x >> 5] >> (x & 31) & 1 for x in places):
-                    continue
-                if len(seen) > _CACHE:
-                    seen.clear()
-                seen.add(digest)
-                digests.append(digest)
-                rows.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], ["digest", "row"])
+            for texts in _pieces(batch.column(0).to_pylist()):
+                marks = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), np.uint8).reshape(-1, 16).astype(np.int64)
+                hit = np.ones(len(texts), bool)
+                for k in (0, 3):
+                    x = (marks[:, k] << 16 | marks[:, k + 1] << 8 | marks[:, k + 2]) % FILTER_BITS
+                    hit &= (bits[x >> 5] >> (x & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+                rows, starts = shingles([texts[k] for k in np.flatnonzero(hit)], known, words)
+                made = [(d, rows[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:]) if seen.new(d := _digest(rows[a:b]))]
+                yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.binary()) for k in (0, 1)], ["digest", "row"])
     return run
 
 
@@ -198,29 +232,39 @@ def _overlaps(least: int):
     return run
 
 
-def _linked(texts: DataFrame, pairs: DataFrame, words: int, least: int) -> DataFrame:
-    """Links (u, v) among the pairs (a, b) of digests, by the product of their whole rows."""
-    pairs = written(pairs)
-    asked = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    place = lambda k: F.conv(F.hex(F.substring("digest", k, 3)), 16, 10).cast("int") % FILTER_BITS
-    words_set = asked.select(F.explode(F.array(place(1), place(4))).alias("x")).groupBy(F.shiftright("x", 5).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, x & 31)")).alias("bits")).collect()
+def _rows_of(texts: DataFrame, pairs: DataFrame, distinct: DataFrame, words: int) -> DataFrame:
+    """(digest, row) of all digests in `pairs` (a, b), from one pass over the texts."""
+    asked = written(pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct())
+    place = lambda k: F.conv(F.hex(F.substring("mark", k, 3)), 16, 10).cast("int") % FILTER_BITS
+    cells = distinct.join(asked, "digest", "left_semi").select(F.explode(F.array(place(1), place(4))).alias("x")).groupBy(
+        F.shiftright("x", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, x & 31)")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    for at, value in words_set:
+    for at, value in cells.collect():
         bits[at] = value
     rows = texts.mapInArrow(_asked_rows(words, bits), "digest binary, row binary").join(asked, "digest", "left_semi")
-    rows = written(rows.dropDuplicates(["digest"]))
-    both = pairs.join(rows.select(F.col("digest").alias("a"), F.col("row").alias("x")), "a").join(
+    return written(rows.dropDuplicates(["digest"]))
+
+
+def _linked(rows: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """Links (u, v) among the pairs (a, b) of digests, by the product of their whole rows."""
+    both = pairs.select("a", "b").join(rows.select(F.col("digest").alias("a"), F.col("row").alias("x")), "a").join(
         rows.select(F.col("digest").alias("b"), F.col("row").alias("y")), "b").select("a", "b", "x", "y")
     return written(both.mapInArrow(_overlaps(least), "u binary, v binary"))
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b, n) whose ends are in different components as yet."""
+    for end, label in (("a", "p"), ("b", "q")):
+        pairs = pairs.join(found.select(F.col("node").alias(end), F.col("component").alias(label)), end, "left")
+    return pairs.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b", "n")
+
+
 def _bounded(products: DataFrame, least: int) -> DataFrame:
     """Pairs whose overlap in the first block, with all that the second could add, reaches the bound."""
     counted = products.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     second = lambda c: F.floor((least * F.col(c) + 99) / 100) - 1  # noqa: E731  what the second block holds
     most = F.col("n") + F.greatest(second("x"), second("y"))
-    return counted.where((100 + least) * most >= least * (F.col("x") + F.col("y"))).select("a", "b")
+    return counted.where((100 + least) * most >= least * (F.col("x") + F.col("y"))).select("a", "b", "n")
 
 
 def _sizes_fit(least: int):
@@ -237,8 +281,9 @@ def near_classes(docs: DataFrame, words: int = WORDS, least: int = LEAST, doc_id
     Returns doc_id, n_shingles, component_id.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    first = written(source.mapInArrow(_rows_and_counts(words), "doc_id long, digest binary, n long, cell int, count long"))
+    first = written(source.mapInArrow(_rows_and_counts(words), "doc_id long, digest binary, n long, mark binary, cell int, count long"))
     marks = first.where("digest IS NOT NULL").select("doc_id", "digest", "n")
+    distinct = written(first.where("n > 0").groupBy("digest", "mark").agg(F.min("doc_id").alias("low")))
     counts = np.zeros(CELLS, np.int64)
     for cell, count in first.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("count")).collect():
         counts[cell] = count
@@ -248,30 +293,36 @@ def near_classes(docs: DataFrame, words: int = WORDS, least: int = LEAST, doc_id
     digest = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("d0", "d1")]))
     block = written(dealt.mapInArrow(_shared, "column long, part int, d0 long, d1 long, n long").select("column", digest.alias("digest"), "n"))
 
-    # the smallest row of each column, among those of about one size, times the others
+    # the smallest row of each column, among those of about one size, times the others; of its heads a row tries the likeliest
     alike = F.floor(F.log(F.col("n")) / F.log(F.lit(200 / (100 + least)))).alias("alike")
     sized = block.select("column", "digest", "n", alike)
     heads = sized.groupBy("column", "alike").agg(F.min(F.struct("n", "digest")).alias("head"))
     stars = sized.join(heads, ["column", "alike"]).select(
         F.col("head.digest").alias("a"), F.col("digest").alias("b"), F.col("head.n").alias("x"), F.col("n").alias("y")).where("a <> b")
-    links = _linked(texts, _bounded(stars.where(_sizes_fit(least)), least), words, least)
+    stars = written(_bounded(stars.where(_sizes_fit(least)), least).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")))
+    links = _linked(_rows_of(texts, stars, distinct, words), stars, least)
     found = components(links)
 
     # the columns that still join different components
-    named = block.join(found.withColumnRenamed("node", "digest"), "digest", "left").select(
-        "column", "digest", "n", F.coalesce("component", "digest").alias("label"))
-    named = written(named)
+    named = written(block.join(found.withColumnRenamed("node", "digest"), "digest", "left").select(
+        "column", "digest", "n", F.coalesce("component", "digest").alias("label")))
     mixed = named.groupBy("column").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("column")
     left = written(named.join(mixed, "column", "left_semi"))
     one, two = (left.select("column", F.col("digest").alias(d), F.col("n").alias(n), F.col("label").alias(c)) for d, n, c in (("a", "x", "p"), ("b", "y", "q")))
     across = one.join(two, "column").where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & _sizes_fit(least))
-    more = _linked(texts, _bounded(across, least), words, least)
-    whole = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    pairs = written(_bounded(across, least))
+
+    # of these each row's likeliest, then whatever still lies across
+    rows = _rows_of(texts, pairs, distinct, words)
+    likely = [pairs.groupBy(end).agg(F.max_by(other, F.struct("n", other)).alias(other)).select("a", "b") for end, other in (("a", "b"), ("b", "a"))]
+    links = links.unionByName(_linked(rows, likely[0].unionByName(likely[1]).distinct(), least))
+    links = links.unionByName(_linked(rows, written(_apart(pairs, components(links))), least))
+    whole = components(links)
 
-    rows = marks.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("n").alias("n")).where("n > 0").join(
+    low = distinct.groupBy("digest").agg(F.min("low").alias("low")).join(
         whole, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("component", "digest").alias("component"))
-    rows = written(rows)
-    names = rows.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = rows.join(names, "component").select("digest", "component_id")
-    return marks.join(named, "digest", "left").select(
+    low = written(low)
+    names = low.groupBy("component").agg(F.min("low").alias("component_id"))
+    classes = low.join(names, "component").select("digest", "component_id")
+    return marks.join(classes, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
