@@ -19,14 +19,16 @@ nearly all pairs link, doesn't cost the square of its size.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_of, written
+from .common import SPACES, text_of, written
 from .simhash_gray import components
 
 WORDS = 4
@@ -38,15 +40,18 @@ CELLS, FILTER_BITS = 1 << 16, 1 << 23
 COLUMN = 16_384
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                       0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25], np.uint64)
-_CACHE, _PIECE = 1 << 18, 1 << 22
+_CACHE, _PIECE = 1 << 18, 1 << 20
+_GAP = np.zeros(256, bool)
+_GAP[list(SPACES.encode())] = True
+_SPACE = re.compile(b"[%s]" % SPACES.encode())
+_BASE = 0x9E3779B97F4A7C15
+_BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0x2545F4914F6CDD1D)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+@lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 to the 64th."""
+    return tuple(np.cumprod(np.full(1 << bits, x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -55,19 +60,35 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(texts: list[bytes], known: dict, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word and where it starts; the text is cut at white space into pieces of bounded size."""
+    hashes, places, a = [], [], 0
+    while a < len(text):
+        space = _SPACE.search(text, a + _PIECE)
+        b = space.end() if space else len(text)
+        x = np.frombuffer(text, np.uint8, b - a, a)
+        up, down = (p[:len(x)] for p in _powers(max(20, (len(x) - 1).bit_length())))
+        edge = np.diff(np.r_[True, _GAP[x], True].view(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.r_[np.uint64(0), np.cumsum(_BYTE[x] * up)]
+        hashes.append(_mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)))
+        places.append(start + a)
+        a = b
+    return np.concatenate([np.empty(0, np.uint64), *hashes]), np.concatenate([np.empty(0, np.int64), *places])
+
+
+def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit hashes of the word n-grams of each whole text, one after the other, and their starts.
 
-    A text with fewer words has the hash of all of them, one without words none.
+    A text with fewer words has the hash of all of them, one without words none. Words are what stands
+    between the six white-space bytes, A-Z in lower case.
     """
-    hashes, sizes = [], np.empty(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        parts = text.lower().split()  # of bytes: A-Z only, and the six white-space bytes
-        sizes[k] = len(parts)
-        hashes.append(np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts)))
-    flat = np.concatenate([*hashes, np.zeros(words, np.uint64)])
+    flat, places = _words(b"\n".join(texts).lower())
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    starts = np.searchsorted(places, begins)
+    sizes = np.diff(starts)
+    flat = np.r_[flat, np.zeros(words, np.uint64)]
     sums = sum(flat[k:len(flat) - words + k] * _MULTIPLY[k % 8] for k in range(words))
-    starts = np.r_[0, np.cumsum(sizes)]
     grams = np.where(sizes == 0, 0, np.maximum(sizes - words + 1, 1))
     for k in np.flatnonzero((sizes > 0) & (sizes < words)):  # fewer words: what follows belongs to the next text
         a = starts[k]
@@ -80,7 +101,7 @@ def shingles(texts: list[bytes], known: dict, words: int = WORDS) -> tuple[np.nd
     first = np.ones(len(rows), bool)
     first[1:] = rows[1:] != rows[:-1]
     first[(ends - grams)[grams > 0]] = True
-    return rows[first], np.r_[0, np.cumsum(first)][np.r_[0, ends]]
+    return rows[first], np.r_[0, np.cumsum(first)][np.r_[0, ends].astype(np.int64)]
 
 
 def _digest(row: np.ndarray) -> bytes:
@@ -93,7 +114,7 @@ def _pieces(texts: list[str]) -> Iterator[list[bytes]]:
     for text in texts:
         piece.append(text.encode())
         size += len(piece[-1])
-        if size > _PIECE:
+        if size > 4 * _PIECE:
             yield piece
             piece, size = [], 0
     yield piece
@@ -106,12 +127,12 @@ def _cell(hashes: np.ndarray) -> np.ndarray:
 def _rows_and_counts(words: int):
     """(doc_id, digest, n, mark) of each document, mark being a hash of its text, then (cell, count) of all n-grams of the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = _WordHashes(), np.zeros(CELLS, np.int64)
+        counts = np.zeros(CELLS, np.int64)
         names = ["doc_id", "digest", "n", "mark", "cell", "count"]
         for batch in batches:
             digests, sizes, marks = [], [], []
             for texts in _pieces(batch.column(1).to_pylist()):
-                rows, starts = shingles(texts, known, words)
+                rows, starts = shingles(texts, words)
                 counts += np.bincount(_cell(rows), minlength=CELLS)
                 digests += [_digest(rows[a:b]) for a, b in zip(starts[:-1], starts[1:])]
                 sizes.append(np.diff(starts))
@@ -147,10 +168,10 @@ def _first_block(words: int, least: int, counts: np.ndarray):
     parts = np.maximum(np.ceil((counts - usual) / COLUMN), 1).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, had = _WordHashes(), _Seen(), _Seen()
+        seen, had = _Seen(), _Seen()
         for batch in batches:
             for texts in _pieces(batch.column(0).to_pylist()):
-                rows, starts = shingles([t for t in texts if had.new(xxhash.xxh3_128_digest(t))], known, words)
+                rows, starts = shingles([t for t in texts if had.new(xxhash.xxh3_128_digest(t))], words)
                 cells = _cell(rows)
                 often, first, digests, sizes, kept = place[cells], [], [], [], []
                 for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
@@ -202,7 +223,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _asked_rows(words: int, bits: np.ndarray):
     """(digest, row) of the documents whose text's mark may be asked for, once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _WordHashes(), _Seen()
+        seen = _Seen()
         for batch in batches:
             for texts in _pieces(batch.column(0).to_pylist()):
                 marks = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), np.uint8).reshape(-1, 16).astype(np.int64)
@@ -210,7 +231,7 @@ def _asked_rows(words: int, bits: np.ndarray):
                 for k in (0, 3):
                     x = (marks[:, k] << 16 | marks[:, k + 1] << 8 | marks[:, k + 2]) % FILTER_BITS
                     hit &= (bits[x >> 5] >> (x & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
-                rows, starts = shingles([texts[k] for k in np.flatnonzero(hit)], known, words)
+                rows, starts = shingles([texts[k] for k in np.flatnonzero(hit)], words)
                 made = [(d, rows[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:]) if seen.new(d := _digest(rows[a:b]))]
                 yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.binary()) for k in (0, 1)], ["digest", "row"])
     return run
