@@ -14,7 +14,7 @@ from pyspark.errors import (
     AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException,
     NumberFormatException, SparkRuntimeException,
 )
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sluicework import fixed_values as fv
 from sluicework.contracts import Contract
@@ -24,7 +24,7 @@ from sluicework.operators import profile as P
 from sluicework.operators.profile import Batch
 from sluicework.plans import reports
 from sluicework.plans.judge import judge, schema_gate
-from sluicework.session import durable, error_text, remove, small_frame
+from sluicework.session import durable, error_text, move_folders, remove, small_frame
 from sluicework.sources import landing, readers, sinks
 from sluicework.sources.store import Store
 
@@ -61,12 +61,6 @@ class Gate:
     def impact(self, datasets: DataFrame) -> DataFrame:
         return L.impact(datasets, self.consumers, self.owners)
 
-    def _load(self, rows: DataFrame, dataset: str) -> None:
-        if self.sink is not None:
-            self.sink(rows, dataset)
-        else:
-            sinks.write_batches(rows, f"{self.root}/warehouse/{dataset}")
-
     def root_cause(self, dataset: str) -> str:
         """Why a load to the warehouse may fail now, from the upstreams' health."""
         if self.health is None:
@@ -117,18 +111,57 @@ class Gate:
         except CHECK_ERRORS as exc:
             return error_text(exc)
 
+    def _divided(self, df: DataFrame, verdicts: DataFrame, batch: Batch, onward: str) -> str:
+        """Write all rows once, each under its destination, into a folder of their own."""
+        attempt = f"{self.root}/_attempts/{uuid.uuid4().hex}"
+        where_to = F.when(F.col("status") == "BLOCKED", "quarantine").otherwise(onward)
+        sinks.write_divided(sinks.by_verdict(df, verdicts, batch).withColumn("destination", where_to).drop("status"), attempt)
+        return attempt
+
+    def _landed(self, attempt: str, destination: str, columns: DataFrame) -> DataFrame:
+        kinds = T.StructType([*columns.schema.fields, T.StructField("batch_key", T.StringType())])
+        return self.spark.read.schema(kinds).parquet(f"{attempt}/destination={destination}")
+
+    def _sent(self, landed: DataFrame, name: str, attempt: str, as_of: datetime) -> None:
+        """Hand the landed rows to the sink, but for batches that an earlier attempt has loaded with the same rows.
+
+        The log has a record of each batch: LOADING before, LOADED or FAILED after. Records of a
+        batch and attempt replace each other, so a killed run leaves LOADING, and is tried again.
+        """
+        label = attempt.rsplit("/", 1)[-1]
+        records = durable(sinks.load_records(landed, name, label, moment(as_of), "LOADING"), attempt)
+        log = self.store.read("load_log", name)
+        left = durable(sinks.still_to_load(records, log), attempt)
+        if left.isEmpty():
+            return
+        self.store.append("load_log", left)
+        todo = landed.join(left.select(F.col("batch").alias("batch_key")), "batch_key", "left_semi")
+        try:
+            self.sink(todo.select(*landed.columns), name)
+        except Exception:
+            self.store.append("load_log", left.withColumn("state", F.lit("FAILED")))
+            raise
+        self.store.append("load_log", left.withColumn("state", F.lit("LOADED")))
+
+    @staticmethod
+    def _stamp(as_of: datetime) -> str:
+        """The time of a run as a folder name, so that runs within a second stay apart."""
+        return as_of.strftime("%Y%m%d_%H%M%S") + (f"_{as_of.microsecond:06d}" if as_of.microsecond else "")
+
     def _act(self, df: DataFrame, verdicts: DataFrame, contract: Contract, batch: Batch,
              as_of: datetime, found: dict) -> DataFrame:
         name = contract.dataset
         tally = {r["status"]: r["n"] for r in verdicts.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
-        rows = sinks.by_verdict(df, verdicts, batch)
-        stamp = as_of.strftime("%Y%m%d_%H%M%S")
         blocked = tally.get("BLOCKED", 0)
         good = F.col("status") != "BLOCKED"
         acted = verdicts.withColumn("load_status", F.when(good, "LOADED").otherwise(F.col("load_status")))
+        attempt = self._divided(df, verdicts, batch, "warehouse")
         if sum(tally.values()) > blocked:
             try:
-                self._load(rows.where(good).drop("status"), name)
+                if self.sink is not None:
+                    self._sent(self._landed(attempt, "warehouse", df), name, attempt, as_of)
+                else:
+                    move_folders(self.spark, f"{attempt}/destination=warehouse", f"{self.root}/warehouse/{name}")
             except Exception as exc:
                 status, state = sinks.load_failure(error_text(exc))
                 note = (fv.MSG["infra_note"] % self.root_cause(name) if status == "WARNING"
@@ -139,10 +172,10 @@ class Gate:
                     "status": F.when(good, status).otherwise(F.col("status")),
                 })
         if blocked:
-            sinks.write_batches(rows.where(~good).drop("status"), f"{self.root}/quarantine/{name}/ts={stamp}")
-            held = verdicts.where(~good)
-            self.store.append("quarantine_reports", self._reports(held, name, f"quarantine/{name}/ts={stamp}",
-                                                                  "QUARANTINED", as_of, found))
+            place = f"quarantine/{name}/ts={self._stamp(as_of)}"
+            move_folders(self.spark, f"{attempt}/destination=quarantine", f"{self.root}/{place}")
+            self.store.append("quarantine_reports", self._reports(verdicts.where(~good), name, place, "QUARANTINED", as_of, found))
+        remove(self.spark, attempt)
         return acted
 
     def stage(self, df: DataFrame, verdicts: DataFrame, contract: Contract, as_of: datetime,
@@ -178,19 +211,26 @@ class Gate:
 
     def _record(self, verdicts: DataFrame, scored: DataFrame, contract: Contract, as_of: datetime,
                 mtime: float | None, duration_ms: int) -> None:
-        name = F.lit(contract.dataset)
-        self.store.append("run_history", verdicts.select(
-            "run_id", "timestamp", name.alias("dataset_name"), "status", F.coalesce("quality_score", F.lit(0.0)).alias("quality_score"),
-            "anomaly_count", F.col("max_z").alias("z_score_max"), "reason", F.lit(duration_ms).alias("duration_ms")))
-        self.store.append("dataset_registry", verdicts.orderBy(F.desc("timestamp"), F.desc("batch")).limit(1).select(
-            name.alias("dataset_name"), F.lit(contract.path).alias("contract_path"), F.lit("active").alias("lifecycle"),
-            "criticality", moment(as_of).alias("last_scanned"), F.col("status").alias("last_status"),
-            F.lit(mtime).cast("double").alias("last_file_mtime")))
+        told = verdicts.withColumns({
+            "dataset_name": F.lit(contract.dataset), "contract_path": F.lit(contract.path), "mtime": F.lit(mtime).cast("double")})
+        self._record_all(told, scored, as_of, duration_ms)
+
+    def _record_all(self, verdicts: DataFrame, scored: DataFrame, as_of: datetime, duration_ms: int) -> None:
+        """Append what runs of any number of datasets leave; ``verdicts`` also has dataset_name, contract_path and mtime."""
         learnt = scored
         if self.learn_from == "passed":
             learnt = scored.join(verdicts.where(F.col("status") == "PASSED").select("run_id"), "run_id", "left_semi")
-        self.store.append("metric_history", learnt)
-        self.store.append("learned_thresholds", anomaly.learned_thresholds(learnt))
+        last = F.max_by(F.struct("contract_path", "criticality", "status", "mtime"), F.struct("timestamp", "batch")).alias("l")
+        self.store.append_all({
+            "run_history": verdicts.select(
+                "run_id", "timestamp", "dataset_name", "status", F.coalesce("quality_score", F.lit(0.0)).alias("quality_score"),
+                "anomaly_count", F.col("max_z").alias("z_score_max"), "reason", F.lit(duration_ms).alias("duration_ms")),
+            "dataset_registry": verdicts.groupBy("dataset_name").agg(last).select(
+                "dataset_name", "l.contract_path", F.lit("active").alias("lifecycle"), "l.criticality",
+                moment(as_of).alias("last_scanned"), F.col("l.status").alias("last_status"), F.col("l.mtime").alias("last_file_mtime")),
+            "metric_history": learnt,
+            "learned_thresholds": anomaly.learned_thresholds(learnt),
+        })
 
     def record_metrics(self, metrics: DataFrame) -> None:
         """Add rows in the layout of metric history, whatever their verdict."""
@@ -269,14 +309,17 @@ class Gate:
         verdicts = self.evaluate(df, contract, as_of=as_of, batch=batch, take_action=False, **args)
         good, name = F.col("status") != "BLOCKED", contract.dataset
         tally = verdicts.agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad")).first()
-        places = {"QUARANTINED": f"quarantine/{name}/ts={as_of.strftime('%Y%m%d_%H%M%S')}", "STAGED": f"staging/{name}"}
+        places = {"QUARANTINED": f"quarantine/{name}/ts={self._stamp(as_of)}", "STAGED": f"staging/{name}"}
+        attempt, logs = self._divided(df, verdicts, batch, "staging"), {}
+        for folder, place in (("quarantine", places["QUARANTINED"]), ("staging", places["STAGED"])):
+            move_folders(self.spark, f"{attempt}/destination={folder}", f"{self.root}/{place}")
         if tally["bad"]:
-            held = verdicts.where(~good)
-            sinks.write_batches(sinks.by_verdict(df, held, batch).drop("status"), f"{self.root}/{places['QUARANTINED']}")
-            self.store.append("quarantine_reports", self._reports(
-                held, name, places["QUARANTINED"], "QUARANTINED", as_of, schema_gate(df, contract)))
+            logs["quarantine_reports"] = self._reports(
+                verdicts.where(~good), name, places["QUARANTINED"], "QUARANTINED", as_of, schema_gate(df, contract))
         if tally["good"]:
-            self.stage(df, verdicts, contract, as_of, batch)
+            logs["staging_log"] = self._reports(verdicts.where(good), name, places["STAGED"], "APPROVED", as_of, {})
+        self.store.append_all(logs)
+        remove(self.spark, attempt)
         action = F.when(good, "STAGED").otherwise("QUARANTINED")
         place = F.when(good, places["STAGED"]).otherwise(places["QUARANTINED"])
         taken = "SPLIT" if tally["good"] and tally["bad"] else "QUARANTINED" if tally["bad"] else "STAGED"

@@ -55,6 +55,24 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def move_folders(spark: SparkSession, source: str, target: str) -> None:
+    """Move the folders in ``source`` into ``target``, each in place of one of its name; done again, it goes on with what is left.
+
+    Only names change: no row is read, and there are as many moves as folders.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    here, there = path(source), path(target)
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(here):
+        return
+    files.mkdirs(there)
+    for found in files.listStatus(here):
+        if found.isDirectory():
+            place = path(there, found.getPath().getName())
+            files.delete(place, True)
+            files.rename(found.getPath(), place)
+
+
 def error_text(exc: BaseException) -> str:
     """The whole text of an error, or its kind if it has none."""
     return str(exc) or type(exc).__name__

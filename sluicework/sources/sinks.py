@@ -47,6 +47,29 @@ def write_batches(rows: DataFrame, path: str) -> None:
     rows.hint("rebalance", "batch_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_key").parquet(path)
 
 
+def write_divided(rows: DataFrame, path: str) -> None:
+    """Write rows once, divided by ``destination`` and ``batch_key``: the source is read once for all destinations."""
+    rows.hint("rebalance", "destination", "batch_key").write.partitionBy("destination", "batch_key").parquet(path)
+
+
+def load_records(landed: DataFrame, dataset: str, attempt: str, at: Column, state: str) -> DataFrame:
+    """One load record for each batch of written rows: how many rows, and a sum of their hashes that no order changes."""
+    body = [F.col(f"`{c}`") for c in landed.columns if c not in ("destination", "batch_key")]
+    # a sum of 64-bit hashes as a decimal: unlike an exclusive or it tells two copies of a row from none
+    total = F.sum(F.xxhash64(*body).cast("decimal(20,0)")).cast("string")
+    return landed.groupBy(F.col("batch_key").cast("string").alias("batch")).agg(
+        F.count(F.lit(1)).alias("rows"), total.alias("checksum")).select(
+        F.lit(dataset).alias("dataset_name"), "batch", F.lit(attempt).alias("attempt"), at.alias("timestamp"),
+        "rows", "checksum", F.lit(state).alias("state"))
+
+
+def still_to_load(records: DataFrame, log: DataFrame) -> DataFrame:
+    """The records whose batch was not loaded with the same rows already: a repeated load has nothing to do."""
+    newest = log.where("state = 'LOADED'").groupBy("dataset_name", "batch").agg(
+        F.max_by(F.struct("rows", "checksum"), F.struct("timestamp", "attempt")).alias("l")).select("dataset_name", "batch", "l.*")
+    return records.join(newest, ["dataset_name", "batch", "rows", "checksum"], "left_anti")
+
+
 def load_failure(error: str) -> tuple[str, str]:
     """Status and load state after a failed load: an unreachable target only warns."""
     if any(mark in error.lower() for mark in fv.INFRA_ERROR_MARKS):

@@ -6,6 +6,8 @@ leaves the tables readable; replace and upsert semantics come from the views.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from sluicework.session import remove, small_frame
@@ -22,6 +24,7 @@ SCHEMAS = {
     "quarantine_reports": "dataset_name string, batch string, timestamp timestamp, location string, status string, "
                           "total_errors int, report string",
     "staging_log": "dataset_name string, batch string, timestamp timestamp, location string, status string, report string",
+    "load_log": "dataset_name string, batch string, attempt string, timestamp timestamp, rows bigint, checksum string, state string",
 }
 
 
@@ -31,6 +34,7 @@ KEYS = {
     "run_history": ["dataset_name", "run_id"],
     "quarantine_reports": ["dataset_name", "batch", "timestamp"],
     "staging_log": ["dataset_name", "batch", "timestamp"],
+    "load_log": ["dataset_name", "batch", "attempt"],
 }
 
 
@@ -77,6 +81,11 @@ class Store:
         typed = typed.withColumn("recorded_at", F.current_timestamp())
         typed.write.mode("append").partitionBy("dataset_name").parquet(self.path(table))
 
+    def append_all(self, tables: dict[str, DataFrame]) -> None:
+        """Append to several tables side by side: each is a small job of its own."""
+        with ThreadPoolExecutor(max_workers=max(1, len(tables))) as pool:
+            list(pool.map(lambda name: self.append(name, tables[name]), tables))
+
     def read(self, table: str, dataset: str | None = None) -> DataFrame:
         """The newest row of each key, or all rows of a table without one; a dataset name prunes to its folder."""
         schema = T.DataType.fromDDL(SCHEMAS[table])

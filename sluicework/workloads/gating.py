@@ -30,24 +30,30 @@ DESK = Contract.from_dict(
 _KEYS_SQL = r"""
 keyed AS (
   SELECT *, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS k1,
-    CASE WHEN o_orderpriority LIKE '5%' THEN NULL WHEN o_orderpriority LIKE '4%' THEN '' ELSE replace(o_orderpriority, '-', '|') END AS k2
+    CASE WHEN o_orderpriority LIKE '5%' THEN NULL WHEN o_orderpriority LIKE '4%' THEN '' ELSE replace(o_orderpriority, '-', '|') END AS k2,
+    CAST(floor(o_totalprice / 100000) AS BIGINT) AS band
   FROM orders),
 texts AS (
-  SELECT *, coalesce(k1, '\N') || '|' || CASE WHEN k2 IS NULL THEN '\N' WHEN k2 = '' THEN '\E' ELSE replace(k2, '|', '\|') END AS batch
+  SELECT *, coalesce(k1, '\N') || '|' || CASE WHEN k2 IS NULL THEN '\N' WHEN k2 = '' THEN '\E' ELSE replace(k2, '|', '\|') END
+    || '|' || coalesce(CAST(band AS VARCHAR), '\N') AS batch
   FROM keyed),
 b AS (
-  SELECT k1, k2, batch, COUNT(*) AS n, COUNT(DISTINCT o_orderkey) AS u, COUNT(*) FILTER (WHERE o_totalprice < 150000) AS low
-  FROM texts GROUP BY 1, 2, 3),
+  SELECT batch, COUNT(*) AS n, COUNT(DISTINCT o_orderkey) AS u, COUNT(*) FILTER (WHERE o_totalprice < 150000) AS low
+  FROM texts GROUP BY 1),
 scored AS (SELECT *, (u / CAST(n AS DOUBLE) * 100 + (n - low) / CAST(n AS DOUBLE) * 100) / 2 AS q FROM b),
 judged AS (SELECT *, CASE WHEN q < 60 THEN 'BLOCKED' WHEN q < 80 THEN 'WARNING' ELSE 'PASSED' END AS status FROM scored)
 """
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Column]]:
-    """Orders, and two batch keys with nulls, empty texts and separators in their values."""
+    """Orders, and three batch keys: two with nulls, empty texts and separators in their values, and the band of the price.
+
+    By its band a batch has only prices that the contract allows, half of them, or none: all verdicts occur.
+    """
     priority = F.col("o_orderpriority")
     second = F.when(priority.startswith("5"), None).when(priority.startswith("4"), "").otherwise(F.translate(priority, "-", "|"))
-    return table(spark, sf_dir, "orders"), [F.nullif("o_orderstatus", F.lit("P")), second]
+    band = F.floor(F.col("o_totalprice") / 100000)
+    return table(spark, sf_dir, "orders"), [F.nullif("o_orderstatus", F.lit("P")), second, band]
 
 
 @query("batch_keys", f"""WITH {_KEYS_SQL}
@@ -63,19 +69,16 @@ def _after(spark: SparkSession, sf_dir: str, runs: int = 1) -> Gate:
     gate = Gate(spark, fresh_folder(spark))
     orders, keys = _keyed(spark, sf_dir)
     for _ in range(runs):
-        gate.evaluate(orders.where("o_totalprice < 160000 OR o_orderstatus = 'F'"), DESK, batch=keys, as_of=AS_OF)
+        gate.evaluate(orders, DESK, batch=keys, as_of=AS_OF)
     return gate
 
 
-_GATED_SQL = _KEYS_SQL.replace("FROM orders)", "FROM orders WHERE o_totalprice < 160000 OR o_orderstatus = 'F')")
-
-
 def _read(gate: Gate, folder: str, destination: str) -> DataFrame:
     rows = gate.spark.read.parquet(f"{gate.root}/{folder}")
     return rows.withColumns({"destination": F.lit(destination), "batch_key": F.col("batch_key").cast("string")})
 
 
-@query("gated_write", f"""WITH {_GATED_SQL}
+@query("gated_write", f"""WITH {_KEYS_SQL}
 SELECT CASE WHEN status = 'BLOCKED' THEN 'quarantine' ELSE 'warehouse' END AS destination, t.batch, COUNT(*) AS rows, ROUND(SUM(o_totalprice), 2) AS total
 FROM texts t JOIN judged j ON t.batch = j.batch GROUP BY 1, 2""")
 def gated_write(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +89,7 @@ def gated_write(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("gate_records", f"""WITH {_GATED_SQL}
+@query("gate_records", f"""WITH {_KEYS_SQL}
 SELECT 'run' AS record, batch, status, ROUND(q, 6) AS figure FROM judged
 UNION ALL SELECT 'report', batch, 'QUARANTINED', 0.0 FROM judged WHERE status = 'BLOCKED'
 UNION ALL SELECT 'metric', 'row_count', 'PASSED', CAST(SUM(n) AS DOUBLE) FROM judged WHERE status = 'PASSED' HAVING COUNT(*) > 0
@@ -113,13 +116,13 @@ def _folders(gate: Gate, folder: str) -> list[str]:
     return [f.getPath().toString() for f in found]
 
 
-@query("gate_process", f"""WITH {_GATED_SQL}
+@query("gate_process", f"""WITH {_KEYS_SQL}
 SELECT batch, status, CASE WHEN status = 'BLOCKED' THEN 'QUARANTINED' ELSE 'STAGED' END AS action_taken, n AS rows FROM judged""")
 def gate_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge and move in one call: each batch lies where its own verdict sends it."""
     orders, keys = _keyed(spark, sf_dir)
     gate = Gate(spark, fresh_folder(spark))
-    result = gate.process(orders.where("o_totalprice < 160000 OR o_orderstatus = 'F'"), DESK, AS_OF, batch=keys)
+    result = gate.process(orders, DESK, AS_OF, batch=keys)
     lying = _read(gate, "staging/desk", "STAGED").unionByName(_read(gate, "quarantine/desk", "QUARANTINED"), allowMissingColumns=True)
     rows = lying.groupBy(F.col("batch_key").alias("batch"), F.col("destination").alias("action_taken")).agg(F.count(F.lit(1)).alias("rows"))
     return result["batches"].join(rows, ["batch", "action_taken"], "left").select("batch", "status", "action_taken", "rows")
