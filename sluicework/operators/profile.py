@@ -286,16 +286,16 @@ def _constraint(kind: str, hit: str, key: str, bound: int) -> str:
     return f"CASE WHEN total_rows {hit} {int(bound)} THEN {found} END"
 
 
-def profile(summary: DataFrame, contract: Contract) -> DataFrame:
+def profile(summary: DataFrame, contract: Contract, carry: Sequence[str] = ()) -> DataFrame:
     """Column reports, row-count constraints, check results and the overall score, one row per batch.
 
-    A pure projection of ``summarise``: nothing is scanned or shuffled again.
+    A pure projection of ``summarise``: nothing is scanned or shuffled again. ``carry`` names columns of the summary to keep.
     """
     if contract.error is not None:
         broken = _named({"type": "'CONTRACT_ERROR'", "severity": "'error'",
                          "message": literal(fv.MSG["contract_error"] % contract.path),
                          "expected": "NULL", "actual": "NULL"})
-        return summary.selectExpr("batch", "total_rows", "total_columns",
+        return summary.selectExpr("batch", "total_rows", "total_columns", *carry,
                                   f"{_array([broken], CONSTRAINT)} AS constraints", "100D AS overall_score")
     held = summary.schema["stats"].dataType
     present = set(held.names) if isinstance(held, T.StructType) else set()
@@ -316,7 +316,7 @@ def profile(summary: DataFrame, contract: Contract) -> DataFrame:
         "sql": "k.sql", "error": "k.error",
     })
     out = summary.selectExpr(
-        "batch", "total_rows", "total_columns",
+        "batch", "total_rows", "total_columns", *carry,
         f"{'array(' + ', '.join(reports) + ')' if reports else NO_REPORTS} AS columns",
         f"array_compact({_array(constraints, CONSTRAINT)}) AS constraints",
         f"transform(check_counts, k -> {result}) AS checks",

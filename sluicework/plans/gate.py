@@ -6,8 +6,9 @@ import json
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 from typing import Any, Callable, Mapping
 
 from pyspark.errors import (
@@ -22,7 +23,7 @@ from sluicework.functions.rules import at_time, moment
 from sluicework.operators import alerts as A, anomaly, lineage as L
 from sluicework.operators import profile as P
 from sluicework.operators.profile import Batch
-from sluicework.plans import reports
+from sluicework.plans import fleet, reports
 from sluicework.plans.judge import judge, schema_gate
 from sluicework.session import durable, error_text, move_folders, remove, small_frame
 from sluicework.sources import landing, readers, sinks
@@ -101,8 +102,7 @@ class Gate:
             errors = {c.name: self._error_of(rows, c.condition, args["as_of"]) for c in contract.checks if c.condition}
             if not any(errors.values()):
                 raise
-            marked = replace(contract, checks=tuple(replace(c, error=errors.get(c.name)) for c in contract.checks))
-            return judge(df, marked, history, impact, **args)
+            return judge(df, fleet.without(contract, errors), history, impact, **args)
 
     def _error_of(self, df: DataFrame, condition: str, as_of: datetime) -> str | None:
         try:
@@ -111,13 +111,27 @@ class Gate:
         except CHECK_ERRORS as exc:
             return error_text(exc)
 
-    def _divided(self, df: DataFrame, verdicts: DataFrame, batch: Batch, onward: str) -> str:
-        """Write all rows once, each under its destination, into a folder of their own."""
+    def _divided(self, rows: DataFrame, onward: str) -> str:
+        """Write rows that have a status once, each under its destination, into a folder of their own."""
         attempt = f"{self.root}/_attempts/{uuid.uuid4().hex}"
         where_to = F.when(F.col("status") == "BLOCKED", "quarantine").otherwise(onward)
-        sinks.write_divided(sinks.by_verdict(df, verdicts, batch).withColumn("destination", where_to).drop("status"), attempt)
+        sinks.write_divided(rows.withColumn("destination", where_to).drop("status"), attempt)
         return attempt
 
+    def _handed_on(self, attempt: str, df: DataFrame, name: str, as_of: datetime) -> tuple[str | None, str, str]:
+        """Load what was written for the warehouse: a changed status or None, a note for the reason, and the load status."""
+        try:
+            if self.sink is not None:
+                self._sent(self._landed(attempt, "warehouse", df), name, attempt, as_of)
+            else:
+                move_folders(self.spark, f"{attempt}/destination=warehouse", f"{self.root}/warehouse/{name}")
+        except Exception as exc:
+            status, state = sinks.load_failure(error_text(exc))
+            note = (fv.MSG["infra_note"] % self.root_cause(name) if status == "WARNING"
+                    else fv.MSG["load_failed_note"] % error_text(exc))
+            return status, note, state
+        return None, "", "LOADED"
+
     def _landed(self, attempt: str, destination: str, columns: DataFrame) -> DataFrame:
         kinds = T.StructType([*columns.schema.fields, T.StructField("batch_key", T.StringType())])
         return self.spark.read.schema(kinds).parquet(f"{attempt}/destination={destination}")
@@ -154,23 +168,14 @@ class Gate:
         tally = {r["status"]: r["n"] for r in verdicts.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
         blocked = tally.get("BLOCKED", 0)
         good = F.col("status") != "BLOCKED"
-        acted = verdicts.withColumn("load_status", F.when(good, "LOADED").otherwise(F.col("load_status")))
-        attempt = self._divided(df, verdicts, batch, "warehouse")
+        attempt, acted = self._divided(sinks.by_verdict(df, verdicts, batch), "warehouse"), verdicts
         if sum(tally.values()) > blocked:
-            try:
-                if self.sink is not None:
-                    self._sent(self._landed(attempt, "warehouse", df), name, attempt, as_of)
-                else:
-                    move_folders(self.spark, f"{attempt}/destination=warehouse", f"{self.root}/warehouse/{name}")
-            except Exception as exc:
-                status, state = sinks.load_failure(error_text(exc))
-                note = (fv.MSG["infra_note"] % self.root_cause(name) if status == "WARNING"
-                        else fv.MSG["load_failed_note"] % error_text(exc))
-                acted = verdicts.withColumns({
-                    "load_status": F.when(good, state).otherwise(F.col("load_status")),
-                    "reason": F.when(good, F.concat("reason", F.lit(note))).otherwise(F.col("reason")),
-                    "status": F.when(good, status).otherwise(F.col("status")),
-                })
+            status, note, state = self._handed_on(attempt, df, name, as_of)
+            acted = verdicts.withColumns({
+                "load_status": F.when(good, state).otherwise(F.col("load_status")),
+                "reason": F.when(good, F.concat("reason", F.lit(note))).otherwise(F.col("reason")),
+                "status": F.when(good, F.lit(status)).otherwise(F.col("status")) if status else F.col("status"),
+            })
         if blocked:
             place = f"quarantine/{name}/ts={self._stamp(as_of)}"
             move_folders(self.spark, f"{attempt}/destination=quarantine", f"{self.root}/{place}")
@@ -266,40 +271,82 @@ class Gate:
             self.spark, [(dataset, status, reason, actions)], "dataset string, status string, reason string, actions array<string>")
 
     def evaluate_all(self, contracts: list[Contract], paths: Mapping[str, str], *, skip_unchanged: bool = False,
-                     parallel: int = 4, **args: Any) -> tuple[DataFrame, DataFrame]:
+                     parallel: int = 4, as_of: datetime | None = None, take_action: bool = True) -> tuple[DataFrame, DataFrame]:
         """Judge every dataset that is active, has data and, if asked, changed; returns results and totals.
 
-        Datasets have different schemas, so each is its own set of jobs; several run side by side.
+        Judging takes as many jobs for many datasets as for one. Only what concerns files one by one is
+        done side by side: finding out a file's columns, and writing the rows of a dataset where its verdict sends them.
         """
-        asked = small_frame(self.spark, [(k.dataset,) for k in contracts], "dataset_name string")
-        known = {} if not skip_unchanged else {
-            r["dataset_name"]: r["last_file_mtime"]
-            for r in asked.distinct().join(self.store.registry(), "dataset_name").select("dataset_name", "last_file_mtime").collect()}
-
-        def one(contract: Contract) -> tuple[str, str, str]:
-            name, path = contract.dataset, paths.get(contract.dataset)
-            if contract.info.get("lifecycle") == "deprecated":
-                return name, "SKIPPED", fv.MSG["deprecated"]
-            files = landing.list_files(self.spark, path, "*").agg(F.max("mtime").alias("m")).first() if path else None
-            if files is None or files["m"] is None:
-                return name, "SKIPPED", fv.MSG["no_data"]
-            seen = known.get(name)
-            if seen is not None and abs(files["m"] - seen) < fv.UNCHANGED_TOLERANCE_SECONDS:
-                return name, "UNCHANGED", fv.MSG["unchanged"]
+        started, as_of = time.time(), as_of or datetime.now()
+        known = self.store.registry() if skip_unchanged else None
+        plan = {r["dataset"]: r for r in fleet.waiting(self.spark, contracts, dict(paths), known).collect()}
+        outcomes = {k: (r["decision"], r["reason"]) for k, r in plan.items() if r["decision"] != "JUDGE"}
+        chosen = [k for k in contracts if plan[k.dataset]["decision"] == "JUDGE"]
+
+        def opened(contract: Contract) -> fleet.Dataset | str:
+            path = paths[contract.dataset]
+            if contract.error is not None:
+                return fv.MSG["contract_error"] % contract.path
+            kind = readers.format_of(path)
             try:
-                worst = F.max(F.struct(
-                    F.when(F.col("status") == "BLOCKED", 2).when(F.col("status") == "WARNING", 1).otherwise(0).alias("r"),
-                    "status", "reason"))
-                row = self.evaluate_file(path, contract, **args).agg(worst.alias("w")).first()["w"]
-                return name, row["status"], row["reason"]
-            except Exception as exc:
-                return name, "BLOCKED", fv.MSG["evaluation_error"] % error_text(exc)
+                df = readers.load(self.spark, path, kind)
+            except readers.SourceError as exc:
+                return fv.MSG["verdict_load_failed"] % exc.message
+            return fleet.Dataset(df, contract, kind in readers.COLUMNAR, plan[contract.dataset]["mtime"])
 
         with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-            outcomes = list(pool.map(one, contracts))
-        results = small_frame(self.spark, outcomes, "dataset string, status string, reason string")
+            loaded = list(pool.map(opened, chosen))
+            outcomes.update({k.dataset: ("BLOCKED", d) for k, d in zip(chosen, loaded) if isinstance(d, str)})
+            sets = [d for d in loaded if not isinstance(d, str)]
+            if sets:
+                judged = self._judged_together(sets, as_of, pool if take_action else None, started)
+                outcomes.update(judged)
+        rows = [(k.dataset, *outcomes[k.dataset]) for k in contracts]
+        results = small_frame(self.spark, rows, "dataset string, status string, reason string")
         return results, reports.summary_counts(results)
 
+    def _judged_together(self, sets: list[fleet.Dataset], as_of: datetime, pool: ThreadPoolExecutor | None,
+                         started: float) -> dict[str, tuple[str, str]]:
+        work = f"{self.root}/_work/{uuid.uuid4().hex}"
+
+        def mark(df: DataFrame, contract: Contract) -> Contract:
+            rows = P._coerced(P.fold_nan(df), contract)
+            return fleet.without(contract, {c.name: self._error_of(rows, c.condition, as_of) for c in contract.checks if c.condition})
+
+        done = fleet.judge_all(self.spark, sets, self.store.read("metric_history"), self.impact, as_of, work, mark)
+        verdicts = done.verdicts
+        told = {r["dataset"]: r for r in verdicts.select("dataset", "status", "reason", "load_status").collect()}
+        after = {k: (r["status"], r["reason"], r["load_status"]) for k, r in told.items()}
+        if pool is not None:
+            acting = [s for s in sets if s.contract.dataset in told]
+            moved = list(pool.map(lambda s: self._move(s, told[s.contract.dataset], as_of), acting))
+            after.update(zip((s.contract.dataset for s in acting), moved))
+            held = [s.contract.dataset for s in acting if told[s.contract.dataset]["status"] == "BLOCKED"]
+            if held:
+                self.store.append("quarantine_reports", reduce(DataFrame.unionByName, [
+                    self._reports(verdicts.where(F.col("dataset") == k), k, f"quarantine/{k}/ts={self._stamp(as_of)}", "QUARANTINED", as_of, done.found[k])
+                    for k in held]))
+        final = small_frame(self.spark, [(k, *v) for k, v in after.items()], "dataset string, status string, reason string, load_status string")
+        kept = durable(verdicts.drop("status", "reason", "load_status").join(final, "dataset"), f"{self.root}/verdicts/_together")
+        self._record_all(kept.withColumn("dataset_name", F.col("dataset")), done.scored, as_of, int((time.time() - started) * 1000))
+        remove(self.spark, work)
+        failed = {k: ("BLOCKED", fv.MSG["evaluation_error"] % e) for k, e in done.errors.items()}
+        return {**failed, **{k: v[:2] for k, v in after.items()}}
+
+    def _move(self, one: fleet.Dataset, verdict: Any, as_of: datetime) -> tuple[str, str, str | None]:
+        """Write a whole dataset where its verdict sends it; returns status, reason and load status."""
+        name, status, reason = one.contract.dataset, verdict["status"], verdict["reason"]
+        rows = one.data.withColumns({"batch_key": P.batch_of(None), "status": F.lit(status)})
+        attempt = self._divided(rows, "warehouse")
+        try:
+            if status == "BLOCKED":
+                move_folders(self.spark, f"{attempt}/destination=quarantine", f"{self.root}/quarantine/{name}/ts={self._stamp(as_of)}")
+                return status, reason, verdict["load_status"]
+            status, note, state = self._handed_on(attempt, one.data, name, as_of)
+            return status or verdict["status"], reason + note, state
+        finally:
+            remove(self.spark, attempt)
+
     def process(self, df: DataFrame, contract: Contract, as_of: datetime, batch: Batch = None, **args: Any) -> dict:
         """Judge and move in one call; every batch goes where its own verdict sends it.
 
@@ -310,7 +357,7 @@ class Gate:
         good, name = F.col("status") != "BLOCKED", contract.dataset
         tally = verdicts.agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad")).first()
         places = {"QUARANTINED": f"quarantine/{name}/ts={self._stamp(as_of)}", "STAGED": f"staging/{name}"}
-        attempt, logs = self._divided(df, verdicts, batch, "staging"), {}
+        attempt, logs = self._divided(sinks.by_verdict(df, verdicts, batch), "staging"), {}
         for folder, place in (("quarantine", places["QUARANTINED"]), ("staging", places["STAGED"])):
             move_folders(self.spark, f"{attempt}/destination={folder}", f"{self.root}/{place}")
         if tally["bad"]:

@@ -50,9 +50,10 @@ def _with_evolution(verdicts: DataFrame, found: dict) -> DataFrame:
     })
 
 
-def run_id(dataset: str, at: Column) -> Column:
+def run_id(dataset: str | Column, at: Column) -> Column:
     """The same batch judged at the same time has the same id, so a retried run repeats itself."""
-    return F.md5(F.concat_ws("|", F.lit(dataset), F.col("batch"), at.cast("string")))
+    name = dataset if isinstance(dataset, Column) else F.lit(dataset)
+    return F.md5(F.concat_ws("|", name, F.col("batch"), at.cast("string")))
 
 
 def scored_metrics(summary: DataFrame, dataset: str, history: DataFrame, at: Column,
