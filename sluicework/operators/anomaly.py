@@ -71,9 +71,10 @@ def evaluate(metrics: DataFrame, history: DataFrame, anomaly_z: float = fv.ANOMA
 
 
 def replay(history: DataFrame, anomaly_z: float = fv.ANOMALY_Z,
-           slot_seconds: int = series.SLOT_SECONDS, block_rows: int = series.BLOCK_ROWS) -> DataFrame:
+           slot_seconds: int = series.SLOT_SECONDS, block_rows: int = series.BLOCK_ROWS,
+           slot_rows: int = series.SLOT_ROWS) -> DataFrame:
     """Score every point of history against the points before it, as each run would have been."""
-    seasonal = series.placed(history.where("metric_value IS NOT NULL"), SERIES, "day_of_week", ORDER, "metric_value", slot_seconds)
+    seasonal = series.placed(history.where("metric_value IS NOT NULL"), SERIES, "day_of_week", ORDER, "metric_value", slot_seconds, slot_rows)
     return _scored(series.trailing(seasonal, SERIES, "metric_value", fv.RECENT_RUNS, block_rows), anomaly_z)
 
 

@@ -12,9 +12,12 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sluicework.functions.stats import steady_mean, steady_std
+from sluicework.session import durable, fresh_folder
 
 SLOT_SECONDS = 86400
 BLOCK_ROWS = 8192
+#: Rows of a series in one slot beyond which the slot is cut, and the most pieces it is cut into.
+SLOT_ROWS, CUTS = 65_536, 256
 
 
 def slot(order: str, seconds: int) -> Column:
@@ -22,6 +25,25 @@ def slot(order: str, seconds: int) -> Column:
     return F.floor(F.unix_micros(F.col(order).cast("timestamp")) / F.lit(seconds * 1_000_000))
 
 
+def slotted(df: DataFrame, keys: Sequence[str], order: str, seconds: int, slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """Add ``_slot``: the stretch of time a row falls in, or a piece of it where a series has very many points there.
+
+    A busy stretch is cut at measured quantiles of its times. The cuts are estimates, which may differ
+    each time they are made, so they are stored; any cuts give the same statistics. Rows of one instant stay together.
+    """
+    rows = df.withColumn("_slot", slot(order, seconds))
+    busy = rows.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slot_rows).select(*keys, "_slot")
+    if busy.isEmpty():
+        return rows.withColumn("_slot", F.col("_slot") * CUTS)
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    shares = F.array(*[F.lit(k / CUTS) for k in range(1, CUTS)])
+    cuts = rows.join(busy, [*keys, "_slot"], "left_semi").groupBy(*keys, "_slot").agg(F.approx_percentile(at, shares, 10 * CUTS).alias("_cuts"))
+    stored = durable(cuts, fresh_folder(df.sparkSession))
+    piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= at)), F.lit(0))
+    placed_in = rows.join(stored, [*keys, "_slot"], "left")
+    return placed_in.withColumn("_slot", F.col("_slot") * CUTS + F.when(F.col("_cuts").isNull(), 0).otherwise(piece)).drop("_cuts")
+
+
 def _carried(totals: DataFrame, keys: Sequence[str], season: str) -> DataFrame:
     """Per slot: rows of the series before it, and count, sums and range of its season before it.
 
@@ -46,7 +68,7 @@ def _carried(totals: DataFrame, keys: Sequence[str], season: str) -> DataFrame:
 
 
 def placed(df: DataFrame, keys: Sequence[str], season: str, order: Sequence[str], value: str,
-           slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+           slot_seconds: int = SLOT_SECONDS, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Add each row's ``_position`` in its series and ``seasonal_n, seasonal_mean, seasonal_std`` of its
     season's earlier rows.
 
@@ -54,7 +76,7 @@ def placed(df: DataFrame, keys: Sequence[str], season: str, order: Sequence[str]
     Rows are shuffled twice by (series, slot), never by series alone.
     """
     keys = list(keys)
-    rows = df.withColumn("_slot", slot(order[0], slot_seconds))
+    rows = slotted(df, keys, order[0], slot_seconds, slot_rows).select(*df.columns, "_slot")
     totals = rows.groupBy(*keys, season, "_slot").agg(
         F.count(F.lit(1)).alias("_rows"), F.count(value).alias("_n"), F.avg(value).alias("_m"),
         F.var_pop(value).alias("_v"), F.min(value).alias("_lo"), F.max(value).alias("_hi"),

@@ -25,6 +25,7 @@ SCHEMAS = {
                           "total_errors int, report string",
     "staging_log": "dataset_name string, batch string, timestamp timestamp, location string, status string, report string",
     "load_log": "dataset_name string, batch string, attempt string, timestamp timestamp, rows bigint, checksum string, state string",
+    "distinct_sketches": "dataset_name string, batch string, column_name string, filled bigint, sketch binary",
 }
 
 
@@ -35,6 +36,7 @@ KEYS = {
     "quarantine_reports": ["dataset_name", "batch", "timestamp"],
     "staging_log": ["dataset_name", "batch", "timestamp"],
     "load_log": ["dataset_name", "batch", "attempt"],
+    "distinct_sketches": ["dataset_name", "batch", "column_name"],
 }
 
 
@@ -120,6 +122,12 @@ class Store:
     def registry(self) -> DataFrame:
         return latest_registry(self.read("dataset_registry"))
 
+    def reports_of(self, dataset: str, batches: DataFrame) -> DataFrame:
+        """The newest quarantine report of each batch asked for, with nulls where there is none."""
+        newest = F.max_by(F.struct("timestamp", "location", "status", "total_errors", "report"), "timestamp")
+        reports = self.read("quarantine_reports", dataset).groupBy("batch").agg(newest.alias("r")).select("batch", "r.*")
+        return batches.join(reports, "batch", "left")
+
     def quarantine_report(self, dataset: str, batch: str) -> DataFrame:
         """The reports of one quarantined batch; empty when there is none."""
         return self.read("quarantine_reports", dataset).where(F.col("batch") == batch)

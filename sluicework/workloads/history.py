@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sluicework.contracts import Contract
-from sluicework.operators import anomaly, profile as P
+from sluicework.operators import anomaly, profile as P, sketches
 from sluicework.session import durable, fresh_folder
-from sluicework.sources.store import latest_baselines
+from sluicework.sources.store import Store, latest_baselines
 from sluicework.workloads.common import REPLAY_SQL, SHIPPING_SQL, query, shipping_history, table
 
 
@@ -112,7 +112,7 @@ z AS (SELECT *, CASE WHEN baseline_type = 'initializing' THEN 0.0 WHEN std = 0 T
 SELECT run_id, metric_name, baseline_type, ROUND(mean + 1e-9, 4) AS baseline_mean, ROUND(std + 1e-9, 4) AS baseline_std, ROUND(z, 4) AS z_score,
   abs(z) > 3.0 AS is_anomaly FROM z""")
 def evaluate_against_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = shipping_history(spark, sf_dir)
+    history = _stored_history(spark, sf_dir)
     cut = F.lit("2001-01-01").cast("timestamp")
     scored = anomaly.evaluate(history.where(F.col("timestamp") >= cut), history.where(F.col("timestamp") < cut))
     return scored.select("run_id", "metric_name", "baseline_type",
@@ -154,3 +154,40 @@ def latest_baselines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "dataset_name", "metric_name", F.round("baseline_mean", 4).alias("baseline_mean"),
         F.round("baseline_std", 4).alias("baseline_std"), "baseline_type",
         F.to_date("last_updated").cast("string").alias("last_updated"), F.col("sample_count").cast("bigint").alias("sample_count"))
+
+
+@query("replay_busy_day", """
+WITH p AS (
+  SELECT o_orderkey, TIMESTAMP '2001-01-01' + to_seconds(CAST(o_custkey % 86400 AS BIGINT)) AS ts, o_totalprice / 1000 AS v FROM orders),
+w AS (
+  SELECT o_orderkey, COUNT(*) OVER a AS n, AVG(v) OVER a AS sm, STDDEV_SAMP(v) OVER a AS ss, COUNT(*) OVER b AS gn, AVG(v) OVER b AS gm
+  FROM p WINDOW a AS (ORDER BY ts, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    b AS (ORDER BY ts, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
+SELECT o_orderkey, n AS sample_count, CASE WHEN n >= 3 THEN ROUND(sm, 2) ELSE 0.0 END AS baseline_mean, CASE WHEN n >= 3 THEN ROUND(ss, 2) ELSE 0.0 END AS baseline_std FROM w""")
+def replay_busy_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points of one series in one day: the day is cut at quantiles, and no task holds it whole."""
+    key = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
+    points = table(spark, sf_dir, "orders").select(
+        key.alias("run_id"), F.timestamp_seconds(F.lit(978307200) + F.col("o_custkey") % 86400).alias("timestamp"), F.lit("orders").alias("dataset_name"),
+        F.lit("price").alias("metric_name"), (F.col("o_totalprice") / 1000).alias("metric_value"), F.lit(0).alias("day_of_week"))
+    scored = anomaly.replay(durable(points, fresh_folder(spark)), slot_rows=2048)
+    return scored.select(F.col("run_id").cast("long").alias("o_orderkey"), "sample_count",
+                         *[F.round(c, 2).alias(c) for c in ("baseline_mean", "baseline_std")])
+
+
+@query("distinct_sketches", """
+WITH d AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, l_orderkey, l_partkey FROM lineitem),
+u AS (SELECT month, 'l_orderkey' AS column_name, COUNT(l_orderkey) AS filled, COUNT(DISTINCT l_orderkey) AS exact FROM d GROUP BY 1
+  UNION ALL SELECT month, 'l_partkey', COUNT(l_partkey), COUNT(DISTINCT l_partkey) FROM d GROUP BY 1)
+SELECT month, column_name, filled, exact, TRUE AS within_bound FROM u""")
+def distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values of a month from the stored sketches of its days, beside the exact counts."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("day", F.to_date("l_shipdate"))
+    store, columns = Store(spark, fresh_folder(spark)), ["l_orderkey", "l_partkey"]
+    store.append("distinct_sketches", sketches.distinct_sketches(rows, columns, "day").withColumn("dataset_name", F.lit("lineitem")))
+    month = F.to_date(F.trunc(F.to_date("batch"), "month")).alias("month")
+    found = sketches.merged(store.read("distinct_sketches", "lineitem").select(month, "column_name", "filled", "sketch"), "month")
+    exact = P.distinct_counts(rows.withColumn("month", F.trunc("day", "month")), columns, "month").select(
+        F.to_date("batch").alias("month"), "column_name", F.col("unique_count").alias("exact"))
+    close = F.abs(F.col("unique_estimate") - F.col("exact")) <= sketches.ERROR_BOUND * F.col("exact")
+    return found.join(exact, ["month", "column_name"]).select("month", "column_name", "filled", "exact", close.alias("within_bound"))
