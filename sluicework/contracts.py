@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 from pathlib import Path
-from typing import Any, Iterable
+from typing import Any, Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +45,8 @@ class Check:
     condition: str
     severity: str = "warning"
     error: str | None = None  # set when the condition is known to fail at run time
+    rule_name: str | None = None  # in the rule table, whose defaults are its own
+    rule_severity: str | None = None
 
 
 @dataclass(frozen=True)
@@ -97,7 +99,8 @@ class Contract:
             for c in raw.get("columns") or []
         )
         checks = tuple(
-            Check(c.get("name", "Unnamed Check"), c.get("sql_condition") or "", c.get("severity", "warning"))
+            Check(c.get("name", fv.PROFILE_CHECK[0]), c.get("sql_condition") or "", c.get("severity", fv.PROFILE_CHECK[1]),
+                  rule_name=c.get("name", fv.RULE_CHECK[0]), rule_severity=c.get("severity", fv.RULE_CHECK[1]))
             for c in quality.get("custom_checks") or []
         )
         return cls(
@@ -175,26 +178,30 @@ RULE_SCHEMA = (
 )
 
 
+def _bounds(low: Any, high: Any) -> dict:
+    """A range whose missing ends are open."""
+    return {"low": float("-inf") if low is None else float(low), "high": float("inf") if high is None else float(high)}
+
+
+#: Each kind of rule: its scope, and the rules of that kind that a contract implies.
+RULE_KINDS: dict[str, tuple[str, Callable[[Contract], Iterable[dict]]]] = {
+    "rowCount": ("dataset", lambda k: [_bounds(k.min_rows, k.max_rows)] if k.min_rows is not None else []),
+    "notNull": ("column", lambda k: [{"column_name": c.name} for c in k.columns if not c.nullable]),
+    "range": ("column", lambda k: [{"column_name": c.name, **_bounds(c.min_value, c.max_value)}
+                                   for c in k.columns if (c.min_value, c.max_value) != (None, None)]),
+    "freshness": ("column", lambda k: [{"column_name": c.name, "max_age_hours": fv.FRESHNESS_HOURS}
+                                       for c in k.columns if c.data_type == "timestamp"]),
+    "sql": ("dataset", lambda k: [{"check_name": c.rule_name or c.name, "condition": c.condition, "severity": c.rule_severity or c.severity}
+                                  for c in k.checks]),
+}
+
+
 def rule_rows(contract: Contract) -> list[tuple]:
-    """The typed rules a contract implies: row count, not null, range, freshness and SQL."""
-    rows: list[tuple] = []
-    ds = contract.dataset
-    inf = float("inf")
-    if contract.min_rows is not None:
-        high = inf if contract.max_rows is None else float(contract.max_rows)
-        rows.append((ds, "dataset", None, "rowCount", float(contract.min_rows), high, None, None, None, None))
-    for c in contract.columns:
-        if not c.nullable:
-            rows.append((ds, "column", c.name, "notNull", None, None, None, None, None, None))
-        if c.min_value is not None or c.max_value is not None:
-            low = -inf if c.min_value is None else float(c.min_value)
-            high = inf if c.max_value is None else float(c.max_value)
-            rows.append((ds, "column", c.name, "range", low, high, None, None, None, None))
-        if c.data_type == "timestamp":
-            rows.append((ds, "column", c.name, "freshness", None, None, fv.FRESHNESS_HOURS, None, None, None))
-    for check in contract.checks:
-        rows.append((ds, "dataset", None, "sql", None, None, None, check.name, check.condition, check.severity))
-    return rows
+    """The typed rules a contract implies, kind by kind, in the layout of the rule table."""
+    names = [f.split()[0] for f in RULE_SCHEMA.split(", ")]
+    found = ({"dataset": contract.dataset, "scope": scope, "rule": kind, **rule}
+             for kind, (scope, rules_of) in RULE_KINDS.items() for rule in rules_of(contract))
+    return [tuple(rule.get(n) for n in names) for rule in found]
 
 
 def rule_table(spark: SparkSession, contracts: Iterable[Contract]) -> DataFrame:

@@ -130,3 +130,7 @@ LOAD_BLOCKED = "SKIPPED (Blocked by Agent)"
 LOAD_LOW_QUALITY = "SKIPPED (Quality too low)"
 LOAD_INFRA_ERROR = "SKIPPED (Infra Error)"
 INFRA_ERROR_MARKS = ["connection refused", "max retries exceeded"]
+
+#: Name and severity of a check that has none: in profiles, and in the rule table.
+PROFILE_CHECK = ("Unnamed Check", "warning")
+RULE_CHECK = ("Custom Check", "error")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Any, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sluicework import fixed_values as fv
 from sluicework.operators.joins import lookup_join
@@ -73,22 +73,34 @@ def latest_health(health: DataFrame) -> DataFrame:
     return health.groupBy("upstream").agg(newest.alias("h")).select("upstream", "h.status", "h.details")
 
 
-def root_cause(datasets: DataFrame, upstreams: DataFrame, health: DataFrame) -> DataFrame:
+#: Upstreams that a root cause names; the rows of ``outages`` are complete.
+NAMED_UPSTREAMS = 100
+
+
+def outages(upstreams: DataFrame, health: DataFrame) -> DataFrame:
+    """One row for each dataset and upstream, whether it is down now, with its name and details in words."""
+    checked = lookup_join(upstreams.select("dataset", "upstream").distinct(), latest_health(health), ["upstream"])
+    return checked.select(
+        "dataset", "upstream", F.coalesce(F.col("status") == "DOWN", F.lit(False)).alias("down"), "status", "details",
+        F.format_string("%s (%s)", "upstream", F.coalesce("details", F.lit(""))).alias("named"))
+
+
+def root_cause(datasets: DataFrame, upstreams: DataFrame, health: DataFrame, most: int = NAMED_UPSTREAMS) -> DataFrame:
     """Why a load may have failed: the upstreams of each dataset that are down now.
 
-    Only edges to upstreams that are down carry text into the grouping.
+    The text names the first ``most`` of them in the order of their names and says how many more there
+    are. Each task keeps only its own first ones before they meet, so no group collects all texts.
     """
-    checked = lookup_join(upstreams.select("dataset", "upstream").distinct(), latest_health(health), ["upstream"])
-    down = F.col("status") == "DOWN"
-    named = F.when(down, F.format_string("%s (%s)", "upstream", F.coalesce("details", F.lit(""))))
-    per_dataset = checked.groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("upstream_count"),
-        F.count_if(down).alias("down_count"),
-        F.array_join(F.sort_array(F.collect_list(named)), ", ").alias("down_text"),
-    )
+    checked = outages(upstreams, health)
+    counts = checked.groupBy("dataset").agg(F.count_if("down").alias("down_count"))
+    order = Window.partitionBy("dataset").orderBy("named")
+    first = checked.where("down").select("dataset", "named").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
+    texts = first.groupBy("dataset").agg(F.array_join(F.sort_array(F.collect_list("named")), ", ").alias("down_text"))
+    per_dataset = counts.join(texts, "dataset", "left").withColumn("upstream_count", F.lit(1))
+    more = F.when(F.col("down_count") > most, F.format_string(" and %d more", F.col("down_count") - most)).otherwise("")
     cause = (
         F.when(F.col("upstream_count").isNull(), fv.MSG["local_issue"])
-        .when(F.col("down_count") > 0, F.format_string(fv.MSG["outage"], "down_text"))
+        .when(F.col("down_count") > 0, F.format_string(fv.MSG["outage"], F.concat("down_text", more)))
         .otherwise(fv.MSG["local_issue_up"])
     )
     return datasets.join(per_dataset, "dataset", "left").select(

@@ -8,8 +8,9 @@ aggregate's buffer through a shuffle of all distinct values.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
-from typing import Sequence
+from typing import Callable, Mapping, NamedTuple, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -146,6 +147,26 @@ def summarise(df: DataFrame, contract: Contract, batch: Batch = None, *,
     it the scan reads contract columns and whatever the checks mention.
     ``distinct`` is ``keys`` (exact, primary keys only: all that scores need), ``exact`` (every column), ``approx`` or ``none``.
     """
+    plan = _planned(df, contract, metrics, as_of)
+    exprs = [F.expr(sql).alias(name) for name, sql in plan.aggs.items()]
+    scan = by_batch(plan.work, batch, exprs)
+    merged = _with_distinct(scan, plan.data, plan.present, batch, distinct, columnar)
+    return _shape(merged, contract, plan.present, plan.kinds, plan.good, plan.bad, metrics)
+
+
+class _Plan(NamedTuple):
+    """What a summary of one dataset needs: ``aggs`` are the aggregates by name, over the rows of ``work``."""
+
+    data: DataFrame
+    work: DataFrame
+    kinds: dict
+    present: list[ColumnSpec]
+    good: list[Check]
+    bad: dict[str, str]
+    aggs: dict[str, str]
+
+
+def _planned(df: DataFrame, contract: Contract, metrics: bool, as_of: datetime | None) -> _Plan:
     df = fold_nan(df)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     present = [c for c in contract.columns if c.name in kinds]
@@ -172,10 +193,71 @@ def summarise(df: DataFrame, contract: Contract, batch: Batch = None, *,
             aggs[f"m{m}_filled"] = f"COUNT({quoted(name)})"
         if is_numeric(kind) and f"c{known.get(name)}_mean" not in aggs:
             aggs[f"m{m}_mean"] = f"AVG(CAST({quoted(name)} AS DOUBLE))"
-    exprs = [F.expr(sql).alias(name) for name, sql in aggs.items()]
-    scan = by_batch(work, batch, exprs)
-    merged = _with_distinct(scan, df, present, batch, distinct, columnar)
-    return _shape(merged, contract, present, kinds, good, bad, metrics)
+    return _Plan(df, work, kinds, present, good, bad, aggs)
+
+
+_AGGREGATE = re.compile(r"(COUNT_IF|COUNT|MIN|MAX|AVG)\((.*)\)", re.S)
+_SHOWN = {"MIN": "lo", "MAX": "hi", "AVG": "av"}
+
+
+def summarise_many(sets: Mapping[str, tuple[DataFrame, Contract]], as_of: datetime | None = None,
+                   keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> dict[str, DataFrame]:
+    """The summary of each whole dataset, as ``summarise`` gives it, from one aggregate over all of them.
+
+    Each dataset's rows are projected to one layout: 0 or 1 for whatever it counts, and the numbers
+    whose range and mean it takes. Their union is grouped by dataset once, and so are the values of
+    all primary keys: the number of shuffles doesn't grow with the number of datasets. ``keep`` stores
+    the result, one row a dataset, from which each summary is a projection.
+    """
+    plans = {name: _planned(df, contract, True, as_of) for name, (df, contract) in sets.items()}
+    spark = next(iter(plans.values())).work.sparkSession
+    counted, numbers, shown = {}, {}, {}
+    for name, plan in plans.items():
+        counted[name], numbers[name], shown[name] = [], [], []
+        for alias, sql in plan.aggs.items():
+            kind, arg = _AGGREGATE.fullmatch(sql).groups()
+            if kind in _SHOWN:
+                number = f"CAST({arg} AS DOUBLE)"
+                if number not in numbers[name]:
+                    numbers[name].append(number)
+                shown[name].append(f"{_SHOWN[kind]}{numbers[name].index(number)} AS {alias}")
+            else:
+                hit = f"({arg}) IS NOT NULL" if kind == "COUNT" else f"({arg})"
+                shown[name].append(f"n{len(counted[name])} AS {alias}")
+                counted[name].append(f"CASE WHEN {hit} THEN 1L ELSE 0L END")
+    n, v = max(map(len, counted.values())), max(map(len, numbers.values()))
+    layout = ["dataset string", *(f"n{i} bigint" for i in range(n)), *(f"v{i} double" for i in range(v))]
+    rows = small_frame(spark, [(name, *[0] * n, *[None] * v) for name in plans], ", ".join(layout))  # an empty dataset has a row too
+    values = small_frame(spark, [], "dataset string, column_name string, value string")
+    for name, plan in plans.items():
+        rows = rows.unionByName(plan.work.selectExpr(
+            f"{literal(name)} AS dataset",
+            *[f"{counted[name][i] if i < len(counted[name]) else '0L'} AS n{i}" for i in range(n)],
+            *[f"{numbers[name][i] if i < len(numbers[name]) else 'CAST(NULL AS DOUBLE)'} AS v{i}" for i in range(v)]))
+        for c in plan.present:
+            if c.primary_key:
+                values = values.unionByName(plan.data.select(
+                    F.lit(name).alias("dataset"), F.lit(c.name).alias("column_name"), _told_apart(_as_text(ref(c.name), plan.kinds[c.name])).alias("value")))
+    grouped = rows.groupBy("dataset").agg(
+        *[F.sum(f"n{i}").alias(f"n{i}") for i in range(n)],
+        *[f(f"v{i}").alias(f"{k}{i}") for i in range(v) for k, f in (("lo", F.min), ("hi", F.max), ("av", F.avg))])
+    unique = values.where("value IS NOT NULL").distinct().groupBy("dataset", "column_name").agg(F.count(F.lit(1)).alias("u"))
+    unique = unique.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("column_name", "u"))).alias("unique"))
+    stored = keep(grouped.join(unique, "dataset", "left"))
+    out = {}
+    for name, plan in plans.items():
+        keys = [f"COALESCE(unique[{literal(c.name)}], 0L) AS c{i}_unique" if c.primary_key else f"CAST(NULL AS BIGINT) AS c{i}_unique"
+                for i, c in enumerate(plan.present)]
+        row = stored.where(F.col("dataset") == name).select(batch_of(None).alias("batch"), *map(F.expr, [*shown[name], *keys]))
+        out[name] = _shape(row, sets[name][1], plan.present, plan.kinds, plan.good, plan.bad, True)
+    return out
+
+
+def _as_text(value: Column, kind: T.DataType) -> Column:
+    """A text that equals another one just where the values are equal."""
+    if isinstance(kind, T.TimestampType):
+        value = F.unix_micros(value)
+    return F.hex(value) if isinstance(kind, T.BinaryType) else value.cast("string")
 
 
 def _with_distinct(scan: DataFrame, df: DataFrame, present: list[ColumnSpec], batch: Batch,
@@ -213,7 +295,12 @@ METRIC = "struct<metric_name:string,metric_value:double>"
 CONSTRAINT = "struct<type:string,severity:string,message:string,expected:bigint,actual:bigint>"
 
 
-NO_REPORTS = "CAST(array() AS array<struct<column_name:string,violation_count:bigint,quality_score:double>>)"
+_REPORT = {
+    "column_name": "string", "null_count": "bigint", "null_rate": "double", "unique_count": "bigint", "uniqueness_rate": "double",
+    **dict.fromkeys(("min_value", "max_value", "mean_value"), "double"),
+    **dict.fromkeys(("not_null_violations", "duplicate_count", "below_min", "above_max", "pattern_mismatches", "disallowed", "violation_count"), "bigint"),
+    "quality_score": "double"}
+NO_REPORTS = f"CAST(array() AS array<struct<{','.join(f'{k}:{v}' for k, v in _REPORT.items())}>>)"
 
 
 def _shape(row: DataFrame, contract: Contract, present: list[ColumnSpec], kinds: dict, good: list[Check],
@@ -295,7 +382,7 @@ def profile(summary: DataFrame, contract: Contract, carry: Sequence[str] = ()) -
         broken = _named({"type": "'CONTRACT_ERROR'", "severity": "'error'",
                          "message": literal(fv.MSG["contract_error"] % contract.path),
                          "expected": "NULL", "actual": "NULL"})
-        return summary.selectExpr("batch", "total_rows", "total_columns", *carry,
+        return summary.selectExpr("batch", "total_rows", "total_columns", *carry, f"{NO_REPORTS} AS columns",
                                   f"{_array([broken], CONSTRAINT)} AS constraints", "100D AS overall_score")
     held = summary.schema["stats"].dataType
     present = set(held.names) if isinstance(held, T.StructType) else set()
@@ -415,8 +502,8 @@ def rule_outcomes(profiles: DataFrame, rule_rows: DataFrame) -> DataFrame:
 
     Freshness needs the data's latest timestamp and is evaluated by ``freshness_outcomes``.
     """
-    def found(rule: str, column: str, check: str, count: str) -> str:
-        return _named({"rule": literal(rule), "column_name": column, "check_name": check, "violation_count": count})
+    def found(rule: str, column: str, check: str, count: str, sql: str = "CAST(NULL AS STRING)") -> str:
+        return _named({"rule": literal(rule), "column_name": column, "check_name": check, "condition": sql, "violation_count": count})
 
     text = "CAST(NULL AS STRING)"
     per_column = [found("notNull", "c.column_name", text, "c.null_count"),
@@ -424,15 +511,16 @@ def rule_outcomes(profiles: DataFrame, rule_rows: DataFrame) -> DataFrame:
     measured = profiles.selectExpr("batch", f"""inline(concat(
         flatten(transform(columns, c -> array({', '.join(per_column)}))),
         array({found('rowCount', text, text, 'CAST(size(constraints) AS BIGINT)')}),
-        transform(checks, k -> {found('sql', text, 'k.name', 'k.violation_count')})))""")
+        transform(checks, k -> {found('sql', text, 'k.name', 'k.violation_count', 'k.sql')})))""")
     m, r = measured.alias("m"), rule_rows.alias("r")
     same = (
         (F.col("m.rule") == F.col("r.rule"))
         & F.col("m.column_name").eqNullSafe(F.col("r.column_name"))
-        & F.col("m.check_name").eqNullSafe(F.col("r.check_name"))
+        & F.col("m.condition").eqNullSafe(F.col("r.condition"))
+        & (F.col("m.check_name").eqNullSafe(F.col("r.check_name")) | (F.col("m.check_name") == fv.PROFILE_CHECK[0]))
     )
     return m.join(r, same).select(
-        "r.dataset", "m.batch", "r.scope", "m.column_name", "m.rule", "m.check_name", "m.violation_count",
+        "r.dataset", "m.batch", "r.scope", "m.column_name", "m.rule", "r.check_name", "m.violation_count",
         (F.coalesce(F.col("m.violation_count"), F.lit(1)) == 0).alias("passed"),
     )
 

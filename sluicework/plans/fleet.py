@@ -1,8 +1,8 @@
 """Many datasets judged together.
 
-Each dataset has a schema of its own, but its summary has one row of the same layout. So the scans of
-all datasets are branches of one job, and what follows (metrics, baselines, impact, verdicts) runs once
-over the union: the number of jobs doesn't grow with the number of datasets.
+Each dataset has a schema of its own, but what its rules count has the same layout. So the scans of
+all datasets are branches of one aggregate, and what follows (metrics, baselines, impact, verdicts) runs
+once over the union: the number of jobs and shuffles doesn't grow with the number of datasets.
 """
 
 from __future__ import annotations
@@ -65,20 +65,12 @@ def waiting(spark: SparkSession, contracts: list[Contract], paths: dict[str, str
     return found.select("dataset", decision.alias("decision"), reason.alias("reason"), "mtime")
 
 
-def _summary(one: Dataset, as_of: datetime) -> DataFrame:
-    summary = P.summarise(one.data, one.contract, None, as_of=as_of, columnar=one.columnar)
-    return P.profile(summary, one.contract, carry=("metrics",)).withColumn("dataset", F.lit(one.contract.dataset))
-
-
-def _together(rows: list[DataFrame]) -> DataFrame:
-    """The union of summaries; those without a column report get an empty list of the others' type."""
-    full = [r.schema["columns"].dataType for r in rows if "columns" in r.columns and len(r.schema["columns"].dataType.elementType.names) > 3]
-    kept = ["dataset", "batch", "total_rows", "overall_score", "constraints", "checks", "metrics"]
-    if full:
-        empty = F.array().cast(full[0])
-        rows = [r if r.schema["columns"].dataType.elementType.names == full[0].elementType.names else r.withColumn("columns", empty) for r in rows]
-        kept.append("columns")
-    return reduce(DataFrame.unionByName, [r.select(*kept) for r in rows])
+def _together(sets: list[Dataset], as_of: datetime, folder: str) -> DataFrame:
+    """One row a dataset: a projection of what one aggregate over all of them has stored."""
+    found = P.summarise_many({s.contract.dataset: (s.data, s.contract) for s in sets}, as_of, lambda rows: durable(rows, folder))
+    rows = [P.profile(found[s.contract.dataset], s.contract, carry=("metrics",)).select(
+        F.lit(s.contract.dataset).alias("dataset"), "batch", "total_rows", "overall_score", "columns", "constraints", "checks", "metrics") for s in sets]
+    return durable(reduce(DataFrame.unionByName, rows), folder)
 
 
 def summaries(sets: list[Dataset], as_of: datetime, folder: str, mark: Marker) -> tuple[list[DataFrame], dict[str, str]]:
@@ -90,7 +82,7 @@ def summaries(sets: list[Dataset], as_of: datetime, folder: str, mark: Marker) -
     if not sets:
         return [], {}
     try:
-        return [durable(_together([_summary(s, as_of) for s in sets]), folder)], {}
+        return [_together(sets, as_of, folder)], {}
     except Exception as exc:
         if len(sets) > 1:
             half = len(sets) // 2

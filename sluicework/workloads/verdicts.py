@@ -50,6 +50,26 @@ SELECT names.dataset, COALESCE(down_count, 0) AS down_count,
        ELSE 'Local Infrastructure Issue (Upstream services are UP)' END AS root_cause
 FROM names LEFT JOIN per ON per.dataset = names.dataset""")
 def root_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, health = _upstreams(spark, sf_dir)
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("dataset")).distinct()
+    return L.root_cause(parts(spark, sf_dir).unionByName(brands), edges, health)
+
+
+@query("outage_rows", """
+WITH health AS (
+  SELECT 'nation_' || (user_id % 25) AS upstream, ts, CASE WHEN event_type = 'error' AND value > 40 THEN 'DOWN' ELSE 'UP' END AS status, props AS details FROM events),
+latest AS (SELECT upstream, status, details FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY upstream ORDER BY ts DESC, status DESC, details DESC) AS r FROM health) WHERE r = 1),
+edges AS (SELECT DISTINCT 'part_' || l_partkey AS dataset, 'nation_' || s_nationkey AS upstream
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT e.dataset, e.upstream, COALESCE(l.status = 'DOWN', FALSE) AS down, l.details FROM edges e LEFT JOIN latest l ON e.upstream = l.upstream""")
+def outage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every upstream of every dataset, and whether it is down."""
+    return L.outages(*_upstreams(spark, sf_dir)).select("dataset", "upstream", "down", "details")
+
+
+def _upstreams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts and the nations of their suppliers, and a health log of the nations."""
     health = table(spark, sf_dir, "events").select(
         F.concat(F.lit("nation_"), (F.col("user_id") % 25).cast("string")).alias("upstream"),
         F.col("ts").alias("timestamp"),
@@ -60,8 +80,7 @@ def root_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("dataset"),
                 F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string")).alias("upstream")))
-    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("dataset")).distinct()
-    return L.root_cause(parts(spark, sf_dir).unionByName(brands), edges, health)
+    return edges, health
 
 
 @query("flow_state", f"""WITH {CONSUMERS_SQL},
@@ -149,13 +168,13 @@ def verdict_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALERTS = {
     "channels": {"desk_room": {"type": "slack"}, "audit_room": {"type": "slack"}, "night_shift": {"type": "pagerduty"}},
     "routing": {
-        "WARNING": {"channels": ["desk_room"], "required_criticality": ["MEDIUM", "HIGH", "CRITICAL"]},
+        "WARNING": {"channels": ["desk_room"], "required_criticality": ["LOW", "HIGH"]},
         "DEFAULT": {"channels": ["night_shift", "retired_room", "audit_room"]},
     },
 }
 
 _ALERT_SQL = _MATRIX_SQL + """,
-rules AS (SELECT * FROM (VALUES ('WARNING', ['desk_room'], ['MEDIUM', 'HIGH', 'CRITICAL']),
+rules AS (SELECT * FROM (VALUES ('WARNING', ['desk_room'], ['LOW', 'HIGH']),
   ('DEFAULT', ['night_shift', 'retired_room', 'audit_room'], CAST([] AS VARCHAR[]))) AS r(rule, channels, required)),
 chans AS (SELECT * FROM (VALUES ('desk_room', 'slack'), ('audit_room', 'slack'), ('night_shift', 'pagerduty')) AS c(channel, channel_type)),
 ruled AS (SELECT v.*, CASE WHEN v.status IN (SELECT rule FROM rules) THEN v.status ELSE 'DEFAULT' END AS rule FROM verdicts v WHERE status <> 'PASSED'),

@@ -129,3 +129,29 @@ def test_bands(spark):
     d = A.drift_band(h, "row_count")
     assert d.count() == 100 and d.agg(F.max("value")).first()[0] == 99.0
     assert d.first()["lower"] == pytest.approx(49.5 - 2 * statistics.stdev(values[:100]))
+
+
+def test_a_busy_slot_is_cut(spark):
+    """All points of a series in one day, most of them in one minute: slots are many, statistics the same."""
+    from sluicework.operators import series
+    points = spark.range(4000).select(
+        F.lpad(F.col("id").cast("string"), 6, "0").alias("run_id"),
+        F.timestamp_seconds(F.lit(978307200) + F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.col("id") % 60)).alias("timestamp"),
+        F.lit("d").alias("dataset_name"), F.lit("m").alias("metric_name"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("metric_value"),
+        F.lit(0).alias("day_of_week"))
+    slots = series.slotted(points, ["dataset_name", "metric_name"], "timestamp", 86400, slot_rows=500).groupBy("_slot").count().collect()
+    assert len(slots) > 30 and max(r["count"] for r in slots) < 400
+    columns = ["run_id", "baseline_mean", "baseline_std", "sample_count"]
+    whole, cut = (sorted(map(tuple, A.replay(points, slot_rows=n).select(*columns).collect())) for n in (10**6, 500))
+    assert len(cut) == 4000 and [(r[0], r[3]) for r in whole] == [(r[0], r[3]) for r in cut]
+    assert all(math.isclose(a[k], b[k], rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(whole, cut) for k in (1, 2))
+
+
+def test_sketches_of_days_give_the_month(spark):
+    from sluicework.operators import sketches
+    df = spark.range(20000).select((F.col("id") % 7).alias("day"), (F.col("id") % 3001).alias("a"), F.when(F.col("id") % 2 == 0, F.lit("x")).alias("b"),
+                                   (F.col("id") % 11 / 4).alias("c"))
+    daily = sketches.distinct_sketches(df, ["a", "b", "c"], "day")
+    assert daily.count() == 21
+    got = {r["column_name"]: (r["filled"], r["unique_estimate"]) for r in sketches.merged(daily).collect()}
+    assert got["b"] == (10000, 1) and got["c"] == (20000, 11) and abs(got["a"][1] - 3001) <= sketches.ERROR_BOUND * 3001

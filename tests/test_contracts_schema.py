@@ -1,11 +1,11 @@
 import json
 
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from sluicework.contracts import Contract, declared_columns, discover, load_contract, rule_rows, rule_table
 from sluicework.functions.types import accepted
-from sluicework.operators import lineage as L, schema as S
+from sluicework.operators import lineage as L, profile as P, schema as S
 from sluicework.plans import reports as R
 from sluicework.plans.judge import schema_gate
 
@@ -92,8 +92,8 @@ def test_removed_columns_are_refused(spark):
 
 def test_rule_table(spark, test_contract):
     rules = [(r[3], r[2]) for r in rule_rows(test_contract)]
-    assert rules == [("rowCount", None), ("notNull", "crate"), ("notNull", "gross_kg"), ("range", "gross_kg"),
-                     ("notNull", "packed"), ("sql", None)]
+    assert rules == [("rowCount", None), ("notNull", "crate"), ("notNull", "gross_kg"), ("notNull", "packed"),
+                     ("range", "gross_kg"), ("sql", None)]
     stamped = contract({"name": "seen", "data_type": "timestamp"})
     assert [r[3] for r in rule_rows(stamped)] == ["freshness"]
     open_end = contract({"name": "x", "data_type": "int", "min_value": 3}, max_rows=5)
@@ -101,6 +101,15 @@ def test_rule_table(spark, test_contract):
     assert rule_table(spark, [test_contract]).count() == 6
 
 
+def test_check_without_name_or_severity(spark):
+    k = Contract.from_dict({"columns": [], "quality": {"custom_checks": [{"sql_condition": "x > 1"}, {"name": "own", "sql_condition": "x < 9"}]}}, "t")
+    assert [(r[7], r[8], r[9]) for r in rule_rows(k)] == [("Custom Check", "x > 1", "error"), ("own", "x < 9", "error")]
+    profiles = P.profile(P.summarise(spark.range(3).select(F.col("id").alias("x")), k), k)
+    assert [(c["name"], c["severity"]) for c in profiles.first()["checks"]] == [("Unnamed Check", "warning"), ("own", "warning")]
+    got = {(r["check_name"], r["passed"], r["violation_count"]) for r in P.rule_outcomes(profiles, rule_table(spark, [k])).collect()}
+    assert got == {("Custom Check", False, 2), ("own", True, 0)}
+
+
 def test_discovery_skips_backups_and_reports_errors(spark, tmp_path):
     (tmp_path / "alpha.json").write_text(json.dumps({
         "info": {"owner": "Team", "domain": "d", "version": "2.0.0"}, "columns": [{"name": "a"}, {"name": "b"}],

@@ -7,16 +7,16 @@ from sluicework.functions.verdict import with_verdict
 from sluicework.operators import alerts as A, lineage as L
 
 LINEAGE = {"datasets": {
-    "pay": {"owner": "pay-team", "upstream": [{"name": "Gateway"}, {"name": "Auth"}],
-            "consumers": [{"name": "Board", "criticality": "high"}, {"name": "Model", "criticality": "MEDIUM"}, {"name": "Plain"}]},
-    "logs": {"consumers": [{"name": "Tool", "criticality": "odd"}, {"name": "Other", "criticality": "LOW"}]},
-    "empty": {"owner": "nobody", "consumers": [], "upstream": [{"name": "Gateway"}]},
+    "tides": {"owner": "harbour", "consumers": [{"name": f"berth{k}", "criticality": c} for k, c in enumerate(("low", "Critical", "LOW", None, "high"))],
+              "upstream": [{"name": n} for n in ("buoy", "radar", "gauge")]},
+    "ferries": {"upstream": [{"name": "radar"}], "consumers": [{"name": "kiosk", "criticality": "seasonal"}]},
+    "wrecks": {"owner": "museum"},
 }}
 ROUTING = {
-    "channels": {"chat": {"type": "slack"}, "pager": {"type": "pagerduty"}},
-    "routing": {"BLOCKED": {"channels": ["pager", "chat"], "required_criticality": ["HIGH", "CRITICAL"]},
-                "WARNING": {"channels": ["chat"], "required_criticality": ["MEDIUM", "HIGH", "CRITICAL"]},
-                "DEFAULT": {"channels": ["chat", "missing"]}},
+    "channels": {"horn": {"type": "pagerduty"}, "deck": {"type": "slack"}, "log": {"type": "slack"}},
+    "routing": {"WARNING": {"channels": ["log", "horn", "deck"], "required_criticality": ["LOW", "CRITICAL"]},
+                "STALE": {"channels": ["deck"]},
+                "DEFAULT": {"channels": ["nowhere", "horn"], "required_criticality": ["MEDIUM"]}},
 }
 
 
@@ -27,8 +27,8 @@ def names(spark, *items):
 def test_impact(spark):
     consumers, _, owners = L.edges(spark, LINEAGE)
     got = {r["dataset"]: (r["criticality"], r["consumer_count"], r["owner"])
-           for r in L.impact(names(spark, "pay", "logs", "empty", "unknown"), consumers, owners).collect()}
-    assert got == {"pay": ("HIGH", 3, "pay-team"), "logs": ("ODD", 2, "Unknown"), "empty": ("LOW", 0, "nobody"),
+           for r in L.impact(names(spark, "tides", "ferries", "wrecks", "unknown"), consumers, owners).collect()}
+    assert got == {"tides": ("CRITICAL", 5, "harbour"), "ferries": ("SEASONAL", 1, "Unknown"), "wrecks": ("LOW", 0, "museum"),
                    "unknown": ("LOW", 0, "Unknown")}
 
 
@@ -39,23 +39,29 @@ def test_empty_lineage(spark):
 
 def test_root_cause(spark):
     _, upstreams, _ = L.edges(spark, LINEAGE)
-    at = datetime(2024, 1, 1)
-    ddl = "upstream string, timestamp timestamp, status string, details string"
-    health = spark.createDataFrame(
-        [("Gateway", at, "DOWN", "old"), ("Gateway", at.replace(hour=2), "UP", "ok"), ("Auth", at, "DOWN", "timeout")], ddl)
-    got = {r["dataset"]: r["root_cause"] for r in L.root_cause(names(spark, "pay", "empty", "logs"), upstreams, health).collect()}
-    assert got == {"pay": "Upstream Outage: Auth (timeout)", "empty": "Local Infrastructure Issue (Upstream services are UP)",
-                   "logs": "Local Infrastructure Issue"}
-    two = health.where("details <> 'ok'")
-    assert L.root_cause(names(spark, "pay"), upstreams, two).first()["root_cause"] == "Upstream Outage: Auth (timeout), Gateway (old)"
+    noon = datetime(2023, 7, 9, 12)
+    log = [("radar", noon, "DOWN", "fog"), ("radar", noon.replace(hour=13), "UP", "clear"), ("buoy", noon, "UP", None),
+           ("gauge", noon, "DOWN", "frozen"), ("gauge", noon.replace(hour=11), "UP", "fine")]
+    health = spark.createDataFrame(log, "upstream string, timestamp timestamp, status string, details string")
+    got = {r["dataset"]: (r["down_count"], r["root_cause"]) for r in L.root_cause(names(spark, "tides", "ferries", "wrecks"), upstreams, health).collect()}
+    assert got == {"tides": (1, "Upstream Outage: gauge (frozen)"), "ferries": (0, "Local Infrastructure Issue (Upstream services are UP)"),
+                   "wrecks": (0, "Local Infrastructure Issue")}
+    worse = health.where("details IS NULL OR details <> 'clear'")
+    assert L.root_cause(names(spark, "tides"), upstreams, worse).first()["root_cause"] == "Upstream Outage: gauge (frozen), radar (fog)"
+    cut = L.root_cause(names(spark, "tides"), upstreams, worse, most=1).first()
+    assert (cut["down_count"], cut["root_cause"]) == (2, "Upstream Outage: gauge (frozen) and 1 more")
+    rows = {(r["dataset"], r["upstream"], r["down"]) for r in L.outages(upstreams, worse).collect()}
+    assert rows == {("tides", "gauge", True), ("tides", "radar", True), ("tides", "buoy", False), ("ferries", "radar", True)}
 
 
 def test_flow_state(spark):
     consumers, _, _ = L.edges(spark, LINEAGE)
-    status = spark.createDataFrame([("pay", "BLOCKED"), ("logs", "WARNING")], "dataset string, status string")
+    status = spark.createDataFrame([("tides", "WARNING"), ("wrecks", "BLOCKED")], "dataset string, status string")
     got = {(r["dataset"], r["state"]): r["n"] for r in L.flow_state(consumers, status).groupBy("dataset", "state").agg(
         F.count("*").alias("n")).collect()}
-    assert got == {("pay", "protected"): 3, ("logs", "reached"): 2}
+    assert got == {("tides", "reached"): 5, ("ferries", "unknown"): 1}
+    held = status.replace("WARNING", "BLOCKED", "status")
+    assert {r["state"] for r in L.flow_state(consumers, held).where("dataset = 'tides'").collect()} == {"protected"}
 
 
 FACTS = ("missing_count int, mismatch_count int, quality_score double, anomaly_count int, max_z double, criticality string, "
@@ -90,15 +96,14 @@ def test_verdict_branches(spark, facts, branch, status):
 
 def test_routing(spark):
     rules, channels = A.routing_tables(spark, ROUTING)
-    rows = [("a", "BLOCKED", "r", "HIGH"), ("b", "BLOCKED", "r", "LOW"), ("c", "WARNING", "r", "LOW"), ("d", "PASSED", "r", "HIGH"),
-            ("e", "WARNING", "bad (Root Cause: x)", "MEDIUM"), ("f", "SKIPPED", "r", "LOW")]
-    verdicts = spark.createDataFrame([(*r, "own") for r in rows], "dataset string, status string, reason string, criticality string, owner string")
-    got = A.payloads(A.route(verdicts, rules, channels)).collect()
-    assert sorted((r["dataset"], r["channel"]) for r in got) == [("a", "chat"), ("a", "pager"), ("e", "chat"), ("f", "chat")]
-    by = {(r["dataset"], r["channel"]): r for r in got}
-    assert by[("e", "chat")]["root_cause_found"] and not by[("a", "chat")]["root_cause_found"]
-    assert by[("a", "pager")]["message"] == "INCIDENT TRIGGERED: a is BLOCKED | Severity: critical | Summary: r | Owner: own"
-    assert by[("f", "chat")]["rule"] == "DEFAULT"
+    rows = [("tides", "WARNING", "high water (Root Cause: moon)", "CRITICAL"), ("ferries", "WARNING", "late", "MEDIUM"),
+            ("wrecks", "STALE", "old", "LOW"), ("reefs", "BLOCKED", "sharp", "MEDIUM"), ("sands", "BLOCKED", "soft", "HIGH"), ("shoals", "PASSED", "fine", "LOW")]
+    verdicts = spark.createDataFrame([(*r, "crew") for r in rows], "dataset string, status string, reason string, criticality string, owner string")
+    got = {(r["dataset"], r["channel"]): r for r in A.payloads(A.route(verdicts, rules, channels)).collect()}
+    assert set(got) == {("tides", "log"), ("tides", "horn"), ("tides", "deck"), ("wrecks", "deck"), ("reefs", "horn")}
+    assert got["tides", "log"]["root_cause_found"] and not got["reefs", "horn"]["root_cause_found"]
+    assert got["reefs", "horn"]["message"] == "INCIDENT TRIGGERED: reefs is BLOCKED | Severity: critical | Summary: sharp | Owner: crew"
+    assert got["reefs", "horn"]["rule"] == "DEFAULT" and got["wrecks", "deck"]["rule"] == "STALE"
 
 
 def test_no_routing_configured(spark):

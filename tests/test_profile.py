@@ -217,3 +217,20 @@ def test_clock_words_inside_texts_stay():
 def test_long_texts_are_counted_by_digest(spark):
     df = spark.createDataFrame([("x" * 500 + str(i % 3), "s") for i in range(9)] + [(None, "t")], "a string, b string")
     assert {r["column_name"]: r["unique_count"] for r in P.distinct_counts(df, ["a", "b"]).collect()} == {"a": 3, "b": 2}
+
+
+def test_many_summaries_equal_each_alone(spark, test_contract):
+    """One aggregate over datasets of different schemas gives what each summary gives, an empty dataset included."""
+    odd = Contract.from_dict({"quality": {"min_rows": 2, "custom_checks": [{"name": "c", "sql_condition": "n > 1"}, {"sql_condition": "s <> 'b'"}]}, "columns": [
+        {"name": "n", "data_type": "bigint", "min_value": 1, "max_value": 5, "isPrimaryKey": True}, {"name": "at", "data_type": "timestamp", "isPrimaryKey": True},
+        {"name": "x", "data_type": "double", "min_value": 0.5}, {"name": "s", "pattern": "a", "allowed_values": ["a", "ab"]}, {"name": "gone"}]}, "odd")
+    rows = [(1, datetime(2024, 1, 1), float("nan"), "a", b"1"), (1, None, 2.5, "b", b"1"), (None, datetime(2024, 1, 1), 0.25, None, None), (9, datetime(2024, 1, 2), 0.5, "ab", b"")]
+    ddl = "n bigint, at timestamp, x double, s string, raw binary"
+    sets = {"odd": (spark.createDataFrame(rows, ddl), odd), "none": (spark.createDataFrame([], ddl), odd),
+            "bare": (spark.range(3).select(F.lit("t").alias("t")), Contract("bare"))}
+    for name, summary in P.summarise_many(sets).items():
+        df, contract = sets[name]
+        alone = P.summarise(df, contract)
+        assert summary.schema.simpleString() == alone.schema.simpleString()
+        assert summary.collect() == alone.collect()
+        assert P.profile(summary, contract).collect() == P.profile(alone, contract).collect()

@@ -9,7 +9,9 @@ from sluicework.contracts import Contract
 from sluicework.plans.gate import Gate
 from sluicework.plans.judge import judge
 from sluicework.plans.validate import validate
-from sluicework.operators import lineage as L
+from sluicework.operators import lineage as L, profile as P
+from sluicework.plans import fleet
+from sluicework.session import move_folders
 from sluicework.sources import landing, readers, sinks
 from sluicework.sources.store import SCHEMAS, Store
 
@@ -385,3 +387,112 @@ def test_rows_are_brought_together_before_they_are_written(spark, tmp_path):
     sinks.write_batches(rows, str(tmp_path / "out"))
     files = landing.list_files(spark, str(tmp_path / "out"), "*.parquet").count()
     assert files == 40 and spark.read.parquet(str(tmp_path / "out")).count() == 4000
+
+
+# --- loads are repeated, runs collide, many datasets at once ---
+
+def test_a_load_that_failed_is_repeated_and_a_whole_one_is_not(spark, tmp_path):
+    target, failures = str(tmp_path / "target"), ["Connection refused", "disk full"]
+
+    def sink(rows, dataset):
+        if failures:
+            raise RuntimeError(failures.pop(0))
+        rows.write.mode("append").parquet(target)
+
+    g = gate(spark, tmp_path, sink=sink)
+    got = []
+    for hour in range(5):
+        df = keyed(spark) if hour < 4 else keyed(spark).unionByName(keyed(spark).where("y = 'c'"))  # a batch has one more row
+        rows = g.evaluate(df, MIXED, batch=["x", "y"], as_of=AS_OF.replace(hour=hour)).collect()
+        got.append({(r["status"], r["load_status"]) for r in rows if r["max_z"] == 0 and r["status"] != "BLOCKED" or r["load_status"] == "disk full"})
+    assert got[:4] == [{("WARNING", "SKIPPED (Infra Error)")}, {("BLOCKED", "disk full")}, {("PASSED", "LOADED")}, {("PASSED", "LOADED")}]
+    loaded = [r["v"] for r in spark.read.parquet(target).collect()]
+    assert len(loaded) == 3 + 2  # three batches once, then the changed one with both its rows
+    states = {(r["batch"], r["state"]): r["rows"] for r in g.store.read("load_log").collect()}
+    assert {s for _, s in states} == {"FAILED", "LOADED"} and states["a\\|b|c", "LOADED"] in (1, 2)
+
+
+def test_checksums_tell_copies_apart_and_know_no_order(spark):
+    def checksum(*values):
+        rows = spark.createDataFrame([(v, "all") for v in values], "v int, batch_key string")
+        return sinks.load_records(rows, "d", "a", F.lit(AS_OF), "LOADED").first()["checksum"]
+
+    assert checksum(1, 2, 3) == checksum(3, 1, 2) and len({checksum(1, 1), checksum(1, 1, 1), checksum(2, 2), checksum(1, 2)}) == 4
+
+
+def test_runs_within_a_second_do_not_replace_each_other(spark, tmp_path):
+    g = gate(spark, tmp_path)
+    bad = spark.createDataFrame([(None,)], "id string")
+    for micros in (1, 2):
+        g.evaluate(bad, IDS, as_of=AS_OF.replace(microsecond=micros))
+    assert spark.read.parquet(str(tmp_path / "gate/quarantine/stable")).count() == 2
+
+
+def test_moving_goes_on_where_it_was_stopped(spark, tmp_path):
+    rows = spark.range(40).select("id", (F.col("id") % 4).cast("string").alias("batch_key"), F.lit("warehouse").alias("destination"))
+    sinks.write_divided(rows, str(tmp_path / "attempt"))
+    here, there = tmp_path / "attempt" / "destination=warehouse", tmp_path / "warehouse"
+    there.mkdir()
+    os.rename(here / "batch_key=2", there / "batch_key=2")  # what a killed run had moved already
+    for _ in range(2):
+        move_folders(spark, str(here), str(there))
+    assert spark.read.parquet(str(there)).count() == 40
+    move_folders(spark, str(tmp_path / "nothing"), str(there))
+
+
+def test_the_source_is_read_once_for_all_destinations(spark, tmp_path):
+    keyed(spark).write.parquet(str(tmp_path / "src"))
+    df = spark.read.parquet(str(tmp_path / "src"))
+    verdicts = df.select(P.batch_of(["x", "y"]).alias("batch"), F.when(F.col("v") > 10, "BLOCKED").otherwise("PASSED").alias("status")).distinct()
+    verdicts.write.parquet(str(tmp_path / "verdicts"))
+    divided = sinks.by_verdict(df, spark.read.parquet(str(tmp_path / "verdicts")), ["x", "y"])
+    plan = divided._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/src") == 1
+
+
+def fleet_of(spark, tmp_path, n):
+    contracts, paths = [], {}
+    for k in range(n):
+        paths[f"d{k}"] = str(tmp_path / f"d{k}.parquet")
+        spark.range(20).select(F.col("id").alias(f"c{k}"), (F.col("id") % 3).cast("string").alias("s")).write.parquet(paths[f"d{k}"])
+        contracts.append(Contract.from_dict({"columns": [{"name": f"c{k}", "data_type": "bigint", "isPrimaryKey": True}, {"name": "s"}]}, f"d{k}"))
+    return contracts, paths
+
+
+def test_jobs_do_not_grow_with_datasets(spark, tmp_path):
+    jobs = []
+    for n in (2, 6):
+        contracts, paths = fleet_of(spark, tmp_path / str(n), n)
+        g = Gate(spark, str(tmp_path / f"gate{n}"))
+        sets = [fleet.Dataset(spark.read.parquet(paths[k.dataset]), k) for k in contracts]
+        spark.sparkContext.setJobGroup(f"fleet{n}", "")
+        done = fleet.judge_all(spark, sets, g.store.read("metric_history"), g.impact, AS_OF, str(tmp_path / f"work{n}"), lambda _, k: k)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fleet{n}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert {r["status"] for r in done.verdicts.collect()} == {"PASSED"} and done.verdicts.count() == n and not done.errors
+    assert jobs[1] == jobs[0]
+
+
+def test_a_dataset_that_cannot_be_read_does_not_stop_the_others(spark, tmp_path):
+    contracts, paths = fleet_of(spark, tmp_path, 4)
+    for f in os.listdir(paths["d2"]):
+        if f.endswith(".parquet"):
+            whole = open(os.path.join(paths["d2"], f), "rb").read()
+            open(os.path.join(paths["d2"], f), "wb").write(whole[:4] + b"\0" * 40 + whole[44:])
+    for f in os.listdir(paths["d2"]):
+        if f.endswith(".crc"):
+            os.remove(os.path.join(paths["d2"], f))
+    risky = Contract.from_dict({"columns": [{"name": "s"}], "quality": {"custom_checks": [{"name": "boom", "sql_condition": "CAST(concat(s, 'x') AS INT) > 0"}]}}, "d3")
+    results, totals = gate(spark, tmp_path).evaluate_all([*contracts[:3], risky], paths, as_of=AS_OF)
+    got = {r["dataset"]: (r["status"], r["reason"]) for r in results.collect()}
+    assert got["d0"][0] == got["d1"][0] == "PASSED" and got["d2"][0] == "BLOCKED"
+    assert got["d3"][0] in ("PASSED", "WARNING") and totals.first()["blocked"] == 1
+    assert spark.read.parquet(str(tmp_path / "gate/warehouse/d0")).count() == 20
+
+
+def test_reports_of_asked_batches(spark, tmp_path):
+    g = gate(spark, tmp_path)
+    g.evaluate(keyed(spark), MIXED, batch=["x", "y"], as_of=AS_OF)
+    asked = spark.createDataFrame([("a|b\\|c",), ("nobody",)], "batch string")
+    got = {r["batch"]: r["status"] for r in g.store.reports_of("mixed", asked).collect()}
+    assert got == {"a|b\\|c": "QUARANTINED", "nobody": None}
