@@ -10,6 +10,7 @@ from sluicework.contracts import ColumnSpec, Contract
 from sluicework.functions.rules import ref
 from sluicework.operators.profile import Batch, by_batch
 from sluicework.session import error_text
+from sluicework.sources import csv_records
 
 FILE_FORMATS = ("csv", "parquet", "json")
 COLUMNAR = ("parquet", "table", "query")
@@ -38,12 +39,6 @@ def fold_null_tokens(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~ref(c).isin(fv.NULL_TOKENS), ref(c)) for c in texts}) if texts else df
 
 
-def _quotes_left_open(spark: SparkSession, path: str) -> bool:
-    """Whether a line has an odd number of quotes, as where a quoted value goes on in the next line."""
-    text = spark.read.text(path)
-    return not text.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
-
-
 def _csv(spark: SparkSession, multi_line: bool):
     # a quote inside a quoted value is doubled
     return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
@@ -53,20 +48,30 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True, multi_line: boo
     """CSV with a header. ``infer=False`` keeps text and saves the inference pass over the data.
 
     A row with more values than the header raises an error; a shorter one is filled with nulls.
-    ``multi_line`` says whether quoted values may hold line breaks. Such a file can't be split, so by
-    default the lines are looked through first, and only a file that has such values is read that way.
+    By default a narrow scan finds out whether quoted values hold line breaks; a file that has such
+    values is read record by record, in splits. ``multi_line=True`` leaves it to Spark's own reader, which can't split it.
     """
     if multi_line is None:
-        multi_line = _quotes_left_open(spark, path)
+        multi_line, inside = csv_records.inside_quotes(spark, path)
+        if multi_line:
+            names = _csv(spark, False).csv(path).columns
+            rows, extra = csv_records.typed(csv_records.parsed(csv_records.records(spark, path, inside), names), infer)
+            if extra is not None:
+                raise _too_wide(names, extra)
+            return rows
     names = _csv(spark, multi_line).csv(path).columns
     wide = ", ".join(f"c{i} string" for i in range(len(names) + 1))
     extra = F.col(f"c{len(names)}")
     first = _csv(spark, multi_line).schema(wide).csv(path).where(extra.isNotNull()).select(extra).first()
     if first is not None:
-        raise SourceError("load_error", fv.MSG["load_error"] % f"a row has more than {len(names)} values, the first beyond them is {first[0]!r}")
+        raise _too_wide(names, first[0])
     return fold_null_tokens(_csv(spark, multi_line).option("inferSchema", infer).csv(path))
 
 
+def _too_wide(names: list[str], extra: str) -> SourceError:
+    return SourceError("load_error", fv.MSG["load_error"] % f"a row has more than {len(names)} values, the first beyond them is {extra!r}")
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON: one object a line, or files that hold one value each over several lines, such as an array. Other content is an error."""
     df = spark.read.json(path)

@@ -145,14 +145,15 @@ def delimited_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("source_errors", """
-SELECT * FROM (VALUES ('missing', 'file_not_found'), ('query', 'query_error'), ('ragged', 'load_error'), ('unsupported', 'load_error'))
-  AS v(source, issue_type) WHERE (SELECT COUNT(*) FROM nation) > 0""")
+SELECT source, issue_type, CASE WHEN source = 'ragged' THEN (SELECT COUNT(*) FROM orders) END AS lines
+FROM (VALUES ('missing', 'file_not_found'), ('query', 'query_error'), ('ragged', 'load_error'), ('unsupported', 'load_error')) AS v(source, issue_type)""")
 def source_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The issue of each source that can't be read, one of them made from the nation table with a row too wide."""
+    """The issue of each source that can't be read, one of them the lines of orders with some rows too wide."""
     root = fresh_folder(spark)
-    lines = table(spark, sf_dir, "nation").select(
-        F.concat_ws(",", "n_nationkey", "n_name", F.when(F.col("n_nationkey") == 3, F.lit("x,y"))).alias("line"))
-    small_frame(spark, [("key,name",)], "line string").unionByName(lines).coalesce(1).write.text(f"{root}/ragged")
+    line = F.concat_ws(",", "o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 1000 == 3, F.lit("x,y")))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of each file
+    table(spark, sf_dir, "orders").select(F.when(first, F.concat(F.lit("key,name\n"), line)).otherwise(line).alias("line")).write.text(f"{root}/ragged")
+    written = spark.read.text(f"{root}/ragged").where("value <> 'key,name'").count()
     tried = {"missing": (f"{root}/nothing", "csv"), "query": ("SELECT nothing FROM nowhere", "query"),
              "ragged": (f"{root}/ragged", "csv"), "unsupported": (f"{root}/ragged", "xml")}
     rows = []
@@ -160,9 +161,9 @@ def source_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         try:
             readers.load(spark, source, kind)
         except readers.SourceError as exc:
-            rows.append((name, exc.issue_type))
+            rows.append((name, exc.issue_type, written if name == "ragged" else None))
     remove(spark, root)
-    return small_frame(spark, rows, "source string, issue_type string")
+    return small_frame(spark, rows, "source string, issue_type string, lines bigint")
 
 
 @query("evaluate_all_summary", """

@@ -12,7 +12,7 @@ from sluicework.plans.validate import validate
 from sluicework.operators import lineage as L, profile as P
 from sluicework.plans import fleet
 from sluicework.session import move_folders
-from sluicework.sources import landing, readers, sinks
+from sluicework.sources import csv_records, landing, readers, sinks
 from sluicework.sources.store import SCHEMAS, Store
 
 AS_OF = datetime(2024, 3, 1, 12)
@@ -496,3 +496,35 @@ def test_reports_of_asked_batches(spark, tmp_path):
     asked = spark.createDataFrame([("a|b\\|c",), ("nobody",)], "batch string")
     got = {r["batch"]: r["status"] for r in g.store.reports_of("mixed", asked).collect()}
     assert got == {"a|b\\|c": "QUARANTINED", "nobody": None}
+
+
+# --- CSV records over lines and splits ---
+
+def test_quoted_line_breaks_are_read_in_splits(spark, tmp_path):
+    rows = [(k, f'say "{k}"\n' * (k % 4) + "x" * (k % 7) + ("," if k % 3 else "\r\n\n"), None if k % 5 else k / 4) for k in range(3000)]
+    rows[700] = (700, "long\n" * 9000 + '"', 1.0)  # over many splits
+    df = spark.createDataFrame(rows, "k int, t string, v double")
+    df.coalesce(2).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(str(tmp_path / "c"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        text = spark.read.text(str(tmp_path / "c"))
+        assert text.rdd.getNumPartitions() > 10
+        found, inside = csv_records.inside_quotes(spark, str(tmp_path / "c"))
+        assert found and len(inside) >= 5
+        got = readers.load(spark, str(tmp_path / "c"))
+        assert got.dtypes == [("k", "int"), ("t", "string"), ("v", "double")]
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_types_of_records(spark, tmp_path):
+    p = write(tmp_path / "t.csv", 'i,b,l,d,w,ts,n,e,s\n1,true,3000000000,1.5,2024-01-01,2024-01-01 10:00:00,NA,,"a\nb"\n2,FALSE,1,2,2024-01-02,2024-01-02T11:00:00,null,,007x\n')
+    df = readers.load(spark, p)
+    assert [t for _, t in df.dtypes] == ["int", "boolean", "bigint", "double", "date", "timestamp", "string", "string", "string"]
+    assert [r["s"] for r in df.orderBy("i").collect()] == ["a\nb", "007x"] and df.where("n IS NULL AND e IS NULL").count() == 2
+    with pytest.raises(readers.SourceError) as e:
+        readers.load(spark, write(tmp_path / "w.csv", 'a,b\n1,"x\ny"\n3,4,5\n'))
+    assert "more than 2 values" in e.value.message
+    open_end = readers.load(spark, write(tmp_path / "o.csv", 'a,b\n1,x\n2,"never closed\n3,y\n'))
+    assert open_end.count() == 2
