@@ -217,14 +217,21 @@ def pack(ids: np.ndarray) -> bytes:
             models.learn(own)
             before, earlier = own, before[:live]
         body = out.end()
-    return _HEAD.pack(_MAGIC, n, vocabulary, lanes, zlib.crc32(body)) + body
+    return _HEAD.pack(_MAGIC, n, vocabulary, lanes, _checksum(n, vocabulary, lanes, body)) + body
+
+
+def _checksum(n: int, vocabulary: int, lanes: int, body: bytes) -> int:
+    """Of the body and of what the header says about it."""
+    return zlib.crc32(body, zlib.crc32(_HEAD.pack(_MAGIC, n, vocabulary, lanes, 0)))
 
 
 def unpack(block: bytes) -> np.ndarray:
     """The ids of a block; ValueError if it is damaged."""
+    if len(block) < _HEAD.size:
+        raise ValueError("damaged block of token ids")
     magic, n, vocabulary, lanes, crc = _HEAD.unpack_from(block)
     body = block[_HEAD.size:]
-    if magic != _MAGIC or zlib.crc32(body) != crc or (n and lanes != _lanes(n)[0]):
+    if magic != _MAGIC or _checksum(n, vocabulary, lanes, body) != crc or (n and lanes != _lanes(n)[0]):
         raise ValueError("damaged block of token ids")
     if not n:
         return np.zeros(0, np.uint32)

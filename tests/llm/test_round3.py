@@ -226,3 +226,21 @@ def test_subtrees_that_no_window_meets_are_passed_over():
     for q, r in zip(*np.nonzero(scores >= 30000)):
         assert q in kept[leaf[r]]
     assert sum(map(len, kept.values())) < 10  # of 20
+
+
+# ---- 2 ------------------------------------------------------------------------------------------
+
+def test_no_damaged_byte_of_a_block_goes_unseen():
+    import pytest
+
+    from sluicework.llm import context_coder
+
+    block = context_coder.pack((np.arange(5000) * 7919 % 50000).astype(np.uint32))
+    places = [*range(40), *range(40, len(block), 97), len(block) - 1]
+    for at in places:
+        for bit in range(8):
+            with pytest.raises(ValueError):
+                context_coder.unpack(block[:at] + bytes([block[at] ^ (1 << bit)]) + block[at + 1:])
+    for cut in (0, 3, 12, len(block) - 1):
+        with pytest.raises(ValueError):
+            context_coder.unpack(block[:cut])
