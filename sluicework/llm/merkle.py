@@ -107,55 +107,65 @@ def build(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tree: str = "lang",
 
 
 def _ways(requests: DataFrame, levels: int) -> list[DataFrame]:
-    """For each level the nodes that requests (tree, height, at) pass, with the digits they go on by."""
-    ways, below = [], requests.select("tree", "height", "at")
+    """For each level the nodes that requests (tree, height, at, row) pass, with the digits they go on by; the rows stay at the leaves."""
+    ways, below = [], requests
     for level in range(1, levels + 1):
-        digit = F.col("at").bitwiseAND(F.lit((1 << FAN_BITS) - 1)).cast("int")
-        below = written(below.where(F.col("height") >= level).groupBy(
-            "tree", "height", F.shiftright("at", FAN_BITS).alias("up")).agg(F.sort_array(F.collect_set(digit)).alias("digits")).withColumnRenamed("up", "at"))
-        ways.append(below)
+        digit = F.col("at").bitwiseAND(F.lit((1 << FAN_BITS) - 1)).cast("int").alias("digit")
+        way = written(below.where(F.col("height") >= level).groupBy("tree", "height", F.shiftright("at", FAN_BITS).alias("up")).agg(
+            F.collect_list(F.struct(digit, *(["row"] if level == 1 else []))).alias("digits")).withColumnRenamed("up", "at"))
+        ways.append(way)
+        below = way
     return ways
 
 
 def _opened(front: DataFrame, way: DataFrame, records: DataFrame) -> DataFrame:
-    """One level down: each requested child with its digest and its parent's path and the children not selected."""
+    """One level down: each requested child with its digest, its row if it is a leaf, and its parent's path and the children not selected."""
     known = records.select("digest", "children").dropDuplicates(["digest"])
+    held = [c for c in front.columns if c not in ("digest", "at", "path")]
     at = front.join(way.select("tree", "at", "digits"), ["tree", "at"]).join(known, "digest")
-    down = at.select("tree", "height", "at", "path", "children", F.explode("digits").alias("digit"))
+    down = at.select(*held, "at", "path", "children", F.explode("digits").alias("d")).withColumn("digit", F.col("d.digit"))
     others = F.filter("children", lambda _, i: i != F.col("digit"))
+    row = ["d.row"] if "row" in way.schema["digits"].dataType.elementType.names else []
     return down.select(
-        "tree", "height", (F.shiftleft("at", FAN_BITS) + F.col("digit")).alias("at"), F.get("children", F.col("digit")).alias("digest"),
-        F.concat("path", F.array(F.struct(F.col("digit").alias("digit"), others.alias("others")))).alias("path"))
+        *held, (F.shiftleft("at", FAN_BITS) + F.col("digit")).alias("at"), F.get("children", F.col("digit")).alias("digest"),
+        F.concat("path", F.array(F.struct(F.col("digit").alias("digit"), others.alias("others")))).alias("path"), *row)
 
 
-def _descended(front: DataFrame, levels: list[DataFrame], ways: list[DataFrame]) -> DataFrame:
-    """From the roots of trees down to the requested leaves; a tree joins at its own height."""
+def _descended(front: DataFrame, levels: list[DataFrame], requests: DataFrame) -> DataFrame:
+    """From the roots of trees down to the requested leaves with their rows; a tree joins at its own height."""
+    ways = _ways(requests, len(levels))
+    alone = front.where("height = 0").join(requests.where("height = 0").select("tree", "at", "row"), ["tree", "at"])
+    if not levels:
+        return alone
     now = front.where(F.col("height") == len(levels))
     for level in range(len(levels), 0, -1):
         now = _opened(now, ways[level - 1], levels[level - 1])
-        now = now.unionByName(front.where(F.col("height") == level - 1))
+        now = now.unionByName(alone.select(*now.columns) if level == 1 else front.where(F.col("height") == level - 1))
     return now
 
 
 def proofs(manifest: Manifest, requests: DataFrame | None = None) -> DataFrame:
-    """tree, at, subroot, root and path (segments from the root down) of each requested leaf.
+    """tree, at, subroot, root, path (segments from the root down) and row of each requested leaf.
 
-    `requests` has tree, height and at, as the leaves of the manifest have; by default every leaf is asked for.
+    `requests` has tree, height and at, as the leaves of the manifest have; by default every leaf is asked
+    for. What else it has comes back as `row`, and is brought to the leaf's parent before the paths part:
+    a path, which is longer than its row, is never sent anywhere once it is a leaf's own.
     """
-    requests = manifest.leaves if requests is None else requests
-    ways = _ways(requests, len(manifest.levels))
-    trees = requests.select("tree").distinct().join(manifest.subroots, "tree")
-    asked = written(trees.select(F.lit("").alias("tree"), F.col("top_height").alias("height"), F.col("top_at").alias("at")))
+    asked = manifest.leaves if requests is None else requests
+    names = [c for c in asked.columns if c not in ("tree", "height", "at")]
+    row = F.struct(*names) if names else F.lit(None).cast("int")
+    asked = asked.select("tree", "height", "at", row.alias("row"))
+    trees = asked.select("tree").distinct().join(manifest.subroots, "tree")
+    tops = written(trees.select(F.lit("").alias("tree"), F.col("top_height").alias("height"), F.col("top_at").alias("at"),
+                                F.struct(F.col("tree").alias("name"), "height", "digest").alias("row")))
     start = manifest.root.select(
         F.lit("").alias("tree"), "height", F.lit(0).cast("long").alias("at"), "digest", F.array().cast(f"array<{SEGMENT}>").alias("path"))
-    reached = _descended(start, manifest.top, _ways(asked, len(manifest.top))).select(F.col("at").alias("top_at"), "path")
+    front = written(_descended(start, manifest.top, tops).select(
+        F.col("row.name").alias("tree"), F.col("row.height").alias("height"), F.lit(0).cast("long").alias("at"), "digest", "path",
+        F.col("row.digest").alias("subroot")))
     root = manifest.root.first()
-    front = trees.join(reached, "top_at").select(
-        "tree", "height", F.lit(0).cast("long").alias("at"), "digest", F.col("digest").alias("subroot"),
-        F.lit(root["digest"] if root else None).cast("string").alias("root"), "path")
-    heads = front.select("tree", "subroot", "root")
-    leaves = _descended(front.drop("subroot", "root"), manifest.levels, ways)
-    return leaves.join(heads, "tree").select("tree", "at", "subroot", "root", "path")
+    return _descended(front, manifest.levels, asked).select(
+        "tree", "at", "subroot", F.lit(root["digest"] if root else None).cast("string").alias("root"), "path", "row")
 
 
 def proof_digest(path: Column) -> Column:
@@ -180,7 +190,7 @@ def verified(docs: DataFrame, tampered: Column | None = None, text: str = "text"
     changed = F.coalesce(tampered, F.lit(False)) if tampered is not None else F.lit(False)
     lowered = digest_of(*[F.translate(F.col(c), _UPPER, _LOWER) if c == text else F.col(c) for c in FIELDS])
     made = build(docs, extra={"shown": F.when(changed, lowered)})
-    rows = made.leaves.join(proofs(made), ["tree", "at"])
-    again = rows.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"),
-                        folded(F.coalesce("shown", "leaf"), F.col("path")).alias("folded_root"))
+    again = proofs(made).select(
+        "row.doc_id", "row.leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"),
+        folded(F.coalesce("row.shown", "row.leaf"), F.col("path")).alias("folded_root"))
     return again.withColumn("verified", F.col("folded_root") == F.col("root"))
