@@ -1,26 +1,34 @@
-"""Main text of web pages: marked content, and elsewhere what a host's pages don't repeat.
+"""Main text of web pages: marked blocks, without what the pages of a host have in common.
 
 1. A page becomes blocks of text in page order. Scripts, styles and other non-text, and whatever stands in
    navigation, page headers and footers, sidebars, forms, adverts, notices and reader comments (by
-   element, role, class or id) is not part of any block.
-2. If the page marks its content (article, main, role=main, itemprop=articleBody), the blocks inside are the text.
-   An article that a host shows on several pages is still an article, so repetition takes nothing away here.
-3. Otherwise repetition decides. The words of a host's pages are streams; a suffix of a stream is known
-   by its first `DEPTH` words, and suffixes that agree in them stand in one bucket, as in a suffix array
-   sorted to that depth. A bucket with suffixes of several different pages is boilerplate: its words are
-   removed from every page, and the runs that no other page has are kept. Pages with equal streams
-   count as one, so that a copy doesn't erase the original.
-
-Buckets are aggregates with partial sums, so a footer on all pages of a very large host costs one row a
-task; only streams of pages without marked content are spread.
+   element, role, class or id) is not part of any block. If the page marks its content (article, main,
+   role=main, itemprop=articleBody), the blocks inside are its stream, else all blocks are.
+2. The streams of all pages of a host, marked or not, are searched for strings of `LENGTH` words, and for whole
+   blocks of any length, that stand on several distinct pages. A string of more words is a union of those of
+   `LENGTH`, so suffixes in order of their first `LENGTH` words tell all that is covered.
+3. Words covered by a string or block on at least `PAGES[marked]` distinct pages and `SHARE[marked]` of the host's distinct
+   pages are removed; the other runs are kept. A mark is a near veto: an article is cut only where the
+   greater part of a host's articles has the same words, as a promotion inside the article has.
+
+Pages count as one if the least hash of their strings is the same, as it is for equal streams and with high
+probability for nearly equal ones: copies and versions of an article don't make it boilerplate.
+
+Suffixes are not all spread. Of each `LENGTH` words the four with the least hash are an anchor, the same one wherever the
+string stands. Anchors are counted first; only strings with an anchor that is frequent enough are counted then,
+which loses none. Counts are two-level aggregates with partial sums, so a footer on all pages of a very large host
+needs no large group. A host's list of frequent strings is bounded by the mean length of its pages over the share.
+Hosts and strings are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -28,14 +36,18 @@ from pyspark.sql import DataFrame, functions as F
 from .common import text_of, written
 from .language_id import parts
 
-#: Words that suffixes must have in common.
-DEPTH = 8
+#: Words that a repeated string must have, and words of an anchor.
+LENGTH, ANCHOR = 24, 4
+#: By whether the page marks its content: distinct pages that must have a string, and their share of the host's distinct pages.
+PAGES = {False: 3, True: 5}
+SHARE = {False: 0.05, True: 0.5}
 
 _ITEM = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Elements whose content is no text of the page, up to their end tag.
 _RAW = frozenset("script style title textarea noscript template iframe svg math object video audio canvas select xmp noembed noframes".split())
+_RAW_ENDS = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in _RAW}
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody "
@@ -102,9 +114,11 @@ def _blocks(html: str, reopened: bool) -> tuple[dict[str, list[str]], dict[str,
     """(blocks by zone, zones there are); `reopened`: a wrapper out of the text ends where an article or main begins."""
     found: dict[str, list[str]] = {"article": [], "main": [], "": []}
     marked = {"article": False, "main": False}
-    stack: list[tuple[str, str]] = []
+    stack: list[list[str]] = []
+    tags, zones = Counter(), Counter()  # of the open elements
+    outs: list[list[str]] = []  # open elements that are out, but not for good
+    unclosed: set[str] = set()
     text: list[str] = []
-    out = 0
     at = 0
     level = ""
 
@@ -119,12 +133,9 @@ def _blocks(html: str, reopened: bool) -> tuple[dict[str, list[str]], dict[str,
                     if level == "article":
                         found["article"].append(block)
 
-    def current() -> str:
-        zones = {z for _, z in stack}
-        return "article" if "article" in zones else "main" if "main" in zones else ""
-
     while True:
         m = _ITEM.search(html, at)
+        out = zones["out"] + zones["never"]
         if not out:
             piece = html[at:m.start() if m else len(html)]
             if piece:
@@ -137,11 +148,13 @@ def _blocks(html: str, reopened: bool) -> tuple[dict[str, list[str]], dict[str,
             continue
         ends = bool(m[1] or m[4])
         if tag in _RAW and not ends:
-            stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
-            if stop is None and tag in ("script", "style", "textarea", "title"):
-                at = len(html)
-            elif stop is not None:
+            stop = None if tag in unclosed else _RAW_ENDS[tag].search(html, at)
+            if stop is not None:
                 at = html.find(">", stop.start()) + 1 or len(html)
+            elif tag in ("script", "style", "textarea", "title"):
+                at = len(html)
+            else:
+                unclosed.add(tag)
             if not out:
                 text.append(" ")
             continue
@@ -155,21 +168,28 @@ def _blocks(html: str, reopened: bool) -> tuple[dict[str, list[str]], dict[str,
             zone = _zone(tag, m[3] or m[6] or "", bool(level))
             if zone in ("out", "never") and tag == "span":
                 close()
-            if reopened and out and zone in marked and all(z != "never" for _, z in stack):
-                stack = [(t, "" if z == "out" else z) for t, z in stack]
-                out = 0
-            stack.append((tag, zone))
-            out += zone in ("out", "never")
-            if zone in marked and not out:
+            if reopened and out and zone in marked and not zones["never"]:
+                while outs:
+                    outs.pop()[1] = ""
+                zones["out"] = 0
+            stack.append([tag, zone])
+            tags[tag] += 1
+            zones[zone] += 1
+            if zone == "out":
+                outs.append(stack[-1])
+            if zone in marked and not zones["out"] + zones["never"]:
                 marked[zone] = True
-                level = current()
-        elif any(t == tag for t, _ in stack):
+                level = "article" if zones["article"] else "main"
+        elif tags[tag]:
             while True:
-                t, zone = stack.pop()
-                out -= zone in ("out", "never")
-                if t == tag:
+                element = stack.pop()
+                tags[element[0]] -= 1
+                zones[element[1]] -= 1
+                if element[1] == "out":
+                    outs.pop()
+                if element[0] == tag:
                     break
-            level = current()
+            level = "article" if zones["article"] else "main" if zones["main"] else ""
     close()
     return found, marked
 
@@ -179,62 +199,160 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text of the pages that mark their content; null for the others."""
+def _words(blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all blocks, place of each block's first word and the end); a block's last word is hashed as such."""
+    hashes: list[int] = []
+    starts = [0]
+    for block in blocks:
+        words = block.split()
+        words[-1] += "\n"
+        hashes += [xxhash.xxh3_64_intdigest(w) for w in words]
+        starts.append(len(hashes))
+    return np.array(hashes, np.uint64), np.array(starts, np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _strings(words: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the `length` words that begin at each place."""
+    n = max(0, len(words) - length + 1)
+    total = np.full(n, length, np.uint64)
+    for k in range(length):
+        total = total * np.uint64(0x100000001B3) + words[k:k + n]
+    return _mixed(total)
+
+
+def _anchors(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the anchors, hash at every place): the least of every `length` words, ties included."""
+    hashes = _strings(words, ANCHOR)
+    span = length - ANCHOR + 1
+    if len(hashes) < span:
+        return np.zeros(0, np.int64), hashes
+    least = np.lib.stride_tricks.sliding_window_view(hashes, span).min(axis=1)
+    low = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
+    # a place is an anchor if the greatest of the least values of the windows around it is its own
+    return np.flatnonzero(hashes == np.lib.stride_tricks.sliding_window_view(low, span).max(axis=1)), hashes
+
+
+def _short_blocks(words: np.ndarray, starts: np.ndarray, length: int) -> dict[int, list[tuple[int, int]]]:
+    """Places of the blocks of fewer than `length` words by their hash; longer ones are strings themselves."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        if b - a < length:
+            found.setdefault(int(_strings(words[a:b], b - a)[0]) | 1, []).append((a, b))  # odd; anchors are kept even
+    return found
+
+
+def _class_of(words: np.ndarray) -> int:
+    """What pages count as one by: the least hash of four words, or of all if there are fewer."""
+    return int(_strings(words, min(ANCHOR, len(words))).min()) if len(words) else 0
+
+
+def _signed(values) -> pa.Array:
+    return pa.array(np.asarray(values, np.uint64).view(np.int64), pa.int64())
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in parts(batch.column(2)):
             part = batch.slice(a, b - a)
-            texts = ["\n".join(blocks) if marked else None for blocks, marked in map(blocks_of, part.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            blocks, marked = zip(*map(blocks_of, part.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), part.column(1), _signed([xxhash.xxh3_64_intdigest(host_of(u)) for u in part.column(1).to_pylist()]),
+                _signed([_class_of(_words(x)[0]) for x in blocks]), pa.array(marked, pa.bool_()), pa.array(blocks, pa.list_(pa.string()))],
+                ["page_id", "url", "host", "class", "marked", "blocks"])
 
 
-def _unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, host, stream, blocks) of the pages that don't; `stream` is the digest of their words."""
-    for batch in batches:
-        for a, b in parts(batch.column(2)):
+def _spread(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    sizes = [len(found) for _, _, found in rows]
+    found = np.concatenate([f for _, _, f in rows] or [np.zeros(0, np.uint64)])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat(np.array([r[k] for r in rows], np.int64), sizes)) for k in (0, 1)] + [_signed(found)], ["host", "class", "string"])
+
+
+def _anchors_and_blocks(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every anchor and short block of a page once."""
+        for batch in batches:
             rows = []
-            for page, url, html in zip(*(batch.column(k).slice(a, b - a).to_pylist() for k in range(3))):
-                blocks, marked = blocks_of(html)
-                if not marked:
-                    rows.append((page, url, host_of(url), xxhash.xxh3_128_digest("\n".join(blocks).encode()), blocks))
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (
-                pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.string())))], ["page_id", "url", "host", "stream", "blocks"])
+            for host, kind, blocks in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                words, starts = _words(blocks)
+                places, hashes = _anchors(words, length)
+                short = np.fromiter(_short_blocks(words, starts, length), np.uint64)
+                rows.append((host, kind, np.unique(np.concatenate([hashes[places] & ~np.uint64(1), short]))))
+            yield _spread(rows)
+    return run
 
 
-def _suffixes(depth: int):
+def _candidates(words: np.ndarray, frequent: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the strings of `length` words that have a frequent anchor."""
+    places, hashes = _anchors(words, length)
+    places = places[np.isin(hashes[places] & ~np.uint64(1), frequent)]
+    near = np.zeros(max(0, len(words) - length + 1) + 1, np.int64)
+    np.add.at(near, np.maximum(places - (length - ANCHOR), 0), 1)
+    np.add.at(near, np.minimum(places + 1, len(near) - 1), -1)
+    at = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+    return at, _strings(words, length)[at]
+
+
+def _unsigned(values: list[int] | None) -> np.ndarray:
+    return np.array(values or [], np.int64).view(np.uint64)
+
+
+def _frequent_strings(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(host, stream, place, bucket) of every suffix of at least `depth` words; a block's end shows in the bucket."""
         for batch in batches:
-            for host, stream, blocks in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                words = [w for block in blocks for w in (*block.split()[:-1], block.split()[-1] + "\n")]
-                n = max(0, len(words) - depth + 1)
-                buckets = [xxhash.xxh3_128_digest(" ".join(words[i:i + depth]).encode()) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([host] * n, pa.string()), pa.array([stream] * n, pa.binary()), pa.array(range(n), pa.int32()),
-                    pa.array(buckets, pa.binary())], ["host", "stream", "place", "bucket"])
+            rows = []
+            for host, kind, blocks, frequent in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                rows.append((host, kind, np.unique(_candidates(_words(blocks)[0], _unsigned(frequent), length)[1])))
+            yield _spread(rows)
     return run
 
 
-def _unique_runs(depth: int):
+def kept_blocks(blocks: list[str], short: np.ndarray, strings: np.ndarray, length: int = LENGTH) -> list[str]:
+    """The blocks without the short blocks and the strings whose hashes are given."""
+    words, starts = _words(blocks)
+    gone = np.zeros(len(words), bool)
+    known = set(short.tolist())
+    for value, places in _short_blocks(words, starts, length).items():
+        if value in known:
+            for a, b in places:
+                gone[a:b] = True
+    for p in np.flatnonzero(np.isin(_strings(words, length), strings)):
+        gone[p:p + length] = True
+    kept = []
+    for k, block in enumerate(blocks):
+        lost = gone[starts[k]:starts[k + 1]]
+        if not lost.any():
+            kept.append(block)
+        elif not lost.all():
+            kept.append(" ".join(w for w, g in zip(block.split(), lost) if not g))
+    return kept
+
+
+def _kept(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for blocks, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                gone = {p + k for p in places or () for k in range(depth)}
-                kept, at = [], 0
-                for block in blocks:
-                    words = block.split()
-                    left = [w for k, w in enumerate(words, at) if k not in gone]
-                    at += len(words)
-                    if left:
-                        kept.append(" ".join(left))
-                texts.append("\n".join(kept))
+            for blocks, short, strings in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                texts.append("\n".join(kept_blocks(blocks, _unsigned(short), _unsigned(strings), length) if short or strings else blocks))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
     return run
 
 
-def main_text(pages: DataFrame, depth: int = DEPTH, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def _frequent(rows: DataFrame, hosts: DataFrame, pages: dict[bool, int], share: dict[bool, float]) -> DataFrame:
+    """(host, plain, veto): strings frequent enough to go from unmarked and from marked pages of the host."""
+    counted = rows.dropDuplicates(["host", "class", "string"]).groupBy("host", "string").agg(F.count(F.lit(1)).alias("n"))
+    enough = {m: (F.col("n") >= pages[m]) & (F.col("n") >= share[m] * F.col("pages")) for m in (False, True)}
+    return counted.where(F.col("n") >= min(pages.values())).join(hosts, "host").where(enough[False] | enough[True]).groupBy("host").agg(
+        F.collect_list(F.when(enough[False], F.col("string"))).alias("plain"), F.collect_list(F.when(enough[True], F.col("string"))).alias("veto"))
+
+
+def main_text(pages: DataFrame, length: int = LENGTH, min_pages: dict[bool, int] = PAGES, min_share: dict[bool, float] = SHARE,
+              page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """The main text of every row of `pages`.
 
     A null html counts as empty and has an empty text. Pages whose url is null or has no :// share the
@@ -243,12 +361,17 @@ def main_text(pages: DataFrame, depth: int = DEPTH, page_id: str = "page_id", ur
     Returns page_id, url, text (blocks joined by line feeds), n_chars (code points).
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text_of(html).alias("html"))
-    schema = "page_id long, url string, text string"
-    marked = rows.mapInArrow(_marked, schema).where("text IS NOT NULL")
-    others = written(rows.mapInArrow(_unmarked, "page_id long, url string, host string, stream binary, blocks array<string>"))
-    suffixes = others.select("host", "stream", "blocks").dropDuplicates(["host", "stream"]).mapInArrow(
-        _suffixes(depth), "host string, stream binary, place int, bucket binary")
-    shared = suffixes.groupBy("host", "bucket").agg(F.min("stream").alias("a"), F.max("stream").alias("b")).where("a <> b")
-    covered = suffixes.join(shared, ["host", "bucket"]).groupBy("host", "stream").agg(F.collect_set("place").alias("places"))
-    unique = others.join(covered, ["host", "stream"], "left").select("page_id", "url", "blocks", "places").mapInArrow(_unique_runs(depth), schema)
-    return marked.unionByName(unique).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    parsed = written(rows.mapInArrow(_parsed, "page_id long, url string, host long, class long, marked boolean, blocks array<string>"))
+    spread = "host long, class long, string long"
+    streams = parsed.where(F.size("blocks") > 0)
+    hosts = streams.select("host", "class").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min(min_pages.values()))
+    # written, so that their size is known when they meet the pages: Spark broadcasts them only below its limit
+    first = written(_frequent(streams.select("host", "class", "blocks").mapInArrow(_anchors_and_blocks(length), spread), hosts, min_pages, min_share))
+    anchors = first.select("host", F.array_union("plain", "veto").alias("anchors"))
+    strings = streams.join(anchors, "host").select("host", "class", "blocks", "anchors").mapInArrow(_frequent_strings(length), spread)
+    second = written(_frequent(strings, hosts, min_pages, min_share))
+    both = first.toDF("host", "plain_blocks", "veto_blocks").join(second.toDF("host", "plain_strings", "veto_strings"), "host", "left")
+    found = parsed.join(both, "host", "left").select(
+        "page_id", "url", "blocks", *[F.when(F.col("marked"), F.col(f"veto_{k}")).otherwise(F.col(f"plain_{k}")).alias(k) for k in ("blocks", "strings")])
+    return found.toDF("page_id", "url", "texts", "short", "strings").mapInArrow(_kept(length), "page_id long, url string, text string").select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -242,20 +243,80 @@ def test_main_text(spark):
     article = "<html><body><nav><a href='/'>Home</a></nav><div class='ad'>Buy</div><article><h1>A &amp; B</h1><p>one\n two<br>three</p>" \
               "<aside>x</aside><ul><li>i</li><li>j&nbsp;k</li></ul><script>if (a<b) {}</script><section class='comments'><p>first!</p></section></article><footer>f</footer>"
     common = "<div>All rights reserved by the owner of this very site since long ago</div>"
-    bare = [f"<body><p>{words(30, k)}</p>{common}<p>see you</p></body>" for k in range(3)]
+    bare = [f"<body><p>{words(300, k)}</p>{common}<p>see you</p></body>" for k in range(4)]
     rows = [(1, "http://a.org/1", article), (2, "http://a.org/2", article), (3, None, None), (4, "http://b.org/", ""), (4, "http://b.org/", "")]
     rows += [(10 + k, "http://B.org/x", b) for k, b in enumerate(bare)] + [(20, "http://c.org", bare[0]), (21, "http://b.org/again", bare[0])]
+    # two versions of one text, and its copies, are one page; so is a text that is all a host has
+    versions = [f"<p>{words(400, 9)} on {day} {words(400, 8)}</p>" for day in ("Monday", "Friday", "Friday", "Friday")]
+    rows += [(30 + k, "http://d.org", v) for k, v in enumerate(versions)]
+    # articles: a promotion in each is cut, a passage that a third of them quotes is not
+    promotion, quoted = f"<p>{words(30, 70)}</p><p>Read more</p>", f"<p>{words(40, 71)}</p>"
+    rows += [(40 + k, "http://e.org", f"<article><p>{words(300, 40 + k)}</p>{promotion}{quoted if k < 3 else ''}</article>") for k in range(9)]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string")
     got = html_main.main_text(pages).collect()
     main = "A & B\none two three\ni\nj k"
-    want = [(1, main), (2, main), (3, ""), (4, ""), (4, "")] + [(10 + k, words(30, k)) for k in range(3)]  # the run that repeats goes on to the last words
-    whole = words(30, 0) + "\nAll rights reserved by the owner of this very site since long ago\nsee you"
-    want += [(20, whole), (21, words(30, 0))]
+    want = [(1, main), (2, main), (3, ""), (4, ""), (4, "")] + [(10 + k, words(300, k)) for k in range(4)]
+    whole = words(300, 0) + "\nAll rights reserved by the owner of this very site since long ago\nsee you"
+    want += [(20, whole), (21, words(300, 0))] + [(30 + k, v[3:-4]) for k, v in enumerate(versions)]
+    want += [(40 + k, words(300, 40 + k) + (f"\n{words(40, 71)}" if k < 3 else "")) for k in range(9)]
     same([(r.page_id, r.text) for r in got], want)
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_main.main_text(pages.where("false")).count() == 0
 
 
+def test_main_text_equals_brute_force(spark):
+    """Every string of `length` words and every short block of every page, counted one by one."""
+    r, length = random.Random(5), 9
+    menu = [[f"m{r.randrange(40)}" for _ in range(r.randrange(1, 30))] for _ in range(12)]
+    pages, streams = [], {}
+    for page in range(160):
+        host, marked = f"h{min(page % 7, 3)}", r.random() < 0.5
+        blocks = [" ".join(r.choice(menu)) if r.random() < 0.5 else " ".join(f"w{r.randrange(60)}" for _ in range(r.randrange(1, 25))) for _ in range(r.randrange(0, 8))]
+        if r.random() < 0.4:
+            blocks.append(" ".join(f"own{page}-{k}" for k in range(20)) + " " + " ".join(menu[0] * 2) + " end")
+        tag = "article" if marked else "div"
+        pages.append((page, f"http://{host}/", f"<{tag}>" + "".join(f"<p>{b}</p>" for b in blocks) + f"</{tag}>"))
+        streams[page] = (host, marked, [b.split()[:-1] + [b.split()[-1] + "\n"] for b in blocks])
+
+    def strings(blocks):
+        flat = [w for b in blocks for w in b]
+        at, found = 0, []
+        for b in blocks:
+            if len(b) < length:
+                found.append((("block", *b), at, at + len(b)))
+            at += len(b)
+        return found + [(tuple(flat[i:i + length]), i, i + length) for i in range(len(flat) - length + 1)]
+
+    least, share = {False: 3, True: 4}, {False: 0.05, True: 0.1}
+    kinds = {p: html_main._class_of(html_main._words([" ".join(b).strip() for b in blocks])[0]) for p, (_, _, blocks) in streams.items()}
+    have, of_host = {}, {}
+    for p, (host, _, blocks) in streams.items():
+        if blocks:
+            of_host.setdefault(host, set()).add(kinds[p])
+        for key, _, _ in strings(blocks):
+            have.setdefault((host, key), set()).add(kinds[p])
+    want, changed = [], 0
+    for p, (host, marked, blocks) in streams.items():
+        gone = {k for key, a, b in strings(blocks) for k in range(a, b)
+                if len(have[host, key]) >= least[marked] and len(have[host, key]) >= share[marked] * len(of_host[host])}
+        places, left = iter(range(10 ** 6)), []
+        for b in blocks:
+            kept = [w.strip() for w in b if next(places) not in gone]
+            left += [" ".join(kept)] if kept else []
+        want.append((p, "\n".join(left)))
+        changed += bool(gone)
+    got = html_main.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), length, least, share)
+    same([(row.page_id, row.text) for row in got.collect()], want)
+    assert 40 < changed < 160
+
+
+def test_main_text_of_hostile_pages():
+    for page in ("<div>" * 60000 + "</p></span>" * 60000, "<svg>" * 300000, "<form><article>x" * 50000, "</div>" * 300000, "<p>a</form><div>" * 50000):
+        start = time.process_time()
+        html_main.blocks_of(page)
+        assert time.process_time() - start < 8  # linear; by the square it would be minutes
+
+
 def test_main_text_inside_wrappers():
     body = "<nav>Home</nav>%s<h1>Title</h1><p>one two</p><div class='ad'>Buy</div>%s<footer>f</footer>"
     for wrapper in ("form id='aspnetForm'", "div class='layout with-sidebar'", "div class='no-sidebar'", "div class='has-banner'", "div class='ad-free'",
