@@ -32,10 +32,10 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="llm-")
 
 
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+def written(df: DataFrame, folder: str | None = None, **options: str) -> DataFrame:
     """Cut lineage: the rows as a Parquet table in the shared folder, so that no executor has to be asked again."""
     path = folder or scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

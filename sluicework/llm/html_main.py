@@ -361,7 +361,7 @@ def main_text(pages: DataFrame, length: int = LENGTH, min_pages: dict[bool, int]
     Returns page_id, url, text (blocks joined by line feeds), n_chars (code points).
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text_of(html).alias("html"))
-    parsed = written(rows.mapInArrow(_parsed, "page_id long, url string, host long, class long, marked boolean, blocks array<string>"))
+    parsed = written(rows.mapInArrow(_parsed, "page_id long, url string, host long, class long, marked boolean, blocks array<string>"), compression="zstd")
     spread = "host long, class long, string long"
     streams = parsed.where(F.size("blocks") > 0)
     hosts = streams.select("host", "class").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min(min_pages.values()))
@@ -369,8 +369,8 @@ def main_text(pages: DataFrame, length: int = LENGTH, min_pages: dict[bool, int]
     first = written(_frequent(streams.select("host", "class", "blocks").mapInArrow(_anchors_and_blocks(length), spread), hosts, min_pages, min_share))
     anchors = first.select("host", F.array_union("plain", "veto").alias("anchors"))
     strings = streams.join(anchors, "host").select("host", "class", "blocks", "anchors").mapInArrow(_frequent_strings(length), spread)
-    second = written(_frequent(strings, hosts, min_pages, min_share))
-    both = first.toDF("host", "plain_blocks", "veto_blocks").join(second.toDF("host", "plain_strings", "veto_strings"), "host", "left")
+    second = _frequent(strings, hosts, min_pages, min_share)
+    both = written(first.toDF("host", "plain_blocks", "veto_blocks").join(second.toDF("host", "plain_strings", "veto_strings"), "host", "left"))
     found = parsed.join(both, "host", "left").select(
         "page_id", "url", "blocks", *[F.when(F.col("marked"), F.col(f"veto_{k}")).otherwise(F.col(f"plain_{k}")).alias(k) for k in ("blocks", "strings")])
     return found.toDF("page_id", "url", "texts", "short", "strings").mapInArrow(_kept(length), "page_id long, url string, text string").select(
