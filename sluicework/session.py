@@ -73,6 +73,43 @@ def move_folders(spark: SparkSession, source: str, target: str) -> None:
             files.rename(found.getPath(), place)
 
 
+def _files_of(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def child_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what a folder holds; none if there is no such folder."""
+    path, files = _files_of(spark, folder)
+    return [found.getPath().getName() for found in files.listStatus(path)] if files.exists(path) else []
+
+
+def move_new(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file or folder to a name that nothing has yet."""
+    (here, files), (there, _) = _files_of(spark, source), _files_of(spark, target)
+    if files.exists(there) or not files.rename(here, there):
+        raise FileExistsError(target)
+
+
+def read_text(spark: SparkSession, file: str) -> str:
+    """A small file as text."""
+    path, files = _files_of(spark, file)
+    stream = files.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, file: str, text: str) -> None:
+    path, files = _files_of(spark, file)
+    stream = files.create(path, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def error_text(exc: BaseException) -> str:
     """The whole text of an error, or its kind if it has none."""
     return str(exc) or type(exc).__name__

@@ -2,15 +2,22 @@
 
 Appending never rewrites what other runs wrote, so a run that is retried or killed
 leaves the tables readable; replace and upsert semantics come from the views.
+
+A table is a set of folders: one for each append, moved into place when it is whole, and at most one base that
+compaction made of earlier ones. The newest record in ``_generations`` names the base and the folders that it stands
+for; readers follow that record and take every other append as it is. So nothing is lost or read twice if an append
+ends while a compaction runs, or if a compaction stops anywhere. Folders that a record replaced are deleted by the
+compaction after it, so readers that began before it find their files.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from sluicework.session import remove, small_frame
+from sluicework.session import child_names, move_new, read_text, remove, small_frame, write_text
 
 SCHEMAS = {
     "metric_history": "run_id string, timestamp timestamp, dataset_name string, metric_name string, "
@@ -81,7 +88,39 @@ class Store:
         schema = T.DataType.fromDDL(SCHEMAS[table])
         typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
         typed = typed.withColumn("recorded_at", F.current_timestamp())
-        typed.write.mode("append").partitionBy("dataset_name").parquet(self.path(table))
+        self._add(table, f"run={uuid.uuid4().hex}", typed)
+
+    def _add(self, table: str, name: str, rows: DataFrame) -> None:
+        """Write a folder out of readers' sight and move it into place."""
+        hidden = f"{self.path(table)}/_writing-{uuid.uuid4().hex}"
+        rows.write.partitionBy("dataset_name").parquet(hidden)
+        move_new(self.spark, hidden, f"{self.path(table)}/{name}")
+
+    def _generation(self, table: str) -> dict:
+        """The newest record: its number, the base, and the folders that the base stands for."""
+        folder = f"{self.path(table)}/_generations"
+        names = sorted(n for n in child_names(self.spark, folder) if n.endswith(".json") and not n.startswith("_"))
+        if not names:
+            return {"number": 0, "base": None, "replaced": []}
+        return json.loads(read_text(self.spark, f"{folder}/{names[-1]}"))
+
+    def _publish(self, table: str, record: dict) -> None:
+        """Make a record the newest; fails if another compaction took its number."""
+        folder = f"{self.path(table)}/_generations"
+        hidden = f"{folder}/_{uuid.uuid4().hex}"
+        write_text(self.spark, hidden, json.dumps(record))
+        move_new(self.spark, hidden, f"{folder}/{record['number']:08d}.json")
+
+    def _live(self, table: str, record: dict) -> list[str]:
+        """Names of the folders that make up the table by a record that was read before they are listed."""
+        gone = set(record["replaced"])
+        return [n for n in child_names(self.spark, self.path(table))
+                if n == record["base"] or (n.startswith("run=") and not n.startswith("run=base-") and n not in gone)]
+
+    def _stored(self, table: str, names: list[str]) -> DataFrame:
+        stored = T.DataType.fromDDL(SCHEMAS[table] + ", recorded_at timestamp")
+        paths = [f"{self.path(table)}/{n}" for n in names]
+        return self.spark.read.schema(stored).option("basePath", self.path(table)).parquet(*paths).select(*stored.names)
 
     def append_all(self, tables: dict[str, DataFrame]) -> None:
         """Append to several tables side by side: each is a small job of its own."""
@@ -91,13 +130,10 @@ class Store:
     def read(self, table: str, dataset: str | None = None) -> DataFrame:
         """The newest row of each key, or all rows of a table without one; a dataset name prunes to its folder."""
         schema = T.DataType.fromDDL(SCHEMAS[table])
-        stored = T.DataType.fromDDL(SCHEMAS[table] + ", recorded_at timestamp")
-        try:
-            rows = self.spark.read.schema(stored).parquet(self.path(table)).select(*stored.names)
-        except AnalysisException as exc:
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
+        names = self._live(table, self._generation(table))
+        if not names:
             return small_frame(self.spark, [], SCHEMAS[table])  # nothing appended yet
+        rows = self._stored(table, names)
         if dataset is not None:
             rows = rows.where(F.col("dataset_name") == dataset)
         keys = KEYS.get(table)
@@ -108,13 +144,23 @@ class Store:
         return rows.groupBy(*keys).agg(newest.alias("r")).select(*[c if c in keys else f"r.{c}" for c in schema.names])
 
     def compact(self, table: str) -> None:
-        """Rewrite a table that many runs have appended to, a few files for each dataset. No run may write meanwhile."""
-        folder = f"{self.root}/_compact"
-        self.spark.read.parquet(self.path(table)).hint("rebalance", "dataset_name").write.mode("overwrite").partitionBy(
-            "dataset_name").parquet(folder)
-        self.spark.read.parquet(folder).hint("rebalance", "dataset_name").write.mode("overwrite").partitionBy(
-            "dataset_name").parquet(self.path(table))
-        remove(self.spark, folder)
+        """Put what many runs have appended into a few files for each dataset. Runs may read and append meanwhile.
+
+        Two compactions of one table may not run at once: the one that ends later fails and changes nothing.
+        """
+        before = self._generation(table)
+        for name in before["replaced"]:
+            remove(self.spark, f"{self.path(table)}/{name}")
+        names = self._live(table, before)
+        if not names:
+            return
+        base = f"run=base-{uuid.uuid4().hex}"
+        self._add(table, base, self._stored(table, names).hint("rebalance", "dataset_name"))
+        try:
+            self._publish(table, {"number": before["number"] + 1, "base": base, "replaced": names})
+        except FileExistsError:
+            remove(self.spark, f"{self.path(table)}/{base}")
+            raise
 
     def baselines(self) -> DataFrame:
         return latest_baselines(self.read("learned_thresholds"))

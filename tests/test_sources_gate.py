@@ -528,3 +528,67 @@ def test_types_of_records(spark, tmp_path):
     assert "more than 2 values" in e.value.message
     open_end = readers.load(spark, write(tmp_path / "o.csv", 'a,b\n1,x\n2,"never closed\n3,y\n'))
     assert open_end.count() == 2
+
+
+def _runs(spark, ids):
+    return spark.createDataFrame([(f"r{i}", "orders" if i % 2 else "items", "PASSED", float(i)) for i in ids],
+                                 "run_id string, dataset_name string, status string, quality_score double").selectExpr(
+        "run_id", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, quality_score) AS timestamp", "dataset_name", "status", "quality_score",
+        "0 AS anomaly_count", "0.0D AS z_score_max", "'' AS reason", "1 AS duration_ms")
+
+
+def _ids(store):
+    return sorted(int(r.run_id[1:]) for r in store.read("run_history").collect())
+
+
+def test_compaction_keeps_appends_that_end_while_it_runs(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    store.compact("run_history")  # nothing yet
+    assert _ids(store) == []
+    for i in range(4):
+        store.append("run_history", _runs(spark, [i, i + 10]))
+    publish = Store._publish
+
+    def late(self, table, record):
+        self.append("run_history", _runs(spark, [50]))  # ends between the listing and the new record
+        publish(self, table, record)
+        self.append("run_history", _runs(spark, [51]))
+
+    monkeypatch.setattr(Store, "_publish", late)
+    store.compact("run_history")
+    want = [0, 1, 2, 3, 10, 11, 12, 13, 50, 51]
+    assert _ids(store) == want
+    assert store._stored("run_history", store._live("run_history", store._generation("run_history"))).count() == len(want)  # no row twice
+    assert [r.run_id for r in store.read("run_history", "orders").where("quality_score < 2").collect()] == ["r1"]
+    monkeypatch.undo()
+    reader = store.read("run_history")  # planned over the folders of this generation
+    store.compact("run_history")
+    assert _ids(store) == want and len(store._live("run_history", store._generation("run_history"))) == 1
+    assert reader.count() == len(want)
+    store.append("run_history", _runs(spark, [0, 60]))
+    assert _ids(store) == [*want, 60]  # run 0 is there once, as its newest row
+
+
+def test_compaction_that_stops_anywhere_changes_nothing(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    for i in range(3):
+        store.append("run_history", _runs(spark, [i]))
+    for step in ("_publish", "_add"):
+        def stop(*_):
+            raise OSError("executor of the driver lost")
+        monkeypatch.setattr(Store, step, stop)
+        with pytest.raises(OSError):
+            store.compact("run_history")
+        monkeypatch.undo()
+        assert _ids(store) == [0, 1, 2]
+    store.compact("run_history")
+    # a second compaction with the same number loses and leaves the table as it is
+    taken = store._generation("run_history")
+    monkeypatch.setattr(Store, "_generation", lambda self, table: {"number": 0, "base": None, "replaced": []})
+    store.append("run_history", _runs(spark, [7]))
+    with pytest.raises(FileExistsError):
+        store.compact("run_history")
+    monkeypatch.undo()
+    assert store._generation("run_history") == taken
+    assert _ids(store) == [0, 1, 2, 7]
+    assert len(os.listdir(tmp_path / "run_history" / "_generations")) <= 4  # the record, a hidden one and their checksums
