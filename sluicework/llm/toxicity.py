@@ -69,7 +69,7 @@ def _buckets(words: list[str]) -> np.ndarray:
 
 
 def windows(n: int) -> list[int]:
-    """First words of the windows over n words: overlapping by half, the last one at the end."""
+    """First words of the windows over n words: neighbours share a quarter of their words, the last one more, as it ends with the text."""
     if n <= WINDOW:
         return [0]
     return [*range(0, n - WINDOW, STEP), n - WINDOW]
@@ -314,13 +314,16 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text",
           label: str = "toxic", clean: int = CLEAN, toxic: int = TOXIC) -> Model:
-    """A network fitted on at most `clean` and `toxic` labelled documents of the two classes."""
+    """A network fitted on at most `clean` and `toxic` labelled documents of the two classes.
+
+    Of rows with one id the least text is learnt from, so that as many texts as ids reach the driver.
+    """
     known = labels.where(learn & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).cast("long").alias("key")).agg(
         F.max(F.col(label).cast("int")).alias("y"))
     chosen = bounded(known, "y", "key", {0: clean, 1: toxic})
     rows = docs.select(F.col(doc_id).cast("long").alias("key"), text_of(text).alias("text")).join(
-        F.broadcast(chosen), "key").collect()  # at most clean + toxic keys
-    rows.sort(key=lambda r: (r.key, r.text))
+        F.broadcast(chosen), "key").groupBy("key", "y").agg(F.min("text").alias("text")).collect()  # at most clean + toxic rows
+    rows.sort(key=lambda r: r.key)
     return fit([words_of(r.text) for r in rows], np.array([r.y for r in rows], np.int64))
 
 

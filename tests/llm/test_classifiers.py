@@ -3,6 +3,8 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from sluicework.llm import language_id, toxicity
 
 STEMS = {"aa": "ka lo mi tu".split(), "bb": "schu ber ung zer".split(), "cc": "éau oir que ñel".split()}
@@ -53,6 +55,18 @@ def test_toxicity(spark):
     assert {row.score for row in toxicity.score(docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_repeated_ids_are_learnt_from_once(spark, monkeypatch):
+    """However many rows an id has, one of them reaches the driver, the same in any order."""
+    given = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: given.append((texts, labels.tolist())))
+    rows = [(1, f"text {k % 7}") for k in range(50)] + [(2, None), (2, "b"), (3, "never labelled"), (None, "c")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string")
+        toxicity.train(docs, labels, F.lit(True))
+    assert given == [([["text", "0"], []], [1, 0])] * 2
+
+
 def test_network_slopes():
     """The training step's slopes, as seen in the loss along each weight, for a tiny batch."""
     import numpy as np
