@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 import zlib
 from collections import Counter
@@ -10,8 +11,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from sluicework.llm import bpe_chunks, context_coder, decontaminate, html_main, simhash_gray, suffix_dedup, token_files
 from sluicework.llm.common import scratch
 
@@ -139,6 +142,70 @@ def test_suffix_dedup_runs_longer_than_a_step(monkeypatch):
         assert covered == list(range(len(d) - suffix_dedup.LENGTH + 1))
 
 
+def passages_brute(texts, n=50):
+    """Of each text: where every word begins and ends, and whether a run of n words that stands elsewhere too covers it."""
+    places = [[m.span() for m in re.finditer(rb"[^ \t-\r]+", t)] for t in texts]
+    split = [[t[a:b] for a, b in p] for t, p in zip(texts, places)]
+    seen = Counter(tuple(w[i:i + n]) for w in split for i in range(len(w) - n + 1))
+    return [(p, {k for i in range(len(w) - n + 1) if seen[tuple(w[i:i + n])] > 1 for k in range(i, i + n)}) for w, p in zip(split, places)]
+
+
+def passage_texts():
+    """Passages of 50 words or more and less than 400 bytes among other text, with other white space, and what must stay."""
+    passage, tiny = [f"p{k}" for k in range(55)], list("abcdefghijklmnopqrstuvwxyz" * 2)
+    texts = [words(60, 500 + k) + " " + ["\n", " ", "\t", "  "][k % 4].join(passage) + (" \n" + words(70, 520 + k) if k % 3 else "") for k in range(9)]
+    texts += [" ".join([words(30, 540), *passage[:50]]), " ".join([words(30, 541), *passage[:49], words(30, 542)]), " ".join([*passage[3:], "é" * 30])]
+    texts += [words(80, 543) + " " + " ".join(tiny), " ".join(tiny) + "\x0b" + words(5, 544), "x " * 60, "漢 字 é\x1c" * 40 + words(20, 545)]
+    return texts + [words(49, 546), words(49, 546), words(50, 547), words(50, 547).replace(" ", "\r\n"), "  " + words(45, 548) + " " + "z" * 500, words(45, 549) + " " + "z" * 500]
+
+
+def test_suffix_dedup_finds_passages_of_words(spark):
+    texts = passage_texts()
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, None), (90, ""), (91, " \n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    data = [(t or "").encode() for _, t in rows]
+    found = passages_brute(data)
+    assert sum(len(gone) > 0 for _, gone in found) >= 15 and not found[10][1] and not found[17][1]
+    n = suffix_dedup.LENGTH
+    strings = Counter(d[i:i + n] for d in data for i in range(len(d) - n + 1))
+    few = lambda x: len(re.findall(rb"(?<=[ \t-\r])[^ \t-\r]+(?=[ \t-\r])", x)) < 50
+    for spared in ([], [3]):
+        left = []
+        for k, ((i, t), d, (places, gone)) in enumerate(zip(rows, data, found)):
+            keep = np.ones(len(d), bool)
+            for at in range(len(d) - n + 1):
+                if strings[d[at:at + n]] > 1 and few(d[at:at + n]):
+                    keep[at:at + n] = False
+            for w in gone if k not in spared else ():
+                keep[places[w][0]:places[w + 1][0] if w + 1 in gone else places[w][1]] = False
+            left.append((i, None if t is None else bytes(np.frombuffer(d, np.uint8)[keep]).decode()))
+        for hot in (suffix_dedup.HOT, 1):
+            marks = frame.where(F.col("doc_id").isin(spared)).select(F.xxhash64("text").alias("mark"))
+            same(suffix_dedup.without_repeats(frame, hot=hot, passages=True, spared=marks).collect(), left)
+
+
+def test_pipeline_cuts_passages_but_leaves_benchmark_items(spark, tmp_path):
+    item = words(55, 700)
+    texts = passage_texts()[:9] + [f"{words(40, 701 + k)} {item} {words(30, 710 + k)}" for k in range(3)]
+    spark.createDataFrame([(0, item + ". a b c d e.")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = f"{item}. a b c d e. {words(30, 720)}"
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, held])], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, frame, str(tmp_path)).collect()}
+    assert not any("p9" in left[k].split() for k in range(9)) and all(len(left[k].split()) >= 60 for k in range(9))
+    assert all(len(left[k].split()) == 70 for k in range(9, 12)) and left[12] == held
+
+
+def test_word_runs_own_every_start(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_STEP", 1000)
+    texts = [words(n, n).encode() for n in (900, 10, 0, 700, 50, 49)]
+    data, starts, ends = suffix_dedup._joined_words(texts)
+    assert ((ends - starts) // 8).tolist() == [900, 10, 0, 700, 50, 49]
+    fits = np.flatnonzero(ends - starts >= suffix_dedup.LENGTH)
+    doc, lo, cnt, _ = suffix_dedup.runs(data, starts[fits], ends[fits], suffix_dedup.WORDS)
+    for k, n in enumerate((900, 700, 50)):
+        assert sorted(s for a, b in zip(lo[doc == k], cnt[doc == k]) for s in range(a, a + b)) == list(range(n - 49))
+
+
 def fingerprint_brute(text):
     w = (text or "").encode().lower().split()
     grams = [b" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))] if w else []
